@@ -186,19 +186,27 @@ def duplicate_count(df: DataFrame) -> DataFrame:
 def quality_summary(df: DataFrame, target: str = "relevant_passengers_on_leg_departure",
                     k: float = 1.5) -> DataFrame:
     """One row: records, feature counts by kind, nulls, duplicates, target
-    range and outliers; each part is a one-row aggregate (scalar subquery)."""
+    range and outliers.
+
+    Three passes: the quartiles (a one-row scalar subquery), one aggregate
+    for counts, nulls, range and the outlier count, and the duplicate
+    grouping (a second scalar subquery).
+    """
     num = numeric_columns(df)
     cat = string_columns(df)
-    nulls = df.agg(sum((F.count_if(F.col(c).isNull()) for c in df.columns), F.lit(0))
-                   .cast("bigint").alias("n")).select("n").scalar()
-    dups = duplicate_count(df).select("duplicate_rows").scalar()
-    out = iqr_outliers(df, target, k)
     x = F.col(target)
-    base = df.agg(F.count(F.lit(1)).alias("total_records"), F.min(x).alias("target_min"),
-                  F.max(x).alias("target_max"))
+    quart = df.agg(F.percentile(x, [0.25, 0.75]).alias("q"))
+    q1 = quart.select(F.col("q")[0]).scalar()
+    q3 = quart.select(F.col("q")[1]).scalar()
+    lower, upper = q1 - F.lit(k) * (q3 - q1), q3 + F.lit(k) * (q3 - q1)
+    dups = duplicate_count(df).select("duplicate_rows").scalar()
+    nulls = sum((F.count_if(F.col(c).isNull()) for c in df.columns), F.lit(0)).cast("bigint")
+    base = df.agg(F.count(F.lit(1)).alias("total_records"), nulls.alias("missing_values"),
+                  F.min(x).alias("target_min"), F.max(x).alias("target_max"),
+                  F.count_if((x < lower) | (x > upper)).alias("outliers"))
     return base.select(
         "total_records", F.lit(len(df.columns)).alias("total_features"),
         F.lit(len(num)).alias("numerical_features"), F.lit(len(cat)).alias("categorical_features"),
-        nulls.alias("missing_values"), dups.alias("duplicate_rows"), "target_min", "target_max",
-        out.select("outliers").scalar().alias("outliers"),
-        out.select("outlier_percentage").scalar().alias("outlier_percentage"))
+        "missing_values", dups.alias("duplicate_rows"), "target_min", "target_max", "outliers",
+        (F.try_divide(F.col("outliers"), F.col("total_records")) * F.lit(100.0))
+        .alias("outlier_percentage"))
