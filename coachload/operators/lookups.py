@@ -52,12 +52,17 @@ def dedup_codes(codes: DataFrame) -> DataFrame:
     row per matching name (the reference keeps file order; we keep the
     smallest (name, code, ...) so the choice is deterministic).
     """
+    # Both names are normalized inside one ``transform`` so the (long) regex
+    # chain is evaluated once per name instead of being inlined into every
+    # later reference by the optimizer.
+    norm = F.transform(F.array("desc_name", "tps_desc_name"), normalize_name)
     c = codes.select(
-        "tiploc",
-        normalize_name(F.col("desc_name")).alias("normalized_desc_name"),
-        normalize_name(F.col("tps_desc_name")).alias("normalized_tps_desc_name"),
+        "tiploc", norm.alias("__norm"),
         F.col("desc_name").alias("tiploc_orig_desc"),
         F.col("tps_desc_name").alias("tiploc_orig_tps_desc"), "crs")
+    c = c.select("tiploc", F.col("__norm")[0].alias("normalized_desc_name"),
+                 F.col("__norm")[1].alias("normalized_tps_desc_name"),
+                 "tiploc_orig_desc", "tiploc_orig_tps_desc", "crs")
     c = c.withColumn("primary_name", best_name(F.col("normalized_tps_desc_name"),
                                                F.col("normalized_desc_name")))
     c = c.where(F.col("primary_name").isNotNull())
