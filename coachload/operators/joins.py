@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import logging
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from coachload.session import cut_lineage
+
 log = logging.getLogger(__name__)
 
 # Dimension tables (stations, label dictionaries, reduced route tables) are
@@ -17,8 +18,9 @@ DEFAULT_MAX_BROADCAST_ROWS = 2_000_000
 
 
 def broadcast_checked(df: DataFrame, max_rows: int = DEFAULT_MAX_BROADCAST_ROWS) -> DataFrame:
-    """Persist ``df``, count it, and mark it for broadcast only if small."""
-    df = df.persist(StorageLevel.MEMORY_AND_DISK)
+    """Materialize ``df`` (reliable checkpoint: it is reused and its lineage
+    is cut), count it, and mark it for broadcast only if small."""
+    df = cut_lineage(df)
     n = df.count()
     if n <= max_rows:
         return F.broadcast(df)

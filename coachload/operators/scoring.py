@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from coachload.functions import geo, time as tm
 from coachload.operators import features as fe
 from coachload.operators.joins import broadcast_checked
+from coachload.session import cut_lineage
 
 # ---------------------------------------------------------------------------
 # Fixed values that must equal the reference's.
@@ -146,7 +147,8 @@ def match_service(keys: DataFrame, routes: DataFrame) -> DataFrame:
     (time_fallback); 3 origin+hour+weekday (route_fallback); 4 origin,
     nearest hour (fallback).  Frequency descending inside each tier.
     """
-    keys = keys.select(*REQUEST_KEY).distinct()
+    # the distinct keys feed five joins: materialize them once
+    keys = cut_lineage(keys.select(*REQUEST_KEY).distinct())
     r = routes.select("headcode", "rsid", "stationName_from", "stationName_to", "hour",
                       "day_of_week", "frequency")
     t1 = _best(r, ["stationName_from", "stationName_to", "hour", "day_of_week"])
@@ -309,7 +311,8 @@ def score(requests: DataFrame, lookups: dict[str, DataFrame], model, labels: Dat
     one error row per failed request (status 400/404/422 and a message)."""
     rows = explode_requests(requests)
     rows = resolve_codes(rows, lookups["stations"])
-    rows = request_time_keys(rows, dow)
+    # reused by the match, the join back and the error rows
+    rows = cut_lineage(request_time_keys(rows, dow))
     ok = rows.where(F.col("status").isNull())
     matched = match_service(ok, lookups["service_routes_summary_mvp"])
     ok = ok.join(matched, REQUEST_KEY, "left")

@@ -8,7 +8,7 @@ from coachload.operators import lookups as lk
 from coachload.plans import sqlparts as sq
 from coachload.sources import tables
 
-SAMPLE_STATION = "ALGERIA"   # a station name present in the driver's nation table
+SAMPLE_STATION = "NATION_0"   # a station name present in the driver's nation table
 
 
 def _legs(spark, sf_dir):

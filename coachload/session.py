@@ -21,7 +21,10 @@ DEFAULT_CONF = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.sql.parquet.filterPushdown": "true",
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
+# Only honoured when this call starts the JVM (local mode / client driver).
+DEFAULT_DRIVER_MEMORY = "16g"
 
 
 def build_session(master: str | None = None, app: str = "coachload",
@@ -31,6 +34,7 @@ def build_session(master: str | None = None, app: str = "coachload",
     if master:
         builder = builder.master(master)
     conf = dict(DEFAULT_CONF)
+    conf["spark.driver.memory"] = DEFAULT_DRIVER_MEMORY
     if shuffle_partitions:
         conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
     conf.update(extra or {})
@@ -45,17 +49,21 @@ def checkpoint_dir(spark: SparkSession, fallback: str | None = None) -> str:
     """Shared folder for reliable checkpoints.
 
     On a cluster the operator names it in ``spark.checkpoint.dir``; we only
-    read it.  Where it is unset (unit tests, a laptop) a fresh scratch folder
-    is taken, never a shared one.
+    read it.  Only a local-mode session (tests, a laptop) without one gets a
+    fresh scratch folder; a cluster session without one is an error, since a
+    machine-local folder would not survive the loss of that machine.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
     if current:
         return current
     configured = spark.conf.get("spark.checkpoint.dir", None)
-    target = configured or fallback or tempfile.mkdtemp(prefix="coachload-ckpt-")
-    sc.setCheckpointDir(target)
-    return sc.getCheckpointDir() or target
+    if not configured and not fallback:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a shared folder on a cluster")
+        fallback = tempfile.mkdtemp(prefix="coachload-ckpt-")
+    sc.setCheckpointDir(configured or fallback)
+    return sc.getCheckpointDir() or configured or fallback
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
