@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from coachload.operators.target import TIER_CODES, tier_of
+from coachload.session import cut_lineage
 
 CLASS_NAMES = sorted(TIER_CODES, key=TIER_CODES.get)   # Busy, Moderate, Quiet
 HASH_BUCKET_BITS = 12                                   # 4096 buckets per class
@@ -39,7 +40,9 @@ def stratified_split(df: DataFrame, label: str = "comfort_tier_encoded",
     """
     key_cols = key_cols or ["messageId_leg_start", "leg_departure_dt"]
     h = split_hash(key_cols, seed)
-    rows = df.withColumns({"__h": h, "__b": F.shiftright(h, 60 - HASH_BUCKET_BITS)})
+    # read three times below (counts, and the two sides of the final union):
+    # materialize once
+    rows = cut_lineage(df.withColumns({"__h": h, "__b": F.shiftright(h, 60 - HASH_BUCKET_BITS)}))
     counts = rows.groupBy(label, "__b").agg(F.count(F.lit(1)).alias("__cnt"))
     wc = Window.partitionBy(label).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
     wall = Window.partitionBy(label)
