@@ -28,14 +28,20 @@ class Ctx:
     def __init__(self, spark, sf_dir):
         self.spark, self.sf_dir = spark, sf_dir
 
+    @cached_property
+    def legs(self):
+        return tables.stored_legs(self.spark, self.sf_dir)
+
     @cached_property
     def engineered(self):
-        feats, _ = fe.engineer(tables.legs(self.spark, self.sf_dir))
+        feats, _ = fe.engineer(self.legs)
         return tg.label(feats)
 
     @cached_property
     def split(self):
-        return cut_lineage(md.stratified_split(self.engineered, LABEL, KEY))
+        # the split materializes its hashed input itself; its output is a
+        # cheap plan over that checkpoint
+        return md.stratified_split(self.engineered, LABEL, KEY)
 
     @cached_property
     def features(self):
@@ -44,7 +50,7 @@ class Ctx:
 
     @cached_property
     def thresholds(self):
-        return cut_lineage(tg.thresholds(tg.occupancy_pct(tables.legs(self.spark, self.sf_dir))))
+        return cut_lineage(tg.thresholds(tg.occupancy_pct(self.legs)))
 
     def rule_predictions(self):
         pred = md.ThresholdModel(self.thresholds).transform(self.split)

@@ -39,7 +39,7 @@ class Ctx:
 
     @cached_property
     def legs(self):
-        return cut_lineage(tables.legs(self.spark, self.sf_dir))
+        return tables.stored_legs(self.spark, self.sf_dir)
 
     @cached_property
     def stations(self):

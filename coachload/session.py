@@ -22,6 +22,10 @@ DEFAULT_CONF = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.sql.parquet.filterPushdown": "true",
     "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
+    # Wide projections fused into one whole-stage method exceed the JVM's JIT
+    # size limit (8000 bytes of bytecode) and then run interpreted; at this
+    # limit Spark falls back to per-operator code that the JIT compiles.
+    "spark.sql.codegen.hugeMethodLimit": "8000",
 }
 # Only honoured when this call starts the JVM (local mode / client driver).
 DEFAULT_DRIVER_MEMORY = "16g"

@@ -152,6 +152,14 @@ def legs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def stored_legs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The derived legs written once (reliable checkpoint) for queries that
+    read them several times -- the stand-in for a stored legs table, which
+    a deployment scans with ``read_legs``."""
+    from coachload.session import cut_lineage
+    return cut_lineage(legs(spark, sf_dir))
+
+
 def tiplocs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The station-code table derived from nation (one branch per name case)."""
     nk = F.col("n_nationkey")
