@@ -14,7 +14,7 @@ per tier key -- (from, to, hour, dow), (from, to, hour), (from, hour, dow),
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from coachload.functions import geo, time as tm
@@ -52,21 +52,26 @@ def parse_datetime(s: Column) -> Column:
 
 def explode_requests(req: DataFrame) -> DataFrame:
     """One row per (request, position) with the parsed departure time and the
-    request-level validation status (422 missing field, 400 bad datetime)."""
+    request-level validation status (422 missing field, 400 bad datetime).
+
+    The first bad datetime of a request is an aggregate joined back (not a
+    window), so a request with a huge list is reduced map-side and its join
+    stays eligible for AQE's skew split."""
     rows = req.select("*", F.posexplode_outer("departure_datetimes")
                       .alias("pos", "departure_datetime"))
     rows = rows.withColumn("departure_ts", parse_datetime(F.col("departure_datetime")))
-    w = Window.partitionBy("request_id")
     bad = F.col("departure_datetime").isNotNull() & F.col("departure_ts").isNull()
-    first_bad = F.min_by(F.col("departure_datetime"), F.when(bad, F.col("pos"))).over(w)
+    first_bad = (rows.where(bad).groupBy(F.col("request_id").alias("__rid"))
+                 .agg(F.min_by("departure_datetime", "pos").alias("__first_bad")))
+    rows = rows.join(first_bad, F.col("request_id").eqNullSafe(F.col("__rid")), "left").drop("__rid")
+    fb = F.col("__first_bad")
     missing = (F.when(F.col("from_tiploc").isNull(), "from_tiploc")
                .when(F.col("to_tiploc").isNull(), "to_tiploc")
                .when(F.col("departure_datetimes").isNull(), "departure_datetimes"))
-    status = (F.when(missing.isNotNull(), 422).when(first_bad.isNotNull(), 400))
+    status = (F.when(missing.isNotNull(), 422).when(fb.isNotNull(), 400))
     error = (F.when(missing.isNotNull(), F.concat(F.lit("Field required: "), missing))
-             .when(first_bad.isNotNull(),
-                   F.concat(F.lit("Invalid datetime format: "), first_bad)))
-    return rows.withColumns({"status": status, "error": error}).drop("departure_datetimes")
+             .when(fb.isNotNull(), F.concat(F.lit("Invalid datetime format: "), fb)))
+    return rows.withColumns({"status": status, "error": error}).drop("departure_datetimes", "__first_bad")
 
 
 # P2 ------------------------------------------------------------------------
@@ -317,13 +322,14 @@ def score(requests: DataFrame, lookups: dict[str, DataFrame], model, labels: Dat
     matched = match_service(ok, lookups["service_routes_summary_mvp"])
     ok = ok.join(matched, REQUEST_KEY, "left")
     # a request fails as a whole when one of its departures has no service
-    w = Window.partitionBy("request_id")
-    no_service = F.max(F.col("match_tier").isNull().cast("int")).over(w) == 1
+    lost = (ok.where(F.col("match_tier").isNull()).groupBy(F.col("request_id").alias("__rid"))
+            .agg(F.min("from_station").alias("__ns_from")))
+    ok = ok.join(lost, F.col("request_id") == F.col("__rid"), "left")
+    no_service = F.col("__rid").isNotNull()
     ok = ok.withColumns({
         "status": F.when(no_service, 404).otherwise(200),
-        "error": F.when(no_service, F.concat(F.lit("No services found from "),
-                                             F.first(F.when(F.col("match_tier").isNull(),
-                                                            F.col("from_station")), True).over(w)))})
+        "error": F.when(no_service, F.concat(F.lit("No services found from "), F.col("__ns_from")))}
+    ).drop("__rid", "__ns_from")
     good = ok.where(F.col("status") == 200)
     good = arrival_state(good, lookups["historical_averages"])
     feats = serving_features(fan_out(good), skew)

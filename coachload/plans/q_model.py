@@ -218,10 +218,11 @@ ORACLES = {
     "model_eval_report": _split_sql(
         "SELECT class_name, round(precision, 6) AS precision, round(recall, 6) AS recall, "
         "round(f1_score, 6) AS f1_score, support FROM rep UNION ALL "
-        "SELECT 'macro avg', round(avg(precision), 6), round(avg(recall), 6), round(avg(f1_score), 6), sum(support) "
+        "SELECT 'macro avg', round(avg(precision), 6), round(avg(recall), 6), round(avg(f1_score), 6), "
+        "CAST(sum(support) AS BIGINT) "
         "FROM rep UNION ALL SELECT 'weighted avg', round(sum(precision * support) / sum(support), 6), "
         "round(sum(recall * support) / sum(support), 6), round(sum(f1_score * support) / sum(support), 6), "
-        "sum(support) FROM rep", *_PRED, f"rep AS ({_report_body()})"),
+        "CAST(sum(support) AS BIGINT) FROM rep", *_PRED, f"rep AS ({_report_body()})"),
     "model_eval_confusion": _split_sql(
         " UNION ALL ".join(
             f"SELECT '{n}' AS actual, " + ", ".join(

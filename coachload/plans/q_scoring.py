@@ -337,8 +337,8 @@ def _predictions_sql(skew=None, dow="sunday0") -> str:
             "CASE WHEN a.match_tier = 2 THEN 'true' ELSE 'false' END AS time_fallback, "
             "CASE WHEN a.match_tier = 3 THEN 'true' ELSE 'false' END AS route_fallback, "
             "200 AS status, CAST(NULL AS VARCHAR) AS error, "
-            f"w.standard_tier, 0.8 AS standard_confidence, CAST({score.format(t='w.standard_tier')} AS INTEGER) AS standard_score, "
-            f"w.first_tier, 0.8 AS first_confidence, CAST({score.format(t='w.first_tier')} AS INTEGER) AS first_score "
+            f"w.standard_tier, CAST(0.8 AS DOUBLE) AS standard_confidence, CAST({score.format(t='w.standard_tier')} AS INTEGER) AS standard_score, "
+            f"w.first_tier, CAST(0.8 AS DOUBLE) AS first_confidence, CAST({score.format(t='w.first_tier')} AS INTEGER) AS first_score "
             "FROM ar a JOIN wide w USING (request_id, pos))",
             "failed AS (SELECT request_id, min(from_tiploc) AS from_tiploc, min(to_tiploc) AS to_tiploc, "
             "min(status) AS status, min(error) AS error FROM rk WHERE status IS NOT NULL GROUP BY request_id "

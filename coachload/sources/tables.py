@@ -66,6 +66,16 @@ def read_legs(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(LEGS_SCHEMA).parquet(path)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Round-robin repartition a scan that yields fewer splits than the
+    cluster has task slots (e.g. a single-row-group file), so the row-wise
+    work after it runs in parallel.  A scan of many files is left as is."""
+    slots = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < slots:
+        return df.repartition(slots)
+    return df
+
+
 def _txt(c: Column) -> Column:
     return c.cast("string")
 
@@ -80,7 +90,8 @@ def _station_dim(nation: DataFrame) -> DataFrame:
 
 def legs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The journey-leg fact table derived from lineitem, orders and nation."""
-    li = table(spark, sf_dir, "lineitem")
+    li = spread(table(spark, sf_dir, "lineitem").select(
+        "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_quantity"))
     od = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
     k = li.join(od, li["l_orderkey"] == od["o_orderkey"]).select(
         F.col("l_orderkey").alias("ok"), F.col("l_linenumber").alias("ln"),
