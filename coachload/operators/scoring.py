@@ -9,7 +9,7 @@ weekday) keys -> historical averages -> class fan-out -> features -> model
 Service match (P3) without a nearest-hour loop or a request x all-routes
 join: the route table is first reduced with ``min_by`` to the best route
 per tier key -- (from, to, hour, dow), (from, to, hour), (from, hour, dow),
-(from, hour) -- so every request key meets at most 24 candidates.
+(from, hour) -- so every request key meets at most one candidate per tier.
 """
 
 from __future__ import annotations
@@ -131,18 +131,16 @@ def _best(routes: DataFrame, keys: list[str]) -> DataFrame:
     return routes.groupBy(*keys).agg(F.min_by(val, order).alias("m"))
 
 
-def _nearest(keys: DataFrame, reduced: DataFrame, on: list[tuple[str, str]]) -> DataFrame:
-    """For each request key, the candidate with the nearest hour (no wrap at
-    midnight), then the route order; ``reduced`` has <= 24 rows per join key."""
-    cond = None
-    for k, r in on:
-        c = F.col(k) == F.col(r)
-        cond = c if cond is None else cond & c
-    j = keys.join(reduced, cond)
+def _nearest_by_hour(reduced: DataFrame, keys: list[str]) -> DataFrame:
+    """For every hour 0..23, the candidate nearest to it (no wrap at
+    midnight), then the route order.  ``reduced`` holds at most one row per
+    (keys, route hour), so this is at most 24 x 24 rows per key and does not
+    grow with the number of requests."""
     m = F.col("m")
-    order = F.struct(F.abs(m["r_hour"] - F.col("req_hour")), -m["frequency"], m["headcode"],
-                     m["rsid"], m["next_stop"], m["r_dow"], m["r_hour"])
-    return j.groupBy(*REQUEST_KEY).agg(F.min_by(m, order).alias("m"))
+    x = reduced.select(*keys, "m", F.explode(F.sequence(F.lit(0), F.lit(23))).alias("__hh"))
+    order = F.struct(F.abs(m["r_hour"] - F.col("__hh")), -m["frequency"], m["headcode"], m["rsid"],
+                     m["next_stop"], m["r_dow"], m["r_hour"])
+    return x.groupBy(*keys, "__hh").agg(F.min_by(m, order).alias("m"))
 
 
 def match_service(keys: DataFrame, routes: DataFrame) -> DataFrame:
@@ -151,29 +149,38 @@ def match_service(keys: DataFrame, routes: DataFrame) -> DataFrame:
     1 origin+destination+hour+weekday; 2 origin+destination, nearest hour
     (time_fallback); 3 origin+hour+weekday (route_fallback); 4 origin,
     nearest hour (fallback).  Frequency descending inside each tier.
+
+    Every tier is an equi-join with at most one partner: tiers 1 and 3 join
+    the best route per exact key, tiers 2 and 4 join a precomputed
+    nearest-route-per-hour table on the request hour clamped to 0..23 (an
+    hour below 0 orders the candidates exactly as hour 0 does, one above 23
+    as hour 23).
     """
-    # the distinct keys feed five joins: materialize them once
-    keys = cut_lineage(keys.select(*REQUEST_KEY).distinct())
+    # the distinct keys feed four joins: materialize them once
+    keys = cut_lineage(keys.select(*REQUEST_KEY).distinct().withColumn(
+        "__hc", F.least(F.greatest(F.col("req_hour"), F.lit(0)), F.lit(23))))
     r = routes.select("headcode", "rsid", "stationName_from", "stationName_to", "hour",
                       "day_of_week", "frequency")
-    t1 = _best(r, ["stationName_from", "stationName_to", "hour", "day_of_week"])
-    t1 = keys.join(t1, (F.col("from_station") == F.col("stationName_from"))
-                   & (F.col("to_station") == F.col("stationName_to"))
-                   & (F.col("req_hour") == F.col("hour"))
-                   & (F.col("req_dow") == F.col("day_of_week"))).select(*REQUEST_KEY, F.col("m").alias("m1"))
-    r2 = _best(r, ["stationName_from", "stationName_to", "hour"]).select(
-        F.col("stationName_from").alias("r2_from"), F.col("stationName_to").alias("r2_to"), "m")
-    t2 = _nearest(keys, r2, [("from_station", "r2_from"), ("to_station", "r2_to")]) \
-        .select(*REQUEST_KEY, F.col("m").alias("m2"))
-    t3 = _best(r, ["stationName_from", "hour", "day_of_week"])
-    t3 = keys.join(t3, (F.col("from_station") == F.col("stationName_from"))
-                   & (F.col("req_hour") == F.col("hour"))
-                   & (F.col("req_dow") == F.col("day_of_week"))).select(*REQUEST_KEY, F.col("m").alias("m3"))
-    r4 = _best(r, ["stationName_from", "hour"]).select(
-        F.col("stationName_from").alias("r4_from"), "m")
-    t4 = _nearest(keys, r4, [("from_station", "r4_from")]).select(*REQUEST_KEY, F.col("m").alias("m4"))
-    j = (keys.join(t1, REQUEST_KEY, "left").join(t2, REQUEST_KEY, "left")
-         .join(t3, REQUEST_KEY, "left").join(t4, REQUEST_KEY, "left"))
+    fr, to = F.col("stationName_from"), F.col("stationName_to")
+    t1 = _best(r, ["stationName_from", "stationName_to", "hour", "day_of_week"]).select(
+        fr.alias("__f1"), to.alias("__t1"), F.col("hour").alias("__h1"),
+        F.col("day_of_week").alias("__d1"), F.col("m").alias("m1"))
+    t2 = _nearest_by_hour(_best(r, ["stationName_from", "stationName_to", "hour"]),
+                          ["stationName_from", "stationName_to"]).select(
+        fr.alias("__f2"), to.alias("__t2"), F.col("__hh").alias("__h2"), F.col("m").alias("m2"))
+    t3 = _best(r, ["stationName_from", "hour", "day_of_week"]).select(
+        fr.alias("__f3"), F.col("hour").alias("__h3"), F.col("day_of_week").alias("__d3"),
+        F.col("m").alias("m3"))
+    t4 = _nearest_by_hour(_best(r, ["stationName_from", "hour"]), ["stationName_from"]).select(
+        fr.alias("__f4"), F.col("__hh").alias("__h4"), F.col("m").alias("m4"))
+    c = F.col
+    j = (keys.join(t1, (c("from_station") == c("__f1")) & (c("to_station") == c("__t1"))
+                   & (c("req_hour") == c("__h1")) & (c("req_dow") == c("__d1")), "left")
+         .join(t2, (c("from_station") == c("__f2")) & (c("to_station") == c("__t2"))
+               & (c("__hc") == c("__h2")), "left")
+         .join(t3, (c("from_station") == c("__f3")) & (c("req_hour") == c("__h3"))
+               & (c("req_dow") == c("__d3")), "left")
+         .join(t4, (c("from_station") == c("__f4")) & (c("__hc") == c("__h4")), "left"))
     tier = (F.when(F.col("m1").isNotNull(), 1).when(F.col("m2").isNotNull(), 2)
             .when(F.col("m3").isNotNull(), 3).when(F.col("m4").isNotNull(), 4))
     best = F.coalesce("m1", "m2", "m3", "m4")
