@@ -17,12 +17,18 @@ log = logging.getLogger(__name__)
 DEFAULT_MAX_BROADCAST_ROWS = 2_000_000
 
 
-def broadcast_checked(df: DataFrame, max_rows: int = DEFAULT_MAX_BROADCAST_ROWS) -> DataFrame:
+def checked_small(df: DataFrame, max_rows: int = DEFAULT_MAX_BROADCAST_ROWS):
     """Materialize ``df`` (reliable checkpoint: it is reused and its lineage
-    is cut), count it, and mark it for broadcast only if small."""
+    is cut) and count it; returns (df, fits).  Anything derived from it by
+    filters and per-key reductions is bounded by the same count."""
     df = cut_lineage(df)
     n = df.count()
-    if n <= max_rows:
-        return F.broadcast(df)
-    log.warning("not broadcasting %d rows (limit %d); shuffle join instead", n, max_rows)
-    return df
+    if n > max_rows:
+        log.warning("not broadcasting %d rows (limit %d); shuffle join instead", n, max_rows)
+    return df, n <= max_rows
+
+
+def broadcast_checked(df: DataFrame, max_rows: int = DEFAULT_MAX_BROADCAST_ROWS) -> DataFrame:
+    """``df`` marked for broadcast only if its checked size is small."""
+    df, fits = checked_small(df, max_rows)
+    return F.broadcast(df) if fits else df

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from coachload.functions import geo, time as tm
 from coachload.functions.names import best_name, normalize_name
-from coachload.operators.joins import broadcast_checked
+from coachload.operators.joins import checked_small
 
 # Fixed values that must equal the reference's.
 REQUIRED_TABLES = ["stations", "service_routes_summary_mvp", "historical_averages",
@@ -103,10 +103,14 @@ def match_codes(stations: DataFrame, codes: DataFrame) -> DataFrame:
     """Primary match on the chosen name; for the rest, the description
     alternative, then the tps alternative (each only where it differs from
     the chosen name).  Adds the code fields and ``match_source``."""
+    # one materialization and count bounds all three sides (each is a filter
+    # or per-key reduction of the code table)
+    codes, small = checked_small(codes)
+
     def side(df: DataFrame, key: str, tag: str) -> DataFrame:
-        return broadcast_checked(df.select(
-            F.col(key).alias(f"{tag}_key"),
-            *[F.col(c).alias(f"{tag}_{c}") for c in _CODE_FIELDS]))
+        out = df.select(F.col(key).alias(f"{tag}_key"),
+                        *[F.col(c).alias(f"{tag}_{c}") for c in _CODE_FIELDS])
+        return F.broadcast(out) if small else out
 
     primary = side(codes, "primary_name", "p")
     desc_alt = _first_by(
