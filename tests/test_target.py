@@ -65,3 +65,11 @@ def test_histogram_all_bins(occ):
     h = tg.histogram(occ, bins=10).orderBy("bin").collect()
     assert len(h) == 10 and sum(r["count"] for r in h) == 100
     assert h[-1]["count"] == 10   # max value falls in the last (closed) bin
+
+
+def test_duplicate_count_exact(spark):
+    from coachload.operators import profile as pr
+    rows = [(1, "a", None)] * 3 + [(1, None, "a"), (2, "b", "c"), (2, "b", "c"), (3, None, None)]
+    df = spark.createDataFrame(rows, "x int, y string, z string")
+    assert pr.duplicate_count(df).first()[0] == 3
+    assert pr.duplicate_count(df, max_candidates=0).first()[0] == 3   # no-broadcast path
