@@ -390,6 +390,12 @@ def nest(flat: DataFrame) -> DataFrame:
     return good.unionByName(bad, allowMissingColumns=True)
 
 
+def write_predictions(flat: DataFrame, path: str, fmt: str = "json") -> None:
+    """The nested response (one line per request, predictions in
+    request order) written under ``path``, replacing what is there."""
+    nest(flat).write.mode("overwrite").format(fmt).save(path)
+
+
 # P10, P11 ------------------------------------------------------------------
 def list_stations(stations: DataFrame) -> DataFrame:
     return (stations.where(F.col("tiploc").isNotNull()).select("tiploc", "station_name")
