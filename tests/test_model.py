@@ -66,3 +66,20 @@ def test_boosting_learns_and_round_trips(spark, labelled, tmp_path):
     p2 = back["model"].transform(test).select("messageId_leg_start", "leg_departure_dt", "prediction")
     p1 = pred.select("messageId_leg_start", "leg_departure_dt", "prediction")
     assert p1.exceptAll(p2).count() == 0
+
+
+def test_score_with_boosted_model(spark, labelled):
+    from coachload.operators import lookups as lk, scoring as sc
+    from coachload.sources import requests as rq
+    df, labels = labelled
+    _, feats, _ = fe.select_features(df)
+    model = bo.SoftmaxBoosting(rounds=2, max_depth=3, max_bins=32).fit(df, feats, "comfort_tier_encoded")
+    legs = tables.legs(spark, SF001)
+    lookups = lk.build_lookups(legs, tables.clean_codes(tables.tiplocs(spark, SF001)))
+    reqs = rq.fixture_requests(legs, lookups["stations"])
+    out = sc.score(reqs, lookups, model, labels, fe.selected_features())
+    ok = out.where(F.col("status") == 200)
+    assert ok.count() > 0
+    assert ok.where(F.col("standard_tier").isNull() | F.col("first_tier").isNull()).count() == 0
+    r = ok.agg(F.min("standard_confidence"), F.max("standard_confidence")).first()
+    assert 1 / 3 <= r[0] <= r[1] <= 1.0
