@@ -8,6 +8,8 @@ integer ``prediction`` and a ``probability`` array in class-code order
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -28,39 +30,87 @@ def split_hash(key_cols: list[str], seed: int = 42) -> Column:
 
 def stratified_split(df: DataFrame, label: str = "comfort_tier_encoded",
                      key_cols: list[str] | None = None, test: float = 0.2,
-                     seed: int = 42, out: str = "split") -> DataFrame:
+                     seed: int = 42, out: str = "split",
+                     rows_per_bucket: int = 1_000_000) -> DataFrame:
     """Exact per-class split: in every class the ``round(test * n_class)``
     rows with the smallest (hash, key) go to test.
 
     No window over whole classes (a class can hold a third of the rows):
-    rows are counted per (class, hash bucket) -- a table of at most
-    3 x 4096 rows -- whose running sums put every bucket wholly in test or
-    train except one boundary bucket per class; only rows of that bucket
-    are ranked.
+
+    1. rows are counted per (class, hash bucket), with enough buckets that
+       one holds about ``rows_per_bucket`` rows;
+    2. running sums over that count table give, per class, the one boundary
+       bucket and how many of its rows go to test -- a plan of one row per
+       class, broadcast by construction;
+    3. buckets below the boundary are test, above are train; only rows of
+       the boundary bucket are ordered, by (hash, key, partition, position),
+       counted per (hash, key, partition) group, and only the one boundary
+       group -- at most one input partition's rows -- is ranked.  A huge
+       group of copies (equal hash and key) therefore never meets one task.
     """
     key_cols = key_cols or ["messageId_leg_start", "leg_departure_dt"]
     h = split_hash(key_cols, seed)
-    # read three times below (counts, and the two sides of the final union):
-    # materialize once
-    rows = cut_lineage(df.withColumns({"__h": h, "__b": F.shiftright(h, 60 - HASH_BUCKET_BITS)}))
+    # read several times below: materialize once; the position ids taken
+    # after the checkpoint are stable (recomputation reads the same files)
+    rows = cut_lineage(df.withColumn("__h", h))
+    rows = rows.withColumn("__id", F.monotonically_increasing_id())
+    n = rows.count()
+    bits = min(40, max(HASH_BUCKET_BITS, math.ceil(math.log2(max(n, 1) / rows_per_bucket + 1))))
+    rows = rows.withColumns({"__b": F.shiftright("__h", 60 - bits),
+                             "__p": F.shiftright("__id", 33)})
+    # 1-2: per-class boundary bucket and the number of its rows taken
     counts = rows.groupBy(label, "__b").agg(F.count(F.lit(1)).alias("__cnt"))
-    wc = Window.partitionBy(label).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
-    wall = Window.partitionBy(label)
-    plan = counts.select(
-        label, "__b", "__cnt",
-        F.coalesce(F.sum("__cnt").over(wc), F.lit(0)).alias("__before"),
-        F.floor(F.sum("__cnt").over(wall) * F.lit(float(test)) + F.lit(0.5)).alias("__ntest"))
-    plan = plan.select(label, "__b", F.when(F.col("__before") + F.col("__cnt") <= F.col("__ntest"), "test")
-                       .when(F.col("__before") >= F.col("__ntest"), "train")
-                       .otherwise("edge").alias("__kind"),
-                       (F.col("__ntest") - F.col("__before")).alias("__take"))
-    j = rows.join(F.broadcast(plan), [label, "__b"])   # <= 3 x 4096 rows by construction
+    plan = _boundary(counts, label, ["__b"], test)
+    plan = plan.select(label, F.col("__b").alias("__bb"), F.col("__take").alias("__tk"))
+    j = rows.join(F.broadcast(plan), label, "left")          # <= one row per class
+    kind = (F.when(F.col("__bb").isNull(), "train")            # class without test rows
+            .when(F.col("__b") < F.col("__bb"), "test")
+            .when(F.col("__b") > F.col("__bb"), "train").otherwise("edge"))
+    j = j.withColumn("__kind", kind)
+    # 3: inside the boundary bucket, groups of (hash, key, partition)
     edge = j.where(F.col("__kind") == "edge")
-    we = Window.partitionBy(label, "__b").orderBy("__h", *key_cols)
-    edge = edge.withColumn(out, F.when(F.row_number().over(we) <= F.col("__take"), "test")
-                           .otherwise("train"))
+    gkeys = ["__h", *key_cols, "__p"]
+    gcounts = edge.groupBy(label, *gkeys).agg(F.count(F.lit(1)).alias("__cnt"),
+                                             F.first("__tk").alias("__tk"))
+    gplan = _boundary(gcounts, label, gkeys, None)
+    gplan = gplan.select(label, *[F.col(c).alias(f"__g{c}") for c in gkeys],
+                         F.col("__take").alias("__gt"))
+    e = edge.join(F.broadcast(gplan), label, "left")         # <= one row per class
+    order = F.struct(*[F.col(c) for c in gkeys])
+    gorder = F.struct(*[F.col(f"__g{c}") for c in gkeys])
+    in_group = F.col("__gt").isNotNull() & (order == gorder)
+    before = F.col("__gt").isNotNull() & (order < gorder)
+    inside = e.where(in_group)
+    wi = Window.partitionBy(label).orderBy("__id")          # one partition's share of one group
+    inside = inside.withColumn(out, F.when(F.row_number().over(wi) <= F.col("__gt"), "test")
+                               .otherwise("train"))
+    rest_edge = e.where(~in_group).withColumn(out, F.when(before, "test").otherwise("train"))
     rest = j.where(F.col("__kind") != "edge").withColumn(out, F.col("__kind"))
-    return rest.unionByName(edge).drop("__h", "__b", "__kind", "__take")
+    drop = ["__h", "__b", "__id", "__p", "__kind", "__bb", "__tk", "__gt",
+            *[f"__g{c}" for c in gkeys]]
+    return (rest.drop(*drop).unionByName(rest_edge.drop(*drop))
+            .unionByName(inside.drop(*drop)))
+
+
+def _boundary(counts: DataFrame, label: str, order_cols: list[str], test: float | None) -> DataFrame:
+    """Per class, the first group (in ``order_cols`` order) where the running
+    count reaches the target, and how many of its rows are still needed.
+
+    ``test`` given: the target is round(test * class size); otherwise it is
+    the ``__tk`` column of the groups.  The window runs over the small count
+    table only (one row per bucket or group)."""
+    before = F.coalesce(F.sum("__cnt").over(
+        Window.partitionBy(label).orderBy(*order_cols)
+        .rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    if test is not None:
+        target = F.floor(F.sum("__cnt").over(Window.partitionBy(label)) * F.lit(float(test))
+                         + F.lit(0.5))
+    else:
+        target = F.col("__tk")
+    c = counts.select("*", before.alias("__before"), target.alias("__target"))
+    hit = (F.col("__before") < F.col("__target")) & (F.col("__before") + F.col("__cnt") >= F.col("__target"))
+    return c.where(hit).select(label, *order_cols,
+                               (F.col("__target") - F.col("__before")).alias("__take"))
 
 
 # M2 ------------------------------------------------------------------------

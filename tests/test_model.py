@@ -83,3 +83,23 @@ def test_score_with_boosted_model(spark, labelled):
     assert ok.where(F.col("standard_tier").isNull() | F.col("first_tier").isNull()).count() == 0
     r = ok.agg(F.min("standard_confidence"), F.max("standard_confidence")).first()
     assert 1 / 3 <= r[0] <= r[1] <= 1.0
+
+
+def test_split_hot_group_of_copies(spark):
+    # class 0: 600 copies of one key plus 50 distinct keys; class 1: 40 keys
+    rows = [("hot", 0)] * 600 + [(f"k{i}", 0) for i in range(50)] + [(f"m{i}", 1) for i in range(40)]
+    df = spark.createDataFrame(rows, "messageId_leg_start string, c int").repartition(7)
+    df = df.withColumn("leg_departure_dt", F.lit("x"))
+    s = md.stratified_split(df, "c", rows_per_bucket=10)
+    got = sorted(tuple(r) for r in s.groupBy("messageId_leg_start", "c", "split").count().collect())
+    # brute force: per class, the round(0.2 n) smallest (hash, key) rows are test
+    h = md.split_hash(["messageId_leg_start", "leg_departure_dt"])
+    ranked = df.withColumn("h", h).select("messageId_leg_start", "c", "h").collect()
+    want = {}
+    for c in (0, 1):
+        rs = sorted((r["h"], r["messageId_leg_start"]) for r in ranked if r["c"] == c)
+        k = int(len(rs) * 0.2 + 0.5)
+        for i, (_, key) in enumerate(rs):
+            sp = "test" if i < k else "train"
+            want[(key, c, sp)] = want.get((key, c, sp), 0) + 1
+    assert got == sorted((k[0], k[1], k[2], v) for k, v in want.items())
