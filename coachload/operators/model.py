@@ -148,15 +148,21 @@ def scaling_plan(ranges: DataFrame, max_limit: float = 1000.0,
                          scale.alias("scale"))
 
 
-def apply_scaling(df: DataFrame, plan: DataFrame) -> DataFrame:
-    """(x - mean) / scale for the planned columns; each statistic enters as a
-    scalar subquery of the (tiny) plan table."""
+def apply_scaling(df: DataFrame, plan: DataFrame, features: list[str] | None = None) -> DataFrame:
+    """(x - mean) / scale for the planned columns among ``features``
+    (default: the numeric columns); each statistic enters as a scalar
+    subquery of the (tiny) plan table.  Feature columns come out as double,
+    the type the model's vector assembler reads; other columns are kept."""
+    from coachload.operators.profile import numeric_columns
     cols = {}
-    for c in df.columns:
+    for c in (features or numeric_columns(df)):
+        if c not in df.columns:
+            continue
         p = plan.where((F.col("feature") == c) & F.col("scaled"))
         m = p.agg(F.max("mean")).scalar()
         s = p.agg(F.max("scale")).scalar()
-        cols[c] = F.when(m.isNull(), F.col(c)).otherwise((F.col(c) - m) / s)
+        x = F.col(c).cast("double")
+        cols[c] = F.when(m.isNull(), x).otherwise((x - m) / s)
     return df.withColumns(cols)
 
 
