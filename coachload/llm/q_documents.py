@@ -3,11 +3,43 @@ the operator's own output over the whole tables."""
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, exact
-from .base import table
+from . import decontaminate, exact, pieces, quality, secrets
+from .base import remainder, table
+
+# Places of the public vocabulary files.
+PIECE_MODEL = os.environ.get("PIECE_MODEL", "/opt/tokenizers/piece_bpe_32k.model")
+
+
+def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pieces.encode(docs, PIECE_MODEL, with_ids=False)
+
+
+def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.find_secrets(table(spark, sf_dir, "documents"))
+    base = F.filter("spans", lambda s: s["kind"].isin("assign", "access", "hex"))
+
+    def told(spans):
+        return F.array_join(F.transform(spans, lambda s: F.concat_ws(
+            ":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+
+    def count(kind):
+        return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    return found.select("doc_id", count("assign"), count("access"), count("hex"),
+                        F.sha2(told(base), 256).alias("base_sha256"), told(F.col("spans")).alias("spans"))
+
+
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    scored = quality.score_quality(docs, quality.fit_quality(docs, table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", (remainder("doc_id", 5) == 0).alias("held_out"), "score",
+                         (F.col("score") >= quality.KEEP_FROM).cast("int").alias("predicted"))
 
 
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -54,7 +86,10 @@ FROM dw LEFT JOIN pos USING (doc_id) LEFT JOIN its USING (doc_id)
 """
 
 QUERIES = {
+    "op1_sentencepiece": op1_sentencepiece,
     "op4_exact_dedup": op4_exact_dedup,
+    "op6_secret_scan": op6_secret_scan,
+    "op9_quality": op9_quality,
     "op10_decontamination": op10_decontamination,
 }
 ORACLES = {
