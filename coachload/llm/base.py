@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import sys
+import types
 import uuid
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,6 +24,8 @@ LOWER = "abcdefghijklmnopqrstuvwxyz"
 # Words a task remembers at most; the cache starts anew beyond it, so a task's
 # memory does not follow the vocabulary.
 CACHE_WORDS = 400_000
+# Text a task handles at a time, in bytes (or one document).
+PART_BYTES = 4 << 20
 
 
 class WordHashes(dict):
@@ -63,3 +70,27 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def remainder(id_col: str, n: int) -> Column:
     """crc32(id as text) mod n; a null id counts as the empty text."""
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % n
+
+
+def of_worker(key: tuple, make: Callable):
+    """An object that the tasks of one Python worker share (a parsed model, a
+    bounded cache), made on first use; only the last few keys stay."""
+    home = sys.modules.setdefault("_coachload_worker", types.ModuleType("_coachload_worker"))
+    kept = home.__dict__.setdefault("kept", {})
+    if key not in kept:
+        for old in list(kept)[:max(0, len(kept) - 1)]:
+            del kept[old]
+        kept[key] = make()
+    return kept[key]
+
+
+def slices(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch with about PART_BYTES in a binary column, or one row."""
+    start, size = 0, 0
+    for i, n in enumerate(pc.binary_length(batch.column(column)).to_pylist()):
+        if i > start and size + n > PART_BYTES:
+            yield batch.slice(start, i - start)
+            start, size = i, 0
+        size += n
+    if start < batch.num_rows:
+        yield batch.slice(start)

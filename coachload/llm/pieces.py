@@ -40,12 +40,11 @@ from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .base import as_bytes
+from .base import as_bytes, of_worker, slices
 
 # Fixed values of the model file's format.
 SPACE_MARK = "▁"
@@ -54,7 +53,6 @@ UNKNOWN_PENALTY = 10.0
 
 MODEL_BYTES = 16 << 20
 CACHED_CHUNKS = 400_000
-PART_BYTES = 4 << 20
 CHUNKS = re.compile(r" +[^ ]*")
 
 
@@ -279,18 +277,6 @@ def crc(ids) -> int:
     return zlib.crc32(np.asarray(ids, "<u4").tobytes())
 
 
-def slices(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
-    """Parts of a batch with about PART_BYTES in a binary column, or one row."""
-    start, size = 0, 0
-    for i, n in enumerate(pc.binary_length(batch.column(column)).to_pylist()):
-        if i > start and size + n > PART_BYTES:
-            yield batch.slice(start, i - start)
-            start, size = i, 0
-        size += n
-    if start < batch.num_rows:
-        yield batch.slice(start)
-
-
 PATH = "array<struct<score:double,n_tokens:int,ids_crc32:long>>"
 
 
@@ -306,7 +292,7 @@ def encode(docs: DataFrame, model_path: str, n_best: int = 4, text_col: str = "t
     kinds = pa.list_(pa.struct([("score", pa.float64()), ("n_tokens", pa.int32()), ("ids_crc32", pa.int64())]))
 
     def run(batches):
-        chunks = Chunks(PieceModel(shared.value), n_best)
+        chunks = of_worker(("pieces", model_path, n_best), lambda: Chunks(PieceModel(shared.value), n_best))
         gc.disable()  # hundreds of thousands of small tuples, none of them in a cycle
         for b in batches:
             for part in slices(b, len(rest)):

@@ -4,15 +4,19 @@ the operator's own output over the whole tables."""
 from __future__ import annotations
 
 import os
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, exact, pieces, quality, secrets
+from coachload.session import scratch_path
+
+from . import decontaminate, exact, pieces, quality, secrets, tokens
 from .base import remainder, table
 
 # Places of the public vocabulary files.
 PIECE_MODEL = os.environ.get("PIECE_MODEL", "/opt/tokenizers/piece_bpe_32k.model")
+WORD_VOCABULARY = os.environ.get("WORD_VOCABULARY", "/opt/tokenizers/word_bpe_49k.json")
 
 
 def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -35,6 +39,12 @@ def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
                         F.sha2(told(base), 256).alias("base_sha256"), told(F.col("spans")).alias("spans"))
 
 
+def op7_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = f"{scratch_path(spark, 'tokens')}-{uuid.uuid4().hex}"
+    files = tokens.write_tokens(table(spark, sf_dir, "documents"), folder, WORD_VOCABULARY, end_id=2, by_word=True)
+    return tokens.read_tokens(spark, folder, files)
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     scored = quality.score_quality(docs, quality.fit_quality(docs, table(spark, sf_dir, "labels")))
@@ -89,6 +99,7 @@ QUERIES = {
     "op1_sentencepiece": op1_sentencepiece,
     "op4_exact_dedup": op4_exact_dedup,
     "op6_secret_scan": op6_secret_scan,
+    "op7_token_output": op7_token_output,
     "op9_quality": op9_quality,
     "op10_decontamination": op10_decontamination,
 }
