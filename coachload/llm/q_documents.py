@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from coachload.session import scratch_path
 
-from . import decontaminate, exact, pieces, quality, secrets, tokens
+from . import decontaminate, exact, lm, pieces, quality, secrets, tokens
 from .base import remainder, table
 
 # Places of the public vocabulary files.
@@ -52,6 +52,10 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
                          (F.col("score") >= quality.KEEP_FROM).cast("int").alias("predicted"))
 
 
+def op3_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score_documents(table(spark, sf_dir, "documents"))
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_copies(table(spark, sf_dir, "documents")).select(
         "doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("sha")).alias("text_sha256"))
@@ -97,6 +101,7 @@ FROM dw LEFT JOIN pos USING (doc_id) LEFT JOIN its USING (doc_id)
 
 QUERIES = {
     "op1_sentencepiece": op1_sentencepiece,
+    "op3_lm_score": op3_lm_score,
     "op4_exact_dedup": op4_exact_dedup,
     "op6_secret_scan": op6_secret_scan,
     "op7_token_output": op7_token_output,
