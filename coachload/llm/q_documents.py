@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from coachload.session import scratch_path
 
-from . import decontaminate, exact, lm, pieces, quality, secrets, tokens
+from . import decontaminate, exact, lm, minhash, pieces, quality, secrets, tokens
 from .base import remainder, table
 
 # Places of the public vocabulary files.
@@ -24,6 +24,25 @@ def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode(docs, PIECE_MODEL, with_ids=False)
 
 
+def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_copies(table(spark, sf_dir, "documents"), percent=85, width=3)
+
+
+OP5_SQL = r"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                              'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + least(len(w), 3) - 1], ' ') AS g
+      FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 2, 1) + 1)) AS i FROM d WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+c AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS m FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+link AS (SELECT a, b FROM c JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 100 * m >= 85 * (na.n + nb.n - m)),
+reach AS (SELECT doc_id AS x, doc_id AS y FROM d UNION SELECT x, b FROM reach JOIN link ON a = y),
+comp AS (SELECT x AS doc_id, min(y) AS component_id FROM reach GROUP BY 1)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id, doc_id = component_id AS kept
+FROM d LEFT JOIN n USING (doc_id) JOIN comp USING (doc_id)
+"""
+
+
 def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.find_secrets(table(spark, sf_dir, "documents"))
     base = F.filter("spans", lambda s: s["kind"].isin("assign", "access", "hex"))
@@ -103,6 +122,7 @@ QUERIES = {
     "op1_sentencepiece": op1_sentencepiece,
     "op3_lm_score": op3_lm_score,
     "op4_exact_dedup": op4_exact_dedup,
+    "op5_minhash": op5_minhash,
     "op6_secret_scan": op6_secret_scan,
     "op7_token_output": op7_token_output,
     "op9_quality": op9_quality,
@@ -110,5 +130,6 @@ QUERIES = {
 }
 ORACLES = {
     "op4_exact_dedup": OP4_SQL,
+    "op5_minhash": OP5_SQL,
     "op10_decontamination": OP10_SQL,
 }
