@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from coachload.session import scratch_path
 
-from . import decontaminate, exact, lm, minhash, pieces, quality, secrets, tokens
+from . import decontaminate, exact, lm, minhash, pieces, quality, secrets, substring, tokens
 from .base import remainder, table
 
 # Places of the public vocabulary files.
@@ -71,6 +71,25 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
                          (F.col("score") >= quality.KEEP_FROM).cast("int").alias("predicted"))
 
 
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return (substring.remove_repeats(table(spark, sf_dir, "documents"))
+            .select("doc_id", "n_words", "n_removed", "kept_sha256"))
+
+
+OP2_SQL = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+win AS (SELECT doc_id, i, array_to_string(w[i:i + 19], ' ') AS t
+        FROM (SELECT doc_id, w, unnest(range(1, len(w) - 18)) AS i FROM d WHERE len(w) >= 20)),
+rep AS (SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY t ORDER BY doc_id, i) AS r FROM win) WHERE r > 1),
+gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 20)) AS p FROM rep),
+word AS (SELECT doc_id, unnest(w) AS x, unnest(range(1, len(w) + 1)) AS p FROM d),
+kept AS (SELECT doc_id, count(*) AS n, string_agg(x, ' ' ORDER BY p) AS s FROM word ANTI JOIN gone USING (doc_id, p) GROUP BY 1)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed,
+       sha256(coalesce(s, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (doc_id)
+"""
+
+
 def op3_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score_documents(table(spark, sf_dir, "documents"))
 
@@ -120,6 +139,7 @@ FROM dw LEFT JOIN pos USING (doc_id) LEFT JOIN its USING (doc_id)
 
 QUERIES = {
     "op1_sentencepiece": op1_sentencepiece,
+    "op2_substring_dedup": op2_substring_dedup,
     "op3_lm_score": op3_lm_score,
     "op4_exact_dedup": op4_exact_dedup,
     "op5_minhash": op5_minhash,
@@ -129,6 +149,7 @@ QUERIES = {
     "op10_decontamination": op10_decontamination,
 }
 ORACLES = {
+    "op2_substring_dedup": OP2_SQL,
     "op4_exact_dedup": OP4_SQL,
     "op5_minhash": OP5_SQL,
     "op10_decontamination": OP10_SQL,
