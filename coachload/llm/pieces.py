@@ -52,7 +52,7 @@ NORMAL, USER_DEFINED, BYTE = 1, 4, 6
 UNKNOWN_PENALTY = 10.0
 
 MODEL_BYTES = 16 << 20
-CACHED_CHUNKS = 400_000
+CACHED_CHUNKS = 900_000
 CHUNKS = re.compile(r" +[^ ]*")
 
 
@@ -273,8 +273,22 @@ def load_model(spark: SparkSession, path: str):
     return spark.sparkContext.broadcast(data)
 
 
-def crc(ids) -> int:
-    return zlib.crc32(np.asarray(ids, "<u4").tobytes())
+def as_u4(ids) -> bytes:
+    return np.array(ids, "<u4").tobytes()
+
+
+def path_bytes(ids: list[int], paths: list, found: list) -> Iterator[bytes]:
+    """The ids of each path as little-endian u32: the best path's, with the
+    deviating chunks' ids in place of theirs."""
+    best = as_u4(ids)
+    ends = np.cumsum(np.fromiter((len(x[0]) for x in found), np.int64, len(found))).tolist()
+    for _, other in paths:
+        parts, at = [], 0
+        for i in sorted(other):
+            end = 4 * ends[i]
+            parts += [best[at:end - 4 * len(found[i][0])], as_u4(other[i])]
+            at = end
+        yield b"".join([*parts, best[at:]])
 
 
 PATH = "array<struct<score:double,n_tokens:int,ids_crc32:long>>"
@@ -299,11 +313,8 @@ def encode(docs: DataFrame, model_path: str, n_best: int = 4, text_col: str = "t
                 ids, counts, scores, nbest, same = [], [], [], [], []
                 raws = part.column(len(rest)).to_pylist()
                 for raw, (own, paths, found) in zip(raws, chunks.encode_all([x.decode("utf-8", "replace") for x in raws])):
-                    told = []
-                    for score, other in paths:
-                        path = own if not other else list(chain.from_iterable(
-                            other.get(i, x[0]) for i, x in enumerate(found)))
-                        told.append({"score": score, "n_tokens": len(path), "ids_crc32": crc(path)})
+                    told = [{"score": score, "n_tokens": len(path) // 4, "ids_crc32": zlib.crc32(path)}
+                            for (score, _), path in zip(paths, path_bytes(own, paths, found))]
                     ids.append(own)
                     counts.append(len(own))
                     scores.append(paths[0][0])
