@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from coachload.session import scratch_path
 
-from . import decontaminate, exact, lm, minhash, pieces, quality, secrets, substring, tokens
+from . import decontaminate, exact, lines, lm, minhash, pieces, quality, secrets, substring, tokens
 from .base import remainder, table
 
 # Places of the public vocabulary files.
@@ -64,6 +64,30 @@ def op7_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.read_tokens(spark, folder, files)
 
 
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return (lines.remove_lines(table(spark, sf_dir, "documents"))
+            .select("doc_id", "n_lines", "n_removed", "kept_sha256"))
+
+
+# A pair of lines one edit apart shares the shorter one, or one place's rest.
+OP8_SQL = r"""
+WITH l AS (SELECT doc_id, no, x, regexp_replace(x, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g') AS s
+           FROM (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS x,
+                        generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS no FROM documents)),
+f AS (SELECT s, min(doc_id * 1000000 + no) AS first FROM l WHERE s <> '' GROUP BY 1),
+d AS (SELECT s, first, i, left(s, CAST(i AS INTEGER) - 1) || substr(s, i + 1) AS v
+      FROM (SELECT s, first, unnest(range(1, length(s) + 1)) AS i FROM f WHERE length(s) >= 20)),
+near AS (SELECT s FROM (SELECT s, first, min(first) OVER (PARTITION BY md5(v), i) AS least FROM d) WHERE least < first
+         UNION SELECT d.s FROM d JOIN f w ON d.v = w.s AND length(w.s) >= 20 WHERE w.first < d.first
+         UNION SELECT w.s FROM d JOIN f w ON d.v = w.s AND length(w.s) >= 20 WHERE w.first > d.first),
+j AS (SELECT l.doc_id, l.no, l.x, l.s <> '' AND (near.s IS NOT NULL OR f.first < l.doc_id * 1000000 + l.no) AS gone
+      FROM l LEFT JOIN f USING (s) LEFT JOIN near USING (s))
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_removed,
+       sha256(coalesce(string_agg(x, chr(10) ORDER BY no) FILTER (NOT gone), '')) AS kept_sha256
+FROM j GROUP BY doc_id
+"""
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     scored = quality.score_quality(docs, quality.fit_quality(docs, table(spark, sf_dir, "labels")))
@@ -145,6 +169,7 @@ QUERIES = {
     "op5_minhash": op5_minhash,
     "op6_secret_scan": op6_secret_scan,
     "op7_token_output": op7_token_output,
+    "op8_line_dedup": op8_line_dedup,
     "op9_quality": op9_quality,
     "op10_decontamination": op10_decontamination,
 }
@@ -152,5 +177,6 @@ ORACLES = {
     "op2_substring_dedup": OP2_SQL,
     "op4_exact_dedup": OP4_SQL,
     "op5_minhash": OP5_SQL,
+    "op8_line_dedup": OP8_SQL,
     "op10_decontamination": OP10_SQL,
 }
