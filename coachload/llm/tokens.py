@@ -50,7 +50,7 @@ TRAILER = "<QQQQQ8s"  # ids, documents, blocks, start of documents, start of ind
 GROUP = 256  # blocks handled at a time
 
 VOCABULARY_BYTES = 64 << 20
-CACHED_WORDS = 500_000
+CACHED_WORDS = 1_400_000  # about 200 bytes each
 # Trailing marks that are tokens of their own after a letter or digit.
 TAIL_MARKS = b".,!?;:|"
 
