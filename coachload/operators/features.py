@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from coachload.functions import geo, time as tm
-from coachload.operators.joins import broadcast_checked
+from coachload.operators.joins import small_side
 
 # ---------------------------------------------------------------------------
 # Fixed values that must equal the reference's.
@@ -162,16 +162,15 @@ def fit_labels(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
 
 
 def apply_labels(df: DataFrame, labels: DataFrame, cols: list[str] | None = None,
-                 unknown: int | None = None, suffix: str = "_encoded",
-                 max_broadcast_rows: int | None = None) -> DataFrame:
-    """Add ``<col>_encoded`` by a (checked) broadcast join per column.
+                 unknown: int | None = None, suffix: str = "_encoded") -> DataFrame:
+    """Add ``<col>_encoded`` by a join with the (small, stored) dictionary per
+    column.
 
     ``unknown=None`` leaves unseen values NULL (training); ``unknown=0`` is
     the serving behaviour, where an unseen value is coded 0.
     """
     cols = [c for c in (cols or ENCODED_COLUMNS) if c in df.columns]
-    kw = {} if max_broadcast_rows is None else {"max_rows": max_broadcast_rows}
-    dic = broadcast_checked(labels, **kw)
+    dic = small_side(labels, "labels")
     out = df
     for c in cols:
         d = dic.where(F.col("column") == c).select(

@@ -1,34 +1,15 @@
-"""Join helpers: broadcast only behind a size check."""
+"""Join helper: small sides with known sizes."""
 
 from __future__ import annotations
 
-import logging
-
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-
-from coachload.session import cut_lineage
-
-log = logging.getLogger(__name__)
-
-# Dimension tables (stations, label dictionaries, reduced route tables) are
-# bounded by the number of stations / categories, not by the fact rows.  The
-# bound is still checked at run time: above it the join stays a shuffle join.
-DEFAULT_MAX_BROADCAST_ROWS = 2_000_000
-
 
-def checked_small(df: DataFrame, max_rows: int = DEFAULT_MAX_BROADCAST_ROWS):
-    """Materialize ``df`` (reliable checkpoint: it is reused and its lineage
-    is cut) and count it; returns (df, fits).  Anything derived from it by
-    filters and per-key reductions is bounded by the same count."""
-    df = cut_lineage(df)
-    n = df.count()
-    if n > max_rows:
-        log.warning("not broadcasting %d rows (limit %d); shuffle join instead", n, max_rows)
-    return df, n <= max_rows
+from coachload.session import materialize
 
 
-def broadcast_checked(df: DataFrame, max_rows: int = DEFAULT_MAX_BROADCAST_ROWS) -> DataFrame:
-    """``df`` marked for broadcast only if its checked size is small."""
-    df, fits = checked_small(df, max_rows)
-    return F.broadcast(df) if fits else df
+def small_side(df: DataFrame, name: str = "dimension") -> DataFrame:
+    """A table that is expected to be small (stations, label dictionaries),
+    written once so that its size in bytes is known.  Whether it is broadcast
+    is then Catalyst's decision against autoBroadcastJoinThreshold; a table
+    that has grown beyond it is joined by a shuffle, with the same rows."""
+    return materialize(df, name)

@@ -17,13 +17,14 @@ from pyspark.sql import functions as F
 
 from coachload.functions import geo, time as tm
 from coachload.functions.names import best_name, normalize_name
-from coachload.operators.joins import checked_small
+from coachload.operators.joins import small_side
 
+# What the metadata row says of a lookup set unless the caller says otherwise.
+SOURCE_DATASET = "journey legs"
+PURPOSE = "lookup tables for comfort scoring"
 # Fixed values that must equal the reference's.
 REQUIRED_TABLES = ["stations", "service_routes_summary_mvp", "historical_averages",
                    "coach_info", "metadata"]
-SOURCE_DATASET = "train_journey_legs (MVP fixed dataset)"
-PURPOSE = "API lookup database for Train Comfort Predictor MVP"
 MIN_OBSERVATIONS = 3
 STATION_COLUMNS = ["station_name", "latitude", "longitude", "tiploc", "crs",
                    "tiploc_orig_desc", "tiploc_orig_tps_desc"]
@@ -103,14 +104,11 @@ def match_codes(stations: DataFrame, codes: DataFrame) -> DataFrame:
     """Primary match on the chosen name; for the rest, the description
     alternative, then the tps alternative (each only where it differs from
     the chosen name).  Adds the code fields and ``match_source``."""
-    # one materialization and count bounds all three sides (each is a filter
-    # or per-key reduction of the code table)
-    codes, small = checked_small(codes)
+    codes = small_side(codes, "codes")   # read three times below
 
     def side(df: DataFrame, key: str, tag: str) -> DataFrame:
-        out = df.select(F.col(key).alias(f"{tag}_key"),
-                        *[F.col(c).alias(f"{tag}_{c}") for c in _CODE_FIELDS])
-        return F.broadcast(out) if small else out
+        return df.select(F.col(key).alias(f"{tag}_key"),
+                         *[F.col(c).alias(f"{tag}_{c}") for c in _CODE_FIELDS])
 
     primary = side(codes, "primary_name", "p")
     desc_alt = _first_by(
@@ -203,7 +201,8 @@ def historical_averages(legs: DataFrame, min_obs: int = MIN_OBSERVATIONS) -> Dat
 def coach_info(legs: DataFrame) -> DataFrame:
     return (legs.where(F.col("coach_type").isNotNull()).groupBy("coach_type")
             .agg(F.coalesce(F.avg("vehicle_capacity"), F.lit(0.0)).alias("avg_capacity"),
-                 F.count(F.lit(1)).alias("frequency")))
+                 F.count(F.lit(1)).alias("frequency"))
+            .orderBy(F.desc("frequency"), "coach_type"))
 
 
 def build_lookups(legs: DataFrame, codes: DataFrame) -> dict[str, DataFrame]:
@@ -238,8 +237,8 @@ def read_lookups(spark, path: str, names: list[str] | None = None) -> dict[str,
 
 
 # S4 ------------------------------------------------------------------------
-def metadata(tables: dict[str, DataFrame], legs: DataFrame,
-             with_timestamp: bool = True) -> DataFrame:
+def metadata(tables: dict[str, DataFrame], legs: DataFrame, with_timestamp: bool = True,
+             source_dataset: str = SOURCE_DATASET, purpose: str = PURPOSE) -> DataFrame:
     """One row of table counts; each count is a scalar subquery."""
     def n(df: DataFrame) -> Column:
         return df.agg(F.count(F.lit(1))).scalar()
@@ -250,13 +249,13 @@ def metadata(tables: dict[str, DataFrame], legs: DataFrame,
                     .alias("created_at"))
     base = legs.agg(F.count(F.lit(1)).alias("total_source_records_in_legs"))
     return base.select(
-        *cols, F.lit(SOURCE_DATASET).alias("source_dataset"),
+        *cols, F.lit(source_dataset).alias("source_dataset"),
         "total_source_records_in_legs",
         n(tables["stations"]).alias("stations_count"),
         n(tables["service_routes_summary_mvp"]).alias("service_patterns_count"),
         n(tables["historical_averages"]).alias("historical_patterns_count"),
         n(tables["coach_info"]).alias("coach_types_count"),
-        F.lit(PURPOSE).alias("purpose"))
+        F.lit(purpose).alias("purpose"))
 
 
 # S5 ------------------------------------------------------------------------

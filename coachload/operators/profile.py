@@ -175,24 +175,20 @@ def correlations(df: DataFrame, target: str = "relevant_passengers_on_leg_depart
 
 
 # E13 -----------------------------------------------------------------------
-def duplicate_count(df: DataFrame, max_candidates: int | None = None) -> DataFrame:
+def duplicate_count(df: DataFrame) -> DataFrame:
     """Rows beyond the first of each group of equal rows (nulls equal).
 
-    Two phases, so the whole table is not shuffled by all its columns: a
-    grouped count on a 64-bit row hash (partial aggregation, a few bytes per
-    row cross the network) finds the hashes seen more than once; if that
-    candidate set is small (checked), only rows with a candidate hash are
-    grouped by all columns, which keeps the result exact under hash
-    collisions.  A large candidate set falls back to grouping every row.
+    Two steps in one plan, so the whole table is not shuffled by all its
+    columns: a grouped count on a 64-bit row hash (partial aggregation, a few
+    bytes per row cross the network) finds the hashes seen more than once, and
+    only rows with such a hash (semi join) are grouped by all columns, which
+    keeps the result exact under hash collisions.
     """
-    from coachload.operators.joins import DEFAULT_MAX_BROADCAST_ROWS, checked_small
     cols = df.columns
     hashed = df.withColumn("__h", F.xxhash64(*[F.col(c) for c in cols]))
     cand = (hashed.groupBy("__h").agg(F.count(F.lit(1)).alias("__c"))
             .where(F.col("__c") > 1).select("__h"))
-    cand, small = checked_small(cand, max_candidates or DEFAULT_MAX_BROADCAST_ROWS)
-    rows = hashed.join(F.broadcast(cand), "__h", "left_semi") if small else hashed
-    groups = rows.groupBy(*cols).agg(F.count(F.lit(1)).alias("__n"))
+    groups = hashed.join(cand, "__h", "left_semi").groupBy(*cols).agg(F.count(F.lit(1)).alias("__n"))
     return groups.agg(F.coalesce(F.sum(F.col("__n") - 1), F.lit(0)).cast("bigint")
                       .alias("duplicate_rows"))
 

@@ -1,15 +1,16 @@
 """Batch scoring of (origin code, destination code, departure times)
 requests (P1-P12), re-aimed from a one-request-at-a-time service.
 
-Plan shape: requests -> posexplode -> parse -> code lookup (broadcast,
-size-checked) -> service match on the distinct (origin, destination, hour,
-weekday) keys -> historical averages -> class fan-out -> features -> model
--> pick class -> response rows.  Nothing loops on the driver.
+Plan shape: requests -> validate (on the request's own array) -> explode ->
+code lookup -> service match on the distinct (origin, destination, hour,
+weekday) keys -> historical averages -> features, model and pick per class,
+side by side in one row -> response rows.  Every request row has an id of its
+own from the start, so requests that repeat a ``request_id`` stay apart.
 
 Service match (P3) without a nearest-hour loop or a request x all-routes
-join: the route table is first reduced with ``min_by`` to the best route
-per tier key -- (from, to, hour, dow), (from, to, hour), (from, hour, dow),
-(from, hour) -- so every request key meets at most one candidate per tier.
+join: the route table is reduced with ``min_by`` to the best route per
+(from, to, hour, dow), and that table is rolled up to the other tiers' keys,
+so every request key meets at most one candidate per tier.
 """
 
 from __future__ import annotations
@@ -19,8 +20,7 @@ from pyspark.sql import functions as F
 
 from coachload.functions import geo, time as tm
 from coachload.operators import features as fe
-from coachload.operators.joins import broadcast_checked
-from coachload.session import cut_lineage
+from coachload.operators.joins import small_side
 
 # ---------------------------------------------------------------------------
 # Fixed values that must equal the reference's.
@@ -37,41 +37,56 @@ HIST_DEFAULTS = {"avg_vehicle_pax_on_arrival_std": 50.0,
 # ---------------------------------------------------------------------------
 
 REQUEST_KEY = ["from_station", "to_station", "req_hour", "req_dow"]
-ISO_DATETIME = (r"^\d{4}-\d{2}-\d{2}([T ]\d{2}(:\d{2}(:\d{2}(\.\d{1,6})?)?)?"
-                r"(Z|[+-]\d{2}:?\d{2})?)?$")
+ISO_DATE = r"(\d{4})(?:-(\d{2})-|(\d{2}))(\d{2})"
+ISO_TIME = r"(\d{2})(?::?(\d{2})(?::?(\d{2})(?:[.,](\d+))?)?)?"
+ISO_OFFSET = r"(?:Z|[+-]\d{2}(?::?\d{2}(?::?\d{2})?)?)"
+ISO_DATETIME = f"^{ISO_DATE}(?:[T ]{ISO_TIME}({ISO_OFFSET})?)?$"
+BAD_ITEM = "Input should be a valid string: departure_datetimes"
+ROW_ID = "request_row"
 
 
 # P1, S6 --------------------------------------------------------------------
 def parse_datetime(s: Column) -> Column:
-    """ISO date-time to wall-clock timestamp_ntz; offset and 'Z' accepted and
-    discarded (the hour stays as written).  Anything not ISO-shaped is NULL
-    (Spark's cast alone would accept e.g. '2024')."""
-    wall = F.regexp_replace(s, r"(Z|[+-]\d{2}:?\d{2})$", "")
+    """ISO date-time, extended or basic, to wall-clock timestamp_ntz; offset
+    and 'Z' accepted and discarded (the hour stays as written), digits beyond
+    microseconds cut.  Anything not ISO-shaped is NULL (Spark's cast alone
+    would accept e.g. '2024')."""
+    def part(i: int) -> Column:
+        return F.regexp_extract(s, ISO_DATETIME, i)
+
+    def or_zero(i: int) -> Column:
+        return F.when(part(i) == "", "00").otherwise(part(i))
+
+    wall = F.concat(part(1), F.lit("-"), part(2), part(3), F.lit("-"), part(4), F.lit(" "), or_zero(5), F.lit(":"),
+                    or_zero(6), F.lit(":"), or_zero(7), F.lit("."), F.rpad(F.substring(part(8), 1, 6), 6, "0"))
     return F.when(s.rlike(ISO_DATETIME), wall.try_cast("timestamp_ntz"))
 
 
+def with_row_id(req: DataFrame) -> DataFrame:
+    """An id for every request row that has none yet."""
+    return req if ROW_ID in req.columns else req.withColumn(ROW_ID, F.monotonically_increasing_id())
+
+
 def explode_requests(req: DataFrame) -> DataFrame:
     """One row per (request, position) with the parsed departure time and the
-    request-level validation status (422 missing field, 400 bad datetime).
-
-    The first bad datetime of a request is an aggregate joined back (not a
-    window), so a request with a huge list is reduced map-side and its join
-    stays eligible for AQE's skew split."""
-    rows = req.select("*", F.posexplode_outer("departure_datetimes")
-                      .alias("pos", "departure_datetime"))
-    rows = rows.withColumn("departure_ts", parse_datetime(F.col("departure_datetime")))
-    bad = F.col("departure_datetime").isNotNull() & F.col("departure_ts").isNull()
-    first_bad = (rows.where(bad).groupBy(F.col("request_id").alias("__rid"))
-                 .agg(F.min_by("departure_datetime", "pos").alias("__first_bad")))
-    rows = rows.join(first_bad, F.col("request_id").eqNullSafe(F.col("__rid")), "left").drop("__rid")
-    fb = F.col("__first_bad")
+    request-level validation status (422 missing field or item, 400 bad
+    datetime); a request with an empty list has one row without a position.
+
+    The first bad datetime is looked up in the request's own array, before it
+    is exploded, so no request is gathered again."""
+    times = F.col("departure_datetimes")
+    null_item = F.exists(times, lambda x: x.isNull())
+    bad = F.get(F.filter(times, lambda x: x.isNotNull() & parse_datetime(x).isNull()), F.lit(0))
     missing = (F.when(F.col("from_tiploc").isNull(), "from_tiploc")
                .when(F.col("to_tiploc").isNull(), "to_tiploc")
-               .when(F.col("departure_datetimes").isNull(), "departure_datetimes"))
-    status = (F.when(missing.isNotNull(), 422).when(fb.isNotNull(), 400))
+               .when(times.isNull(), "departure_datetimes"))
+    status = F.when(missing.isNotNull() | null_item, 422).when(bad.isNotNull(), 400)
     error = (F.when(missing.isNotNull(), F.concat(F.lit("Field required: "), missing))
-             .when(fb.isNotNull(), F.concat(F.lit("Invalid datetime format: "), fb)))
-    return rows.withColumns({"status": status, "error": error}).drop("departure_datetimes", "__first_bad")
+             .when(null_item, BAD_ITEM)
+             .when(bad.isNotNull(), F.concat(F.lit("Invalid datetime format: "), bad)))
+    rows = with_row_id(req).withColumns({"status": status, "error": error})
+    rows = rows.select("*", F.posexplode_outer("departure_datetimes").alias("pos", "departure_datetime"))
+    return rows.drop("departure_datetimes").withColumn("departure_ts", parse_datetime(F.col("departure_datetime")))
 
 
 # P2 ------------------------------------------------------------------------
@@ -85,7 +100,7 @@ def code_dimension(stations: DataFrame) -> DataFrame:
 
 
 def resolve_codes(rows: DataFrame, stations: DataFrame) -> DataFrame:
-    dim = broadcast_checked(code_dimension(stations))
+    dim = small_side(code_dimension(stations), "station_codes")
     f = dim.select(F.col("tiploc").alias("__f"), F.col("station_name").alias("from_station"),
                    F.col("latitude").alias("from_lat"), F.col("longitude").alias("from_lon"))
     t = dim.select(F.col("tiploc").alias("__t"), F.col("station_name").alias("to_station"),
@@ -120,26 +135,28 @@ def request_time_keys(rows: DataFrame, dow: str = "sunday0") -> DataFrame:
 
 
 # P3 ------------------------------------------------------------------------
-def _best(routes: DataFrame, keys: list[str]) -> DataFrame:
-    """Best route per ``keys``: frequency desc, then headcode, rsid, next
-    stop, weekday, hour ascending (a total order on route rows)."""
-    val = F.struct(F.col("headcode"), F.col("rsid"), F.col("stationName_to").alias("next_stop"),
-                   F.col("frequency"), F.col("day_of_week").alias("r_dow"),
-                   F.col("hour").alias("r_hour"))
-    order = F.struct(-F.col("frequency"), F.col("headcode"), F.col("rsid"),
-                     F.col("stationName_to"), F.col("day_of_week"), F.col("hour"))
-    return routes.groupBy(*keys).agg(F.min_by(val, order).alias("m"))
-
-
-def _nearest_by_hour(reduced: DataFrame, keys: list[str]) -> DataFrame:
+_ROUTE = ["frequency", "headcode", "rsid", "next_stop", "r_dow", "r_hour"]
+
+
+def _route_order(m: Column, *before: Column) -> Column:
+    """Frequency desc, then headcode, rsid, next stop, weekday, hour: a total
+    order on route rows."""
+    return F.struct(*before, -m["frequency"], *[m[c] for c in _ROUTE[1:]])
+
+
+def _roll_up(best: DataFrame, keys: list[str]) -> DataFrame:
+    """The best route per fewer keys, from the best routes per more keys."""
+    return best.groupBy(*keys).agg(F.min_by("m", _route_order(F.col("m"))).alias("m"))
+
+
+def _nearest_by_hour(best: DataFrame, keys: list[str]) -> DataFrame:
     """For every hour 0..23, the candidate nearest to it (no wrap at
-    midnight), then the route order.  ``reduced`` holds at most one row per
+    midnight), then the route order.  ``best`` holds at most one row per
     (keys, route hour), so this is at most 24 x 24 rows per key and does not
     grow with the number of requests."""
     m = F.col("m")
-    x = reduced.select(*keys, "m", F.explode(F.sequence(F.lit(0), F.lit(23))).alias("__hh"))
-    order = F.struct(F.abs(m["r_hour"] - F.col("__hh")), -m["frequency"], m["headcode"], m["rsid"],
-                     m["next_stop"], m["r_dow"], m["r_hour"])
+    x = best.select(*keys, "m", F.explode(F.sequence(F.lit(0), F.lit(23))).alias("__hh"))
+    order = _route_order(m, F.abs(m["r_hour"] - F.col("__hh")))
     return x.groupBy(*keys, "__hh").agg(F.min_by(m, order).alias("m"))
 
 
@@ -154,24 +171,28 @@ def match_service(keys: DataFrame, routes: DataFrame) -> DataFrame:
     the best route per exact key, tiers 2 and 4 join a precomputed
     nearest-route-per-hour table on the request hour clamped to 0..23 (an
     hour below 0 orders the candidates exactly as hour 0 does, one above 23
-    as hour 23).
+    as hour 23).  The routes, of the origins asked for only, are read once:
+    the tier-1 table is stored and the other three are rolled up from it.
     """
-    # the distinct keys feed four joins: materialize them once
-    keys = cut_lineage(keys.select(*REQUEST_KEY).distinct().withColumn(
-        "__hc", F.least(F.greatest(F.col("req_hour"), F.lit(0)), F.lit(23))))
-    r = routes.select("headcode", "rsid", "stationName_from", "stationName_to", "hour",
-                      "day_of_week", "frequency")
+    keys = keys.select(*REQUEST_KEY).distinct().withColumn(
+        "__hc", F.least(F.greatest(F.col("req_hour"), F.lit(0)), F.lit(23)))
+    asked = keys.select(F.col("from_station").alias("stationName_from")).distinct()
+    m = F.struct("frequency", "headcode", "rsid", F.col("stationName_to").alias("next_stop"),
+                 F.col("day_of_week").alias("r_dow"), F.col("hour").alias("r_hour"))
     fr, to = F.col("stationName_from"), F.col("stationName_to")
-    t1 = _best(r, ["stationName_from", "stationName_to", "hour", "day_of_week"]).select(
-        fr.alias("__f1"), to.alias("__t1"), F.col("hour").alias("__h1"),
-        F.col("day_of_week").alias("__d1"), F.col("m").alias("m1"))
-    t2 = _nearest_by_hour(_best(r, ["stationName_from", "stationName_to", "hour"]),
+    exact = (routes.join(asked, "stationName_from", "left_semi").withColumn("m", m)
+             .groupBy("stationName_from", "stationName_to", "hour", "day_of_week")
+             .agg(F.min_by("m", _route_order(F.col("m"))).alias("m")))
+    exact = small_side(exact, "tier1")
+    per_day = _roll_up(exact, ["stationName_from", "hour", "day_of_week"])
+    t1 = exact.select(fr.alias("__f1"), to.alias("__t1"), F.col("hour").alias("__h1"),
+                      F.col("day_of_week").alias("__d1"), F.col("m").alias("m1"))
+    t2 = _nearest_by_hour(_roll_up(exact, ["stationName_from", "stationName_to", "hour"]),
                           ["stationName_from", "stationName_to"]).select(
         fr.alias("__f2"), to.alias("__t2"), F.col("__hh").alias("__h2"), F.col("m").alias("m2"))
-    t3 = _best(r, ["stationName_from", "hour", "day_of_week"]).select(
-        fr.alias("__f3"), F.col("hour").alias("__h3"), F.col("day_of_week").alias("__d3"),
-        F.col("m").alias("m3"))
-    t4 = _nearest_by_hour(_best(r, ["stationName_from", "hour"]), ["stationName_from"]).select(
+    t3 = per_day.select(fr.alias("__f3"), F.col("hour").alias("__h3"), F.col("day_of_week").alias("__d3"),
+                        F.col("m").alias("m3"))
+    t4 = _nearest_by_hour(_roll_up(per_day, ["stationName_from", "hour"]), ["stationName_from"]).select(
         fr.alias("__f4"), F.col("__hh").alias("__h4"), F.col("m").alias("m4"))
     c = F.col
     j = (keys.join(t1, (c("from_station") == c("__f1")) & (c("to_station") == c("__t1"))
@@ -190,9 +211,10 @@ def match_service(keys: DataFrame, routes: DataFrame) -> DataFrame:
 
 
 def match_flags(tier: Column) -> dict[str, Column]:
-    return {"time_fallback": F.coalesce(tier == 2, F.lit(False)),
-            "route_fallback": F.coalesce(tier == 3, F.lit(False)),
-            "fallback_used": F.coalesce(tier == 4, F.lit(False))}
+    """The response's flags, as the texts ``True`` and ``False``."""
+    def text(which: int) -> Column:
+        return F.when(tier == which, "True").otherwise("False")
+    return {"time_fallback": text(2), "route_fallback": text(3), "fallback_used": text(4)}
 
 
 # P4 ------------------------------------------------------------------------
@@ -278,9 +300,9 @@ def serving_features(rows: DataFrame, skew: str | None = None) -> DataFrame:
                     "stationName_to": F.col("to_station")})
 
 
-def apply_serving_labels(rows: DataFrame, labels: DataFrame) -> DataFrame:
+def apply_serving_labels(rows: DataFrame, labels: DataFrame, cols: list[str] | None = None) -> DataFrame:
     """Label codes with unseen values coded 0."""
-    return fe.apply_labels(rows, labels, fe.ENCODED_COLUMNS, unknown=0)
+    return fe.apply_labels(rows, labels, cols or fe.ENCODED_COLUMNS, unknown=0)
 
 
 # P7 ------------------------------------------------------------------------
@@ -305,70 +327,75 @@ def iso_text(ts: Column, raw: Column) -> Column:
     base = F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss")
     frac = F.date_format(ts, "SSSSSS")
     base = F.when(frac != "000000", F.concat(base, F.lit("."), frac)).otherwise(base)
-    off = F.regexp_extract(raw, r"(Z|[+-]\d{2}:?\d{2})$", 1)
-    off = (F.when(off == "Z", "+00:00")
-           .when(off.rlike(r"^[+-]\d{4}$"), F.concat(F.substring(off, 1, 3), F.lit(":"),
-                                                     F.substring(off, 4, 2)))
+    off = F.regexp_replace(F.regexp_extract(raw, ISO_DATETIME, 9), ":", "")
+    off = (F.when(off.isin("Z", "-00", "-0000"), "+00:00")
+           .when(F.length(off) == 3, F.concat(off, F.lit(":00")))
+           .when(F.length(off) == 5, F.concat(F.substring(off, 1, 3), F.lit(":"), F.substring(off, 4, 2)))
+           .when(F.length(off) == 7, F.concat_ws(":", F.substring(off, 1, 3), F.substring(off, 4, 2), F.substring(off, 6, 2)))
            .otherwise(off))
     return F.concat(base, off)
 
 
+CLASS_PREFIX = {"Standard": "standard", "First Class": "first"}
+
+
+def score_classes(rows: DataFrame, model, labels: DataFrame, feature_list: list[str],
+                  skew: str | None = None) -> DataFrame:
+    """P5-P7 with both classes in one row: for each class its features, the
+    model, and <prefix>_tier, <prefix>_confidence, <prefix>_score.  Labels
+    that don't depend on the class are looked up once."""
+    common = [c for c in fe.ENCODED_COLUMNS if c != "coach_type"]
+    rows = rows.withColumn("coach_type", F.lit(SERVICE_CLASSES[0]))
+    rows = apply_serving_labels(serving_features(rows, skew), labels, common)
+    kept, codes = rows.columns, small_side(labels.where(F.col("column") == "coach_type"), "class_codes")
+    for name in SERVICE_CLASSES:
+        one = serving_features(rows.withColumn("coach_type", F.lit(name)), skew)
+        one = model.predict_classes(apply_serving_labels(one, codes, ["coach_type"]), feature_list)
+        one = pick_class(one, prefix="__")
+        new = {"tier": "__comfort_tier", "confidence": "__confidence", "score": "__numeric_score"}
+        rows = one.select(*kept, *[F.col(c).alias(f"{CLASS_PREFIX[name]}_{k}") for k, c in new.items()])
+        kept = rows.columns
+    return rows
+
+
 def score(requests: DataFrame, lookups: dict[str, DataFrame], model, labels: DataFrame,
           feature_list: list[str], dow: str = "sunday0", skew: str | None = None) -> DataFrame:
-    """Flat response: one row per (request, departure) with both classes, or
-    one error row per failed request (status 400/404/422 and a message)."""
-    rows = explode_requests(requests)
-    rows = resolve_codes(rows, lookups["stations"])
-    # reused by the match, the join back and the error rows
-    rows = cut_lineage(request_time_keys(rows, dow))
-    ok = rows.where(F.col("status").isNull())
-    matched = match_service(ok, lookups["service_routes_summary_mvp"])
-    ok = ok.join(matched, REQUEST_KEY, "left")
-    # a request fails as a whole when one of its departures has no service
-    lost = (ok.where(F.col("match_tier").isNull()).groupBy(F.col("request_id").alias("__rid"))
-            .agg(F.min("from_station").alias("__ns_from")))
-    ok = ok.join(lost, F.col("request_id") == F.col("__rid"), "left")
-    no_service = F.col("__rid").isNotNull()
-    ok = ok.withColumns({
-        "status": F.when(no_service, 404).otherwise(200),
-        "error": F.when(no_service, F.concat(F.lit("No services found from "), F.col("__ns_from")))}
-    ).drop("__rid", "__ns_from")
-    good = ok.where(F.col("status") == 200)
-    good = arrival_state(good, lookups["historical_averages"])
-    feats = serving_features(fan_out(good), skew)
-    feats = apply_serving_labels(feats, labels)
-    scored = model.predict_classes(feats, feature_list)
-    scored = pick_class(scored)
-    per_class = scored.select("request_id", "pos", "coach_type", "comfort_tier",
-                              "confidence", "numeric_score")
-    base = good.select(
-        "request_id", "pos", "from_tiploc", "to_tiploc", "from_station", "to_station",
+    """Flat response: one row per (request, departure) with both classes, one
+    row without a position for a request that asks nothing, or one error row
+    per failed request (status 400/404/422 and a message).
+
+    A request fails as a whole.  All of its rows agree on that: validation and
+    codes are the request's own, and a service is missing for one departure
+    only if the origin has no route at all, hence for all.  So the first row
+    stands for a failed request and no request is gathered."""
+    rows = request_time_keys(resolve_codes(explode_requests(requests), lookups["stations"]), dow)
+    # request rows are numbered once; both uses below read the same numbers
+    rows = small_side(rows, "request_rows")
+    asking = F.col("status").isNull() & F.col("pos").isNotNull()
+    matched = match_service(rows.where(asking), lookups["service_routes_summary_mvp"])
+    rows = rows.join(matched, REQUEST_KEY, "left")
+    lost = asking & F.col("match_tier").isNull()
+    rows = rows.withColumns({
+        "error": F.when(lost, F.concat(F.lit("No services found from "), F.col("from_station"))).otherwise(F.col("error")),
+        "status": F.coalesce("status", F.when(lost, 404).otherwise(200))})
+    first = F.coalesce("pos", F.lit(0)) == 0
+    good = arrival_state(rows.where((F.col("status") == 200) & F.col("pos").isNotNull()), lookups["historical_averages"])
+    good = score_classes(good, model, labels, feature_list, skew)
+    picked = [f"{p}_{m}" for p in CLASS_PREFIX.values() for m in ("tier", "confidence", "score")]
+    good = good.select(
+        ROW_ID, "request_id", "pos", "from_tiploc", "to_tiploc", "from_station", "to_station",
         iso_text(F.col("departure_ts"), F.col("departure_datetime")).alias("departure_datetime"),
-        "headcode", "rsid", "next_stop",
-        *[v.cast("string").alias(k) for k, v in match_flags(F.col("match_tier")).items()],
-        "status", "error")
-    wide = per_class.groupBy("request_id", "pos").pivot("coach_type", SERVICE_CLASSES).agg(
-        F.first("comfort_tier").alias("tier"), F.first("confidence").alias("confidence"),
-        F.first("numeric_score").alias("score"))
-    wide = wide.select("request_id", "pos", *[
-        F.col(f"{c}_{m}").alias(f"{p}_{m}") for c, p in
-        (("Standard", "standard"), ("First Class", "first"))
-        for m in ("tier", "confidence", "score")])
-    good_out = base.join(wide, ["request_id", "pos"], "left")
-    failed = (rows.where(F.col("status").isNotNull())
-              .unionByName(ok.where(F.col("status") != 200).select(*rows.columns),
-                           allowMissingColumns=False))
-    failed = failed.groupBy("request_id").agg(
-        F.first("from_tiploc", True).alias("from_tiploc"),
-        F.first("to_tiploc", True).alias("to_tiploc"),
-        F.min("status").alias("status"), F.first("error", True).alias("error"))
-    return good_out.unionByName(failed, allowMissingColumns=True)
+        "headcode", "rsid", "next_stop", *[v.alias(k) for k, v in match_flags(F.col("match_tier")).items()],
+        "status", "error", *picked)
+    rest = rows.where(first & ((F.col("status") != 200) | F.col("pos").isNull())).select(
+        ROW_ID, "request_id", "from_tiploc", "to_tiploc", "status", "error")
+    return good.unionByName(rest, allowMissingColumns=True)
 
 
 def nest(flat: DataFrame) -> DataFrame:
-    """P8 nested form: one row per request with its predictions in request
-    order (a request's own departures only, so the list is bounded)."""
-    ok = flat.where(F.col("status") == 200)
+    """P8 nested form: one row per request row with its predictions in request
+    order.  The list holds a request's own departures only, which one input
+    row held before; requests that repeat an id stay apart."""
     item = F.struct(
         "pos", "from_tiploc", "to_tiploc", "from_station", "to_station", "departure_datetime",
         F.struct(F.col("standard_tier").alias("comfort_tier"),
@@ -379,11 +406,10 @@ def nest(flat: DataFrame) -> DataFrame:
                  F.col("first_score").alias("numeric_score")).alias("first_class"),
         F.struct("headcode", "rsid", "next_stop", "fallback_used", "time_fallback",
                  "route_fallback").alias("service_info"))
-    good = ok.groupBy("request_id").agg(F.sort_array(F.collect_list(item)).alias("predictions"))
-    good = good.select("request_id", F.lit(200).alias("status"),
-                       F.lit(None).cast("string").alias("error"), "predictions")
-    bad = flat.where(F.col("status") != 200).select("request_id", "status", "error")
-    return good.unionByName(bad, allowMissingColumns=True)
+    out = flat.groupBy(ROW_ID, "request_id", "status", "error").agg(
+        F.sort_array(F.collect_list(F.when(F.col("pos").isNotNull(), item))).alias("predictions"))
+    return out.select("request_id", "status", "error",
+                      F.when(F.col("status") == 200, F.col("predictions")).alias("predictions"))
 
 
 def write_predictions(flat: DataFrame, path: str, fmt: str = "json") -> None:

@@ -42,7 +42,7 @@ def q_occupancy(spark, sf_dir):
 
 def _engineered(spark, sf_dir):
     # legs are read three times (dictionary, thresholds, rows): write once
-    feats, labels = fe.engineer(tables.stored_legs(spark, sf_dir))
+    feats, labels = fe.engineer(tables.legs(spark, sf_dir))
     return tg.label(feats), labels
 
 

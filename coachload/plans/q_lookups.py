@@ -145,11 +145,11 @@ HIST_CTE = (
 COACH_CTE = ("coach AS (SELECT coach_type, COALESCE(AVG(vehicle_capacity), 0) AS avg_capacity, COUNT(*) AS frequency "
              "FROM legs WHERE coach_type IS NOT NULL GROUP BY coach_type)")
 ALL_CTES = [sq.LEGS_CTE, *STATION_CTES, ROUTES_CTE, HIST_CTE, COACH_CTE]
-_META = ("SELECT 'train_journey_legs (MVP fixed dataset)' AS source_dataset, "
+_META = (f"SELECT '{lk.SOURCE_DATASET}' AS source_dataset, "
          "(SELECT COUNT(*) FROM legs) AS total_source_records_in_legs, "
          "(SELECT COUNT(*) FROM stations) AS stations_count, (SELECT COUNT(*) FROM routes) AS service_patterns_count, "
          "(SELECT COUNT(*) FROM hist) AS historical_patterns_count, (SELECT COUNT(*) FROM coach) AS coach_types_count, "
-         "'API lookup database for Train Comfort Predictor MVP' AS purpose")
+         f"'{lk.PURPOSE}' AS purpose")
 
 
 def _validation() -> str:

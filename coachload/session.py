@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -80,6 +81,18 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def materialize(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written once as Parquet in the checkpoint folder and read back.
+
+    For results that several plans read: column pruning, pushdown and file
+    sizes survive, so Catalyst decides from bytes whether a side of a join is
+    small enough to broadcast (``spark.sql.autoBroadcastJoinThreshold``).
+    """
+    path = f"{scratch_path(df.sparkSession, name)}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A folder next to the checkpoints for intermediate tables."""
     base = checkpoint_dir(spark)

@@ -66,16 +66,6 @@ def read_legs(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(LEGS_SCHEMA).parquet(path)
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Round-robin repartition a scan that yields fewer splits than the
-    cluster has task slots (e.g. a single-row-group file), so the row-wise
-    work after it runs in parallel.  A scan of many files is left as is."""
-    slots = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < slots:
-        return df.repartition(slots)
-    return df
-
-
 def _txt(c: Column) -> Column:
     return c.cast("string")
 
@@ -90,8 +80,8 @@ def _station_dim(nation: DataFrame) -> DataFrame:
 
 def legs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The journey-leg fact table derived from lineitem, orders and nation."""
-    li = spread(table(spark, sf_dir, "lineitem").select(
-        "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_quantity"))
+    li = table(spark, sf_dir, "lineitem").select(
+        "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_quantity")
     od = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
     k = li.join(od, li["l_orderkey"] == od["o_orderkey"]).select(
         F.col("l_orderkey").alias("ok"), F.col("l_linenumber").alias("ln"),
@@ -163,12 +153,12 @@ def legs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def stored_legs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The derived legs written once (reliable checkpoint) for queries that
-    read them several times -- the stand-in for a stored legs table, which
-    a deployment scans with ``read_legs``."""
-    from coachload.session import cut_lineage
-    return cut_lineage(legs(spark, sf_dir))
+def stored_legs(spark: SparkSession, sf_dir: str, columns: list[str]) -> DataFrame:
+    """``columns`` of the derived legs, written once for queries that read
+    them several times; the stand-in for a stored legs table, which a
+    deployment scans with ``read_legs``."""
+    from coachload.session import materialize
+    return materialize(legs(spark, sf_dir).select(*columns), "legs")
 
 
 def tiplocs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -186,25 +176,26 @@ def tiplocs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def read_codes(spark: SparkSession, path: str | None, fmt: str = "parquet",
-               options: dict | None = None) -> DataFrame:
+               options: dict | None = None, columns: dict[str, str] | None = None) -> DataFrame:
     """Station codes with trimmed, non-blank codes.
 
-    A missing or unreadable source yields an empty table with the same schema
-    and a warning, so the lookup build still runs (stations without codes).
+    ``columns`` maps the names of ``CODES_SCHEMA`` to the source's own names.
+    A source that is missing, lacks a column or breaks while it is read gives
+    an empty table with the same schema and a warning, so the lookup build
+    still runs (stations without codes).  To know that, the source is read
+    here, once, into the shared folder.
     """
-    raw = None
+    from coachload.session import materialize
+    own = {f.name: (columns or {}).get(f.name, f.name) for f in CODES_SCHEMA}
+    schema = T.StructType([T.StructField(own[f.name], f.dataType) for f in CODES_SCHEMA])
     if path:
         try:
-            raw = (spark.read.format(fmt).options(**(options or {}))
-                   .schema(CODES_SCHEMA).load(path))
-            raw.schema  # noqa: B018 - resolve now so a bad path fails here
+            raw = spark.read.format(fmt).options(**(options or {})).schema(schema).load(path)
+            return materialize(clean_codes(raw.select(*[F.col(f"`{own[n]}`").alias(n) for n in own])), "codes")
         except Exception as exc:  # noqa: BLE001
             log.warning("station codes unavailable at %s: %s", path, exc)
-            raw = None
-    if raw is None:
-        log.warning("proceeding without station codes")
-        raw = spark.createDataFrame([], CODES_SCHEMA)
-    return clean_codes(raw)
+    log.warning("proceeding without station codes")
+    return clean_codes(spark.createDataFrame([], CODES_SCHEMA))
 
 
 def clean_codes(raw: DataFrame) -> DataFrame:
