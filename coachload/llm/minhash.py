@@ -14,8 +14,11 @@ Components don't need all pairs of a list.  Two rounds link each list's members
 to a few hubs only, which joins large groups of near copies in linear work.
 What then still lies in one list under different labels is compared in blocks:
 every member is in one block as a target, and the members outside the list's
-most frequent label go to all blocks as queries; nothing is emitted but pairs
-at or above ``need``.  No pair of different labels is left out.
+most frequent label go to all blocks as queries.  A block counts collisions of
+all its pairs at once, takes each pair in the first list it shares only,
+confirms the rest by one product of shingle-incidence matrices, and emits a
+spanning forest of the links found, so its output is linear in its members.
+No pair of different labels is left out.
 
 Texts travel compressed, and only those of classes that share a list.
 
@@ -43,6 +46,7 @@ from .components import components
 K = 128
 HUBS = 4
 BLOCK = 1024
+COLUMNS = 4096  # of an incidence matrix at a time
 _MUL = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -104,9 +108,14 @@ def _described(width: int):
     return run
 
 
+def groups_of(need: int) -> list[np.ndarray]:
+    """The prefix groups: one more than the coordinates a pair may differ on."""
+    return np.array_split(np.arange(K), K - need + 1)
+
+
 def _posted(need: int):
     """Class signatures -> one posting per prefix group."""
-    groups = np.array_split(np.arange(K), K - need + 1)
+    groups = groups_of(need)
 
     def run(batches):
         for b in batches:
@@ -118,7 +127,8 @@ def _posted(need: int):
                 key = np.full(len(sig), np.uint64(g + 1))
                 for j in of:
                     key = _mix(key * _MUL + sig[:, j])
-                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), reps], ["key", "rep"])
+                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), reps, pa.array(np.full(len(sig), g, np.int32))],
+                                                 ["key", "rep", "g"])
     return run
 
 
@@ -159,23 +169,76 @@ def _confirm(pairs: DataFrame, content: DataFrame, percent: int, width: int, nee
                   .mapInArrow(_linked(percent, width, need), "a long, b long"), "links")
 
 
-def _compared(need: int):
-    """Rows of one block, sorted: (key, block, query, rep, lab, sig) -> pairs
-    of a query and a target under different labels with enough collisions."""
+def intersections(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
+    """Sizes of all intersections of a's sets with b's: the product of their
+    incidence matrices, over the shingles that two sets or more hold."""
+    every = [*a, *b]
+    own, column, count = np.unique(np.concatenate(every), return_inverse=True, return_counts=True)
+    row = np.repeat(np.arange(len(every)), [len(x) for x in every])
+    keep = count[column] > 1
+    place = np.cumsum(count > 1) - 1
+    row, column = row[keep], place[column[keep]]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    out = np.zeros((len(a), len(b)), np.float32)
+    for start in range(0, int(column[-1]) + 1 if len(column) else 0, COLUMNS):
+        lo, hi = np.searchsorted(column, [start, start + COLUMNS])
+        m = np.zeros((len(every), COLUMNS), np.float32)
+        m[row[lo:hi], column[lo:hi] - start] = 1
+        out += m[:len(a)] @ m[len(a):].T
+    return out.astype(np.int64)
+
+
+def spanning(pairs: np.ndarray, reps: np.ndarray, labs: np.ndarray) -> list[tuple[int, int]]:
+    """Of linked pairs (rows of places), as many as join all their labels."""
+    root: dict[int, int] = {}
+
+    def find(x):
+        while root.setdefault(x, x) != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    _, first = np.unique(labs[pairs], axis=0, return_index=True)
+    out = []
+    for i, j in pairs[first].tolist():
+        x, y = find(int(labs[i])), find(int(labs[j]))
+        if x != y:
+            root[x] = y
+            out.append((int(reps[i]), int(reps[j])))
+    return out
+
+
+def _compared(percent: int, width: int, need: int):
+    """Rows of one block (key, block, g, query, rep, lab, sig, n, z) -> links
+    that join all labels which a query and a target link."""
+    starts = np.array([g[0] for g in groups_of(need)])
+
     def run(key, t):
-        query = t.column("query").to_numpy()
-        rep, lab = t.column("rep").to_numpy(), t.column("lab").to_numpy()
+        query, g = t.column("query").to_numpy(), t.column("g")[0].as_py()
+        rep, lab, n = (t.column(c).to_numpy() for c in ("rep", "lab", "n"))
         sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint16).reshape(-1, K)
-        targets, a, b = np.flatnonzero(~query), [], []
-        for i in np.flatnonzero(query):
-            other = targets[lab[targets] != lab[i]]
-            # skip: a pair that agrees too rarely on the first quarter can't reach the count
-            quarter = (sig[other, :K // 4] == sig[i, :K // 4]).sum(axis=1)
-            other = other[quarter >= need - (K - K // 4)]
-            other = other[(sig[other] == sig[i]).sum(axis=1) >= need]
-            a += [rep[i]] * len(other)
-            b += rep[other].tolist()
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+        targets, found = np.flatnonzero(~query), []
+        for part in np.array_split(np.flatnonzero(query), max(1, len(targets) * int(query.sum()) // 60_000)):
+            if not len(part):
+                continue
+            same = sig[part][:, None, :] == sig[targets][None, :, :]
+            ok = (same.sum(axis=2) >= need) & (lab[part][:, None] != lab[targets][None, :])
+            # the pair is dealt with in the first list that it shares
+            ok &= np.logical_and.reduceat(same, starts, axis=2).argmax(axis=2) == g
+            i, j = np.nonzero(ok)
+            found.append(np.stack([part[i], targets[j]], axis=1))
+        pairs = np.concatenate([np.zeros((0, 2), np.int64), *found])
+        links = []
+        if len(pairs):
+            cache, unpack, z = WordHashes(), zstandard.ZstdDecompressor(), t.column("z")
+            a, b = np.unique(pairs[:, 0]), np.unique(pairs[:, 1])
+            sets = {i: shingles(unpack.decompress(z[i].as_py()), width, cache) for i in {*a.tolist(), *b.tolist()}}
+            both = intersections([sets[i] for i in a.tolist()], [sets[i] for i in b.tolist()])
+            both = both[np.searchsorted(a, pairs[:, 0]), np.searchsorted(b, pairs[:, 1])]
+            pairs = pairs[100 * both >= percent * (n[pairs[:, 0]] + n[pairs[:, 1]] - both)]
+            links = spanning(pairs, rep, lab)
+        return pa.table({"a": pa.array([x for x, _ in links], pa.int64()), "b": pa.array([x for _, x in links], pa.int64())})
     return run
 
 
@@ -216,7 +279,7 @@ def near_copies(docs: DataFrame, percent: int = 80, width: int = 5, id_col: str
                   .mapInArrow(_described(width), "rid long, doc_id long, n long, digest binary, sig binary, z binary"), "shingled")
     classes = stored(rows.filter("n > 0").groupBy("digest").agg(F.min("rid").alias("rep")), "classes")
     reps = rows.join(classes.select(F.col("rep").alias("rid")), "rid", "left_semi")
-    postings = reps.select("rid", "sig").mapInArrow(_posted(need), "key long, rep long")
+    postings = reps.select("rid", "sig").mapInArrow(_posted(need), "key long, rep long, g int")
     shared = postings.groupBy("key").agg(F.count("*").alias("members")).filter("members > 1")
     lists = stored(postings.join(shared, "key"), "lists")
     content = stored(rows.select(F.col("rid").alias("rep"), "sig", "n", "z")
@@ -226,12 +289,12 @@ def near_copies(docs: DataFrame, percent: int = 80, width: int = 5, id_col: str
     links = _confirm(_hub_pairs(_open_lists(members, None), 0), content, percent, width, need)
     labels = stored(components(links), "labels")
     # lists of two are done: the hub was one of them
-    members = lists.filter("members > 2").select("key", "rep")
+    members = lists.filter("members > 2").select("key", "rep", "g")
     more = _confirm(_hub_pairs(_open_lists(members, labels), 1), content, percent, width, need)
     if not more.isEmpty():
         links = links.union(more)
         labels = stored(components(links), "labels")
-    rest = _confirm(_block_pairs(_open_lists(members, labels), content, need), content, percent, width, need)
+    rest = stored(_block_links(_open_lists(members, labels), content, percent, width, need), "links")
     if not rest.isEmpty():
         labels = stored(components(links.union(rest)), "labels")
 
@@ -244,17 +307,15 @@ def near_copies(docs: DataFrame, percent: int = 80, width: int = 5, id_col: str
                     F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept")))
 
 
-def _block_pairs(of: DataFrame, content: DataFrame, need: int) -> DataFrame:
-    """Pairs under different labels of one list, compared in blocks."""
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    own = F.pmod(F.xxhash64("rep"), blocks.cast("long")).cast("int")
-    sigs = content.select("rep", "sig")
-    of = of.withColumn("blocks", blocks)
-    targets = of.select("key", own.alias("block"), F.lit(False).alias("query"), "rep", "lab")
+def _block_links(of: DataFrame, content: DataFrame, percent: int, width: int, need: int) -> DataFrame:
+    """Links between different labels of one list, found in blocks."""
+    of = of.withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")).drop("n")
+    own = F.pmod(F.xxhash64("rep"), F.col("blocks").cast("long")).cast("int")
+    targets = of.select("key", "g", own.alias("block"), F.lit(False).alias("query"), "rep", "lab")
     queries = (of.filter("lab <> main")
-               .select("key", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(True).alias("query"), "rep", "lab"))
-    return (targets.union(queries).join(sigs, "rep").groupBy("key", "block")
-            .applyInArrow(_compared(need), "a long, b long"))
+               .select("key", "g", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(True).alias("query"), "rep", "lab"))
+    return (targets.union(queries).join(content, "rep").groupBy("key", "block")
+            .applyInArrow(_compared(percent, width, need), "a long, b long"))
 
 
 def drop_near_copies(docs: DataFrame, percent: int = 80, width: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
