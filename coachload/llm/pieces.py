@@ -230,26 +230,33 @@ class Chunks(dict):
         keys = text.split(" ")
         return [c[1:] for c in CHUNKS.findall(" " + text)] if "" in keys else keys
 
-    def learn(self, keys: set[str]) -> None:
-        """Solves the chunks that aren't known yet, in sorted order."""
-        new = keys - self.keys()
+    def encode_all(self, texts: list[str]):
+        """Per text: ids of the best path; the n best paths as (score, ids of
+        the chunks that deviate); the chunks.  Chunks that aren't known yet
+        are solved together, in sorted order."""
+        out: list = [None] * len(texts)
+        keys: dict[int, list[str]] = {}
+        new: set[str] = set()
+        for i, text in enumerate(texts):
+            own = self.split(text)
+            found = list(map(self.get, own))
+            if all(found):
+                out[i] = self._encoded(own, found)
+            else:
+                keys[i] = own
+                new.update(k for k, x in zip(own, found) if x is None)
         if len(self) + len(new) > CACHED_CHUNKS:
             self.clear()
-            new = keys
-        new = sorted(new)
-        self.update(zip(new, self.model.best(new, self.prefix)))
-
-    def encode_all(self, texts: list[str]):
-        keys = [self.split(t) for t in texts]
-        self.learn(set(chain.from_iterable(keys)))
-        return [self._encoded(k) for k in keys]
-
-    def _encoded(self, keys: list[str]) -> tuple[list[int], list[tuple[float, dict[int, tuple[int, ...]]]], list]:
-        """Ids of the best path; the n best paths as (score, ids of the chunks
-        that deviate); the chunks."""
+            new = set(chain.from_iterable(keys.values()))
+        ordered = sorted(new)
+        self.update(zip(ordered, self.model.best(ordered, self.prefix)))
+        for i, own in keys.items():
+            out[i] = self._encoded(own, list(map(self.__getitem__, own)))
+        return out
+
+    def _encoded(self, keys: list[str], found: list) -> tuple[list[int], list[tuple[float, dict[int, tuple[int, ...]]]], list]:
         if not keys:
             return [], [(0.0, {})], []
-        found = list(map(self.__getitem__, keys))
         ids = list(chain.from_iterable(map(itemgetter(0), found)))
         total = math.fsum(map(itemgetter(1), found))
         loss = np.fromiter(map(itemgetter(2), found), np.float64, len(found))

@@ -237,11 +237,7 @@ class Encoder:
     def _whole(self, raw: bytes) -> bytes:
         return np.array(self.library.encode(raw.decode("utf-8", "replace"), add_special_tokens=False).ids, "<u4").tobytes()
 
-    def _learn(self, words: set[bytes]) -> None:
-        new = words - self.known.keys()
-        if len(self.known) + len(new) > CACHED_WORDS:
-            self.known.clear()
-            new = words
+    def _learn(self, new: set[bytes]) -> None:
         parts: dict[bytes, tuple[bytes, bytes]] = {}
         for w in new:
             core = w.rstrip(TAIL_MARKS)
@@ -270,11 +266,29 @@ class Encoder:
         if not self.by_word:
             found = self.library.encode_batch([t.decode("utf-8", "replace") for t in texts], add_special_tokens=False)
             return [np.array(x.ids, "<u4").tobytes() for x in found]
-        lowered = [t.lower() for t in texts]
-        words = [None if any(a in t for a in self.added) else t.split() for t in lowered]
-        self._learn(set(chain.from_iterable(w for w in words if w)))
-        get = self.known.__getitem__
-        return [self._whole(texts[i]) if w is None else b"".join(map(get, w)) for i, w in enumerate(words)]
+        out: list[bytes] = [b""] * len(texts)
+        words: dict[int, list[bytes]] = {}
+        new: set[bytes] = set()
+        get, join = self.known.get, b"".join
+        for i, text in enumerate(texts):
+            low = text.lower()
+            if any(a in low for a in self.added):
+                out[i] = self._whole(text)
+                continue
+            own = low.split()
+            found = list(map(get, own))
+            try:
+                out[i] = join(found)
+            except TypeError:  # a None: some words are new
+                words[i] = own
+                new.update(w for w, ids in zip(own, found) if ids is None)
+        if len(self.known) + len(new) > CACHED_WORDS:
+            self.known.clear()
+            new = set(chain.from_iterable(words.values()))
+        self._learn(new)
+        for i, own in words.items():
+            out[i] = join(map(self.known.__getitem__, own))
+        return out
 
 
 # -- Spark ----------------------------------------------------------------------------------------
