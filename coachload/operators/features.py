@@ -55,6 +55,18 @@ def selected_features() -> list[str]:
     return [f for group in FEATURE_GROUPS.values() for f in group]
 
 
+# Known only once the leg has left its origin; the reference trains on them.
+POST_DEPARTURE = ["totalUnitPassenger_at_leg_departure", "vehicle_pax_boarded_std_at_from",
+                  "vehicle_pax_boarded_first_at_from", "vehicle_pax_alighted_std_at_from",
+                  "vehicle_pax_alighted_first_at_from", "onUnitPassenger_at_from_station",
+                  "offUnitPassenger_at_from_station", "boarding_ratio", "alighting_ratio"]
+
+
+def groups_before_departure(groups: dict[str, list[str]] | None = None) -> dict[str, list[str]]:
+    """The feature groups without the columns that leak the target."""
+    return {g: [f for f in fs if f not in POST_DEPARTURE] for g, fs in (groups or FEATURE_GROUPS).items()}
+
+
 # F1-F5 ----------------------------------------------------------------------
 def add_time_features(df: DataFrame, ts: str = "leg_departure_dt",
                       period: str = "train") -> DataFrame:
@@ -218,11 +230,17 @@ def align(df: DataFrame, feature_list: list[str], fill=0) -> DataFrame:
                        for f in feature_list])
 
 
-def feature_summary(before: DataFrame, after: DataFrame):
-    """column counts and the names of the new columns (schema only)."""
+def feature_summary(before: DataFrame, after: DataFrame) -> DataFrame:
+    """(metric, position, value): column counts, then the new columns."""
     new = [c for c in after.columns if c not in before.columns]
-    return {"original_columns": len(before.columns), "final_columns": len(after.columns),
-            "new_features": len(new), "new_columns": new}
+    rows = [("original_columns", 0, str(len(before.columns))), ("final_columns", 0, str(len(after.columns))),
+            ("new_features", 0, str(len(new))), *[("new_column", i + 1, c) for i, c in enumerate(new)]]
+    return after.sparkSession.createDataFrame(rows, "metric string, position int, value string")
+
+
+def feature_sample(after: DataFrame, columns: list[str], order: list[str], n: int = 5) -> DataFrame:
+    """the first rows, by key, of some columns."""
+    return after.select(*order, *columns).orderBy(*order).limit(n)
 
 
 def engineer(legs: DataFrame, labels: DataFrame | None = None,

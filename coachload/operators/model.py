@@ -8,16 +8,13 @@ integer ``prediction`` and a ``probability`` array in class-code order
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from coachload.operators.quantiles import at_ranks, value_counts
 from coachload.operators.target import TIER_CODES, tier_of
-from coachload.session import cut_lineage
 
 CLASS_NAMES = sorted(TIER_CODES, key=TIER_CODES.get)   # Busy, Moderate, Quiet
-HASH_BUCKET_BITS = 12                                   # 4096 buckets per class
 
 
 # M1 ------------------------------------------------------------------------
@@ -30,87 +27,63 @@ def split_hash(key_cols: list[str], seed: int = 42) -> Column:
 
 def stratified_split(df: DataFrame, label: str = "comfort_tier_encoded",
                      key_cols: list[str] | None = None, test: float = 0.2,
-                     seed: int = 42, out: str = "split",
-                     rows_per_bucket: int = 1_000_000) -> DataFrame:
+                     seed: int = 42, out: str = "split") -> DataFrame:
     """Exact per-class split: in every class the ``round(test * n_class)``
-    rows with the smallest (hash, key) go to test.
-
-    No window over whole classes (a class can hold a third of the rows):
-
-    1. rows are counted per (class, hash bucket), with enough buckets that
-       one holds about ``rows_per_bucket`` rows;
-    2. running sums over that count table give, per class, the one boundary
-       bucket and how many of its rows go to test -- a plan of one row per
-       class, broadcast by construction;
-    3. buckets below the boundary are test, above are train; only rows of
-       the boundary bucket are ordered, by (hash, key, partition, position),
-       counted per (hash, key, partition) group, and only the one boundary
-       group -- at most one input partition's rows -- is ranked.  A huge
-       group of copies (equal hash and key) therefore never meets one task.
+    rows with the smallest (hash of the key, hash of the row) go to test.
+
+    A narrow pass finds the boundary hash of each class (an order statistic,
+    distributed); rows at a boundary hash shared by several rows are bounded
+    again by the hash of the whole row.  The split is then one projection over
+    the input, with one boundary per class as literals; nothing is written.
+    Only copies of one row that straddle the boundary are counted and split by
+    number, so a huge group of copies is reduced before it moves.
     """
     key_cols = key_cols or ["messageId_leg_start", "leg_departure_dt"]
-    h = split_hash(key_cols, seed)
-    # read several times below: materialize once; the position ids taken
-    # after the checkpoint are stable (recomputation reads the same files)
-    rows = cut_lineage(df.withColumn("__h", h))
-    rows = rows.withColumn("__id", F.monotonically_increasing_id())
-    n = rows.count()
-    bits = min(40, max(HASH_BUCKET_BITS, math.ceil(math.log2(max(n, 1) / rows_per_bucket + 1))))
-    rows = rows.withColumns({"__b": F.shiftright("__h", 60 - bits),
-                             "__p": F.shiftright("__id", 33)})
-    # 1-2: per-class boundary bucket and the number of its rows taken
-    counts = rows.groupBy(label, "__b").agg(F.count(F.lit(1)).alias("__cnt"))
-    plan = _boundary(counts, label, ["__b"], test)
-    plan = plan.select(label, F.col("__b").alias("__bb"), F.col("__take").alias("__tk"))
-    j = rows.join(F.broadcast(plan), label, "left")          # <= one row per class
-    kind = (F.when(F.col("__bb").isNull(), "train")            # class without test rows
-            .when(F.col("__b") < F.col("__bb"), "test")
-            .when(F.col("__b") > F.col("__bb"), "train").otherwise("edge"))
-    j = j.withColumn("__kind", kind)
-    # 3: inside the boundary bucket, groups of (hash, key, partition)
-    edge = j.where(F.col("__kind") == "edge")
-    gkeys = ["__h", *key_cols, "__p"]
-    gcounts = edge.groupBy(label, *gkeys).agg(F.count(F.lit(1)).alias("__cnt"),
-                                             F.first("__tk").alias("__tk"))
-    gplan = _boundary(gcounts, label, gkeys, None)
-    gplan = gplan.select(label, *[F.col(c).alias(f"__g{c}") for c in gkeys],
-                         F.col("__take").alias("__gt"))
-    e = edge.join(F.broadcast(gplan), label, "left")         # <= one row per class
-    order = F.struct(*[F.col(c) for c in gkeys])
-    gorder = F.struct(*[F.col(f"__g{c}") for c in gkeys])
-    in_group = F.col("__gt").isNotNull() & (order == gorder)
-    before = F.col("__gt").isNotNull() & (order < gorder)
-    inside = e.where(in_group)
-    wi = Window.partitionBy(label).orderBy("__id")          # one partition's share of one group
-    inside = inside.withColumn(out, F.when(F.row_number().over(wi) <= F.col("__gt"), "test")
-                               .otherwise("train"))
-    rest_edge = e.where(~in_group).withColumn(out, F.when(before, "test").otherwise("train"))
-    rest = j.where(F.col("__kind") != "edge").withColumn(out, F.col("__kind"))
-    drop = ["__h", "__b", "__id", "__p", "__kind", "__bb", "__tk", "__gt",
-            *[f"__g{c}" for c in gkeys]]
-    return (rest.drop(*drop).unionByName(rest_edge.drop(*drop))
-            .unionByName(inside.drop(*drop)))
-
-
-def _boundary(counts: DataFrame, label: str, order_cols: list[str], test: float | None) -> DataFrame:
-    """Per class, the first group (in ``order_cols`` order) where the running
-    count reaches the target, and how many of its rows are still needed.
-
-    ``test`` given: the target is round(test * class size); otherwise it is
-    the ``__tk`` column of the groups.  The window runs over the small count
-    table only (one row per bucket or group)."""
-    before = F.coalesce(F.sum("__cnt").over(
-        Window.partitionBy(label).orderBy(*order_cols)
-        .rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    if test is not None:
-        target = F.floor(F.sum("__cnt").over(Window.partitionBy(label)) * F.lit(float(test))
-                         + F.lit(0.5))
-    else:
-        target = F.col("__tk")
-    c = counts.select("*", before.alias("__before"), target.alias("__target"))
-    hit = (F.col("__before") < F.col("__target")) & (F.col("__before") + F.col("__cnt") >= F.col("__target"))
-    return c.where(hit).select(label, *order_cols,
-                               (F.col("__target") - F.col("__before")).alias("__take"))
+    h, whole = split_hash(key_cols, seed), F.xxhash64(*[F.col(c) for c in df.columns])
+    cls = F.coalesce(F.col(label).cast("string"), F.lit("null"))
+
+    def boundary(values: DataFrame, ranks) -> dict[str, tuple]:
+        return {r["key"]: (r["v"], r["rank"] + 1 - r["before"], r["n"]) for r in at_ranks(value_counts(values), ranks).collect()}
+
+    # class -> (boundary hash, rows at it that go to test, rows at it)
+    first = boundary(df.select(cls.alias("key"), h.alias("v")),
+                     lambda n: F.filter(F.array(F.floor(n * F.lit(float(test)) + F.lit(0.5)) - 1), lambda r: r >= 0))
+    shared = {k: b for k, b in first.items() if b[1] < b[2]}
+    second = {}
+    if shared:
+        at = None
+        for k, (v, _, _) in shared.items():
+            at = (cls == k) & (h == v) if at is None else at | ((cls == k) & (h == v))
+        take = F.create_map(*[F.lit(x) for k, b in shared.items() for x in (k, b[1])])
+        second = boundary(df.where(at).select(cls.alias("key"), whole.alias("v")),
+                          lambda n: F.array(F.element_at(take, F.col("key")) - 1))
+    split, torn = F.lit("train"), F.lit(False)
+    for k, (v, _, _) in first.items():
+        inside = h <= v
+        if k in second:
+            w, some, n = second[k]
+            inside = (h < v) | ((h == v) & (whole <= w))
+            if some < n:
+                torn = torn | ((cls == k) & (h == v) & (whole == w))
+        split = F.when((cls == k) & inside, "test").otherwise(split)
+    if not any(some < n for _, some, n in second.values()):
+        return df.withColumn(out, split)
+    some = F.element_at(F.create_map(*[F.lit(x) for k, b in second.items() for x in (k, b[1])]), cls)
+    copies = df.where(torn).groupBy(*df.columns).agg(F.count(F.lit(1)).alias("__n")).withColumn("__some", some)
+    copies = copies.select(*df.columns, F.explode(F.sequence(F.lit(1).cast("long"), F.col("__n"))).alias("__i"), "__some")
+    copies = copies.select(*df.columns, F.when(F.col("__i") <= F.col("__some"), "test").otherwise("train").alias(out))
+    return df.where(~torn).withColumn(out, split).unionByName(copies)
+
+
+def three_way_split(df: DataFrame, label: str = "comfort_tier_encoded", key_cols: list[str] | None = None,
+                    test: float = 0.2, valid: float = 0.2, seed: int = 42, out: str = "split") -> DataFrame:
+    """As ``stratified_split`` with a third part ``valid``, of ``valid`` of all
+    rows of each class, so that early stopping and model choice need not see
+    the test rows."""
+    first = stratified_split(df, label, key_cols, test, seed, out)
+    rest = stratified_split(first.where(F.col(out) == "train").drop(out), label, key_cols, valid / (1 - test), seed + 1, out)
+    rest = rest.withColumn(out, F.when(F.col(out) == "test", "valid").otherwise("train"))
+    return first.where(F.col(out) == "test").unionByName(rest)
 
 
 # M2 ------------------------------------------------------------------------
@@ -150,19 +123,17 @@ def scaling_plan(ranges: DataFrame, max_limit: float = 1000.0,
 
 def apply_scaling(df: DataFrame, plan: DataFrame, features: list[str] | None = None) -> DataFrame:
     """(x - mean) / scale for the planned columns among ``features``
-    (default: the numeric columns); each statistic enters as a scalar
-    subquery of the (tiny) plan table.  Feature columns come out as double,
-    the type the model's vector assembler reads; other columns are kept."""
+    (default: the numeric columns).  The plan, a row per column, enters as one
+    map-valued scalar subquery.  Feature columns come out as double, the type
+    the model reads; other columns are kept."""
     from coachload.operators.profile import numeric_columns
+    entry = F.struct("feature", F.struct("mean", "scale"))
+    lookup = plan.where("scaled").agg(F.map_from_entries(F.collect_list(entry)).alias("m")).scalar()
     cols = {}
     for c in (features or numeric_columns(df)):
-        if c not in df.columns:
-            continue
-        p = plan.where((F.col("feature") == c) & F.col("scaled"))
-        m = p.agg(F.max("mean")).scalar()
-        s = p.agg(F.max("scale")).scalar()
-        x = F.col(c).cast("double")
-        cols[c] = F.when(m.isNull(), x).otherwise((x - m) / s)
+        if c in df.columns:
+            x, own = F.col(c).cast("double"), F.try_element_at(lookup, F.lit(c))
+            cols[c] = F.when(own.isNull(), x).otherwise((x - own["mean"]) / own["scale"])
     return df.withColumns(cols)
 
 

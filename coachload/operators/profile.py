@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from coachload.operators.quantiles import column_counts, column_quantiles, exact_quantiles
+
 NUMERIC = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType,
            T.DoubleType, T.DecimalType)
 
@@ -61,26 +63,24 @@ def missing_report(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
 
 
 # E3 / T14 ------------------------------------------------------------------
-def numeric_summary(df: DataFrame, cols: list[str] | None = None,
-                    exact: bool = True) -> DataFrame:
+def numeric_summary(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
     """count, mean, std (ddof=1), min, 25/50/75 % (linear), max per column."""
     cols = cols or numeric_columns(df)
     aggs = []
     for i, c in enumerate(cols):
         x = F.col(c).cast("double")
-        q = (F.percentile(x, [0.25, 0.5, 0.75]) if exact
-             else F.percentile_approx(x, [0.25, 0.5, 0.75], 100000))
         aggs += [F.count(x).alias(f"__n{i}"), F.avg(x).alias(f"__a{i}"),
                  F.stddev_samp(x).alias(f"__s{i}"), F.min(x).alias(f"__lo{i}"),
-                 q.alias(f"__q{i}"), F.max(x).alias(f"__hi{i}")]
+                 F.max(x).alias(f"__hi{i}")]
     wide = df.agg(*aggs)
     structs = [F.struct(F.lit(c).alias("column_name"), F.col(f"__n{i}").alias("count"),
                         F.col(f"__a{i}").alias("mean"), F.col(f"__s{i}").alias("std"),
-                        F.col(f"__lo{i}").alias("min"), F.col(f"__q{i}")[0].alias("p25"),
-                        F.col(f"__q{i}")[1].alias("p50"), F.col(f"__q{i}")[2].alias("p75"),
-                        F.col(f"__hi{i}").alias("max"))
+                        F.col(f"__lo{i}").alias("min"), F.col(f"__hi{i}").alias("max"))
                for i, c in enumerate(cols)]
-    return _explode_structs(wide, structs)
+    q = exact_quantiles(column_counts(df, cols), [0.25, 0.5, 0.75]).withColumnRenamed("key", "column_name")
+    return _explode_structs(wide, structs).join(q, "column_name", "left").select(
+        "column_name", "count", "mean", "std", "min", F.col("q")[0].alias("p25"), F.col("q")[1].alias("p50"),
+        F.col("q")[2].alias("p75"), "max")
 
 
 # E4, E8, E9 ----------------------------------------------------------------
@@ -121,8 +121,9 @@ def date_span(df: DataFrame, col: str = "leg_departure_dt") -> DataFrame:
 # E6 ------------------------------------------------------------------------
 def target_stats(df: DataFrame, col: str = "relevant_passengers_on_leg_departure") -> DataFrame:
     x = F.col(col)
-    return df.agg(F.min(x).alias("min"), F.max(x).alias("max"), F.avg(x).alias("mean"),
-                  F.percentile(x, 0.5).alias("median"), F.stddev_samp(x).alias("std"))
+    median = column_quantiles(df, col, [0.5]).select(F.col("q")[0]).scalar()
+    return (df.agg(F.min(x).alias("min"), F.max(x).alias("max"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"))
+            .select("min", "max", "mean", median.alias("median"), "std"))
 
 
 # E7 ------------------------------------------------------------------------
@@ -134,7 +135,7 @@ def iqr_outliers(df: DataFrame, col: str = "relevant_passengers_on_leg_departure
     count is a second pass with a plain predicate.
     """
     x = F.col(col)
-    quart = df.agg(F.percentile(x, [0.25, 0.75]).alias("q"))
+    quart = column_quantiles(df, col, [0.25, 0.75])
     q1 = quart.select(F.col("q")[0]).scalar()
     q3 = quart.select(F.col("q")[1]).scalar()
     iqr = q3 - q1
@@ -206,7 +207,7 @@ def quality_summary(df: DataFrame, target: str = "relevant_passengers_on_leg_dep
     num = numeric_columns(df)
     cat = string_columns(df)
     x = F.col(target)
-    quart = df.agg(F.percentile(x, [0.25, 0.75]).alias("q"))
+    quart = column_quantiles(df, target, [0.25, 0.75])
     q1 = quart.select(F.col("q")[0]).scalar()
     q3 = quart.select(F.col("q")[1]).scalar()
     lower, upper = q1 - F.lit(k) * (q3 - q1), q3 + F.lit(k) * (q3 - q1)

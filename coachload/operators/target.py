@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from coachload.operators.features import pct_of
+from coachload.operators.quantiles import column_quantiles, exact_quantiles, value_counts
 
 # Fixed values that must equal the reference's.
 TIERS = ["Quiet", "Moderate", "Busy"]
@@ -32,21 +33,12 @@ def occupancy_pct(df: DataFrame, num: str = "relevant_passengers_on_leg_departur
 # T2-T4 ---------------------------------------------------------------------
 def thresholds(df: DataFrame, method: str = "quantile", col: str = OCC,
                probs=QUANTILE_PROBS, fixed=FIXED_THRESHOLDS,
-               width: float = ADAPTIVE_WIDTH, exact: bool = True) -> DataFrame:
-    """One row (low, high).
-
-    ``quantile`` uses exact linear-interpolation percentiles (Spark's exact
-    ``percentile`` keeps a value->count map, so its memory follows the number
-    of distinct occupancy values, not rows); ``exact=False`` switches to
-    ``percentile_approx`` for unbounded-cardinality inputs.
-    """
+               width: float = ADAPTIVE_WIDTH) -> DataFrame:
+    """One row (low, high); ``quantile`` interpolates exact order statistics."""
     x = F.col(col)
     if method == "quantile":
-        if exact:
-            q = F.percentile(x, [float(p) for p in probs])
-        else:
-            q = F.percentile_approx(x, [float(p) for p in probs], 100000).cast("array<double>")
-        return df.agg(q.alias("q")).select(F.col("q")[0].alias("low"), F.col("q")[1].alias("high"))
+        q = column_quantiles(df, col, [float(p) for p in probs])
+        return q.select(F.col("q")[0].alias("low"), F.col("q")[1].alias("high"))
     if method == "fixed":
         return df.sparkSession.range(1).select(F.lit(float(fixed[0])).alias("low"),
                                                F.lit(float(fixed[1])).alias("high"))
@@ -131,15 +123,15 @@ def weekend_label(df: DataFrame, col: str = "is_weekend", out: str = "day_type")
 # T12-T14 -------------------------------------------------------------------
 def box_stats(df: DataFrame, value: str, by: str | None = None) -> DataFrame:
     """Five-number summary (+ whisker ends at 1.5 IQR) per group."""
-    x = F.col(value)
-    aggs = [F.count(x).alias("n"), F.min(x).alias("min"),
-            F.percentile(x, [0.25, 0.5, 0.75]).alias("__q"), F.max(x).alias("max")]
-    g = df.groupBy(by) if by else df.groupBy()
-    out = g.agg(*aggs)
-    out = out.select(*([by] if by else []), "n", "min",
-                     F.col("__q")[0].alias("q1"), F.col("__q")[1].alias("median"),
-                     F.col("__q")[2].alias("q3"), "max")
-    return out
+    x = F.col(value).cast("double")
+    key = F.col(by).cast("string") if by else F.lit("")
+    some = df.withColumn("__key", F.coalesce(key, F.lit("")))
+    stats = some.groupBy("__key", *([by] if by else [])).agg(F.count(x).alias("n"), F.min(x).alias("min"), F.max(x).alias("max"))
+    counts = value_counts(some.select(F.col("__key").alias("key"), x.alias("v")))
+    q = exact_quantiles(counts, [0.25, 0.5, 0.75]).withColumnRenamed("key", "__key")
+    return stats.join(q, "__key", "left").select(
+        *([by] if by else []), "n", "min", F.col("q")[0].alias("q1"), F.col("q")[1].alias("median"),
+        F.col("q")[2].alias("q3"), "max")
 
 
 def histogram(df: DataFrame, col: str = OCC, bins: int = 50) -> DataFrame:

@@ -41,7 +41,6 @@ def q_occupancy(spark, sf_dir):
 
 
 def _engineered(spark, sf_dir):
-    # legs are read three times (dictionary, thresholds, rows): write once
     feats, labels = fe.engineer(tables.legs(spark, sf_dir))
     return tg.label(feats), labels
 
@@ -73,6 +72,35 @@ def q_aligned(spark, sf_dir):
     return out.withColumn("route_distance_km", F.round("route_distance_km", 6))
 
 
+def q_groups(spark, sf_dir):
+    """the selected names by group, and which the feature table has."""
+    df, _ = _engineered(spark, sf_dir)
+    return fe.feature_group_table(spark, df.columns)
+
+
+def q_before_departure(spark, sf_dir):
+    """The feature table without the columns that leak the target."""
+    df, _ = _engineered(spark, sf_dir)
+    x, _, _ = fe.select_features(df, fe.groups_before_departure(), keep=KEY)
+    return x.withColumn("route_distance_km", F.round("route_distance_km", 6))
+
+
+def _new_columns(spark, sf_dir):
+    legs = _legs(spark, sf_dir)
+    after = fe.engineer(legs)[0]
+    return legs, after, [c for c in after.columns if c not in legs.columns]
+
+
+def q_summary(spark, sf_dir):
+    legs, after, _ = _new_columns(spark, sf_dir)
+    return fe.feature_summary(legs, after)
+
+
+def q_sample(spark, sf_dir):
+    _, after, new = _new_columns(spark, sf_dir)
+    return fe.feature_sample(after, new, KEY).withColumn("route_distance_km", F.round("route_distance_km", 6))
+
+
 QUERIES = {
     "features_time": q_time("train"),
     "features_time_serving": q_time("serve"),
@@ -84,6 +112,10 @@ QUERIES = {
     "features_matrix": q_matrix,
     "features_missing": q_missing,
     "features_aligned": q_aligned,
+    "features_groups": q_groups,
+    "features_before_departure": q_before_departure,
+    "features_summary": q_summary,
+    "features_sample": q_sample,
 }
 
 # --- oracle texts -----------------------------------------------------------
@@ -166,6 +198,10 @@ def _engineered_sql(body: str) -> str:
 _AVAILABLE = [f for f in fe.selected_features() if f != "capacity_utilization"]
 
 
+# Columns that the feature pipeline adds, in order.
+NEW = [*TIME_COLS, *LOC_COLS, *[c for c in OCC_COLS if c != "capacity_utilization"], *[c + "_encoded" for c in fe.ENCODED_COLUMNS]]
+
+
 def _sel(cols):
     return ", ".join("round(route_distance_km, 6) AS route_distance_km" if c == "route_distance_km" else c
                      for c in cols)
@@ -193,6 +229,16 @@ ORACLES = {
     "features_missing": _engineered_sql(" UNION ALL ".join(
         f"SELECT '{c}' AS column_name, COUNT(*) FILTER (WHERE {c} IS NULL) AS null_count FROM labe"
         for c in _AVAILABLE)),
+    "features_groups": "SELECT * FROM (VALUES " + ", ".join(
+        f"('{g}', {i}, '{f}', {'FALSE' if f == 'capacity_utilization' else 'TRUE'})"
+        for g, fs in fe.FEATURE_GROUPS.items() for i, f in enumerate(fs)) + ") v(feature_group, position, feature, available)",
+    "features_before_departure": _engineered_sql(
+        f"SELECT {_K}, comfort_tier_encoded, {_sel([c for c in _AVAILABLE if c not in fe.POST_DEPARTURE])} FROM labe"),
+    "features_summary": "SELECT * FROM (VALUES " + ", ".join(
+        f"('{m}', {i}, '{v}')" for m, i, v in [
+            ("original_columns", 0, len(tables.LEGS_SCHEMA)), ("final_columns", 0, len(tables.LEGS_SCHEMA) + len(NEW)),
+            ("new_features", 0, len(NEW)), *[("new_column", i + 1, c) for i, c in enumerate(NEW)]]) + ") v(metric, position, value)",
+    "features_sample": _engineered_sql(f"SELECT {_K}, {_sel(NEW)} FROM labe ORDER BY {_K} LIMIT 5"),
     "features_aligned": _engineered_sql(
         f"SELECT {_K}, " + ", ".join(
             "0 AS capacity_utilization" if c == "capacity_utilization" else

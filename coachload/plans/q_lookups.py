@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from coachload.operators import lookups as lk
 from coachload.plans import sqlparts as sq
+from coachload.session import scratch_path
 from coachload.sources import tables
 
 SAMPLE_STATION = "NATION_0"   # a station name present in the driver's nation table
@@ -67,7 +70,19 @@ def q_validation(spark, sf_dir):
     return lk.validate_lookups(lookup_set(spark, sf_dir), SAMPLE_STATION)
 
 
+def q_written(spark, sf_dir):
+    """S3: the lookup set written, read back, and counted."""
+    path = f"{scratch_path(spark, 'lookups')}-{uuid.uuid4().hex}"
+    lk.write_lookups(lookup_set(spark, sf_dir), path, route_partitions=4)
+    out = None
+    for name, df in lk.read_lookups(spark, path).items():
+        n = df.agg(F.count(F.lit(1)).alias("rows")).select(F.lit(name).alias("table_name"), "rows")
+        out = n if out is None else out.unionByName(n)
+    return out
+
+
 QUERIES = {
+    "lookup_written": q_written,
     "lookup_codes_dedup": q_codes,
     "lookup_station_locations": q_locations,
     "lookup_stations_consolidated": q_consolidated,
@@ -172,6 +187,10 @@ def _validation() -> str:
 
 
 ORACLES = {
+    "lookup_written": sq.with_ctes(*ALL_CTES, body=(
+        "SELECT 'stations' AS table_name, COUNT(*) AS rows FROM stations UNION ALL "
+        "SELECT 'service_routes_summary_mvp', COUNT(*) FROM routes UNION ALL SELECT 'historical_averages', COUNT(*) FROM hist "
+        "UNION ALL SELECT 'coach_info', COUNT(*) FROM coach UNION ALL SELECT 'metadata', 1")),
     "lookup_codes_dedup": sq.with_ctes(*CODE_CTES, body=(
         "SELECT tiploc, nd AS normalized_desc_name, nt AS normalized_tps_desc_name, od AS tiploc_orig_desc, "
         "ot AS tiploc_orig_tps_desc, crs, pn AS primary_name FROM c2")),

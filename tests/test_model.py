@@ -90,7 +90,7 @@ def test_split_hot_group_of_copies(spark):
     rows = [("hot", 0)] * 600 + [(f"k{i}", 0) for i in range(50)] + [(f"m{i}", 1) for i in range(40)]
     df = spark.createDataFrame(rows, "messageId_leg_start string, c int").repartition(7)
     df = df.withColumn("leg_departure_dt", F.lit("x"))
-    s = md.stratified_split(df, "c", rows_per_bucket=10)
+    s = md.stratified_split(df, "c")
     got = sorted(tuple(r) for r in s.groupBy("messageId_leg_start", "c", "split").count().collect())
     # brute force: per class, the round(0.2 n) smallest (hash, key) rows are test
     h = md.split_hash(["messageId_leg_start", "leg_departure_dt"])
