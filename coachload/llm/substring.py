@@ -3,7 +3,7 @@
 Every word of a window of ``window`` words whose sequence starts earlier (by
 doc_id, then place) goes; windows are judged on the input.
 
-Equal windows have equal minimizers (the least hash of their 6-word grams), so
+Equal windows have equal minimizers (the least hash of their 4-word grams), so
 a document is cut into segments, runs of windows with one minimizer, and only
 segments of one minimizer can share windows.  Minimizers that occur once, which
 is most, end there.  Segments with equal words are added up before they are
@@ -44,7 +44,7 @@ from pyspark.sql import functions as F
 
 from .base import WordHashes, as_bytes, named, slices, stored
 
-GRAM = 6
+GRAM = 4
 HOT_SEGMENTS = 1000
 SHARD_SEGMENTS = 2000
 LAST_ID = (1 << 63) - 1
@@ -63,36 +63,62 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _powers(base: int, n: int) -> np.ndarray:
-    out = np.full(n, np.uint64(base))
-    out[0] = 1
-    return np.cumprod(out, dtype=np.uint64)
+class Powers:
+    """Powers of the base and of its inverse, as many as the longest document
+    so far needs."""
+
+    def __init__(self):
+        self.up = self.down = np.ones(1, np.uint64)
+
+    def of(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        if n > len(self.up):
+            more = [np.full(2 * n, np.uint64(base)) for base in (_BASE, _BACK)]
+            for x in more:
+                x[0] = 1
+            self.up, self.down = (np.cumprod(x, dtype=np.uint64) for x in more)
+        return self.up[:n], self.down[:n]
 
 
 class Ranges:
     """Hash of any range of a document's words."""
 
-    def __init__(self, hashes: np.ndarray):
-        n = len(hashes) + 1
-        self.back = _powers(_BACK, n)
-        self.sums = np.zeros(n, np.uint64)
-        np.cumsum(hashes * _powers(_BASE, n)[:-1], dtype=np.uint64, out=self.sums[1:])
+    def __init__(self, hashes: np.ndarray, powers: Powers):
+        up, self.back = powers.of(len(hashes) + 1)
+        self.sums = np.zeros(len(hashes) + 1, np.uint64)
+        np.cumsum(hashes * up[:-1], dtype=np.uint64, out=self.sums[1:])
 
     def of(self, start: np.ndarray, length: np.ndarray) -> np.ndarray:
         h = (self.sums[start + length] - self.sums[start]) * self.back[start]
         return _mix(h + _MUL * length.astype(np.uint64))
 
+    def all(self, length: int) -> np.ndarray:
+        """Of every range of that length."""
+        n = len(self.sums) - length
+        return _mix((self.sums[length:] - self.sums[:n]) * self.back[:n])
+
+
+def least_places(values: np.ndarray, width: int) -> np.ndarray:
+    """For each run of ``width`` values, the place of the least (by its upper
+    bits; the first of equals): minima of runs twice as long, again and again."""
+    bits = np.uint64(max(len(values).bit_length(), 1))
+    m = values >> bits << bits | np.arange(len(values), dtype=np.uint64)
+    done = 1
+    while 2 * done <= width:
+        m = np.minimum(m[:-done], m[done:])
+        done *= 2
+    if done < width:
+        m = np.minimum(m[:len(m) - (width - done)], m[width - done:])
+    return (m & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
+
 
-def segments(hashes: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def segments(ranges: Ranges, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(minimizer, first window, number of windows) of each segment."""
-    n = len(hashes) - window + 1
+    n = len(ranges.sums) - window
     if n < 1:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
     gram = min(GRAM, window)
-    g = np.full(len(hashes) - gram + 1, np.uint64(gram))
-    for i in range(gram):
-        g = _mix(g * _MUL + hashes[i:len(g) + i])
-    least = np.lib.stride_tricks.sliding_window_view(g, window - gram + 1).argmin(axis=1) + np.arange(n)
+    g = ranges.all(gram)
+    least = least_places(g, window - gram + 1)
     first = np.flatnonzero(np.concatenate([[True], least[1:] != least[:-1]]))
     return g[least[first]], first, np.diff(np.append(first, n))
 
@@ -107,7 +133,7 @@ def tie_of(text: bytes) -> int:
 
 def _segmented(window: int):
     def run(batches):
-        cache = WordHashes()
+        cache, powers = WordHashes(), Powers()
         for b in batches:
             for part in slices(b, 1):
                 out = []
@@ -115,9 +141,9 @@ def _segmented(window: int):
                     words = text.split()
                     if len(words) < window:
                         continue
-                    h = cache.of(words)
-                    keys, first, count = segments(h, window)
-                    out.append((keys, Ranges(h).of(first, count + window - 1), np.full(len(keys), doc_id, np.int64),
+                    ranges = Ranges(cache.of(words), powers)
+                    keys, first, count = segments(ranges, window)
+                    out.append((keys, ranges.of(first, count + window - 1), np.full(len(keys), doc_id, np.int64),
                                 _place(tie_of(text), first, count)))
                 if out:
                     key, words, ids, place = (np.concatenate(x) for x in zip(*out))
@@ -240,14 +266,14 @@ def _cut(batches):
 def _windows(window: int):
     """Cut segments -> their single windows (hash of the words, id, place)."""
     def run(batches):
-        cache = WordHashes()
+        cache, powers = WordHashes(), Powers()
         for b in batches:
             _, ids, ties, starts, texts = (c.to_pylist() for c in b.columns)
             out = []
             for doc_id, tie, start, text in zip(ids, ties, starts, texts):
                 h = cache.of(text.split(b" "))
                 at = np.arange(len(h) - window + 1)
-                out.append((Ranges(h).of(at, np.full(len(at), window)), np.full(len(at), doc_id, np.int64),
+                out.append((Ranges(h, powers).of(at, np.full(len(at), window)), np.full(len(at), doc_id, np.int64),
                             _place(tie, at + start, np.ones(len(at), np.int64))))
             if out:
                 words, ids, place = (np.concatenate(x) for x in zip(*out))
@@ -310,7 +336,9 @@ def repeated_spans(docs: DataFrame, window: int) -> DataFrame:
     if window - min(GRAM, window) + 1 >= 1 << COUNT_BITS:
         raise ValueError("the window is too long for segments")
     cut = docs.mapInArrow(_segmented(window), "key long, words long, id long, place long")
-    often = cut.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key")
+    # stored, so that it comes to the join by an exchange of its own and the
+    # rows of a frequent minimizer can be split
+    often = stored(cut.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key"), "often")
     found = stored(cut.join(often, "key"), "segments")
 
     first = F.struct("id", "place")

@@ -63,13 +63,13 @@ def test_matching_statistics_against_brute_force():
 def test_segments_cover_all_windows_and_group_equal_ones():
     cache, text = WordHashes(), random.Random(3).choices([b"a", b"b", b"c"], k=400)
     h = cache.of(text)
-    keys, first, count = substring.segments(h, 20)
+    ranges = substring.Ranges(h, substring.Powers())
+    keys, first, count = substring.segments(ranges, 20)
     assert first[0] == 0 and count.sum() == 381 and (first[1:] == first[:-1] + count[:-1]).all()
     of = {}
     for k, f, n in zip(keys.tolist(), first.tolist(), count.tolist()):
         for i in range(f, f + n):
             assert of.setdefault(tuple(text[i:i + 20]), k) == k
-    ranges = substring.Ranges(h)
     a = ranges.of(np.arange(381), np.full(381, 20))
     assert len(set(a.tolist())) == len({tuple(text[i:i + 20]) for i in range(381)})
 
@@ -107,11 +107,10 @@ def test_n_best_against_brute_force(model):
         want = brute(model, " " + text, 5)
         [(ids, paths, found)] = chunks.encode_all([text])
         assert [round(s, 6) for s, _ in paths] == [round(s, 6) for s, _ in want]
-        own = {tuple(itertools.chain.from_iterable(o.get(i, x[0]) for i, x in enumerate(found))) for _, o in paths}
-        assert len(own) == len(paths) and own <= {i for _, i in brute(model, " " + text, 10 ** 9)}
-        assert model.decode(ids).decode() == text
-        spliced = [x for x in pieces.path_bytes(ids, paths, found)]
-        assert {tuple(np.frombuffer(x, "<u4").tolist()) for x in spliced} == own
+        own = [tuple(np.frombuffer(x, "<u4").tolist()) for x in pieces.path_bytes(ids, paths, found)]
+        every = {i: s for s, i in brute(model, " " + text, 10 ** 9)}
+        assert len(set(own)) == len(paths) and all(round(every[i], 6) == round(s, 6) for i, (s, _) in zip(own, paths))
+        assert model.decode(np.frombuffer(ids, "<u4")).decode() == text
 
 
 def test_paths_are_the_librarys(model):
