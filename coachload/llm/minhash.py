@@ -280,7 +280,9 @@ def near_copies(docs: DataFrame, percent: int = 80, width: int = 5, id_col: str
     classes = stored(rows.filter("n > 0").groupBy("digest").agg(F.min("rid").alias("rep")), "classes")
     reps = rows.join(classes.select(F.col("rep").alias("rid")), "rid", "left_semi")
     postings = reps.select("rid", "sig").mapInArrow(_posted(need), "key long, rep long, g int")
-    shared = postings.groupBy("key").agg(F.count("*").alias("members")).filter("members > 1")
+    # stored, so that it comes to the join by an exchange of its own and the
+    # members of a long list can be split
+    shared = stored(postings.groupBy("key").agg(F.count("*").alias("members")).filter("members > 1"), "shared")
     lists = stored(postings.join(shared, "key"), "lists")
     content = stored(rows.select(F.col("rid").alias("rep"), "sig", "n", "z")
                      .join(lists.select("rep").distinct(), "rep", "left_semi"), "content")
