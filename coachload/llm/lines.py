@@ -207,8 +207,10 @@ def _kept(with_text: bool):
 
 
 def _shared(keys: DataFrame) -> DataFrame:
-    """Keys that two different lines have."""
-    return keys.groupBy("key").agg(F.min("line").alias("a"), F.max("line").alias("b")).filter("a <> b").select("key")
+    """Keys that two different lines have; stored, so that they come to a join
+    by an exchange of their own and the rows of a frequent key can be split."""
+    found = keys.groupBy("key").agg(F.min("line").alias("a"), F.max("line").alias("b")).filter("a <> b")
+    return stored(found.select("key"), "shared")
 
 
 def near_lines(own: DataFrame, firsts: DataFrame) -> DataFrame:
