@@ -52,10 +52,14 @@ NORMAL, USER_DEFINED, BYTE = 1, 4, 6
 UNKNOWN_PENALTY = 10.0
 
 MODEL_BYTES = 16 << 20
-CACHED_CHUNKS = 900_000
+CACHED_CHUNKS = 500_000  # about 300 bytes each
 CHUNKS = re.compile(r" +[^ ]*")
 
 
+def as_u4(ids) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
 def _varint(data: bytes, i: int) -> tuple[int, int]:
     value = shift = 0
     while True:
@@ -130,8 +134,8 @@ class PieceModel:
             out.insert(0, (end - 1, self.unknown, self._unknown(text[end - 1])))
         return out[::-1]
 
-    def best(self, texts: list[str], before: str = "") -> Iterator[tuple[tuple[int, ...], float, float]]:
-        """Forward Viterbi of ``before`` + each text: ids and score of the best
+    def best(self, texts: list[str], before: str = "") -> Iterator[tuple[bytes, float, float]]:
+        """Forward Viterbi of ``before`` + each text: ids (as bytes) and score of the best
         path, and how much the second best loses against it.  Of sorted texts
         each takes over its common beginning with the one before it."""
         get, done = self.table.get, ""
@@ -175,16 +179,16 @@ class PieceModel:
                     ids.extend(reversed(piece))
             ids.reverse()
             done = text
-            yield tuple(ids), first[n], first[n] - second[n]
+            yield as_u4(ids), first[n], first[n] - second[n]
 
-    def segmentations(self, text: str, n: int) -> list[tuple[float, tuple[int, ...]]]:
-        """The n best (score, ids) of one chunk."""
+    def segmentations(self, text: str, n: int) -> list[tuple[float, bytes]]:
+        """The n best (score, ids as bytes) of one chunk."""
         into: list[list] = [[]]
         best = [0.0]
         for end in range(1, len(text) + 1):
             into.append(self.arcs(text, end))
             best.append(max(best[start] + score for start, score, _ in into[end]))
-        return [(score, tuple(chain.from_iterable(path))) for score, path in search(best, into.__getitem__, n)]
+        return [(score, as_u4(tuple(chain.from_iterable(path)))) for score, path in search(best, into.__getitem__, n)]
 
     def decode(self, ids) -> bytes:
         out = b"".join(map(self.raw.__getitem__, ids))
@@ -216,8 +220,8 @@ def search(best: list[float], arcs, n: int) -> list[tuple[float, list]]:
 
 
 class Chunks(dict):
-    """Chunk (without its first space) -> (ids, score, loss of the second
-    best) of its best path."""
+    """Chunk (without its first space) -> (ids as little-endian u32 bytes,
+    score, loss of the second best) of its best path."""
 
     def __init__(self, model: PieceModel, n: int):
         super().__init__()
@@ -254,10 +258,10 @@ class Chunks(dict):
             out[i] = self._encoded(own, list(map(self.__getitem__, own)))
         return out
 
-    def _encoded(self, keys: list[str], found: list) -> tuple[list[int], list[tuple[float, dict[int, tuple[int, ...]]]], list]:
+    def _encoded(self, keys: list[str], found: list) -> tuple[bytes, list[tuple[float, dict[int, bytes]]], list]:
         if not keys:
-            return [], [(0.0, {})], []
-        ids = list(chain.from_iterable(map(itemgetter(0), found)))
+            return b"", [(0.0, {})], []
+        ids = b"".join(map(itemgetter(0), found))
         total = math.fsum(map(itemgetter(1), found))
         loss = np.fromiter(map(itemgetter(2), found), np.float64, len(found))
         few = np.argsort(loss, kind="stable")[:self.n - 1].tolist()
@@ -280,22 +284,21 @@ def load_model(spark: SparkSession, path: str):
     return spark.sparkContext.broadcast(data)
 
 
-def as_u4(ids) -> bytes:
-    return np.array(ids, "<u4").tobytes()
-
-
-def path_bytes(ids: list[int], paths: list, found: list) -> Iterator[bytes]:
-    """The ids of each path as little-endian u32: the best path's, with the
-    deviating chunks' ids in place of theirs."""
-    best = as_u4(ids)
-    ends = np.cumsum(np.fromiter((len(x[0]) for x in found), np.int64, len(found))).tolist()
+def path_bytes(ids: bytes, paths: list, found: list) -> Iterator[bytes]:
+    """The ids of each path: the best path's, with the deviating chunks' ids
+    in place of theirs."""
+    ends = np.cumsum(np.fromiter((len(x[0]) for x in found), np.int64, len(found))).tolist() if len(paths) > 1 else []
     for _, other in paths:
         parts, at = [], 0
         for i in sorted(other):
-            end = 4 * ends[i]
-            parts += [best[at:end - 4 * len(found[i][0])], as_u4(other[i])]
-            at = end
-        yield b"".join([*parts, best[at:]])
+            parts += [ids[at:ends[i] - len(found[i][0])], other[i]]
+            at = ends[i]
+        yield b"".join([*parts, ids[at:]]) if parts else ids
+
+
+def id_lists(ids: list[bytes]) -> pa.ListArray:
+    ends = np.cumsum([0, *(len(x) // 4 for x in ids)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(ids), "<i4")))
 
 
 PATH = "array<struct<score:double,n_tokens:int,ids_crc32:long>>"
@@ -323,11 +326,11 @@ def encode(docs: DataFrame, model_path: str, n_best: int = 4, text_col: str = "t
                     told = [{"score": score, "n_tokens": len(path) // 4, "ids_crc32": zlib.crc32(path)}
                             for (score, _), path in zip(paths, path_bytes(own, paths, found))]
                     ids.append(own)
-                    counts.append(len(own))
+                    counts.append(len(own) // 4)
                     scores.append(paths[0][0])
                     nbest.append(told)
-                    same.append(chunks.model.decode(own) == raw)
-                columns = [*part.columns[:len(rest)], *([pa.array(ids, pa.list_(pa.int32()))] if with_ids else []),
+                    same.append(chunks.model.decode(np.frombuffer(own, "<u4").tolist()) == raw if own else not raw)
+                columns = [*part.columns[:len(rest)], *([id_lists(ids)] if with_ids else []),
                            pa.array(counts, pa.int64()), pa.array(scores, pa.float64()), pa.array(nbest, kinds), pa.array(same)]
                 yield pa.RecordBatch.from_arrays(columns, [*rest, *(x.split()[0] for x in new)])
 
