@@ -23,9 +23,13 @@ LOWER = "abcdefghijklmnopqrstuvwxyz"
 
 # Words a task remembers at most; the cache starts anew beyond it, so a task's
 # memory does not follow the vocabulary.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 200_000
 # Text a task handles at a time, in bytes (or one document).
 PART_BYTES = 4 << 20
+# Bytes of one Arrow batch between Spark and Python, unless the session says
+# otherwise; texts in Spark's default of 64 MB would fill off-heap memory.
+BATCH_BYTES = 8 << 20
+BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 class WordHashes(dict):
@@ -44,10 +48,16 @@ class WordHashes(dict):
 def named(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Only the id and the text, under known names; whatever else the table
     has, clashing names included, stays out."""
+    bound_batches(docs.sparkSession)
     return docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"),
                        F.col(f"`{text_col}`").cast("string").alias("text"))
 
 
+def bound_batches(spark: SparkSession) -> None:
+    if spark.conf.get(BATCH_SETTING, None) in (None, "67108864", "67108864b", "64MB"):
+        spark.conf.set(BATCH_SETTING, str(BATCH_BYTES))
+
+
 def as_bytes(text: str = "text") -> Column:
     """UTF-8 bytes of a text, null as empty: words are split on ASCII, so
     tasks need not decode."""

@@ -13,8 +13,9 @@ counted over all coordinates (the merge skips a pair once it cannot reach
 Components don't need all pairs of a list.  Two rounds link each list's members
 to a few hubs only, which joins large groups of near copies in linear work.
 What then still lies in one list under different labels is compared in blocks:
-every member is in one block as a target, and the members outside the list's
-most frequent label go to all blocks as queries.  A block counts collisions of
+every member is in one block of targets, and the members outside the list's
+most frequent label are in one block of queries too; each block of queries
+meets each block of targets, so a task's group is bounded.  It counts collisions of
 all its pairs at once, takes each pair in the first list it shares only,
 confirms the rest by one product of shingle-incidence matrices, and emits a
 spanning forest of the links found, so its output is linear in its members.
@@ -45,7 +46,7 @@ from .components import components
 
 K = 128
 HUBS = 4
-BLOCK = 1024
+BLOCK = 512
 COLUMNS = 4096  # of an incidence matrix at a time
 _MUL = np.uint64(0x9E3779B97F4A7C15)
 
@@ -210,8 +211,8 @@ def spanning(pairs: np.ndarray, reps: np.ndarray, labs: np.ndarray) -> list[tupl
 
 
 def _compared(percent: int, width: int, need: int):
-    """Rows of one block (key, block, g, query, rep, lab, sig, n, z) -> links
-    that join all labels which a query and a target link."""
+    """Rows of one pair of blocks (key, i, j, g, query, rep, lab, sig, n, z) ->
+    links that join all labels which a query and a target link."""
     starts = np.array([g[0] for g in groups_of(need)])
 
     def run(key, t):
@@ -257,7 +258,8 @@ def _open_lists(lists: DataFrame, labels: DataFrame | None) -> DataFrame:
         return of
     by = of.groupBy("key", "lab").agg(F.count("*").alias("n"))
     some = (by.groupBy("key").agg(F.max_by("lab", F.struct("n", "lab")).alias("main"), F.count("*").alias("labs"),
-                                  F.sum("n").alias("n")).filter("labs > 1").select("key", "main", "n"))
+                                  F.sum("n").alias("n"), F.max("n").alias("most"))
+            .filter("labs > 1").select("key", "main", "n", (F.col("n") - F.col("most")).alias("n_rest")))
     return stored(of.join(some, "key"), "open")
 
 
@@ -311,12 +313,18 @@ def near_copies(docs: DataFrame, percent: int = 80, width: int = 5, id_col: str
 
 def _block_links(of: DataFrame, content: DataFrame, percent: int, width: int, need: int) -> DataFrame:
     """Links between different labels of one list, found in blocks."""
-    of = of.withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")).drop("n")
-    own = F.pmod(F.xxhash64("rep"), F.col("blocks").cast("long")).cast("int")
-    targets = of.select("key", "g", own.alias("block"), F.lit(False).alias("query"), "rep", "lab")
+    def block(seed: int, of: str):
+        return F.pmod(F.xxhash64("rep", F.lit(seed)), F.col(of).cast("long")).cast("int")
+
+    def every(of: str):
+        return F.explode(F.sequence(F.lit(0), F.col(of) - 1))
+
+    of = of.withColumns({"t_blocks": F.ceil(F.col("n") / BLOCK).cast("int"), "q_blocks": F.ceil(F.col("n_rest") / BLOCK).cast("int")})
+    row = ["key", "g", "rep", "lab"]
+    targets = of.select(*row, block(1, "t_blocks").alias("i"), every("q_blocks").alias("j"), F.lit(False).alias("query"))
     queries = (of.filter("lab <> main")
-               .select("key", "g", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(True).alias("query"), "rep", "lab"))
-    return (targets.union(queries).join(content, "rep").groupBy("key", "block")
+               .select(*row, every("t_blocks").alias("i"), block(2, "q_blocks").alias("j"), F.lit(True).alias("query")))
+    return (targets.union(queries).join(content, "rep").groupBy("key", "i", "j")
             .applyInArrow(_compared(percent, width, need), "a long, b long"))
 
 

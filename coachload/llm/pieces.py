@@ -44,7 +44,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .base import as_bytes, of_worker, slices
+from .base import as_bytes, bound_batches, of_worker, slices
 
 # Fixed values of the model file's format.
 SPACE_MARK = "▁"
@@ -309,6 +309,7 @@ def encode(docs: DataFrame, model_path: str, n_best: int = 4, text_col: str = "t
     score, nbest (score, n_tokens, ids_crc32 of each path, best first), and
     round_trip (decoding gives the text).  Columns of ``docs`` that have one
     of these names give way."""
+    bound_batches(docs.sparkSession)
     shared = load_model(docs.sparkSession, model_path)
     new = [*(["ids array<int>"] if with_ids else []), "n_tokens long", "score double", f"nbest {PATH}", "round_trip boolean"]
     names = {x.split()[0] for x in new}

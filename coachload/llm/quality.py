@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import remainder
+from .base import bound_batches, remainder
 
 WORD_BUCKETS = 1 << 16
 STRUCTURE = 14
@@ -206,6 +206,7 @@ def _small(model: FactorisationMachine):
 def score_quality(docs: DataFrame, model: FactorisationMachine, id_col: str = "doc_id", text_col: str = "text",
                   meta_cols: tuple[str, ...] = ("n_chars",)) -> DataFrame:
     """Per row of ``docs``: doc_id, score (0 to 1, higher: label 1 likelier)."""
+    bound_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(_small(model))
     meta_at = [2 + i for i in range(len(meta_cols))]
 
@@ -224,6 +225,7 @@ def score_quality(docs: DataFrame, model: FactorisationMachine, id_col: str = "d
 def keep_quality(docs: DataFrame, model: FactorisationMachine, text_col: str = "text",
                  meta_cols: tuple[str, ...] = ("n_chars",), keep_from: float = KEEP_FROM) -> DataFrame:
     """The rows of ``docs``, all columns, that score ``keep_from`` or more."""
+    bound_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(_small(model))
     text_at, meta_at = docs.columns.index(text_col), [docs.columns.index(c) for c in meta_cols]
 
