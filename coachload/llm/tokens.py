@@ -30,11 +30,12 @@ import os
 import struct
 import uuid
 import zlib
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
@@ -50,6 +51,7 @@ TRAILER = "<QQQQQ8s"  # ids, documents, blocks, start of documents, start of ind
 GROUP = 256  # blocks handled at a time
 
 VOCABULARY_BYTES = 64 << 20
+ENCODE_BYTES = 16 << 20
 CACHED_WORDS = 1_400_000  # about 200 bytes each
 # Trailing marks that are tokens of their own after a letter or digit.
 TAIL_MARKS = b".,!?;:|"
@@ -86,7 +88,7 @@ def encode_blocks(ids: np.ndarray) -> list[bytes]:
     v = ids.reshape(-1, BLOCK)
     least = v.min(axis=1)
     rest = v - least[:, None]
-    bits = np.ceil(np.log2(rest.astype(np.float64) + 1)).astype(np.uint8)
+    bits = np.frexp(rest.astype(np.float64))[1].astype(np.uint8)  # bit lengths
     at = min(BLOCK - 1, -(-BLOCK * PERCENTILE // 100) - 1)
     widths = np.partition(bits, at, axis=1)[:, at]
     out: list[bytes] = [b""] * len(v)
@@ -139,10 +141,14 @@ class Writer:
         self.at += len(data)
 
     def add(self, doc_id: int | None, ids: np.ndarray) -> None:
+        self.add_all([doc_id], ids, np.array([len(ids)]))
+
+    def add_all(self, doc_ids: list[int | None], ids: np.ndarray, counts: np.ndarray) -> None:
+        """The ids of several documents, one after the other."""
+        self.ids += [i or 0 for i in doc_ids]
+        self.nulls += [i is None for i in doc_ids]
+        self.ends += (self.count + np.cumsum(counts)).tolist()
         self.count += len(ids)
-        self.ids.append(doc_id or 0)
-        self.nulls.append(doc_id is None)
-        self.ends.append(self.count)
         self.waiting.append(ids)
         self.n_waiting += len(ids)
         if self.n_waiting >= BLOCK * GROUP:
@@ -231,7 +237,7 @@ class Encoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.library = Tokenizer.from_str(data.decode())
         self.by_word = by_word
-        self.added = [t.content.lower().encode() for t in self.library.get_added_tokens_decoder().values()]
+        self.added = [t.content.lower() for t in self.library.get_added_tokens_decoder().values()]
         self.known: dict[bytes, bytes] = {}
 
     def _whole(self, raw: bytes) -> bytes:
@@ -263,36 +269,56 @@ class Encoder:
             self.known[w] = raw[4 * cuts[i]:4 * cuts[i + 1]]
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
-        if not self.by_word:
-            found = self.library.encode_batch([t.decode("utf-8", "replace") for t in texts], add_special_tokens=False)
-            return [np.array(x.ids, "<u4").tobytes() for x in found]
-        out: list[bytes] = [b""] * len(texts)
-        words: dict[int, list[bytes]] = {}
-        new: set[bytes] = set()
-        get, join = self.known.get, b"".join
-        for i, text in enumerate(texts):
-            low = text.lower()
-            if any(a in low for a in self.added):
-                out[i] = self._whole(text)
-                continue
-            own = low.split()
-            found = list(map(get, own))
-            try:
-                out[i] = join(found)
-            except TypeError:  # a None: some words are new
-                words[i] = own
-                new.update(w for w, ids in zip(own, found) if ids is None)
-        if len(self.known) + len(new) > CACHED_WORDS:
+        """Ids of each text."""
+        ids, counts = self.encode_all(pa.array(texts, pa.binary()))
+        ends = np.cumsum(counts)
+        return [ids[e - n:e].astype("<u4").tobytes() for e, n in zip(ends.tolist(), counts.tolist())]
+
+    def encode_all(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts (binary) one after the other, and how many each
+        has.  Words are split and told apart in columns, so that only a
+        batch's distinct words are looked up one by one."""
+        low = pc.ascii_lower(texts.cast(pa.string(), safe=False)) if self.by_word else None
+        if low is None or any(pc.any(pc.match_substring(low, a)).as_py() for a in self.added):
+            own = [np.frombuffer(self._whole(t), "<u4") for t in texts.to_pylist()]
+            return np.concatenate([np.zeros(0, np.uint32), *own]), np.array([len(x) for x in own], np.int64)
+        words = pc.ascii_split_whitespace(low)
+        ends = np.cumsum(pc.list_value_length(words).to_numpy(zero_copy_only=False).astype(np.int64))
+        coded = words.flatten().dictionary_encode()
+        distinct = coded.dictionary.cast(pa.binary()).to_pylist()
+        ids = list(map(self.known.get, distinct))
+        missing = [i for i, x in enumerate(ids) if x is None]
+        if len(self.known) + len(missing) > CACHED_WORDS:
             self.known.clear()
-            new = set(chain.from_iterable(words.values()))
-        self._learn(new)
-        for i, own in words.items():
-            out[i] = join(map(self.known.__getitem__, own))
-        return out
+            missing = range(len(distinct))
+        self._learn({distinct[i] for i in missing})
+        for i in missing:
+            ids[i] = self.known[distinct[i]]
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)),
+                                         pa.array(np.frombuffer(b"".join(ids), "<u4")))
+        at = coded.indices
+        through = np.concatenate([[0], np.cumsum(sizes[at.to_numpy()])])[np.concatenate([[0], ends])]
+        return lists.take(at).flatten().to_numpy(), np.diff(through)
 
 
 # -- Spark ----------------------------------------------------------------------------------------
 
+def gathered(batches) -> Iterator[pa.Table]:
+    """Batches put together up to about ENCODE_BYTES of text: the more text at
+    a time, the fewer distinct words in it."""
+    held, size = [], 0
+    for b in batches:
+        for part in slices(b, 1):
+            held.append(part)
+            size += part.nbytes
+            if size >= ENCODE_BYTES:
+                yield pa.Table.from_batches(held)
+                held, size = [], 0
+    if held:
+        yield pa.Table.from_batches(held)
+
+
 def write_tokens(docs: DataFrame, folder: str, vocabulary: str, end_id: int | None = None, by_word: bool = False,
                  id_col: str = "doc_id", text_col: str = "text") -> list[tuple[str, int]]:
     """Writes the files; (name, number of ids) of each in document order, a
@@ -302,22 +328,28 @@ def write_tokens(docs: DataFrame, folder: str, vocabulary: str, end_id: int | No
     if len(data) > VOCABULARY_BYTES:
         raise ValueError(f"{vocabulary} is larger than {VOCABULARY_BYTES} bytes")
     shared = docs.sparkSession.sparkContext.broadcast(data)
-    end = b"" if end_id is None else np.array([end_id], "<u4").tobytes()
+
+    def with_end(ids: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        if end_id is None:
+            return ids, counts
+        out = np.full(len(ids) + len(counts), end_id, np.uint32)
+        own = np.ones(len(out), bool)
+        own[np.cumsum(counts + 1) - 1] = False
+        out[own] = ids
+        return out, counts + 1
 
     def run(batches):
         encoder = of_worker(("tokens", vocabulary, by_word), lambda: Encoder(shared.value, by_word))
         fs, root = pafs.FileSystem.from_uri(folder)
         name = f"part-{TaskContext.get().partitionId():06d}.pfr"
         writer = None
-        for b in batches:
-            for part in slices(b, 1):
-                if writer is None:
-                    fs.create_dir(root, recursive=True)
-                    trial = f"{root}/.{name}-{uuid.uuid4().hex}"
-                    stream = fs.open_output_stream(trial)
-                    writer = Writer(stream)
-                for doc_id, ids in zip(part.column(0).to_pylist(), encoder.encode(part.column(1).to_pylist())):
-                    writer.add(doc_id, np.frombuffer(ids + end, "<u4").astype(np.uint32))
+        for part in gathered(batches):
+            if writer is None:
+                fs.create_dir(root, recursive=True)
+                trial = f"{root}/.{name}-{uuid.uuid4().hex}"
+                stream = fs.open_output_stream(trial)
+                writer = Writer(stream)
+            writer.add_all(part.column("doc_id").to_pylist(), *with_end(*encoder.encode_all(part.column("text").combine_chunks())))
         if writer is not None:
             writer.close()
             stream.close()
