@@ -395,7 +395,8 @@ def score(requests: DataFrame, lookups: dict[str, DataFrame], model, labels: Dat
 def nest(flat: DataFrame) -> DataFrame:
     """P8 nested form: one row per request row with its predictions in request
     order.  The list holds a request's own departures only, which one input
-    row held before; requests that repeat an id stay apart."""
+    row held before; requests that repeat an id stay apart (by the row id that
+    ``score`` gives; a table without it has one request per ``request_id``)."""
     item = F.struct(
         "pos", "from_tiploc", "to_tiploc", "from_station", "to_station", "departure_datetime",
         F.struct(F.col("standard_tier").alias("comfort_tier"),
@@ -406,7 +407,8 @@ def nest(flat: DataFrame) -> DataFrame:
                  F.col("first_score").alias("numeric_score")).alias("first_class"),
         F.struct("headcode", "rsid", "next_stop", "fallback_used", "time_fallback",
                  "route_fallback").alias("service_info"))
-    out = flat.groupBy(ROW_ID, "request_id", "status", "error").agg(
+    row = [ROW_ID] if ROW_ID in flat.columns else []
+    out = flat.groupBy(*row, "request_id", "status", "error").agg(
         F.sort_array(F.collect_list(F.when(F.col("pos").isNotNull(), item))).alias("predictions"))
     return out.select("request_id", "status", "error",
                       F.when(F.col("status") == 200, F.col("predictions")).alias("predictions"))

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from coachload.operators import boosting as bo, features as fe, lookups as lk, model as md
 from coachload.operators import scoring as sc, target as tg
-from coachload.session import build_session, cut_lineage
+from coachload.session import build_session, materialize
 from coachload.sources import requests as rq, tables
 
 
@@ -39,35 +39,48 @@ def build_lookup_job(legs: DataFrame, codes: DataFrame, out: str,
 
 def train_job(legs: DataFrame, out: str, method: str = "quantile",
               estimator: bo.SoftmaxBoosting | None = None, grid: list[dict] | None = None,
-              folds: int = 3) -> dict:
-    """Train, evaluate and save the bundle; returns the evaluation summary."""
+              folds: int = 3, three_way: bool = False, before_departure: bool = False) -> dict:
+    """Train, evaluate and save the bundle; returns the evaluation summary.
+
+    ``three_way``: early stopping and model choice use a validation part, and
+    the test rows are only reported on (the reference lets the test rows
+    decide).  ``before_departure``: without the columns that are known only
+    after the leg has left, which the target is computed from."""
+    label = "comfort_tier_encoded"
     feats, labels = fe.engineer(legs)
-    thr = cut_lineage(tg.thresholds(tg.occupancy_pct(legs), method))
-    data = md.stratified_split(tg.encode_tier(tg.assign_tier(tg.occupancy_pct(feats), thr)),
-                               "comfort_tier_encoded")
-    _, features, _ = fe.select_features(data)
+    thr = materialize(tg.thresholds(tg.occupancy_pct(legs), method), "thresholds")
+    groups = fe.groups_before_departure() if before_departure else None
+    _, features, _ = fe.select_features(feats, groups)
+    data = tg.encode_tier(tg.assign_tier(tg.occupancy_pct(feats), thr)).select(*tables.LEG_KEY, label, *features)
+    data = (md.three_way_split if three_way else md.stratified_split)(data, label)
     train = data.where(F.col("split") == "train")
-    test = data.where(F.col("split") == "test")
-    plan = cut_lineage(md.scaling_plan(md.feature_ranges(train, features)))
-    train_s, test_s = md.apply_scaling(train, plan, features), md.apply_scaling(test, plan, features)
+    plan = materialize(md.scaling_plan(md.feature_ranges(train, features)), "scaling")
+    data = md.apply_scaling(data, plan, features)
+
+    def part(name: str) -> DataFrame:
+        return data.where(F.col("split") == name)
+
+    decides = part("valid" if three_way else "test")
     est = estimator or bo.SoftmaxBoosting()
-    model = est.fit(train_s, features, "comfort_tier_encoded", test_s)
+    model = est.fit(part("train"), features, label, decides)
 
-    def test_accuracy(m) -> float:
-        p = m.transform(test_s).withColumnRenamed("comfort_tier_encoded", "label")
-        return md.accuracy(p).first()["accuracy"]
+    def accuracies(m) -> dict[str, float]:
+        p = m.transform(data).withColumnRenamed(label, "label")
+        return {r["split"]: r["accuracy"] for r in md.accuracy(p, by="split").collect()}
 
-    initial_acc = test_accuracy(model)
-    chosen, which, tuned_acc, best = model, "initial", None, None
-    if grid:
-        res = bo.grid_search(train_s, features, "comfort_tier_encoded", est, grid, folds)
+    initial = accuracies(model)
+    chosen, which, tuned, best = model, "initial", None, None
+    if grid is not None:
+        res = bo.grid_search(part("train"), features, label, est, grid or None, folds)
         best = json.loads(res.orderBy(F.desc("mean_accuracy"), "setting").first()["params"])
-        tuned = est.copy(**best).fit(train_s, features, "comfort_tier_encoded", test_s)
-        tuned_acc = test_accuracy(tuned)
-        chosen, which = md.choose(model, tuned, initial_acc, tuned_acc)
-    info = {"feature_list": features, "threshold_method": method, "chosen": which,
-            "test_accuracy_initial": initial_acc, "test_accuracy_tuned": tuned_acc,
-            "best_params": best if which == "tuned" else None}
+        other = est.copy(**best).fit(part("train"), features, label, decides)
+        tuned = accuracies(other)
+        key = "valid" if three_way else "test"
+        chosen, which = md.choose(model, other, initial[key], tuned[key])
+    info = {"feature_list": features, "threshold_method": method, "chosen": which, "classes": md.CLASS_NAMES,
+            "best_iteration": chosen.best_iteration, "history": chosen.history,
+            "train_accuracy_initial": initial.get("train"), "test_accuracy_initial": initial.get("test"),
+            "test_accuracy_tuned": tuned and tuned.get("test"), "best_params": best if which == "tuned" else None}
     bo.save_bundle(out, chosen, labels, thr, plan, info)
     return info
 

@@ -17,6 +17,7 @@ def test_lookup_train_score(spark, tmp_path):
                           estimator=bo.SoftmaxBoosting(rounds=2, max_depth=3, max_bins=32),
                           grid=[{"max_depth": 4, "rounds": 1}], folds=2)
     assert info["chosen"] in ("initial", "tuned") and 0.3 < info["test_accuracy_initial"] <= 1.0
+    assert 0 < info["train_accuracy_initial"] <= 1 and len(info["history"]["train"]) == len(info["history"]["eval"])
     stations = spark.read.parquet(str(tmp_path / "lookups" / "stations"))
     reqs = rq.fixture_requests(legs, stations)
     flat = jobs.score_job(spark, reqs, str(tmp_path / "lookups"), str(tmp_path / "bundle"),

@@ -78,7 +78,7 @@ def test_score_with_boosted_model(spark, labelled):
     lookups = lk.build_lookups(legs, tables.clean_codes(tables.tiplocs(spark, SF001)))
     reqs = rq.fixture_requests(legs, lookups["stations"])
     out = sc.score(reqs, lookups, model, labels, fe.selected_features())
-    ok = out.where(F.col("status") == 200)
+    ok = out.where((F.col("status") == 200) & F.col("pos").isNotNull())
     assert ok.count() > 0
     assert ok.where(F.col("standard_tier").isNull() | F.col("first_tier").isNull()).count() == 0
     r = ok.agg(F.min("standard_confidence"), F.max("standard_confidence")).first()
@@ -103,3 +103,55 @@ def test_split_hot_group_of_copies(spark):
             sp = "test" if i < k else "train"
             want[(key, c, sp)] = want.get((key, c, sp), 0) + 1
     assert got == sorted((k[0], k[1], k[2], v) for k, v in want.items())
+
+
+def test_every_axis_of_the_grid_is_accepted():
+    settings = bo.all_settings(bo.FULL_GRID)
+    assert len(settings) == 243
+    for p in settings:
+        own = bo.SoftmaxBoosting().copy(**p)
+        assert all(getattr(own, k) == v for k, v in p.items())
+    assert all(len({p[k] for p in bo.DEFAULT_GRID}) > 1 for k in bo.FULL_GRID)
+    assert min(p["rounds"] for p in bo.DEFAULT_GRID) >= bo.SoftmaxBoosting().rounds
+
+
+def test_split_is_the_second_order_gain(spark):
+    """One tree on one feature against the formula, by hand."""
+    rows = [(float(x), int(x > 4)) for x in range(10)]
+    df = spark.createDataFrame(rows, "x double, y int")
+    model = bo.SoftmaxBoosting(rounds=1, max_depth=1, n_classes=2, patience=None, l2=1.0, learning_rate=1.0).fit(df, ["x"], "y")
+    tree = model.trees[0][1]
+    assert model.cuts[0][tree.bin[0]] == 4.0
+    # p = 1/2: g = -/+ 1/2, h = 1/2
+    assert tree.value[1] == pytest.approx(-2.5 / 3.5) and tree.value[2] == pytest.approx(2.5 / 3.5)
+    assert tree.gain[0] == pytest.approx(2 * 2.5 ** 2 / 3.5)
+    few = bo.SoftmaxBoosting(rounds=1, max_depth=1, n_classes=2, patience=None, min_child_weight=4.0).fit(df, ["x"], "y")
+    assert few.trees[0][1].feature[0] == -1
+
+
+def test_samples_differ_by_round_and_tree():
+    rows = bo.np.arange(20_000)
+    a, b = (bo.uniform(1, rows, r) < 0.8 for r in (0, 1))
+    assert abs(a.mean() - 0.8) < 0.02 and abs((a & b).mean() - 0.64) < 0.02
+
+
+def test_bundle_without_its_scaling_fails(spark, tmp_path):
+    model = bo.SoftmaxBoostingModel([[bo.Tree.empty(1)] * 3], ["x"], [bo.np.array([1.0])])
+    small = spark.createDataFrame([("x", True, 1.0, 2.0)], "feature string, scaled boolean, mean double, scale double")
+    bo.save_bundle(str(tmp_path / "b"), model, small, small, small)
+    assert bo.load_bundle(spark, str(tmp_path / "b"))["scaling"].count() == 1
+    (tmp_path / "b" / "scaling").rename(tmp_path / "elsewhere")
+    with pytest.raises(Exception):
+        bo.load_bundle(spark, str(tmp_path / "b"))
+
+
+def test_exact_quantiles_of_a_continuous_column(spark):
+    from coachload.operators.quantiles import column_quantiles
+    import numpy as np
+    r = np.random.default_rng(3)
+    for values in (r.normal(size=5_000) ** 3, np.repeat([1.0, 2.0, 7.0], [10, 3000, 5]), np.array([4.0])):
+        df = spark.createDataFrame([(float(v),) for v in values] + [(None,)], "x double").repartition(5)
+        probs = [0.0, 0.25, 0.33, 0.5, 0.67, 0.999, 1.0]
+        got = column_quantiles(df, "x", probs).first()["q"]
+        assert got == pytest.approx(np.quantile(values, probs).tolist(), rel=1e-12)
+    assert column_quantiles(spark.createDataFrame([], "x double"), "x", [0.5]).first()["q"] is None

@@ -5,7 +5,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from coachload.operators import lookups as lk, scoring as sc
+from coachload.operators import features as fe, lookups as lk, model as md, scoring as sc, target as tg
 from coachload.sources import requests as rq, tables
 from tests.conftest import SF001
 
@@ -98,15 +98,49 @@ def test_match_equals_brute_force(spark):
     assert got == _brute_force(keys, rrows)
 
 
-def test_score_error_rows(spark):
+def test_parse_iso_forms(spark):
+    forms = ["20240115T083000", "2024-01-15T08:30:00.123456789", "20240115T0830Z", "2024-01-15T08:30:00,5", "2024-01-15T08",
+             "2024-01-1508:30", "2024-0115T08:30", "2024-13-01", "2024-01-15T08:30:00+5", ""]
+    df = spark.createDataFrame(list(enumerate(forms)), "i int, s string")
+    got = [str(r[0]) for r in df.orderBy("i").select(sc.parse_datetime(F.col("s"))).collect()]
+    assert got == ["2024-01-15 08:30:00", "2024-01-15 08:30:00.123456", "2024-01-15 08:30:00", "2024-01-15 08:30:00.500000",
+                   "2024-01-15 08:00:00", *["None"] * 5]
+
+
+def _fixture(spark):
     legs = tables.legs(spark, SF001)
     codes = tables.clean_codes(tables.tiplocs(spark, SF001))
-    stations = lk.build_stations(legs, codes)
-    reqs = rq.fixture_requests(legs, stations)
-    rows = sc.resolve_codes(sc.explode_requests(reqs), stations)
+    lookups = lk.build_lookups(legs, codes)
+    lookups["stations"] = rq.fixture_stations(lookups["stations"])
+    return legs, lookups, rq.fixture_requests(legs, lookups["stations"])
+
+
+def test_error_rows(spark):
+    _, lookups, reqs = _fixture(spark)
+    rows = sc.resolve_codes(sc.explode_requests(reqs), lookups["stations"])
     st = {r["request_id"]: (r["status"], r["error"]) for r in
           rows.where(F.col("status").isNotNull()).select("request_id", "status", "error").distinct().collect()}
-    assert st["invalid-datetime"] == (400, "Invalid datetime format: 15/01/2024 08:30")
-    assert st["unknown-code"] == (404, "Station not found for TIPLOC: NOSUCHCODE")
-    assert st["missing-field"] == (422, "Field required: to_tiploc")
-    assert len(st) == 3
+    assert st == {
+        "invalid-datetime": (400, "Invalid datetime format: 15/01/2024 08:30"),
+        "unknown-code": (404, "Station not found for TIPLOC: NOSUCHCODE"),
+        "empty-list-unknown": (404, "Station not found for TIPLOC: NOSUCHCODE"),
+        "missing-field": (422, "Field required: to_tiploc"),
+        "missing-list": (422, "Field required: departure_datetimes"),
+        "null-item": (422, "Input should be a valid string: departure_datetimes")}
+
+
+def test_nested_keeps_requests_apart(spark):
+    legs, lookups, reqs = _fixture(spark)
+    model = md.ThresholdModel(tg.thresholds(tg.occupancy_pct(legs)))
+    labels = fe.fit_labels(fe.add_time_features(legs))
+    special = reqs.where(~F.col("request_id").contains(">"))
+    flat = sc.score(special, lookups, model, labels, fe.selected_features())
+    assert {r["fallback_used"] for r in flat.where("status = 200 and pos is not null").collect()} == {"True", "False"}
+    got = {}
+    for r in sc.nest(flat).collect():
+        got.setdefault(r["request_id"], []).append((r["status"], None if r["predictions"] is None else len(r["predictions"])))
+    assert sorted(got["twice"]) == [(200, 1), (200, 2)]
+    assert got["empty-list"] == [(200, 0)] and got["no-service"] == [(404, None)] and got["null-item"] == [(422, None)]
+    assert got["basic-iso"] == [(200, 3)] and got["same-station"] == [(200, 2)] and len(got) == len({x[0] for x in rq.SPECIAL})
+    text = sc.score(special, lookups, model, labels, fe.selected_features())._jdf.queryExecution().optimizedPlan().toString()
+    assert "pivot" not in text.lower()
