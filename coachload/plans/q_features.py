@@ -136,20 +136,17 @@ def _planar(a1, o1, a2, o2):
 
 
 def _flags(match: str) -> str:
+    """The names are the operators' fixed lists."""
     if match == "exact":
-        lon = "('London Paddington', 'London Victoria', 'London Waterloo', 'London Kings Cross')"
-        maj = "('Birmingham New Street', 'Manchester Piccadilly', 'Leeds', 'Glasgow Central', 'Edinburgh Waverley')"
-        f = lambda c, lst: f"CAST(CASE WHEN {c} IN {lst} THEN 1 ELSE 0 END AS INTEGER)"
-        return (f"{f('stationName_from', lon)} AS from_london, {f('stationName_to', lon)} AS to_london, "
-                f"{f('stationName_from', maj)} AS from_major_city, {f('stationName_to', maj)} AS to_major_city")
-    words = ["Birmingham", "Manchester", "Leeds", "Glasgow", "Edinburgh"]
-
-    def anyof(c, ws):
-        return "CAST(CASE WHEN " + " OR ".join(f"contains({c}, '{w}')" for w in ws) + " THEN 1 ELSE 0 END AS INTEGER)"
-    return (f"{anyof('stationName_from', ['London'])} AS from_london, "
-            f"{anyof('stationName_to', ['London'])} AS to_london, "
-            f"{anyof('stationName_from', words)} AS from_major_city, "
-            f"{anyof('stationName_to', words)} AS to_major_city")
+        def flag(c, names):
+            return f"CAST(CASE WHEN {c} IN (" + ", ".join(f"'{n}'" for n in names) + ") THEN 1 ELSE 0 END AS INTEGER)"
+        london, major = fe.LONDON_STATIONS, fe.MAJOR_CITY_STATIONS
+    else:
+        def flag(c, words):
+            return "CAST(CASE WHEN " + " OR ".join(f"contains({c}, '{w}')" for w in words) + " THEN 1 ELSE 0 END AS INTEGER)"
+        london, major = fe.LONDON_SUBSTRINGS, fe.MAJOR_CITY_SUBSTRINGS
+    return (f"{flag('stationName_from', london)} AS from_london, {flag('stationName_to', london)} AS to_london, "
+            f"{flag('stationName_from', major)} AS from_major_city, {flag('stationName_to', major)} AS to_major_city")
 
 
 def _loc_cte(src: str, match: str = "exact", distance: str = "haversine", name: str = "loc") -> str:
