@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import bound_batches, remainder
+from .base import CACHE_WORDS, bound_batches, remainder
 
 WORD_BUCKETS = 1 << 16
 STRUCTURE = 14
@@ -42,7 +42,7 @@ CHUNK = 256
 
 class WordBuckets(dict):
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= 400_000:
+        if len(self) >= CACHE_WORDS:
             self.clear()
         value = self[word] = zlib.crc32(word) % WORD_BUCKETS
         return value
