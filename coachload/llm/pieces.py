@@ -238,25 +238,21 @@ class Chunks(dict):
         """Per text: ids of the best path; the n best paths as (score, ids of
         the chunks that deviate); the chunks.  Chunks that aren't known yet
         are solved together, in sorted order."""
-        out: list = [None] * len(texts)
-        keys: dict[int, list[str]] = {}
-        new: set[str] = set()
-        for i, text in enumerate(texts):
+        parts, new = [], set()
+        for text in texts:
             own = self.split(text)
             found = list(map(self.get, own))
-            if all(found):
-                out[i] = self._encoded(own, found)
-            else:
-                keys[i] = own
-                new.update(k for k, x in zip(own, found) if x is None)
+            missing = [] if all(found) else [i for i, x in enumerate(found) if x is None]
+            new.update(own[i] for i in missing)
+            parts.append((own, found, missing))
         if len(self) + len(new) > CACHED_CHUNKS:
             self.clear()
-            new = set(chain.from_iterable(keys.values()))
         ordered = sorted(new)
         self.update(zip(ordered, self.model.best(ordered, self.prefix)))
-        for i, own in keys.items():
-            out[i] = self._encoded(own, list(map(self.__getitem__, own)))
-        return out
+        for own, found, missing in parts:
+            for i in missing:
+                found[i] = self[own[i]]
+        return [self._encoded(own, found) for own, found, _ in parts]
 
     def _encoded(self, keys: list[str], found: list) -> tuple[bytes, list[tuple[float, dict[int, bytes]]], list]:
         if not keys:
