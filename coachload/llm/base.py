@@ -64,12 +64,12 @@ def as_bytes(text: str = "text") -> Column:
     return F.coalesce(F.col(text), F.lit("")).cast("binary")
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
+def stored(df: DataFrame, name: str, options: dict | None = None) -> DataFrame:
     """``df`` written as Parquet under the shared checkpoint folder and read
     back: it survives lost executors, keeps column pruning, and is computed
     once however often it is read."""
     path = f"{scratch_path(df.sparkSession, name)}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.options(**(options or {})).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -12,9 +12,13 @@ with add-0.1 unigrams at the end, every count read from the filter.
 Building: each task turns its text into n-gram hashes, adds them up, and sends
 sorted (hash, count) runs by filter block; a block's task merges its runs and
 sets its own bits, so neither a frequent n-gram nor a frequent source makes a
-hot task, and nothing but bits reaches the driver.  The filter is broadcast; it
-has 16 bits per training token up to MAX_FILTER_BYTES (64 MB), whatever the
-corpus; beyond, false levels get likelier, and nothing is dropped.
+hot task.  A block has 16 bits for each of its own (n-gram, level) pairs, so a probe
+hits falsely about once in 200 at every size of the corpus.
+
+Probing: a filter of up to BROADCAST_BYTES is broadcast.  A larger one stays a
+stored table; documents are packed into parts, each part sends the distinct
+n-grams it holds once to their blocks, and the levels found come back to the
+part.  Both ways read the same bits and give the same scores.
 
 The exact unigram score needs exact counts.  Words of at least a count that at
 most HEAD_WORDS words reach are broadcast (16 MB at most); a document's other
@@ -32,6 +36,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -39,14 +44,17 @@ from .base import WordHashes, as_bytes, named, remainder, slices, stored
 
 # Fixed value: the pseudo-count of the unigram base.
 ADD = 0.1
-MAX_FILTER_BYTES = 64 << 20
-MIN_FILTER_BYTES = 1 << 17
+BITS_PER_ENTRY = 16
+BROADCAST_BYTES = 8 << 20
 BLOCKS = 512
 HEAD_WORDS = 1 << 20
 BASE = 1.5
 MU = 2.0
 MAX_LEVEL = 64
 PROBES = 3
+# A part is a row of some MB: row groups are closed by size, not after 100 rows.
+PACKED = {"parquet.block.size": 16 << 20, "parquet.block.size.row.check.min": 1, "parquet.block.size.row.check.max": 4,
+          "parquet.page.size.row.check.min": 1}
 FLUSH_TOKENS = 2_000_000
 END, BEGIN = b" end", b" begin"  # no word holds a space
 
@@ -101,39 +109,59 @@ def level_counts(base: float) -> np.ndarray:
     return np.array(out)
 
 
-def places(hashes: np.ndarray, level: np.ndarray | int, block_bits: int) -> list[np.ndarray]:
-    """Bit places, within its block, of an n-gram at a level."""
+def places(hashes: np.ndarray, level: np.ndarray | int, block_bits: np.ndarray | int) -> list[np.ndarray]:
+    """Bit places, within its block (of under 2^32 bits), of an n-gram at a level."""
     x = mix(hashes + _M3 * np.asarray(level, np.uint64))
     y = (x >> np.uint64(32)) | np.uint64(1)
-    mask = np.uint64(block_bits - 1)
-    return [((x + np.uint64(i) * y) ^ (x >> np.uint64(17))) & mask for i in range(PROBES)]
+    low, size = np.uint64(0xFFFFFFFF), np.asarray(block_bits, np.uint64)
+    return [(((x + np.uint64(i) * y) ^ (x >> np.uint64(17))) & low) * size >> np.uint64(32) for i in range(PROBES)]
+
+
+def block_of(hashes: np.ndarray, blocks: int = BLOCKS) -> np.ndarray:
+    return (mix(hashes ^ _M3) >> np.uint64(32)).astype(np.int64) % blocks
+
+
+def by_block(own: np.ndarray, blocks: int) -> tuple[np.ndarray, np.ndarray]:
+    """An order of n-grams by their blocks, and where each block starts in it."""
+    block = block_of(own, blocks)
+    by = np.argsort(block, kind="stable")
+    return by, np.searchsorted(block[by], np.arange(blocks + 1))
 
 
-def block_of(hashes: np.ndarray) -> np.ndarray:
-    return (mix(hashes ^ _M3) >> np.uint64(40)).astype(np.int64) % BLOCKS
+def probe(bits: np.ndarray, starts: np.ndarray, sizes: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Level of each n-gram, by probing level after level; ``starts`` and
+    ``sizes``: first bit and number of bits of each n-gram's block."""
+    level, alive = np.zeros(len(hashes), np.uint8), np.arange(len(hashes))
+    for q in range(1, MAX_LEVEL + 1):
+        hit = np.ones(len(alive), bool)
+        for place in places(hashes[alive], q, sizes[alive]):
+            at = place.astype(np.int64) + starts[alive]
+            hit &= (bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 > 0
+        alive = alive[hit]
+        if not len(alive):
+            break
+        level[alive] = q
+    return level
 
 
 class LogFrequencyFilter:
-    def __init__(self, bits: np.ndarray, base: float):
-        """bits: (BLOCKS, bytes of a block) uint8."""
-        self.bits, self.base, self.block_bits = bits.reshape(-1), base, bits.shape[1] * 8
-        self.values = level_counts(base)
+    def __init__(self, bits, base: float):
+        """bits: the bytes (uint8) of each block."""
+        self.sizes = np.array([len(b) * 8 for b in bits], np.int64)
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        self.bits, self.base, self.values = np.concatenate(list(bits)), base, level_counts(base)
 
     def counts(self, hashes: np.ndarray) -> np.ndarray:
-        """Estimated counts, by probing level after level."""
+        """Estimated counts."""
         own, back = np.unique(hashes, return_inverse=True)
-        block = block_of(own) * self.block_bits
-        level, alive = np.zeros(len(own), np.int64), np.arange(len(own))
-        for q in range(1, MAX_LEVEL + 1):
-            hit = np.ones(len(alive), bool)
-            for place in places(own[alive], q, self.block_bits):
-                at = place.astype(np.int64) + block[alive]
-                hit &= (self.bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 > 0
-            alive = alive[hit]
-            if not len(alive):
-                break
-            level[alive] = q
-        return self.values[level][back]
+        block = block_of(own, len(self.sizes))
+        return self.values[probe(self.bits, self.starts[block], self.sizes[block], own)][back]
+
+
+def bits_for(counts: np.ndarray, base: float) -> int:
+    """Bits of a block that holds n-grams of these counts."""
+    entries = int(np.minimum(levels(counts, base), MAX_LEVEL).sum()) if len(counts) else 0
+    return max(64, -(-entries * BITS_PER_ENTRY // 64) * 64)
 
 
 def set_bits(hashes: np.ndarray, counts: np.ndarray, block_bits: int, base: float) -> np.ndarray:
@@ -154,7 +182,7 @@ def _sums(hashes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return hashes[first], np.add.reduceat(counts, first) if len(first) else counts
 
 
-def _runs(order: int):
+def _runs(order: int, blocks: int):
     """Training texts -> (block, kind, hashes, counts): kind 0 holds words and
     ends, kind 1 longer n-grams and begin marks."""
     def run(batches):
@@ -167,11 +195,9 @@ def _runs(order: int):
             rest = np.concatenate([hashes[~grams[0][1]], *[g[ok] for g, ok in grams[1:]]])
             for kind, own in ((0, words), (1, rest)):
                 own, n = np.unique(own, return_counts=True)
-                block = block_of(own)
-                by = np.argsort(block, kind="stable")
-                cuts = np.searchsorted(block[by], np.arange(BLOCKS + 1))
+                by, cuts = by_block(own, blocks)
                 own, n = own[by], n[by].astype(np.uint32)
-                filled = [b for b in range(BLOCKS) if cuts[b] < cuts[b + 1]]
+                filled = np.flatnonzero(cuts[:-1] < cuts[1:]).tolist()
                 yield pa.RecordBatch.from_pydict({
                     "block": pa.array(filled, pa.int32()), "kind": pa.array([kind] * len(filled), pa.int32()),
                     "hashes": pa.array([own[cuts[b]:cuts[b + 1]].tobytes() for b in filled], pa.binary()),
@@ -191,9 +217,7 @@ def _runs(order: int):
     return run
 
 
-def _merged(filter_bytes: int, base: float):
-    block_bits = filter_bytes * 8 // BLOCKS
-
+def _merged(base: float):
     def merge(pdf: pd.DataFrame) -> pd.DataFrame:
         of = {}
         for kind in (0, 1):
@@ -201,7 +225,8 @@ def _merged(filter_bytes: int, base: float):
             of[kind] = _sums(np.concatenate([np.zeros(0, np.uint64), *[np.frombuffer(x, np.uint64) for x in own["hashes"]]]),
                              np.concatenate([np.zeros(0, np.int64), *[np.frombuffer(x, np.uint32).astype(np.int64) for x in own["counts"]]]))
         words, n = of[0]
-        bits = set_bits(np.concatenate([words, of[1][0]]), np.concatenate([n, of[1][1]]), block_bits, base)
+        both = np.concatenate([n, of[1][1]])
+        bits = set_bits(np.concatenate([words, of[1][0]]), both, bits_for(both, base), base)
         reach = [int((n >= 1 << j).sum()) for j in range(40)]
         return pd.DataFrame({"block": [int(pdf["block"].iloc[0])], "bits": [bits.tobytes()], "words": [words.tobytes()],
                              "counts": [n.astype(np.int64).tobytes()], "n": [int(n.sum())], "v": [len(words)], "reach": [reach]})
@@ -209,11 +234,13 @@ def _merged(filter_bytes: int, base: float):
 
 
 class Model:
-    """What the workers get: the filter, N, V and the frequent words."""
+    """What the workers get: the filter (None beyond the broadcast bound), N, V
+    and the frequent words."""
 
-    def __init__(self, bits: np.ndarray, base: float, mu: float, order: int, n: int, v: int,
+    def __init__(self, bits: list[np.ndarray] | None, blocks: int, base: float, mu: float, order: int, n: int, v: int,
                  words: np.ndarray, counts: np.ndarray, complete: bool):
-        self.filter, self.mu, self.order, self.n, self.v = LogFrequencyFilter(bits, base), mu, order, n, v
+        self.filter = None if bits is None else LogFrequencyFilter(bits, base)
+        self.blocks, self.base, self.mu, self.order, self.n, self.v = blocks, base, mu, order, n, v
         by = np.argsort(words)
         self.words, self.counts, self.complete = words[by], counts[by], complete
 
@@ -232,12 +259,11 @@ class Model:
         here = self.words[at] == own
         return np.where(here, self.counts[at], 0)[back], (~here & (not self.complete))[back]
 
-    def logs(self, hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
-        """log10 P of each place of ``token_hashes``; 0 at begin marks."""
+    def logs(self, grams: list[tuple[np.ndarray, np.ndarray]], seen: list[np.ndarray]) -> np.ndarray:
+        """log10 P of each place of ``token_hashes``; 0 at begin marks.
+        ``seen``: the estimated counts of ``grams``."""
         if not self.n:
-            return np.zeros(len(hashes))
-        grams = gram_hashes(hashes, counts, self.order)
-        seen = [self.filter.counts(g) for g, _ in grams]
+            return np.zeros(len(seen[0]))
         p = (seen[0] + ADD) / (self.n + ADD * (self.v + 1))
         for k in range(1, self.order):
             context = np.concatenate([[0.0], seen[k - 1][:-1]])
@@ -247,23 +273,22 @@ class Model:
 
 
 def fit(train: DataFrame, order: int = 2, base: float = BASE, mu: float = MU, head_words: int = HEAD_WORDS,
-        max_filter_bytes: int = MAX_FILTER_BYTES) -> tuple[Model, DataFrame]:
+        broadcast_bytes: int = BROADCAST_BYTES) -> tuple[Model, DataFrame]:
     """``train``: rows with ``text`` (binary).  The model, and the stored
-    table of all word counts by block."""
-    size = train.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    filter_bytes = MIN_FILTER_BYTES  # two bytes for a token of about six, up to the bound
-    while filter_bytes < min(size // 3, max_filter_bytes):
-        filter_bytes *= 2
-    blocks = stored(train.select("text").mapInArrow(_runs(order), "block int, kind int, hashes binary, counts binary")
-                    .groupBy("block").applyInPandas(_merged(filter_bytes, base), (
+    table of all bits and word counts by block."""
+    n_blocks = BLOCKS
+    blocks = stored(train.select("text").mapInArrow(_runs(order, n_blocks), "block int, kind int, hashes binary, counts binary")
+                    .groupBy("block").applyInPandas(_merged(base), (
                         "block int, bits binary, words binary, counts binary, n long, v long, reach array<long>")), "lm")
-    total = blocks.agg(F.sum("n").alias("n"), F.sum("v").alias("v"),
+    total = blocks.agg(F.sum("n").alias("n"), F.sum("v").alias("v"), F.sum(F.octet_length("bits")).alias("size"),
                        F.array(*[F.sum(F.col("reach")[j]) for j in range(40)]).alias("reach")).first()
     n, v = total.n or 0, total.v or 0
     level = next((j for j in range(40) if (total.reach[j] or 0) <= head_words), 39)
-    bits = np.zeros((BLOCKS, filter_bytes // BLOCKS), np.uint8)
-    for r in blocks.select("block", "bits").toLocalIterator():
-        bits[r.block] = np.frombuffer(bytes(r.bits), np.uint8)
+    bits = None
+    if (total["size"] or 0) <= broadcast_bytes:
+        bits = [np.zeros(8, np.uint8)] * n_blocks
+        for r in blocks.select("block", "bits").toLocalIterator():
+            bits[r.block] = np.frombuffer(bytes(r.bits), np.uint8)
 
     def head(batches):
         for b in batches:
@@ -276,7 +301,7 @@ def fit(train: DataFrame, order: int = 2, base: float = BASE, mu: float = MU, he
     found = blocks.select("words", "counts").mapInArrow(head, "words binary, counts binary").collect()
     words = np.concatenate([np.zeros(0, np.uint64), *[np.frombuffer(bytes(r.words), np.uint64) for r in found]])
     counts = np.concatenate([np.zeros(0, np.int64), *[np.frombuffer(bytes(r["counts"]), np.int64) for r in found]])
-    return Model(bits, base, mu, order, n, v, words, counts, complete=v <= head_words and level == 0), blocks
+    return Model(bits, n_blocks, base, mu, order, n, v, words, counts, complete=v <= head_words and level == 0), blocks
 
 
 def _count_rows(batches):
@@ -287,6 +312,111 @@ def _count_rows(batches):
                 yield pa.RecordBatch.from_arrays([pa.array(w[at:at + 50_000]), pa.array(c[at:at + 50_000])], ["hash", "c"])
 
 
+SCORED = "rid long, doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double, rest array<long>"
+
+
+def _scores(own: Model, keys: list[pa.Array], texts: list[bytes], cache: WordHashes, seen_of) -> list[pa.Array]:
+    """Columns of ``SCORED``; ``seen_of``: grams -> their estimated counts."""
+    hashes, counts = token_hashes(texts, cache)
+    starts = np.cumsum(counts + 1) - (counts + 1)
+    is_token = np.ones(len(hashes), bool)
+    is_token[starts] = False
+    c, unsure = own.known(hashes)
+    unsure &= is_token
+    base = np.where(is_token & ~unsure, own.base_logs(c), 0.0)
+    doc = np.repeat(np.arange(len(counts)), counts + 1)
+    cuts = np.searchsorted(doc[unsure], np.arange(len(counts) + 1))
+    grams = gram_hashes(hashes, counts, own.order)
+    return [*keys, pa.array(counts), pa.array(np.add.reduceat(((c > 0) & is_token).astype(np.int64), starts)),
+            pa.array(np.add.reduceat(base, starts)), pa.array(np.add.reduceat(own.logs(grams, seen_of(grams)), starts)),
+            pa.ListArray.from_arrays(pa.array(cuts.astype(np.int32)), pa.array(hashes[unsure].view(np.int64)))]
+
+
+NAMES = [x.split()[0] for x in SCORED.split(", ")]
+
+
+def _by_broadcast(rows: DataFrame, shared) -> DataFrame:
+    """``rows``: rid, doc_id, held_out, text."""
+    def run(batches):
+        own, cache = shared.value, WordHashes()
+        for b in batches:
+            for part in slices(b, 3):
+                yield pa.RecordBatch.from_arrays(_scores(
+                    own, part.columns[:3], part.column(3).to_pylist(), cache,
+                    lambda grams: [own.filter.counts(g) for g, _ in grams]), NAMES)
+
+    return rows.mapInArrow(run, SCORED)
+
+
+def _asked(grams: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    """The n-grams whose counts a part needs, place by place (as in ``_by_join``)."""
+    return np.concatenate([grams[0][0], *[g[ok] for g, ok in grams[1:]]])
+
+
+def _by_join(rows: DataFrame, shared, blocks: DataFrame, n_blocks: int, order: int, base: float) -> DataFrame:
+    """As ``_by_broadcast``, with the filter as a table.  A part is one row of
+    about PART_BYTES of text, written once, so that its n-grams are the same
+    whenever it is read."""
+    def pack(batches):
+        task, at = TaskContext.get().partitionId(), 0
+        for b in batches:
+            for part in slices(b, 3):
+                ends = pa.array([0, part.num_rows], pa.int32())
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([(task << 32) + at], pa.int64()), *[pa.ListArray.from_arrays(ends, c) for c in part.columns]],
+                    ["part", "rid", "doc_id", "held_out", "text"])
+                at += 1
+
+    def ask(batches):
+        cache = WordHashes()
+        for b in batches:
+            for part, texts in zip(b.column(0).to_pylist(), b.column(1)):
+                hashes, counts = token_hashes(texts.as_py(), cache)
+                own = np.unique(_asked(gram_hashes(hashes, counts, order)))
+                by, cuts = by_block(own, n_blocks)
+                own, filled = own[by], np.flatnonzero(cuts[:-1] < cuts[1:]).tolist()
+                yield pa.RecordBatch.from_pydict({
+                    "block": pa.array(filled, pa.int32()), "part": pa.array([part] * len(filled), pa.int64()),
+                    "hashes": pa.array([own[cuts[x]:cuts[x + 1]].tobytes() for x in filled], pa.binary())})
+
+    def answer(asked: pa.Table, held: pa.Table) -> pa.Table:
+        bits = np.frombuffer(held["bits"][0].as_py(), np.uint8) if held.num_rows else np.zeros(8, np.uint8)
+        runs = [np.frombuffer(x, np.uint64) for x in asked["hashes"].to_pylist()]
+        own = np.concatenate([np.zeros(0, np.uint64), *runs])
+        level = probe(bits, np.zeros(len(own), np.int64), np.full(len(own), len(bits) * 8), own)
+        ends = np.cumsum([0, *map(len, runs)])
+        return pa.table({"part": asked["part"], "block": asked["block"],
+                         "levels": pa.array([level[a:b].tobytes() for a, b in zip(ends, ends[1:])], pa.binary())})
+
+    values = level_counts(base)
+
+    def score(packed: pa.Table, found: pa.Table) -> pa.Table:
+        def seen_of(grams):
+            own, back = np.unique(_asked(grams), return_inverse=True)
+            levels_of = np.zeros(len(own), np.uint8)
+            got = sorted(zip(found["block"].to_pylist(), found["levels"].to_pylist()))
+            levels_of[by_block(own, n_blocks)[0]] = np.frombuffer(b"".join(x for _, x in got), np.uint8)
+            c, at = values[levels_of][back], len(grams[0][0])
+            out = [c[:at]]
+            for _, ok in grams[1:]:
+                seen, n = np.zeros(len(ok)), int(ok.sum())
+                seen[ok] = c[at:at + n]
+                out.append(seen)
+                at += n
+            return out
+
+        keys = [packed[x].combine_chunks().flatten() for x in ("rid", "doc_id", "held_out")]
+        texts = packed["text"].combine_chunks().flatten().to_pylist()
+        return pa.Table.from_arrays(_scores(shared.value, keys, texts, WordHashes(), seen_of), NAMES)
+
+    packed = stored(rows.mapInArrow(pack, "part long, rid array<long>, doc_id array<long>, held_out array<boolean>, text array<binary>"),
+                    "parts", PACKED)
+    asked = packed.select("part", "text").mapInArrow(ask, "block int, part long, hashes binary")
+    found = (asked.groupBy("block").cogroup(blocks.select("block", "bits").groupBy("block"))
+             .applyInArrow(answer, "part long, block int, levels binary"))
+    return packed.groupBy("part").cogroup(found.groupBy("part")).applyInArrow(score, SCORED)
+
+
 def score_documents(docs: DataFrame, fold: int = 10, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """Learns from rows whose crc32(id) mod ``fold`` is not 0 and scores all:
     doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
@@ -294,33 +424,11 @@ def score_documents(docs: DataFrame, fold: int = 10, id_col: str = "doc_id", tex
                                                 (remainder("doc_id", fold) == 0).alias("held_out"))
     model, blocks = fit(rows.filter(~F.col("held_out")), **options)
     shared = docs.sparkSession.sparkContext.broadcast(model)
-
-    def run(batches):
-        own, cache = shared.value, WordHashes()
-        for b in batches:
-            for part in slices(b, 3):
-                hashes, counts = token_hashes(part.column(3).to_pylist(), cache)
-                starts = np.cumsum(counts + 1) - (counts + 1)
-                is_token = np.ones(len(hashes), bool)
-                is_token[starts] = False
-                c, unsure = own.known(hashes)
-                unsure &= is_token
-                logs = np.where(is_token & ~unsure, own.base_logs(c), 0.0)
-                doc = np.repeat(np.arange(len(counts)), counts + 1)
-                cuts = np.searchsorted(doc[unsure], np.arange(len(counts) + 1))
-                rest = hashes[unsure].view(np.int64)
-                yield pa.RecordBatch.from_arrays([
-                    *part.columns[:3], pa.array(counts),
-                    pa.array(np.add.reduceat(((c > 0) & is_token).astype(np.int64), starts)),
-                    pa.array(np.add.reduceat(logs, starts)),
-                    pa.array(np.add.reduceat(own.logs(hashes, counts), starts)),
-                    pa.ListArray.from_arrays(pa.array(cuts.astype(np.int32)), pa.array(rest))],
-                    ["rid", "doc_id", "held_out", "n_tokens", "n_known", "base_score", "score", "rest"])
-
-    schema = ("rid long, doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double, "
-              "rest array<long>")
-    scored = (rows.select(F.monotonically_increasing_id().alias("rid"), "doc_id", "held_out", "text")
-              .mapInArrow(run, schema))
+    keyed = rows.select(F.monotonically_increasing_id().alias("rid"), "doc_id", "held_out", "text")
+    if model.filter is not None:
+        scored = _by_broadcast(keyed, shared)
+    else:
+        scored = _by_join(keyed, shared, blocks, model.blocks, model.order, model.base)
     out = ["doc_id", "held_out", "n_tokens", "n_known", F.lit(model.n).cast("long").alias("train_tokens"), "base_score", "score"]
     if model.complete:  # every training word was broadcast, so no word is left over
         return scored.select(*out)

@@ -242,6 +242,26 @@ def test_lm(make, odd, words, head):
     assert sum(r["score"] for r in found) > sum(r["base_score"] for r in found)
 
 
+def test_lm_filter_grows_and_is_probed_by_a_join(make, odd, words, spark):
+    rows = odd + planted(words)
+    key = lambda r: tuple(map(str, r.values()))
+    found = sorted(rows_of(lm.score_documents(make(rows), broadcast_bytes=1 << 40)), key=key)
+    for head in (1 << 20, 40):
+        joined = rows_of(lm.score_documents(make(rows), broadcast_bytes=0, head_words=head))
+        assert len(joined) == len(found)
+        by_id = lambda x: sorted((str(r["doc_id"]), r["n_tokens"], r["n_known"], round(r["score"], 6), round(r["base_score"], 6)) for r in x)
+        assert by_id(joined) == by_id(found)
+    # bits follow the entries: five times the words, five times the filter, and it is as full as before
+    sizes = []
+    for n in (20, 100):
+        train = spark.createDataFrame([(bytearray(words(2_000, 1_000 + i).encode()),) for i in range(n)], "text binary")
+        bits = [np.frombuffer(bytes(r.bits), np.uint8) for r in lm.fit(train)[1].collect()]
+        full = np.unpackbits(np.concatenate(bits)).mean()
+        assert 0.1 < full < 0.2
+        sizes.append(sum(map(len, bits)))
+    assert sizes[1] > 4 * sizes[0]
+
+
 # -- op 6, 7, 9, 1 --------------------------------------------------------------------------------
 
 def brute_secrets(text):
