@@ -8,7 +8,9 @@ name and literals, keeps a table of the document's constants, resolves names
 and concatenations on the right-hand side through it, and scores the literals
 by the sensitivity of the name they reach and by their own make-up.
 
-One narrow pass, no shuffle; memory is one document's spans.
+One narrow pass, no shuffle; memory is one document's spans.  Constants refer
+to one another, so a value of any length or number of literals is judged and
+reported whole.
 
 Defined cases: null and empty texts have no spans; spans that two kinds share
 are all reported; repeated rows are each scanned; an empty table gives an empty
@@ -42,7 +44,10 @@ SENSITIVE = {
     "bearer": 0.7, "signing": 0.5, "encryption": 0.5, "client": 0.2, "api": 0.4, "salt": 0.5,
 }
 HARMLESS = {"public": 0.8, "count": 0.6, "length": 0.6, "size": 0.6, "name": 0.4, "path": 0.5, "url": 0.4, "id": 0.3}
-PLACEHOLDERS = re.compile(r"(?i)example|change_?me|placeholder|your[_-]|dummy|x{4,}|\*{3,}|\.{3,}|^(none|null|true|false|undefined)$")
+_MARKS = r"(?i)example|change_?me|placeholder|your[_-]|dummy|x{4,}|\*{3,}|\.{3,}"
+PLACEHOLDERS = re.compile(_MARKS + "|^(none|null|true|false|undefined)$")
+SPANNING = re.compile(_MARKS)
+EDGE = 16  # no mark is longer, repeated characters count from 3 or 4
 REPORT_FROM = 0.6
 
 TERM = r"""(?:"(?:\\.|[^"\\\n])*+"|'(?:\\.|[^'\\\n])*+'|`[^`\n]*+`|[A-Za-z0-9_$@%/.~=-]++)"""
@@ -64,48 +69,115 @@ def sensitivity(name: str) -> float:
     return max(0.0, min(1.0, score - (HARMLESS.get(parts[-1], 0.0) if parts else 0.0)))
 
 
-def make_up(literal: str) -> float:
-    """0 to 1: how much a literal looks like a secret of its own."""
-    if len(literal) < 8 or " " in literal.strip() or PLACEHOLDERS.search(literal):
-        return 0.0
-    n = len(literal)
-    entropy = -sum(c / n * math.log2(c / n) for c in Counter(literal).values())
-    classes = sum(any(f(c) for c in literal) for f in (str.islower, str.isupper, str.isdigit)) + any(not c.isalnum() for c in literal)
-    return min(1.0, entropy / 4.0) * (0.55 + 0.15 * classes)
-
-
-def name_literal_pairs(text: str):
-    """(target name, value, literal spans, propagated) of each assignment.
-    A span is that of the quoted or bare literal itself, without quotes."""
-    constants: dict[str, tuple[str, tuple]] = {}
+class MakeUp:
+    """What the make-up of a text depends on; it adds up on concatenation, so
+    a long chain of constants never has its whole value in memory."""
+
+    __slots__ = ("n", "chars", "marked", "head", "tail", "solid", "inside", "lead", "trail")
+
+    def __init__(self, text: str = ""):
+        body = text.strip()
+        self.n, self.chars = len(text), Counter(text)
+        self.marked = PLACEHOLDERS.search(text) is not None
+        self.head, self.tail = text[:EDGE], text[-EDGE:]
+        # a space within the stripped text, before and after it
+        self.solid, self.inside = bool(body), " " in body
+        at = text.find(body) if body else len(text)
+        self.lead, self.trail = " " in text[:at], " " in text[at + len(body):] if body else " " in text
+
+    def __add__(self, other: MakeUp) -> MakeUp:
+        if not self.n or not other.n:
+            return self if self.n else other
+        out = MakeUp()
+        out.n, out.chars = self.n + other.n, self.chars.copy()
+        out.chars.update(other.chars)
+        head = self.head + other.head if self.n < EDGE else self.head
+        tail = self.tail + other.tail if other.n < EDGE else other.tail
+        out.head, out.tail = head[:EDGE], tail[-EDGE:]
+        if out.n <= EDGE:  # the head is all of it, and a mark may be one for the whole text only
+            out.marked = PLACEHOLDERS.search(out.head) is not None
+        else:
+            out.marked = self._found() or other._found() or SPANNING.search(self.tail + other.head) is not None
+        out.solid = self.solid or other.solid
+        out.inside = self.inside or other.inside or (self.solid and other.solid and (self.trail or other.lead))
+        out.lead = self.lead or (not self.solid and other.lead)
+        out.trail = other.trail or (not other.solid and self.trail)
+        return out
+
+    def _found(self) -> bool:
+        """A mark that stays one in a longer text."""
+        return self.marked and (self.n > EDGE or SPANNING.search(self.head) is not None)
+
+    def score(self) -> float:
+        """0 to 1: how much a literal looks like a secret of its own."""
+        if self.n < 8 or self.inside or self.marked:
+            return 0.0
+        entropy = -sum(c / self.n * math.log2(c / self.n) for c in self.chars.values())
+        classes = (sum(any(f(c) for c in self.chars) for f in (str.islower, str.isupper, str.isdigit))
+                   + any(not c.isalnum() for c in self.chars))
+        return min(1.0, entropy / 4.0) * (0.55 + 0.15 * classes)
+
+
+class Value:
+    """The right-hand side of an assignment: literal spans of its own and the
+    values it refers to."""
+
+    __slots__ = ("texts", "spans", "known", "_made")
+
+    def __init__(self):
+        self.texts, self.spans, self.known, self._made = [], [], [], None
+
+    @property
+    def made(self) -> MakeUp:
+        """The values referred to are made before, so chains don't recurse."""
+        if self._made is None:
+            total, own = MakeUp(), []
+            for x in self.texts:
+                if isinstance(x, str):
+                    own.append(x)
+                else:
+                    total, own = total + MakeUp("".join(own)) + x.made, []
+            self._made, self.texts = total + MakeUp("".join(own)), []
+        return self._made
+
+
+def name_literal_values(text: str):
+    """(target name, value) of each assignment.  A span is that of the quoted
+    or bare literal itself, without quotes."""
+    constants: dict[str, Value] = {}
     for m in STATEMENT.finditer(text):
-        value, spans, propagated = [], [], False
+        value = Value()
         for t in EACH_TERM.finditer(text, m.start("value"), m.end("value")):
             raw = t.group()
             if raw[0] in "\"'`":
-                value.append(raw[1:-1])
-                spans.append((t.start() + 1, t.end() - 1))
-            elif IDENTIFIER.match(raw) and raw.lstrip("$") in constants:
-                known, where = constants[raw.lstrip("$")]
-                value.append(known)
-                spans.extend(where)
-                propagated = True
+                value.texts.append(raw[1:-1])
+                value.spans.append((t.start() + 1, t.end() - 1))
+            elif IDENTIFIER.match(raw) and (known := constants.get(raw.lstrip("$"))) is not None:
+                value.texts.append(known)
+                value.known.append(known)
             else:
-                value.append(raw)
-                spans.append((t.start(), t.end()))
-        joined = "".join(value)
-        # a chain of constants holds its literals' spans once, and no more than its own text
-        constants[m.group("name")] = (joined[:4096], tuple(dict.fromkeys(spans))[:64])
-        yield m.group("name"), joined, spans, propagated
+                value.texts.append(raw)
+                value.spans.append((t.start(), t.end()))
+        if value.known:
+            value.made
+        constants[m.group("name")] = value
+        yield m.group("name"), value
 
 
 def method_spans(text: str) -> set[tuple[int, int, int]]:
-    found = set()
-    for name, value, spans, propagated in name_literal_pairs(text):
+    found, told_of, literal, constant = set(), set(), KINDS.index("literal"), KINDS.index("constant")
+    for name, value in name_literal_values(text):
         told = sensitivity(name)
-        if told and told * 0.5 + make_up(value) * 0.5 >= REPORT_FROM and make_up(value) > 0:
-            kind = KINDS.index("constant" if propagated else "literal")
-            found.update((a, kind, b) for a, b in spans if b > a)
+        if told and told * 0.5 + (looks := value.made.score()) * 0.5 >= REPORT_FROM and looks > 0:
+            kind = constant if value.known else literal
+            found.update((a, kind, b) for a, b in value.spans if b > a)
+            agenda = list(value.known)
+            while agenda:  # each value that is reached tells its spans once a document
+                own = agenda.pop()
+                if own not in told_of:
+                    told_of.add(own)
+                    found.update((a, constant, b) for a, b in own.spans if b > a)
+                    agenda += own.known
     return found
 
 

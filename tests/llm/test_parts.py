@@ -263,3 +263,30 @@ def test_constants_are_propagated():
     assert sum(k == "constant" for k, _ in found) == 1
     assert {("literal", "8vT-x2Rw9")} <= {x for x in found} or ("literal", "Qm3") in found
     assert secrets.sensitivity("apiKey") >= 0.8 > secrets.sensitivity("userName")
+
+
+def test_constants_are_judged_and_reported_whole():
+    parts = ["%02dqZ" % i for i in range(90)]
+    text = "k = " + " + ".join(f'"{p}"' for p in parts) + "\ntoken = k\n"
+    found = {text[a:b] for a, k, b in secrets.secret_spans(text.encode()) if secrets.KINDS[k] == "constant"}
+    assert found == set(parts)
+    chain = 'k0 = "x9K2-pLq7Zt4"\n' + "".join(f'k{i} = k{i - 1} + "{i:05d}aB"\n' for i in range(1, 3000)) + "password = k2999\n"
+    assert sum(secrets.KINDS[k] == "constant" for _, k, _ in secrets.secret_spans(chain.encode())) == 3000
+    r = random.Random(3)
+    body = "".join(r.choice("abcdefghijkXYZ0123456789") for _ in range(5_000))
+    for tail, reported in (("", True), (" q", False), ("example", False)):
+        text = f'v = "{body}{tail}"\nsecret = v\n'
+        assert any(secrets.KINDS[k] == "constant" for _, k, _ in secrets.secret_spans(text.encode())) is reported
+    doubled = 'a = "q8!Zr2#Lm5"\n' + "a = a + a\n" * 100 + "password = a\n"
+    assert sum(secrets.KINDS[k] == "constant" for _, k, _ in secrets.secret_spans(doubled.encode())) == 1
+
+
+def test_make_up_adds_up():
+    r = random.Random(4)
+    pieces_ = ["exam", "ple", "x", "xx", " ", "\t", "no", "ne", "nu", "ll", "..", ".", "aB3", "*", "**", "your", "_", "kQ9-", "change", "me", "place", "holder", ""]
+    for _ in range(5_000):
+        own = [r.choice(pieces_) for _ in range(r.randint(1, 9))]
+        total = secrets.MakeUp()
+        for x in own:
+            total = total + secrets.MakeUp(x)
+        assert math.isclose(total.score(), secrets.MakeUp("".join(own)).score()), own
