@@ -46,7 +46,8 @@ from .base import WordHashes, as_bytes, named, remainder, slices, stored
 ADD = 0.1
 BITS_PER_ENTRY = 16
 BROADCAST_BYTES = 8 << 20
-BLOCKS = 512
+BLOCKS = 512  # at least
+BLOCK_TEXT = 8 << 20  # bytes of training text whose n-grams one block gathers
 HEAD_WORDS = 1 << 20
 BASE = 1.5
 MU = 2.0
@@ -121,6 +122,12 @@ def block_of(hashes: np.ndarray, blocks: int = BLOCKS) -> np.ndarray:
     return (mix(hashes ^ _M3) >> np.uint64(32)).astype(np.int64) % blocks
 
 
+def block_count(size: int) -> int:
+    """Blocks for so many bytes of training text, so that a block's n-grams
+    stay at a fixed size."""
+    return max(BLOCKS, -(-size // BLOCK_TEXT))
+
+
 def by_block(own: np.ndarray, blocks: int) -> tuple[np.ndarray, np.ndarray]:
     """An order of n-grams by their blocks, and where each block starts in it."""
     block = block_of(own, blocks)
@@ -276,7 +283,7 @@ def fit(train: DataFrame, order: int = 2, base: float = BASE, mu: float = MU, he
         broadcast_bytes: int = BROADCAST_BYTES) -> tuple[Model, DataFrame]:
     """``train``: rows with ``text`` (binary).  The model, and the stored
     table of all bits and word counts by block."""
-    n_blocks = BLOCKS
+    n_blocks = block_count(train.agg(F.sum(F.octet_length("text"))).first()[0] or 0)
     blocks = stored(train.select("text").mapInArrow(_runs(order, n_blocks), "block int, kind int, hashes binary, counts binary")
                     .groupBy("block").applyInPandas(_merged(base), (
                         "block int, bits binary, words binary, counts binary, n long, v long, reach array<long>")), "lm")

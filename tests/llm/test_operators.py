@@ -262,6 +262,19 @@ def test_lm_filter_grows_and_is_probed_by_a_join(make, odd, words, spark):
     assert sizes[1] > 4 * sizes[0]
 
 
+def test_lm_blocks_follow_the_input(make, words, monkeypatch):
+    rows = [(i, words(400, 2_000 + i)) for i in range(40)]
+    whole = {r["doc_id"]: r for r in rows_of(lm.score_documents(make(rows)))}
+    monkeypatch.setattr(lm, "BLOCKS", 4)
+    monkeypatch.setattr(lm, "BLOCK_TEXT", 4_000)
+    train = make(rows).selectExpr("cast(text as binary) as text")
+    counts = [lm.fit(train.limit(n))[1].count() for n in (10, 40)]
+    assert counts[0] > 4 and 3 * counts[0] < counts[1] < 5 * counts[0]
+    found = rows_of(lm.score_documents(make(rows), broadcast_bytes=0))
+    assert len(found) == len(whole)
+    assert all(math.isclose(r["base_score"], whole[r["doc_id"]]["base_score"]) and r["n_known"] == whole[r["doc_id"]]["n_known"] for r in found)
+
+
 # -- op 6, 7, 9, 1 --------------------------------------------------------------------------------
 
 def brute_secrets(text):
