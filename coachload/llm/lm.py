@@ -15,10 +15,11 @@ sets its own bits, so neither a frequent n-gram nor a frequent source makes a
 hot task.  A block has 16 bits for each of its own (n-gram, level) pairs, so a probe
 hits falsely about once in 200 at every size of the corpus.
 
-Probing: a filter of up to BROADCAST_BYTES is broadcast.  A larger one stays a
-stored table; documents are packed into parts, each part sends the distinct
-n-grams it holds once to their blocks, and the levels found come back to the
-part.  Both ways read the same bits and give the same scores.
+Probing: a filter of about BROADCAST_BYTES or less (two bytes for a token of
+six) is broadcast.  Beyond, documents are packed into parts; each part sends its
+distinct n-grams with their training counts to the blocks once, and a block's
+task sets its bits, probes them for all that was sent, and the levels return to
+the parts.  Both ways read the same bits and give the same scores.
 
 The exact unigram score needs exact counts.  Words of at least a count that at
 most HEAD_WORDS words reach are broadcast (16 MB at most); a document's other
@@ -39,15 +40,17 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
-from .base import WordHashes, as_bytes, named, remainder, slices, stored
+from .base import WordHashes, as_bytes, named, of_worker, remainder, slices, stored
 
 # Fixed value: the pseudo-count of the unigram base.
 ADD = 0.1
 BITS_PER_ENTRY = 16
 BROADCAST_BYTES = 8 << 20
 BLOCKS = 512  # at least
-BLOCK_TEXT = 8 << 20  # bytes of training text whose n-grams one block gathers
+BLOCK_TEXT = 4 << 20  # bytes of training text whose n-grams one block gathers
 HEAD_WORDS = 1 << 20
 BASE = 1.5
 MU = 2.0
@@ -119,7 +122,8 @@ def places(hashes: np.ndarray, level: np.ndarray | int, block_bits: np.ndarray |
 
 
 def block_of(hashes: np.ndarray, blocks: int = BLOCKS) -> np.ndarray:
-    return (mix(hashes ^ _M3) >> np.uint64(32)).astype(np.int64) % blocks
+    """Blocks are ranges of hashes."""
+    return ((hashes >> np.uint64(32)) * np.uint64(blocks) >> np.uint64(32)).astype(np.int64)
 
 
 def block_count(size: int) -> int:
@@ -128,11 +132,20 @@ def block_count(size: int) -> int:
     return max(BLOCKS, -(-size // BLOCK_TEXT))
 
 
-def by_block(own: np.ndarray, blocks: int) -> tuple[np.ndarray, np.ndarray]:
-    """An order of n-grams by their blocks, and where each block starts in it."""
-    block = block_of(own, blocks)
-    by = np.argsort(block, kind="stable")
-    return by, np.searchsorted(block[by], np.arange(blocks + 1))
+def by_block(own: np.ndarray, blocks: int) -> tuple[list[int], np.ndarray]:
+    """The blocks that sorted n-grams lie in, and where each block starts."""
+    cuts = np.searchsorted(block_of(own, blocks), np.arange(blocks + 1))
+    return np.flatnonzero(cuts[:-1] < cuts[1:]).tolist(), cuts
+
+
+def squeezed(x: np.ndarray) -> bytes:
+    """Byte planes, so that the shuffle's codec removes the empty ones."""
+    return x.view(np.uint8).reshape(len(x), x.itemsize).T.tobytes()
+
+
+def unsqueezed(data: bytes, dtype) -> np.ndarray:
+    size = np.dtype(dtype).itemsize
+    return np.frombuffer(data, np.uint8).reshape(size, -1).T.copy().view(dtype).reshape(-1)
 
 
 def probe(bits: np.ndarray, starts: np.ndarray, sizes: np.ndarray, hashes: np.ndarray) -> np.ndarray:
@@ -202,9 +215,8 @@ def _runs(order: int, blocks: int):
             rest = np.concatenate([hashes[~grams[0][1]], *[g[ok] for g, ok in grams[1:]]])
             for kind, own in ((0, words), (1, rest)):
                 own, n = np.unique(own, return_counts=True)
-                by, cuts = by_block(own, blocks)
-                own, n = own[by], n[by].astype(np.uint32)
-                filled = np.flatnonzero(cuts[:-1] < cuts[1:]).tolist()
+                filled, cuts = by_block(own, blocks)
+                n = n.astype(np.uint32)
                 yield pa.RecordBatch.from_pydict({
                     "block": pa.array(filled, pa.int32()), "kind": pa.array([kind] * len(filled), pa.int32()),
                     "hashes": pa.array([own[cuts[b]:cuts[b + 1]].tobytes() for b in filled], pa.binary()),
@@ -224,19 +236,27 @@ def _runs(order: int, blocks: int):
     return run
 
 
+HELD = "block int, bits binary, words binary, counts binary, n long, v long, reach array<long>"
+
+
+def _held(block: int, words: tuple[np.ndarray, np.ndarray], rest: tuple[np.ndarray, np.ndarray], base: float) -> tuple[np.ndarray, dict]:
+    """The bits and the row (without them) of a block; hashes and counts of
+    its words and its other n-grams, each once."""
+    n, both = words[1], np.concatenate([words[1], rest[1]])
+    bits = set_bits(np.concatenate([words[0], rest[0]]), both, bits_for(both, base), base)
+    return bits, {"block": block, "words": words[0].tobytes(), "counts": n.astype(np.int64).tobytes(), "n": int(n.sum()),
+                  "v": len(n), "reach": [int((n >= 1 << j).sum()) for j in range(40)]}
+
+
 def _merged(base: float):
     def merge(pdf: pd.DataFrame) -> pd.DataFrame:
-        of = {}
+        of = []
         for kind in (0, 1):
             own = pdf[pdf["kind"] == kind]
-            of[kind] = _sums(np.concatenate([np.zeros(0, np.uint64), *[np.frombuffer(x, np.uint64) for x in own["hashes"]]]),
-                             np.concatenate([np.zeros(0, np.int64), *[np.frombuffer(x, np.uint32).astype(np.int64) for x in own["counts"]]]))
-        words, n = of[0]
-        both = np.concatenate([n, of[1][1]])
-        bits = set_bits(np.concatenate([words, of[1][0]]), both, bits_for(both, base), base)
-        reach = [int((n >= 1 << j).sum()) for j in range(40)]
-        return pd.DataFrame({"block": [int(pdf["block"].iloc[0])], "bits": [bits.tobytes()], "words": [words.tobytes()],
-                             "counts": [n.astype(np.int64).tobytes()], "n": [int(n.sum())], "v": [len(words)], "reach": [reach]})
+            of.append(_sums(np.concatenate([np.zeros(0, np.uint64), *[np.frombuffer(x, np.uint64) for x in own["hashes"]]]),
+                            np.concatenate([np.zeros(0, np.int64), *[np.frombuffer(x, np.uint32).astype(np.int64) for x in own["counts"]]])))
+        bits, row = _held(int(pdf["block"].iloc[0]), *of, base)
+        return pd.DataFrame([{**row, "bits": bits.tobytes()}])[[x.split()[0] for x in HELD.split(", ")]]
     return merge
 
 
@@ -244,10 +264,10 @@ class Model:
     """What the workers get: the filter (None beyond the broadcast bound), N, V
     and the frequent words."""
 
-    def __init__(self, bits: list[np.ndarray] | None, blocks: int, base: float, mu: float, order: int, n: int, v: int,
+    def __init__(self, bits: list[np.ndarray] | None, base: float, mu: float, order: int, n: int, v: int,
                  words: np.ndarray, counts: np.ndarray, complete: bool):
         self.filter = None if bits is None else LogFrequencyFilter(bits, base)
-        self.blocks, self.base, self.mu, self.order, self.n, self.v = blocks, base, mu, order, n, v
+        self.mu, self.order, self.n, self.v = mu, order, n, v
         by = np.argsort(words)
         self.words, self.counts, self.complete = words[by], counts[by], complete
 
@@ -279,23 +299,27 @@ class Model:
         return np.where(grams[0][1], np.log10(np.minimum(p, 1.0)), 0.0)
 
 
-def fit(train: DataFrame, order: int = 2, base: float = BASE, mu: float = MU, head_words: int = HEAD_WORDS,
-        broadcast_bytes: int = BROADCAST_BYTES) -> tuple[Model, DataFrame]:
-    """``train``: rows with ``text`` (binary).  The model, and the stored
-    table of all bits and word counts by block."""
-    n_blocks = block_count(train.agg(F.sum(F.octet_length("text"))).first()[0] or 0)
+def fit(train: DataFrame, order: int = 2, base: float = BASE, mu: float = MU, head_words: int = HEAD_WORDS) -> tuple[Model, DataFrame]:
+    """``train``: rows with ``text`` (binary).  The model with its filter, and
+    the stored table of all bits and word counts by block."""
+    n_blocks = block_count(text_bytes(train))
     blocks = stored(train.select("text").mapInArrow(_runs(order, n_blocks), "block int, kind int, hashes binary, counts binary")
-                    .groupBy("block").applyInPandas(_merged(base), (
-                        "block int, bits binary, words binary, counts binary, n long, v long, reach array<long>")), "lm")
-    total = blocks.agg(F.sum("n").alias("n"), F.sum("v").alias("v"), F.sum(F.octet_length("bits")).alias("size"),
+                    .groupBy("block").applyInPandas(_merged(base), HELD), "lm")
+    bits = [np.zeros(8, np.uint8)] * n_blocks
+    for r in blocks.select("block", "bits").toLocalIterator():
+        bits[r.block] = np.frombuffer(bytes(r.bits), np.uint8)
+    return _model(blocks, bits, order, base, mu, head_words), blocks
+
+
+def text_bytes(rows: DataFrame) -> int:
+    return rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+
+
+def _model(blocks: DataFrame, bits: list[np.ndarray] | None, order: int, base: float, mu: float, head_words: int) -> Model:
+    total = blocks.agg(F.sum("n").alias("n"), F.sum("v").alias("v"),
                        F.array(*[F.sum(F.col("reach")[j]) for j in range(40)]).alias("reach")).first()
     n, v = total.n or 0, total.v or 0
     level = next((j for j in range(40) if (total.reach[j] or 0) <= head_words), 39)
-    bits = None
-    if (total["size"] or 0) <= broadcast_bytes:
-        bits = [np.zeros(8, np.uint8)] * n_blocks
-        for r in blocks.select("block", "bits").toLocalIterator():
-            bits[r.block] = np.frombuffer(bytes(r.bits), np.uint8)
 
     def head(batches):
         for b in batches:
@@ -308,7 +332,7 @@ def fit(train: DataFrame, order: int = 2, base: float = BASE, mu: float = MU, he
     found = blocks.select("words", "counts").mapInArrow(head, "words binary, counts binary").collect()
     words = np.concatenate([np.zeros(0, np.uint64), *[np.frombuffer(bytes(r.words), np.uint64) for r in found]])
     counts = np.concatenate([np.zeros(0, np.int64), *[np.frombuffer(bytes(r["counts"]), np.int64) for r in found]])
-    return Model(bits, n_blocks, base, mu, order, n, v, words, counts, complete=v <= head_words and level == 0), blocks
+    return Model(bits, base, mu, order, n, v, words, counts, complete=v <= head_words and level == 0)
 
 
 def _count_rows(batches):
@@ -355,87 +379,130 @@ def _by_broadcast(rows: DataFrame, shared) -> DataFrame:
     return rows.mapInArrow(run, SCORED)
 
 
-def _asked(grams: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
-    """The n-grams whose counts a part needs, place by place (as in ``_by_join``)."""
-    return np.concatenate([grams[0][0], *[g[ok] for g, ok in grams[1:]]])
+def _asked(grams: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Words and ends of a part, place by place; its begin marks and longer n-grams."""
+    hashes, ok = grams[0]
+    return hashes[ok], np.concatenate([hashes[~ok], *[g[ok] for g, ok in grams[1:]]])
 
 
-def _by_join(rows: DataFrame, shared, blocks: DataFrame, n_blocks: int, order: int, base: float) -> DataFrame:
-    """As ``_by_broadcast``, with the filter as a table.  A part is one row of
-    about PART_BYTES of text, written once, so that its n-grams are the same
-    whenever it is read."""
+def _by_join(rows: DataFrame, n_blocks: int, order: int = 2, base: float = BASE, mu: float = MU,
+             head_words: int = HEAD_WORDS) -> tuple[Model, DataFrame, DataFrame]:
+    """The model without its filter, the table of word counts by block, and
+    the rows scored as in ``_by_broadcast``.  A part is one row of about
+    PART_BYTES of text, written once, so that its n-grams are the same whenever
+    it is read."""
     def pack(batches):
         task, at = TaskContext.get().partitionId(), 0
         for b in batches:
             for part in slices(b, 3):
-                ends = pa.array([0, part.num_rows], pa.int32())
+                texts, ends = part.column(3).to_pylist(), pa.array([0, part.num_rows], pa.int32())
+                sizes = pa.array(list(map(len, texts)), pa.int64())
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([(task << 32) + at], pa.int64()), *[pa.ListArray.from_arrays(ends, c) for c in part.columns]],
-                    ["part", "rid", "doc_id", "held_out", "text"])
+                    [pa.array([(task << 32) + at], pa.int64()), *[pa.ListArray.from_arrays(ends, c) for c in [*part.columns[:3], sizes]],
+                     pa.array([pa.compress(b"".join(texts), codec="zstd", asbytes=True)], pa.binary())],
+                    ["part", "rid", "doc_id", "held_out", "sizes", "text"])
                 at += 1
 
+    def unpack(sizes: list[int], data: bytes) -> list[bytes]:
+        ends = np.cumsum([0, *sizes]).tolist()
+        whole = pa.decompress(data, ends[-1], codec="zstd", asbytes=True)
+        return [whole[a:b] for a, b in zip(ends, ends[1:])]
+
     def ask(batches):
         cache = WordHashes()
         for b in batches:
-            for part, texts in zip(b.column(0).to_pylist(), b.column(1)):
-                hashes, counts = token_hashes(texts.as_py(), cache)
-                own = np.unique(_asked(gram_hashes(hashes, counts, order)))
-                by, cuts = by_block(own, n_blocks)
-                own, filled = own[by], np.flatnonzero(cuts[:-1] < cuts[1:]).tolist()
-                yield pa.RecordBatch.from_pydict({
-                    "block": pa.array(filled, pa.int32()), "part": pa.array([part] * len(filled), pa.int64()),
-                    "hashes": pa.array([own[cuts[x]:cuts[x + 1]].tobytes() for x in filled], pa.binary())})
-
-    def answer(asked: pa.Table, held: pa.Table) -> pa.Table:
-        bits = np.frombuffer(held["bits"][0].as_py(), np.uint8) if held.num_rows else np.zeros(8, np.uint8)
-        runs = [np.frombuffer(x, np.uint64) for x in asked["hashes"].to_pylist()]
-        own = np.concatenate([np.zeros(0, np.uint64), *runs])
-        level = probe(bits, np.zeros(len(own), np.int64), np.full(len(own), len(bits) * 8), own)
-        ends = np.cumsum([0, *map(len, runs)])
-        return pa.table({"part": asked["part"], "block": asked["block"],
-                         "levels": pa.array([level[a:b].tobytes() for a, b in zip(ends, ends[1:])], pa.binary())})
+            for part, held_out, sizes, data in zip(*[c.to_pylist() for c in b.columns]):
+                hashes, counts = token_hashes(unpack(sizes, data), cache)
+                grams = gram_hashes(hashes, counts, order)
+                train = np.repeat(~np.array(held_out, bool), counts + 1)
+                for kind, (own, learned) in enumerate(zip(_asked(grams), _asked([(train, ok) for _, ok in grams]))):
+                    own, back = np.unique(own, return_inverse=True)
+                    n = np.bincount(back, learned, len(own)).astype(np.uint32)
+                    filled, cuts = by_block(own, n_blocks)
+                    first = own[cuts[filled]].view(np.int64)
+                    own[1:] -= own[:-1].copy()
+                    own[cuts[filled]] = 0  # the first of a run is sent apart
+                    yield pa.RecordBatch.from_pydict({
+                        "block": pa.array(filled, pa.int32()), "part": pa.array([part] * len(filled), pa.int64()),
+                        "kind": pa.array([kind] * len(filled), pa.int32()), "first": pa.array(first),
+                        "steps": pa.array([squeezed(own[cuts[x]:cuts[x + 1]]) for x in filled], pa.binary()),
+                        "counts": pa.array([squeezed(n[cuts[x]:cuts[x + 1]]) for x in filled], pa.binary())})
+
+    held = [x.split()[0] for x in HELD.split(", ") if not x.startswith("bits")]
+    told = ", ".join(x for x in HELD.split(", ") if not x.startswith("bits")) + ", part long, kind int, levels binary"
+    told_schema = to_arrow_schema(StructType.fromDDL(told))
+
+    def answer(asked: pa.Table) -> pa.Table:
+        kinds, runs, counts = asked["kind"].to_numpy(), [], []
+        for first, steps, n in zip(asked["first"].to_pylist(), asked["steps"].to_pylist(), asked["counts"].to_pylist()):
+            runs.append(np.cumsum(unsqueezed(steps, np.uint64), dtype=np.uint64) + np.array([first], np.int64).view(np.uint64))
+            counts.append(unsqueezed(n, np.uint32).astype(np.int64))
+        of = []
+        for kind in (0, 1):
+            own = np.flatnonzero(kinds == kind).tolist()
+            h, n = _sums(np.concatenate([np.zeros(0, np.uint64), *[runs[i] for i in own]]),
+                         np.concatenate([np.zeros(0, np.int64), *[counts[i] for i in own]]))
+            of.append((h[n > 0], n[n > 0]))  # what only held-out rows have isn't learned
+        block = asked["block"][0].as_py()
+        bits, row = _held(block, *of, base)
+        level = probe(bits, *np.broadcast_arrays(0, len(bits) * 8, both := np.concatenate(runs))[:2], both)
+        ends = np.cumsum([0, *map(len, runs)]).tolist()
+        rows = [{**row, "part": None, "kind": None, "levels": None}]
+        rows += [{**dict.fromkeys(held), "block": block, "part": part, "kind": kind, "levels": level[a:b].tobytes()}
+                 for part, kind, a, b in zip(asked["part"].to_pylist(), kinds.tolist(), ends, ends[1:])]
+        return pa.Table.from_pylist(rows, schema=told_schema)
 
     values = level_counts(base)
 
     def score(packed: pa.Table, found: pa.Table) -> pa.Table:
+        got = sorted(zip(found["kind"].to_pylist(), found["block"].to_pylist(), found["levels"].to_pylist()))
+
         def seen_of(grams):
-            own, back = np.unique(_asked(grams), return_inverse=True)
-            levels_of = np.zeros(len(own), np.uint8)
-            got = sorted(zip(found["block"].to_pylist(), found["levels"].to_pylist()))
-            levels_of[by_block(own, n_blocks)[0]] = np.frombuffer(b"".join(x for _, x in got), np.uint8)
-            c, at = values[levels_of][back], len(grams[0][0])
-            out = [c[:at]]
-            for _, ok in grams[1:]:
-                seen, n = np.zeros(len(ok)), int(ok.sum())
-                seen[ok] = c[at:at + n]
-                out.append(seen)
-                at += n
-            return out
+            seen = [np.zeros(len(ok)) for _, ok in grams]
+            for kind, own in enumerate(_asked(grams)):
+                level = np.frombuffer(b"".join(x for k, _, x in got if k == kind), np.uint8)
+                c = values[level][np.unique(own, return_inverse=True)[1]]
+                if kind == 0:
+                    seen[0][grams[0][1]] = c
+                    continue
+                at = 0
+                for k, (_, ok) in enumerate(grams):
+                    places_ = ok if k else ~ok
+                    n = int(places_.sum())
+                    seen[k][places_] = c[at:at + n]
+                    at += n
+            return seen
 
         keys = [packed[x].combine_chunks().flatten() for x in ("rid", "doc_id", "held_out")]
-        texts = packed["text"].combine_chunks().flatten().to_pylist()
-        return pa.Table.from_arrays(_scores(shared.value, keys, texts, WordHashes(), seen_of), NAMES)
-
-    packed = stored(rows.mapInArrow(pack, "part long, rid array<long>, doc_id array<long>, held_out array<boolean>, text array<binary>"),
-                    "parts", PACKED)
-    asked = packed.select("part", "text").mapInArrow(ask, "block int, part long, hashes binary")
-    found = (asked.groupBy("block").cogroup(blocks.select("block", "bits").groupBy("block"))
-             .applyInArrow(answer, "part long, block int, levels binary"))
-    return packed.groupBy("part").cogroup(found.groupBy("part")).applyInArrow(score, SCORED)
-
-
-def score_documents(docs: DataFrame, fold: int = 10, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+        texts = unpack(packed["sizes"][0].as_py(), packed["text"][0].as_py())
+        return pa.Table.from_arrays(_scores(shared.value, keys, texts, of_worker(("lm",), WordHashes), seen_of), NAMES)
+
+    packed = stored(rows.mapInArrow(pack, "part long, rid array<long>, doc_id array<long>, held_out array<boolean>, "
+                                          "sizes array<long>, text binary"), "parts", PACKED)
+    asked = packed.select("part", "held_out", "sizes", "text").mapInArrow(
+        ask, "block int, part long, kind int, first long, steps binary, counts binary")
+    lm = stored(asked.groupBy("block").applyInArrow(answer, told), "lm")
+    blocks = lm.filter("part IS NULL").select(*held)
+    model = _model(blocks, None, order, base, mu, head_words)
+    shared = rows.sparkSession.sparkContext.broadcast(model)
+    found = lm.filter("part IS NOT NULL").select("part", "kind", "block", "levels")
+    return model, blocks, packed.groupBy("part").cogroup(found.groupBy("part")).applyInArrow(score, SCORED)
+
+
+def score_documents(docs: DataFrame, fold: int = 10, id_col: str = "doc_id", text_col: str = "text",
+                    broadcast_bytes: int = BROADCAST_BYTES, **options) -> DataFrame:
     """Learns from rows whose crc32(id) mod ``fold`` is not 0 and scores all:
     doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     rows = named(docs, id_col, text_col).select("doc_id", as_bytes().alias("text"),
                                                 (remainder("doc_id", fold) == 0).alias("held_out"))
-    model, blocks = fit(rows.filter(~F.col("held_out")), **options)
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    train = rows.filter(~F.col("held_out"))
+    size = text_bytes(train)
     keyed = rows.select(F.monotonically_increasing_id().alias("rid"), "doc_id", "held_out", "text")
-    if model.filter is not None:
-        scored = _by_broadcast(keyed, shared)
+    if size // 3 <= broadcast_bytes:
+        model, blocks = fit(train, **options)
+        scored = _by_broadcast(keyed, docs.sparkSession.sparkContext.broadcast(model))
     else:
-        scored = _by_join(keyed, shared, blocks, model.blocks, model.order, model.base)
+        model, blocks, scored = _by_join(keyed, block_count(size), **options)
     out = ["doc_id", "held_out", "n_tokens", "n_known", F.lit(model.n).cast("long").alias("train_tokens"), "base_score", "score"]
     if model.complete:  # every training word was broadcast, so no word is left over
         return scored.select(*out)
