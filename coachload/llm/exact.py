@@ -159,30 +159,33 @@ def live_groups(rows: DataFrame) -> DataFrame:
 
 def exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row of ``docs``: doc_id, keep_id, group_size, kept, sha, ties (rows
-    that repeat the kept id and text)."""
+    that repeat the kept id and text), chars (code points of the row's text)."""
     rows = stored(digests(named(docs, id_col, text_col)), "digests")
     groups = live_groups(rows).select("sha", F.col("n").alias("group_size"), F.col("chars").alias("best"),
                                       F.when(F.col("id") != NO_ID, F.col("id")).alias("keep_id"), "ties")
     kept = F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("chars") == F.col("best"))
-    return rows.join(groups, "sha").select("doc_id", "keep_id", "group_size", kept.alias("kept"), "sha", "ties")
+    return rows.join(groups, "sha").select("doc_id", "keep_id", "group_size", kept.alias("kept"), "sha", "ties", "chars")
 
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs``, all columns, that stay: one per group."""
     keep = stored(exact_copies(docs, id_col, text_col).filter("kept")
-                  .groupBy("doc_id", "sha").agg(F.max("ties").alias("ties")), "live")
+                  .groupBy("doc_id", "sha", "chars").agg(F.max("ties").alias("ties")), "live")
     own = F.unhex(F.sha2(F.translate(F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")), SPACES, ""), 256))
-    same = F.col(f"`{id_col}`").cast("long").eqNullSafe(F.col("__id")) & (own == F.col("__sha"))
+    chars = F.coalesce(F.char_length(F.col(f"`{text_col}`").cast("string")), F.lit(0)).cast("long")
+    same = (F.col(f"`{id_col}`").cast("long").eqNullSafe(F.col("__id")) & (own == F.col("__sha"))
+            & (chars == F.col("__chars")))
 
     def those(of: DataFrame) -> DataFrame:
-        return docs.join(of.select(F.col("doc_id").alias("__id"), F.col("sha").alias("__sha")), same, "left_semi")
+        return docs.join(of.select(F.col("doc_id").alias("__id"), F.col("sha").alias("__sha"),
+                                   F.col("chars").alias("__chars")), same, "left_semi")
 
     repeated = keep.filter("ties > 1")
     if repeated.isEmpty():
         return those(keep)
-    # rows that repeat an id and a text: the longest original, then any of them
+    # rows that repeat an id and a text of one length: any of them
     again = those(repeated).withColumns({"__id": F.col(f"`{id_col}`").cast("long"), "__sha": own})
     best = again.groupBy("__id", "__sha").agg(
         F.max_by(F.struct(*[F.col(f"`{c}`") for c in docs.columns]),
-                 F.coalesce(F.char_length(F.col(f"`{text_col}`").cast("string")), F.lit(0))).alias("__row"))
+                 chars).alias("__row"))
     return those(keep.filter("ties = 1")).unionByName(best.select("__row.*"))

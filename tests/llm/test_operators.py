@@ -96,6 +96,12 @@ def test_exact(make, odd, words):
     assert sorted(SPACE.sub(b"", (r["text"] or "").encode()) for r in rows_of(kept)) == sorted(groups)
 
 
+def test_exact_drops_the_shorter_copy_of_an_id(make):
+    rows = [(1, "a b"), (1, "ab"), (2, "ab"), (3, "c  d"), (3, "c  d"), (3, "cd"), (None, "e f"), (None, "ef")]
+    kept = rows_of(exact.drop_copies(make(rows)))
+    assert sorted((str(r["doc_id"]), r["text"]) for r in kept) == [("1", "a b"), ("3", "c  d"), ("None", "e f")]
+
+
 # -- op 5 -----------------------------------------------------------------------------------------
 
 def brute_components(rows, width, percent):
