@@ -40,7 +40,7 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents' piece ids in place of their texts."""
-    return pieces.encode(docs, PIECE_MODEL, n_best=1)
+    return pieces.encode(docs, PIECE_MODEL)
 
 
 STAGES = [

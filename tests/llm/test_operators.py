@@ -281,6 +281,11 @@ def test_lm_blocks_follow_the_input(make, words, monkeypatch):
     assert all(math.isclose(r["base_score"], whole[r["doc_id"]]["base_score"]) and r["n_known"] == whole[r["doc_id"]]["n_known"] for r in found)
 
 
+def test_the_pipeline_searches_the_operators_paths(make, spark):
+    found = rows_of(corpus_pipeline.encoding_stage(spark, make([(1, "the quick brown fox jumps over")]), ""))
+    assert [len(r["nbest"]) for r in found] == [4]
+
+
 # -- op 6, 7, 9, 1 --------------------------------------------------------------------------------
 
 def brute_secrets(text):
