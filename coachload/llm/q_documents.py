@@ -11,11 +11,13 @@ from pyspark.sql import functions as F
 
 from coachload.session import scratch_path
 
-from . import decontaminate, exact, lines, lm, minhash, pieces, quality, secrets, substring, tokens
+from . import (decontaminate, exact, lines, lm, minhash, pieces, quality, secrets, substring, token_cache, tokens, trie,
+               whiten)
 from .base import remainder, table
 
 # Places of the public vocabulary files.
 PIECE_MODEL = os.environ.get("PIECE_MODEL", "/opt/tokenizers/piece_bpe_32k.model")
+BYTE_VOCABULARY = os.environ.get("BYTE_VOCABULARY", "/opt/tokenizers/byte_bpe_50k.json")
 WORD_VOCABULARY = os.environ.get("WORD_VOCABULARY", "/opt/tokenizers/word_bpe_49k.json")
 
 
@@ -161,6 +163,49 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, c
 FROM dw LEFT JOIN pos USING (doc_id) LEFT JOIN its USING (doc_id)
 """
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = trie.ordered_turns(trie.turn_digests(table(spark, sf_dir, "conversations")))
+    return trie.prefix_trie(trie.with_shared_heads(turns))
+
+
+# CRC-32 of the decimal id in plain SQL: -1 stands for one of a byte's eight steps.
+OP11_SQL = r"""
+WITH c AS (SELECT DISTINCT conv_id FROM conversations WHERE conv_id IS NOT NULL),
+h AS (SELECT conv_id, xor(list_reduce(list_concat([4294967295], flatten(list_transform(string_split(CAST(conv_id AS VARCHAR), ''),
+             x -> [CAST(ord(x) AS BIGINT), -1, -1, -1, -1, -1, -1, -1, -1]))),
+             (r, x) -> CASE WHEN x >= 0 THEN xor(r, x) WHEN r % 2 = 1 THEN xor(r // 2, 3988292384) ELSE r // 2 END), 4294967295) % 9 AS h FROM c),
+t AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST) AS p, octet_length(encode(coalesce(text, ''))) AS size,
+             md5(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS k FROM conversations WHERE conv_id IS NOT NULL),
+r AS (SELECT h.conv_id, p, k, size FROM h JOIN t ON t.conv_id = h.conv_id - h.conv_id % 5 AND p <= h
+      UNION ALL SELECT conv_id, p, k, size FROM h JOIN t USING (conv_id) WHERE p > h),
+l AS (SELECT conv_id, list(k ORDER BY p) AS ks, list(size ORDER BY p) AS sizes FROM r GROUP BY 1),
+m AS (SELECT conv_id, coalesce(ks, []) AS ks, coalesce(sizes, []) AS sizes FROM c LEFT JOIN l USING (conv_id)),
+x AS (SELECT conv_id, d, md5(array_to_string(ks[1:d], '')) AS node, md5(array_to_string(ks[1:d - 1], '')) AS parent,
+             CASE WHEN d = 0 THEN 0 ELSE sizes[d] END AS size, d = len(ks) AS last
+      FROM (SELECT conv_id, ks, sizes, unnest(range(0, len(ks) + 1)) AS d FROM m)),
+n AS (SELECT d, node, any_value(parent) AS parent, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(size) AS size,
+             sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (last), '')) AS ends_sha256 FROM x GROUP BY 1, 2),
+k AS (SELECT d - 1 AS d, parent AS node, count(*) AS n_children FROM n WHERE d > 0 GROUP BY 1, 2),
+e AS (SELECT n.*, coalesce(n_children, 0) AS n_children FROM n LEFT JOIN k USING (d, node)),
+below AS (SELECT DISTINCT a.d, a.node, b.d AS bd, b.node AS bnode FROM x a JOIN x b ON a.conv_id = b.conv_id AND b.d >= a.d),
+s AS (SELECT below.d, below.node, count(*) FILTER (e.n_children = 0) AS n_leaves, CAST(sum((e.n_convs - 1) * e.size) AS BIGINT) AS saved_tokens
+      FROM below JOIN e ON e.d = bd AND e.node = bnode GROUP BY 1, 2)
+SELECT e.conv_id, e.d AS depth, p.conv_id AS parent_conv_id, e.n_convs, e.n_children, s.n_leaves, s.saved_tokens, e.ends_sha256
+FROM e JOIN s ON s.d = e.d AND s.node = e.node LEFT JOIN e p ON p.d = e.d - 1 AND p.node = e.parent AND e.d > 0
+"""
+
+
+def op12_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cache = f"{scratch_path(spark, 'token_cache')}-{uuid.uuid4().hex}"
+    counted = token_cache.count_tokens(table(spark, sf_dir, "documents"), cache, BYTE_VOCABULARY)
+    return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 512).alias("over_limit"))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = whiten.whiten(table(spark, sf_dir, "embeddings"), components=4)
+    return rows.withColumn("deviation", F.col("deviation").try_cast("long"))
+
+
 QUERIES = {
     "op1_sentencepiece": op1_sentencepiece,
     "op2_substring_dedup": op2_substring_dedup,
@@ -172,6 +217,9 @@ QUERIES = {
     "op8_line_dedup": op8_line_dedup,
     "op9_quality": op9_quality,
     "op10_decontamination": op10_decontamination,
+    "op11_prefix_trie": op11_prefix_trie,
+    "op12_token_counts": op12_token_counts,
+    "op13_whitening": op13_whitening,
 }
 ORACLES = {
     "op2_substring_dedup": OP2_SQL,
@@ -179,4 +227,5 @@ ORACLES = {
     "op5_minhash": OP5_SQL,
     "op8_line_dedup": OP8_SQL,
     "op10_decontamination": OP10_SQL,
+    "op11_prefix_trie": OP11_SQL,
 }
