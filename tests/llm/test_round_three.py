@@ -258,7 +258,7 @@ def test_whitening_equals_dense_algebra(spark):
 def test_whitening_without_variance(spark):
     assert rows_of(whiten.whiten(vectors(spark, []))) == []
     got = rows_of(whiten.whiten(vectors(spark, [(1, [1.0, 2.0]), (2, [1.0, 2.0])])))
-    assert len(got) == 4 and {(g["n"], g["deviation"], g["whitened"], g["explained"]) for g in got} == {(1, 0, None, None)}
+    assert len(got) == 4 and {(g["n"], g["deviation"], g["whitened"], g["explained"]) for g in got} == {(1, "0", None, None)}
     line = rows_of(whiten.whiten(vectors(spark, [(i, [float(i), 2.0 * i, 0.0]) for i in range(5)])))
     assert all((g["whitened"] is None) == (g["component"] > 1) for g in line) and line[0]["identity_error"] < 1e-9
 
