@@ -12,6 +12,11 @@ from pyspark.sql import functions as F
 
 from coachload.functions import geo, time as tm
 from coachload.operators.joins import small_side
+from coachload.session import materialize
+
+# Values that a literal map of a column's codes holds at most (it is searched in
+# order); columns with more are joined.
+MAP_VALUES = 256
 
 # ---------------------------------------------------------------------------
 # Fixed values that must equal the reference's.
@@ -158,35 +163,57 @@ def add_occupancy(df: DataFrame, utilization: bool = False,
 
 # F13, F14 -------------------------------------------------------------------
 def fit_labels(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
-    """Dictionary (column, value, code): code = 0-based rank of the sorted
-    distinct non-null values of each column.
+    """Dictionary (column, value, code), written once: code = 0-based rank of
+    the sorted distinct non-null values of each column.
 
-    The distinct set is reduced map-side first, so the window only sees one
-    row per category; categories are bounded by stations / services.
+    The rank is distributed: the distinct values (reduced map-side) are sorted
+    over range partitions, each numbers its own, and the partitions' counts (a
+    row for each column and partition) move the numbers on.  No task holds a
+    column, however many values it has.
     """
     cols = [c for c in (cols or ENCODED_COLUMNS) if c in df.columns]
     stacked = df.select(F.explode(F.array(*[
         F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value"))
         for c in cols])).alias("kv")).select("kv.*")
     distinct = stacked.where(F.col("value").isNotNull()).distinct()
-    w = Window.partitionBy("column").orderBy("value")
-    return distinct.withColumn("code", (F.row_number().over(w) - 1).cast("int"))
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = materialize(distinct.repartitionByRange(parts, "column", "value").sortWithinPartitions("column", "value")
+                         .select("*", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("at")), "label_ranks")
+    held = placed.groupBy("column", "part").agg(F.min("at").alias("first"), F.count(F.lit(1)).alias("n"))
+    earlier = F.sum("n").over(Window.partitionBy("column").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
+    held = held.select("column", "part", (F.coalesce(earlier, F.lit(0)) - F.col("first")).alias("shift"))
+    return materialize(placed.join(held, ["column", "part"]).select(
+        "column", "value", (F.col("at") + F.col("shift")).cast("int").alias("code")), "labels")
 
 
 def apply_labels(df: DataFrame, labels: DataFrame, cols: list[str] | None = None,
                  unknown: int | None = None, suffix: str = "_encoded") -> DataFrame:
-    """Add ``<col>_encoded`` by a join with the (small, stored) dictionary per
-    column.
+    """Add ``<col>_encoded`` from the dictionary: columns of at most
+    ``MAP_VALUES`` values look theirs up in a literal map, others join theirs.
 
     ``unknown=None`` leaves unseen values NULL (training); ``unknown=0`` is
     the serving behaviour, where an unseen value is coded 0.
     """
     cols = [c for c in (cols or ENCODED_COLUMNS) if c in df.columns]
-    dic = small_side(labels, "labels")
-    out = df
+    held = {r["column"]: r["n"] for r in labels.groupBy("column").agg(F.count(F.lit(1)).alias("n")).collect()}
+    short = [c for c in cols if held.get(c, 0) <= MAP_VALUES]
+    maps: dict[str, dict] = {c: {} for c in short}
+    for r in labels.where(F.col("column").isin(short)).collect() if short else []:
+        maps[r["column"]][r["value"]] = r["code"]
+    out, added = df, {}
+    for c in short:
+        if maps[c]:
+            keys, codes = zip(*sorted(maps[c].items(), key=lambda x: x[1]))
+            code = F.try_element_at(F.map_from_arrays(F.array(*map(F.lit, keys)), F.array(*map(F.lit, codes))), F.col(c).cast("string"))
+        else:
+            code = F.lit(None)
+        added[c + suffix] = (code if unknown is None else F.coalesce(code, F.lit(unknown))).cast("int")
+    out = out.withColumns(added) if added else out
     for c in cols:
-        d = dic.where(F.col("column") == c).select(
-            F.col("value").alias(f"__v_{c}"), F.col("code").alias(f"__c_{c}"))
+        if c in short:
+            continue
+        d = small_side(labels.where(F.col("column") == c).select(
+            F.col("value").alias(f"__v_{c}"), F.col("code").alias(f"__c_{c}")), "labels")
         out = out.join(d, out[c].cast("string") == d[f"__v_{c}"], "left")
         code = F.col(f"__c_{c}")
         if unknown is not None:

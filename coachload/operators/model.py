@@ -8,10 +8,11 @@ integer ``prediction`` and a ``probability`` array in class-code order
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from coachload.operators.quantiles import at_ranks, value_counts
 from coachload.operators.target import TIER_CODES, tier_of
 
 CLASS_NAMES = sorted(TIER_CODES, key=TIER_CODES.get)   # Busy, Moderate, Quiet
@@ -25,65 +26,133 @@ def split_hash(key_cols: list[str], seed: int = 42) -> Column:
     return F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("bigint")
 
 
+def hash_at_rank(df: DataFrame, cls: Column, h: Column, rank: Callable[[Column], Column]) -> dict[str, tuple]:
+    """The value of the 64-bit hash ``h`` at a 0-based rank in each class, by
+    radix selection: {class: (value, rows at it up to the rank, rows at it)}.
+
+    A pass counts rows by class and the next 16 bits, so its exchange has at
+    most 65,536 rows a class and task; it keeps the prefix that holds the rank.
+    Four passes at most; it ends as soon as one value is left.
+    """
+    raised = h.bitwiseXOR(F.lit(-1 << 63))      # signed order as unsigned order
+    found: dict[str, tuple] = {}
+    left: dict[str, tuple[int, int]] = {}
+    w = Window.partitionBy("key")
+    for shift in (48, 32, 16, 0):
+        rows = df
+        if left:
+            at = None
+            for k, (prefix, _) in left.items():
+                own = (cls == k) & (F.shiftrightunsigned(raised, shift + 16) == prefix)
+                at = own if at is None else at | own
+            rows = df.where(at)
+        digit = F.shiftrightunsigned(raised, shift).bitwiseAND(F.lit(0xFFFF))
+        counts = rows.groupBy(cls.alias("key"), digit.alias("digit")).agg(
+            F.count(F.lit(1)).alias("n"), F.min(h).alias("low"), F.max(h).alias("high"))
+        counts = counts.select("*", F.sum("n").over(w).alias("total"), F.coalesce(F.sum("n").over(
+            w.orderBy("digit").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+        wanted = rank(F.col("total")) if shift == 48 else F.element_at(
+            F.create_map(*[F.lit(x) for k, (_, r) in left.items() for x in (k, r)]), F.col("key"))
+        hits = counts.withColumn("rank", wanted.cast("long")).where(
+            (F.col("rank") >= F.col("before")) & (F.col("rank") < F.col("before") + F.col("n"))).collect()
+        left = {}
+        for r in hits:
+            if r["low"] == r["high"]:
+                found[r["key"]] = (r["low"], r["rank"] + 1 - r["before"], r["n"])
+            else:
+                left[r["key"]] = (((r["low"] & (1 << 64) - 1) ^ 1 << 63) >> shift, r["rank"] - r["before"])
+        if not left:
+            break
+    return found
+
+
+class _Share:
+    """The rows that are first in the order (hash of the key, hash of the row)
+    of their class, a given number of each class."""
+
+    def __init__(self, df: DataFrame, cls: Column, h: Column, whole: Column, number: Callable[[Column], Column]):
+        # class -> (boundary hash, rows at it that belong, rows at it)
+        first = hash_at_rank(df, cls, h, lambda n: number(n) - 1)
+        shared = {k: b for k, b in first.items() if b[1] < b[2]}
+        second: dict[str, tuple] = {}
+        if shared:
+            at = None
+            for k, (v, _, _) in shared.items():
+                at = (cls == k) & (h == v) if at is None else at | ((cls == k) & (h == v))
+            take = F.create_map(*[F.lit(x) for k, b in shared.items() for x in (k, b[1])])
+            second = hash_at_rank(df.where(at), cls, whole, lambda n: F.element_at(take, F.col("key")) - 1)
+        self.inside, self.torn = F.lit(False), F.lit(False)
+        for k, (v, _, _) in first.items():
+            own = h <= v
+            if k in second:
+                u, some, n = second[k]
+                own = (h < v) | ((h == v) & (whole <= u))
+                if some < n:
+                    self.torn = self.torn | ((cls == k) & (h == v) & (whole == u))
+            self.inside = self.inside | ((cls == k) & own)
+        #: class -> copies of one row that belong, of those that straddle the boundary
+        self.some = {k: some for k, (_, some, n) in second.items() if some < n}
+
+
+def _class_of(label: str) -> Column:
+    return F.coalesce(F.col(label).cast("string"), F.lit("null"))
+
+
+def _number(share: float) -> Callable[[Column], Column]:
+    return lambda n: F.floor(n * F.lit(float(share)) + F.lit(0.5))
+
+
+def _whole(df: DataFrame) -> Column:
+    return F.xxhash64(*[F.col(c) for c in df.columns])
+
+
 def stratified_split(df: DataFrame, label: str = "comfort_tier_encoded",
                      key_cols: list[str] | None = None, test: float = 0.2,
                      seed: int = 42, out: str = "split") -> DataFrame:
     """Exact per-class split: in every class the ``round(test * n_class)``
     rows with the smallest (hash of the key, hash of the row) go to test.
 
-    A narrow pass finds the boundary hash of each class (an order statistic,
-    distributed); rows at a boundary hash shared by several rows are bounded
-    again by the hash of the whole row.  The split is then one projection over
-    the input, with one boundary per class as literals; nothing is written.
-    Only copies of one row that straddle the boundary are counted and split by
-    number, so a huge group of copies is reduced before it moves.
+    Radix selection finds the boundary hash of each class; rows at a boundary
+    hash shared by several rows are bounded again by the hash of the whole row.
+    The split is then one projection over the input, with one boundary per
+    class as literals; nothing is written.  Only copies of one row that
+    straddle the boundary are counted and split by number, so a huge group of
+    copies is reduced before it moves.  Store a dear input first: it is read a
+    few times, each time only the key and the label.
     """
     key_cols = key_cols or ["messageId_leg_start", "leg_departure_dt"]
-    h, whole = split_hash(key_cols, seed), F.xxhash64(*[F.col(c) for c in df.columns])
-    cls = F.coalesce(F.col(label).cast("string"), F.lit("null"))
-
-    def boundary(values: DataFrame, ranks) -> dict[str, tuple]:
-        return {r["key"]: (r["v"], r["rank"] + 1 - r["before"], r["n"]) for r in at_ranks(value_counts(values), ranks).collect()}
-
-    # class -> (boundary hash, rows at it that go to test, rows at it)
-    first = boundary(df.select(cls.alias("key"), h.alias("v")),
-                     lambda n: F.filter(F.array(F.floor(n * F.lit(float(test)) + F.lit(0.5)) - 1), lambda r: r >= 0))
-    shared = {k: b for k, b in first.items() if b[1] < b[2]}
-    second = {}
-    if shared:
-        at = None
-        for k, (v, _, _) in shared.items():
-            at = (cls == k) & (h == v) if at is None else at | ((cls == k) & (h == v))
-        take = F.create_map(*[F.lit(x) for k, b in shared.items() for x in (k, b[1])])
-        second = boundary(df.where(at).select(cls.alias("key"), whole.alias("v")),
-                          lambda n: F.array(F.element_at(take, F.col("key")) - 1))
-    split, torn = F.lit("train"), F.lit(False)
-    for k, (v, _, _) in first.items():
-        inside = h <= v
-        if k in second:
-            w, some, n = second[k]
-            inside = (h < v) | ((h == v) & (whole <= w))
-            if some < n:
-                torn = torn | ((cls == k) & (h == v) & (whole == w))
-        split = F.when((cls == k) & inside, "test").otherwise(split)
-    if not any(some < n for _, some, n in second.values()):
+    cls = _class_of(label)
+    share = _Share(df, cls, split_hash(key_cols, seed), _whole(df), _number(test))
+    split = F.when(share.inside, "test").otherwise("train")
+    if not share.some:
         return df.withColumn(out, split)
-    some = F.element_at(F.create_map(*[F.lit(x) for k, b in second.items() for x in (k, b[1])]), cls)
-    copies = df.where(torn).groupBy(*df.columns).agg(F.count(F.lit(1)).alias("__n")).withColumn("__some", some)
+    some = F.element_at(F.create_map(*[F.lit(x) for k, n in share.some.items() for x in (k, n)]), cls)
+    copies = df.where(share.torn).groupBy(*df.columns).agg(F.count(F.lit(1)).alias("__n")).withColumn("__some", some)
     copies = copies.select(*df.columns, F.explode(F.sequence(F.lit(1).cast("long"), F.col("__n"))).alias("__i"), "__some")
     copies = copies.select(*df.columns, F.when(F.col("__i") <= F.col("__some"), "test").otherwise("train").alias(out))
-    return df.where(~torn).withColumn(out, split).unionByName(copies)
+    return df.where(~share.torn).withColumn(out, split).unionByName(copies)
 
 
 def three_way_split(df: DataFrame, label: str = "comfort_tier_encoded", key_cols: list[str] | None = None,
                     test: float = 0.2, valid: float = 0.2, seed: int = 42, out: str = "split") -> DataFrame:
     """As ``stratified_split`` with a third part ``valid``, of ``valid`` of all
     rows of each class, so that early stopping and model choice need not see
-    the test rows."""
-    first = stratified_split(df, label, key_cols, test, seed, out)
-    rest = stratified_split(first.where(F.col(out) == "train").drop(out), label, key_cols, valid / (1 - test), seed + 1, out)
-    rest = rest.withColumn(out, F.when(F.col(out) == "test", "valid").otherwise("train"))
-    return first.where(F.col(out) == "test").unionByName(rest)
+    the test rows.
+
+    The boundaries of the second part are selected among the rows beyond the
+    first one's; all three parts then come from one projection, unless copies
+    of one row straddle a boundary."""
+    key_cols = key_cols or ["messageId_leg_start", "leg_departure_dt"]
+    cls, rest = _class_of(label), valid / (1 - test)
+    first = _Share(df, cls, split_hash(key_cols, seed), _whole(df), _number(test))
+    if not first.some:
+        second = _Share(df.where(~first.inside), cls, split_hash(key_cols, seed + 1), _whole(df), _number(rest))
+        if not second.some:
+            return df.withColumn(out, F.when(first.inside, "test").when(second.inside, "valid").otherwise("train"))
+    one = stratified_split(df, label, key_cols, test, seed, out)
+    two = stratified_split(one.where(F.col(out) == "train").drop(out), label, key_cols, rest, seed + 1, out)
+    two = two.withColumn(out, F.when(F.col(out) == "test", "valid").otherwise("train"))
+    return one.where(F.col(out) == "test").unionByName(two)
 
 
 # M2 ------------------------------------------------------------------------

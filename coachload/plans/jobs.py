@@ -51,7 +51,8 @@ def train_job(legs: DataFrame, out: str, method: str = "quantile",
     thr = materialize(tg.thresholds(tg.occupancy_pct(legs), method), "thresholds")
     groups = fe.groups_before_departure() if before_departure else None
     _, features, _ = fe.select_features(feats, groups)
-    data = tg.encode_tier(tg.assign_tier(tg.occupancy_pct(feats), thr)).select(*tables.LEG_KEY, label, *features)
+    # Engineered once; the split, the scaling, the cut points and the reports read this table.
+    data = materialize(tg.encode_tier(tg.assign_tier(tg.occupancy_pct(feats), thr)).select(*tables.LEG_KEY, label, *features), "engineered")
     data = (md.three_way_split if three_way else md.stratified_split)(data, label)
     train = data.where(F.col("split") == "train")
     plan = materialize(md.scaling_plan(md.feature_ranges(train, features)), "scaling")

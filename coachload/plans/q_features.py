@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from coachload.operators import features as fe, target as tg
 from coachload.plans import sqlparts as sq
+from coachload.session import materialize
 from coachload.sources import tables
 
 KEY = tables.LEG_KEY
@@ -41,8 +42,12 @@ def q_occupancy(spark, sf_dir):
 
 
 def _engineered(spark, sf_dir):
-    feats, labels = fe.engineer(tables.legs(spark, sf_dir))
-    return tg.label(feats), labels
+    """The legs are written once: the dictionary, the thresholds and the
+    features each read the columns they need."""
+    legs = tables.stored_legs(spark, sf_dir, tables.legs(spark, sf_dir).columns)
+    feats, labels = fe.engineer(legs)
+    thresholds = materialize(tg.thresholds(tg.occupancy_pct(legs)), "thresholds")
+    return tg.encode_tier(tg.assign_tier(tg.occupancy_pct(feats), thresholds)), labels
 
 
 def q_dictionary(spark, sf_dir):

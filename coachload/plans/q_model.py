@@ -25,42 +25,51 @@ KEY = tables.LEG_KEY
 LABEL = "comfort_tier_encoded"
 # Limits low enough that some columns of the fixture are scaled.
 SCALE_LIMITS = dict(max_limit=100.0, std_limit=20.0)
-# The default model of a folder, fitted once per Spark application.
+# The engineered table of a folder with its dictionary, thresholds and feature
+# names, and the default model, made once per Spark application.
+_STORED: dict[tuple[str, str], tuple] = {}
 _FITTED: dict[tuple[str, str], bo.SoftmaxBoostingModel] = {}
 
 
 class Ctx:
-    """The labelled, split legs; every query reads the columns it uses."""
+    """The labelled legs, engineered once for a folder and application and
+    stored; every query reads the columns it uses."""
 
     def __init__(self, spark, sf_dir):
         self.spark, self.sf_dir = spark, sf_dir
 
     @cached_property
-    def legs(self):
-        return tables.legs(self.spark, self.sf_dir)
-
-    @cached_property
-    def engineered_and_labels(self):
-        feats, labels = fe.engineer(self.legs)
-        return tg.encode_tier(tg.assign_tier(tg.occupancy_pct(feats), self.thresholds)), labels
+    def stored(self):
+        key = (self.spark.sparkContext.applicationId, self.sf_dir)
+        if key not in _STORED:
+            legs = tables.stored_legs(self.spark, self.sf_dir, tables.legs(self.spark, self.sf_dir).columns)
+            feats, labels = fe.engineer(legs)
+            thresholds = materialize(tg.thresholds(tg.occupancy_pct(legs)), "thresholds")
+            done = tg.encode_tier(tg.assign_tier(tg.occupancy_pct(feats), thresholds))
+            _, available, _ = fe.select_features(done)
+            _STORED[key] = (materialize(done.select(*KEY, LABEL, *available), "engineered"), labels, thresholds, available)
+        return _STORED[key]
 
     @property
     def engineered(self):
-        return self.engineered_and_labels[0]
+        return self.stored[0]
 
-    @cached_property
+    @property
+    def labels(self):
+        return self.stored[1]
+
+    @property
+    def thresholds(self):
+        return self.stored[2]
+
+    @property
     def features(self):
-        _, available, _ = fe.select_features(self.engineered)
-        return available
+        return self.stored[3]
 
     @cached_property
     def split(self):
         return md.stratified_split(self.engineered.select(*KEY, LABEL, *self.features), LABEL, KEY)
 
-    @cached_property
-    def thresholds(self):
-        return materialize(tg.thresholds(tg.occupancy_pct(self.legs)), "thresholds")
-
     def part(self, name):
         return self.split.where(F.col("split") == name)
 
@@ -146,7 +155,7 @@ def q_choice(spark, sf_dir):
     def share(thresholds):
         return md.accuracy(md.ThresholdModel(thresholds).transform(test)).first()["accuracy"]
 
-    fixed, fitted = share(tg.thresholds(c.legs, "fixed")), share(c.thresholds)
+    fixed, fitted = share(tg.thresholds(c.engineered, "fixed")), share(c.thresholds)
     return spark.createDataFrame([(md.choose("fixed", "fitted", fixed, fitted)[0], round(fixed, 6), round(fitted, 6))],
                                  "chosen string, fixed_accuracy double, fitted_accuracy double")
 
@@ -207,7 +216,7 @@ def q_bundle(spark, sf_dir):
     c = Ctx(spark, sf_dir)
     path = f"{scratch_path(spark, 'bundle')}-{uuid.uuid4().hex}"
     plan = md.scaling_plan(md.feature_ranges(c.part("train"), c.features))
-    bo.save_bundle(path, c.boosted, c.engineered_and_labels[1], c.thresholds, plan, {"threshold_method": "quantile"})
+    bo.save_bundle(path, c.boosted, c.labels, c.thresholds, plan, {"threshold_method": "quantile"})
     back = bo.load_bundle(spark, path)
     own = c.boosted.transform(c.part("test")).select(*KEY, "split", F.col("probability").alias("own"), *c.features)
     both = back["model"].transform(own).agg(

@@ -69,3 +69,22 @@ def test_read_requests_and_write_predictions(spark, tmp_path):
     back = spark.read.json(str(tmp_path / "out")).first()
     assert [p["pos"] for p in back["predictions"]] == [0, 1]
     assert back["predictions"][1]["first_class"]["comfort_tier"] == "Busy"
+
+
+def test_label_codes_are_ranked_over_partitions(spark):
+    import random
+    r = random.Random(1)
+    values = sorted({f"v{r.randrange(10**6)}é"[: r.randint(2, 7)] for _ in range(4000)}, key=str.encode)
+    rows = [(v, "abc"[i % 3]) for i, v in enumerate(values)] + [(None, "a"), (values[0], None)]
+    df = spark.createDataFrame(r.sample(rows, len(rows)), "headcode string, coach_type string").repartition(6)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        labels = fe.fit_labels(df, ["headcode", "coach_type"])
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    got = {(x["column"], x["value"]): x["code"] for x in labels.collect()}
+    assert got == {**{("headcode", v): i for i, v in enumerate(values)}, **{("coach_type", v): i for i, v in enumerate("abc")}}
+    # a column beyond MAP_VALUES is joined, a short one looked up; both give the same codes
+    out = fe.apply_labels(df, labels, ["headcode", "coach_type"], unknown=0).collect()
+    assert all(x["headcode_encoded"] == got.get(("headcode", x["headcode"]), 0) for x in out)
+    assert all(x["coach_type_encoded"] == got.get(("coach_type", x["coach_type"]), 0) for x in out) and len(out) == len(rows)

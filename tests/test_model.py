@@ -155,3 +155,152 @@ def test_exact_quantiles_of_a_continuous_column(spark):
         got = column_quantiles(df, "x", probs).first()["q"]
         assert got == pytest.approx(np.quantile(values, probs).tolist(), rel=1e-12)
     assert column_quantiles(spark.createDataFrame([], "x double"), "x", [0.5]).first()["q"] is None
+
+
+def test_split_boundaries_by_radix_selection(spark):
+    import random
+    r = random.Random(2)
+    values = [r.getrandbits(64) - (1 << 63) for _ in range(3000)] + [5] * 40 + [-7] * 3
+    rows = [(v, r.choice("abc")) for v in values]
+    df = spark.createDataFrame(rows, "h long, c string").repartition(6)
+    for share in (0.0, 0.2, 0.5, 1.0):
+        got = md.hash_at_rank(df, F.col("c"), F.col("h"), lambda n: F.floor(n * F.lit(share)) - 1)
+        for c in "abc":
+            own = sorted(v for v, k in rows if k == c)
+            at = int(len(own) * share) - 1
+            if at < 0:
+                assert c not in got
+            else:
+                v = own[at]
+                assert got[c] == (v, at + 1 - sum(x < v for x in own), own.count(v))
+
+
+def test_three_way_split_parts(spark):
+    rows = [(f"k{i}", i % 3) for i in range(500)] + [("hot", 0)] * 90
+    df = spark.createDataFrame(rows, "messageId_leg_start string, c int").withColumn("leg_departure_dt", F.lit("x")).repartition(5)
+    keys = ["messageId_leg_start", "leg_departure_dt"]
+    for data in (df, df.where("messageId_leg_start <> 'hot'")):
+        s = md.three_way_split(data, "c")
+        got = sorted(tuple(r) for r in s.groupBy("messageId_leg_start", "c", "split").count().collect())
+        want = {}
+        all_rows = data.select("messageId_leg_start", "c", md.split_hash(keys, 42).alias("a"), md.split_hash(keys, 43).alias("b")).collect()
+        for c in range(3):
+            own = sorted((r for r in all_rows if r["c"] == c), key=lambda r: (r["a"], r[0]))
+            test = int(len(own) * 0.2 + 0.5)
+            rest = sorted(own[test:], key=lambda r: (r["b"], r[0]))
+            valid = int(len(rest) * 0.25 + 0.5)
+            for part, rs in (("test", own[:test]), ("valid", rest[:valid]), ("train", rest[valid:])):
+                for r in rs:
+                    want[r[0], c, part] = want.get((r[0], c, part), 0) + 1
+        assert got == sorted((*k, v) for k, v in want.items())
+
+
+def _leaf_rows(spark, n=400):
+    import random
+    r = random.Random(8)
+    rows = [(r.random(), r.random(), r.randrange(5), i) for i in range(n)]
+    return spark.createDataFrame([(a, b, float(c), int(a + b > 1) + int(c == 2), i) for a, b, c, i in rows],
+                                 "a double, b double, c double, y int, i int")
+
+
+def _same_trees(one, two):
+    assert len(one.trees) == len(two.trees)
+    for x, y in zip(one.trees, two.trees):
+        for t, u in zip(x, y):
+            assert (t.feature == u.feature).all() and (t.bin == u.bin).all()
+            assert t.value == pytest.approx(u.value)
+
+
+def test_stretches_and_tasks_grow_the_same_trees(spark):
+    df = _leaf_rows(spark)
+    base = bo.SoftmaxBoosting(rounds=7, max_depth=4, patience=None, subsample=0.8, colsample_bytree=0.7)
+    whole = base.copy(tasks=1).fit(df, ["a", "b", "c"], "y", df)
+    _same_trees(whole, base.copy(tasks=3, stretch=2).fit(df, ["a", "b", "c"], "y", df))
+    assert len(whole.history["eval"]) == 7
+
+
+def test_trees_follow_the_exact_histograms(spark):
+    """Sibling subtraction and dealt features against sums over all rows."""
+    import numpy as np
+    df = _leaf_rows(spark)
+    model = bo.SoftmaxBoosting(rounds=2, max_depth=3, patience=None, tasks=4).fit(df, ["a", "b", "c"], "y")
+    rows = df.collect()
+    x, y = np.array([[r.a, r.b, r.c] for r in rows]), np.array([r.y for r in rows])
+    bins, margins = bo.to_bins(x, model.cuts), np.zeros((len(x), 3))
+    for rnd in model.trees:
+        p = bo.softmax(margins)
+        for k, tree in enumerate(rnd):
+            g, h = p[:, k] - (y == k), 2 * p[:, k] * (1 - p[:, k])
+            inside = {0: np.ones(len(x), bool)}
+            for node in range((1 << 3) - 1):
+                if node not in inside:
+                    continue
+                own = inside[node]
+                best = max(((g[l].sum() ** 2 / (h[l].sum() + 1) + g[q].sum() ** 2 / (h[q].sum() + 1)
+                             - g[own].sum() ** 2 / (h[own].sum() + 1)), f, b)
+                           for f in range(3) for b in range(64)
+                           for l, q in [(own & (bins[:, f] <= b), own & (bins[:, f] > b))]
+                           if h[l].sum() >= 1 and h[q].sum() >= 1) if h[own].sum() >= 2 else (0, -1, 0)
+                if tree.feature[node] < 0:
+                    assert best[0] <= 1e-6
+                    continue
+                assert tree.gain[node] == pytest.approx(best[0])
+                f, b = tree.feature[node], tree.bin[node]
+                inside[2 * node + 1], inside[2 * node + 2] = own & (bins[:, f] <= b), own & (bins[:, f] > b)
+                for child in (2 * node + 1, 2 * node + 2):
+                    l = inside[child]
+                    assert tree.value[child] == pytest.approx(-0.3 * g[l].sum() / (h[l].sum() + 1))
+        for k, tree in enumerate(rnd):
+            margins[:, k] += tree.outputs(bins)
+
+
+def test_a_prefix_is_a_separate_fit(spark):
+    df = _leaf_rows(spark).withColumns({"messageId_leg_start": F.col("i").cast("string"), "leg_departure_dt": F.lit("x")})
+    grid = [{"max_depth": 3, "rounds": n} for n in (2, 5, 3)] + [{"max_depth": 2, "rounds": 4}]
+    assert [(p["rounds"], sorted(at.values())) for p, at in bo.growths(grid, 9)] == [(5, [2, 3, 5]), (4, [4])]
+    assert len(bo.growths(bo.all_settings(bo.FULL_GRID), 100)) == 81
+    together = bo.grid_search(df, ["a", "b", "c"], "y", bo.SoftmaxBoosting(), grid).collect()
+    for i, p in enumerate(grid):
+        [alone] = bo.grid_search(df, ["a", "b", "c"], "y", bo.SoftmaxBoosting(), [p]).collect()
+        assert alone["fold_accuracy"] == together[i]["fold_accuracy"]
+
+
+LOST = """
+import os, sys
+sys.path.insert(0, {repo!r})
+from coachload.session import build_session
+from coachload.operators import boosting as bo, growth
+spark = build_session("local[2,4]", shuffle_partitions=2)
+from tests.test_model import _leaf_rows, _same_trees
+df = _leaf_rows(spark)
+est = bo.SoftmaxBoosting(rounds=6, max_depth=3, patience=None, tasks=2, stretch=3)
+whole = est.fit(df, ["a", "b", "c"], "y")
+own, marker = growth.Grower.round, {marker!r}
+def lost(self):
+    if self.folder.rank == 1 and len(self.runs[0].trees) == 4 and not os.path.exists(marker):
+        open(marker, "w").close()
+        os._exit(1)
+    own(self)
+growth.Grower.round = lost
+_same_trees(whole, est.fit(df, ["a", "b", "c"], "y"))
+assert os.path.exists(marker)
+print("same trees")
+"""
+
+
+def test_a_lost_task_restarts_its_stretch(tmp_path):
+    import os
+    import subprocess
+    import sys
+    repo = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    code = LOST.format(repo=repo, marker=str(tmp_path / "lost"))
+    done = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, timeout=300, cwd=repo)
+    assert "same trees" in done.stdout, done.stderr[-3000:]
+
+
+def test_no_stage_beyond_the_size_of_generated_code(spark, capfd):
+    """Janino's limit of 64 KB: such a stage would run interpreted."""
+    from coachload.plans import q_model
+    for name in ("model_split", "model_eval_report"):
+        q_model.QUERIES[name](spark, SF001).collect()
+    assert "grows beyond 64 KB" not in "".join(capfd.readouterr())
