@@ -387,10 +387,11 @@ def grow(data: DataFrame, runs: list[Run], n_features: int, n_classes: int, n_bi
                 note = pickle.dumps([([[t.parts() for t in rnd] for rnd in r.trees[a:]], r.open, r.history, r.best, r.right) for r, a in zip(runs, start)])
             yield from rows.batches(note)
 
-        # Only margins and what they rest on go out again; trees are sent to the tasks as counts.
+        # Finished trees are in the margins: the tasks need only their number.  The exchange behind the
+        # barrier stage makes it one that Spark starts again; one that writes the result is given up.
         light = [_light(r) for r in runs]
         out = materialize(data.where("note IS NULL").repartition(tasks).mapInArrow(
-            lambda batches, run=run, light=light: run(batches, light), ROWS, barrier=True), "margins")
+            lambda batches, run=run, light=light: run(batches, light), ROWS, barrier=True).repartition(tasks, "hash"), "margins")
         for r, (trees, r.open, r.history, r.best, r.right) in zip(runs, pickle.loads(out.where("note IS NOT NULL").first()["note"])):
             r.trees += [[Tree(*t) for t in rnd] for rnd in trees]
         data = out
