@@ -12,10 +12,14 @@ counted over all coordinates (the merge skips a pair once it cannot reach
 
 Components don't need all pairs of a list.  Two rounds link each list's members
 to a few hubs only, which joins large groups of near copies in linear work.
-What then still lies in one list under different labels is compared in blocks:
+What then still lies in one list under different labels is compared in blocks
+of at most BLOCK members and SHINGLES shingles:
 every member is in one block of targets, and the members outside the list's
 most frequent label are in one block of queries too; each block of queries
-meets each block of targets, so a task's group is bounded.  It counts collisions of
+meets each block of targets, so a task's group is bounded.  A list of more
+than LONG blocks is dealt out first: the pigeonhole holds for any dealing of
+the coordinates, so its members are posted again under the list and the groups
+of a second dealing, and a wanted pair still meets, in shorter lists.  It counts collisions of
 all its pairs at once, takes each pair in the first list it shares only,
 confirms the rest by one product of shingle-incidence matrices, and emits a
 spanning forest of the links found, so its output is linear in its members.
@@ -46,7 +50,9 @@ from .components import components
 
 K = 128
 HUBS = 4
-BLOCK = 512
+BLOCK = 4096
+SHINGLES = 1 << 22
+LONG = 32
 COLUMNS = 4096  # of an incidence matrix at a time
 _MUL = np.uint64(0x9E3779B97F4A7C15)
 
@@ -114,6 +120,12 @@ def groups_of(need: int) -> list[np.ndarray]:
     return np.array_split(np.arange(K), K - need + 1)
 
 
+def second_groups(need: int) -> list[np.ndarray]:
+    """Another dealing into as many groups: every so many-th coordinate."""
+    n = K - need + 1
+    return [np.arange(g, K, n) for g in range(n)]
+
+
 def _posted(need: int):
     """Class signatures -> one posting per prefix group."""
     groups = groups_of(need)
@@ -128,8 +140,26 @@ def _posted(need: int):
                 key = np.full(len(sig), np.uint64(g + 1))
                 for j in of:
                     key = _mix(key * _MUL + sig[:, j])
-                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), reps, pa.array(np.full(len(sig), g, np.int32))],
-                                                 ["key", "rep", "g"])
+                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), reps, pa.array(np.full(len(sig), g, np.int32)), b.column(2)],
+                                                 ["key", "rep", "g", "size"])
+    return run
+
+
+def _posted_again(need: int):
+    """Members of long lists -> one posting per list and group of the second dealing."""
+    groups = second_groups(need)
+
+    def run(batches):
+        for b in batches:
+            if not b.num_rows:
+                continue
+            sig = np.frombuffer(b"".join(b.column(1).to_pylist()), np.uint16).reshape(-1, K).astype(np.uint64)
+            first = b.column(0).to_numpy().view(np.uint64)
+            for g, of in enumerate(groups):
+                key = _mix(first * _MUL + np.uint64(g + 1))
+                for j in of:
+                    key = _mix(key * _MUL + sig[:, j])
+                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), *b.columns[2:]], ["key", "g", "rep", "lab", "size"])
     return run
 
 
@@ -251,15 +281,22 @@ def _labelled(lists: DataFrame, labels: DataFrame | None) -> DataFrame:
 
 
 def _open_lists(lists: DataFrame, labels: DataFrame | None) -> DataFrame:
-    """Members (key, rep, lab) of the lists that hold more than one label, and
-    that label of a list which most of its members have."""
+    """Members (key, rep, lab, size) of the lists that hold more than one label,
+    and that label of a list which most of its members have."""
     of = _labelled(lists, labels)
     if labels is None:
         return of
-    by = of.groupBy("key", "lab").agg(F.count("*").alias("n"))
+    return _listed(of)
+
+
+def _listed(of: DataFrame) -> DataFrame:
+    """The lists of more than one label, with their sizes."""
+    by = of.groupBy("key", "lab").agg(F.count("*").alias("n"), F.sum("size").alias("size"))
     some = (by.groupBy("key").agg(F.max_by("lab", F.struct("n", "lab")).alias("main"), F.count("*").alias("labs"),
-                                  F.sum("n").alias("n"), F.max("n").alias("most"))
-            .filter("labs > 1").select("key", "main", "n", (F.col("n") - F.col("most")).alias("n_rest")))
+                                  F.sum("n").alias("n"), F.max("n").alias("most"), F.sum("size").alias("size"),
+                                  F.max_by("size", F.struct("n", "lab")).alias("main_size"))
+            .filter("labs > 1").select("key", "main", "n", (F.col("n") - F.col("most")).alias("n_rest"),
+                                       F.col("size").alias("all_size"), (F.col("size") - F.col("main_size")).alias("rest_size")))
     return stored(of.join(some, "key"), "open")
 
 
@@ -281,7 +318,7 @@ def near_copies(docs: DataFrame, percent: int = 80, width: int = 5, id_col: str
                   .mapInArrow(_described(width), "rid long, doc_id long, n long, digest binary, sig binary, z binary"), "shingled")
     classes = stored(rows.filter("n > 0").groupBy("digest").agg(F.min("rid").alias("rep")), "classes")
     reps = rows.join(classes.select(F.col("rep").alias("rid")), "rid", "left_semi")
-    postings = reps.select("rid", "sig").mapInArrow(_posted(need), "key long, rep long, g int")
+    postings = reps.select("rid", "sig", "n").mapInArrow(_posted(need), "key long, rep long, g int, size long")
     # stored, so that it comes to the join by an exchange of its own and the
     # members of a long list can be split
     shared = stored(postings.groupBy("key").agg(F.count("*").alias("members")).filter("members > 1"), "shared")
@@ -293,7 +330,7 @@ def near_copies(docs: DataFrame, percent: int = 80, width: int = 5, id_col: str
     links = _confirm(_hub_pairs(_open_lists(members, None), 0), content, percent, width, need)
     labels = stored(components(links), "labels")
     # lists of two are done: the hub was one of them
-    members = lists.filter("members > 2").select("key", "rep", "g")
+    members = lists.filter("members > 2").select("key", "rep", "g", "size")
     more = _confirm(_hub_pairs(_open_lists(members, labels), 1), content, percent, width, need)
     if not more.isEmpty():
         links = links.union(more)
@@ -313,16 +350,27 @@ def near_copies(docs: DataFrame, percent: int = 80, width: int = 5, id_col: str
 
 def _block_links(of: DataFrame, content: DataFrame, percent: int, width: int, need: int) -> DataFrame:
     """Links between different labels of one list, found in blocks."""
+    def count(n: str, size: str):
+        return F.greatest(F.ceil(F.col(n) / BLOCK), F.ceil(F.col(size) / SHINGLES), F.lit(1)).cast("int")
+
+    def blocked(lists: DataFrame) -> DataFrame:
+        return lists.withColumns({"t_blocks": count("n", "all_size"), "q_blocks": count("n_rest", "rest_size")})
+
     def block(seed: int, of: str):
         return F.pmod(F.xxhash64("rep", F.lit(seed)), F.col(of).cast("long")).cast("int")
 
     def every(of: str):
         return F.explode(F.sequence(F.lit(0), F.col(of) - 1))
 
-    of = of.withColumns({"t_blocks": F.ceil(F.col("n") / BLOCK).cast("int"), "q_blocks": F.ceil(F.col("n_rest") / BLOCK).cast("int")})
+    of = blocked(of)
     row = ["key", "g", "rep", "lab"]
-    targets = of.select(*row, block(1, "t_blocks").alias("i"), every("q_blocks").alias("j"), F.lit(False).alias("query"))
-    queries = (of.filter("lab <> main")
+    rows = of.filter(F.col("q_blocks") <= LONG).select(*row, "main", "t_blocks", "q_blocks")
+    long = of.filter(F.col("q_blocks") > LONG)
+    again = (long.join(content.select("rep", "sig"), "rep").select("key", "sig", "g", "rep", "lab", "size")
+             .mapInArrow(_posted_again(need), "key long, g int, rep long, lab long, size long"))
+    rows = rows.union(blocked(_listed(again)).select(*row, "main", "t_blocks", "q_blocks"))
+    targets = rows.select(*row, block(1, "t_blocks").alias("i"), every("q_blocks").alias("j"), F.lit(False).alias("query"))
+    queries = (rows.filter("lab <> main")
                .select(*row, every("t_blocks").alias("i"), block(2, "q_blocks").alias("j"), F.lit(True).alias("query")))
     return (targets.union(queries).join(content, "rep").groupBy("key", "i", "j")
             .applyInArrow(_compared(percent, width, need), "a long, b long"))
