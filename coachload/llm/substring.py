@@ -27,7 +27,7 @@ number of rows.
 Defined cases: null, empty and wordless texts, and those of fewer words than a
 window, lose nothing; a null id comes after all others; rows that repeat an id
 and a text are one document and get the same result; texts that differ under
-one id are ordered by a hash; an empty table gives an empty result; other
+one id (or have none) are told apart by 86 bits of a hash and ordered by it; an empty table gives an empty result; other
 columns are not read.
 """
 
@@ -53,8 +53,9 @@ _MUL = np.uint64(0x9E3779B97F4A7C15)
 _BASE = 0xD6E8FEB86659FD93
 _BACK = pow(_BASE, -1, 1 << 64)
 # A segment's place as one number that sorts by the text's hash, then the
-# start: 22 bits of hash, 36 of start, 5 of the number of windows.
-START_BITS, COUNT_BITS = 36, 5
+# start: 22 bits of hash, 30 of start, 11 of the number of windows.  The
+# document's number, 64 more bits of that hash, is a column of its own.
+START_BITS, COUNT_BITS = 30, 11
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -131,6 +132,25 @@ def tie_of(text: bytes) -> int:
     return int.from_bytes(hashlib.blake2b(text, digest_size=4).digest(), "little") >> 10
 
 
+def number_of(text: bytes) -> int:
+    return int.from_bytes(hashlib.blake2b(text, digest_size=8, person=b"document").digest(), "little", signed=True)
+
+
+def _minimizers(window: int):
+    """The segments' keys alone: no hashes of ranges or texts."""
+    def run(batches):
+        cache, powers = WordHashes(), Powers()
+        for b in batches:
+            for part in slices(b, 1):
+                out = [np.zeros(0, np.uint64)]
+                for text in part.column(1).to_pylist():
+                    words = text.split()
+                    if len(words) >= window:
+                        out.append(segments(Ranges(cache.of(words), powers), window)[0])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out).view(np.int64))], ["key"])
+    return run
+
+
 def _segmented(window: int):
     def run(batches):
         cache, powers = WordHashes(), Powers()
@@ -144,11 +164,11 @@ def _segmented(window: int):
                     ranges = Ranges(cache.of(words), powers)
                     keys, first, count = segments(ranges, window)
                     out.append((keys, ranges.of(first, count + window - 1), np.full(len(keys), doc_id, np.int64),
-                                _place(tie_of(text), first, count)))
+                                _place(tie_of(text), first, count), np.full(len(keys), number_of(text), np.int64)))
                 if out:
-                    key, words, ids, place = (np.concatenate(x) for x in zip(*out))
+                    key, words, ids, place, doc = (np.concatenate(x) for x in zip(*out))
                     yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(words.view(np.int64)),
-                                                      pa.array(ids), pa.array(place)], ["key", "words", "id", "place"])
+                                                      pa.array(ids), pa.array(place), pa.array(doc)], ["key", "words", "id", "place", "doc"])
     return run
 
 
@@ -225,18 +245,19 @@ def spans_before(sequences: list[list[bytes]], window: int) -> list[list[tuple[i
 
 
 def _streamed(window: int):
-    """A shard's segments -> spans (id, tie, start, end)."""
+    """A shard's segments -> spans (id, tie, doc, start, end)."""
     def run(key, t):
-        t = t.sort_by([("id", "ascending"), ("place", "ascending")])
+        t = t.sort_by([("id", "ascending"), ("place", "ascending"), ("doc", "ascending")])
         found = spans_before([w.split(b" ") for w in t.column("text").to_pylist()], window)
-        ids, ties, starts, ends = [], [], [], []
-        for doc_id, tie, start, spans in zip(t.column("id").to_pylist(), t.column("tie").to_pylist(), t.column("start").to_pylist(), found):
+        ids, ties, docs, starts, ends = [], [], [], [], []
+        for doc_id, tie, doc, start, spans in zip(*(t.column(c).to_pylist() for c in ("id", "tie", "doc", "start")), found):
             for a, b in spans:
                 ids.append(doc_id)
                 ties.append(tie)
+                docs.append(doc)
                 starts.append(start + a)
                 ends.append(start + b)
-        return pa.table({"id": pa.array(ids, pa.int64()), "tie": pa.array(ties, pa.int64()),
+        return pa.table({"id": pa.array(ids, pa.int64()), "tie": pa.array(ties, pa.int64()), "doc": pa.array(docs, pa.int64()),
                          "start": pa.array(starts, pa.int64()), "end": pa.array(ends, pa.int64())})
     return run
 
@@ -246,38 +267,36 @@ def _packed(batches):
     for b in batches:
         raw = b.column(1).to_pylist()
         yield pa.RecordBatch.from_arrays([b.column(0), pa.array([tie_of(t) for t in raw], pa.int64()),
-                                          pa.array([pack.compress(t) for t in raw], pa.binary())], ["id", "tie", "z"])
+                                          pa.array([number_of(t) for t in raw], pa.int64()),
+                                          pa.array([pack.compress(t) for t in raw], pa.binary())], ["id", "tie", "doc", "z"])
 
 
 def _cut(batches):
     """Documents with the places of wanted segments -> the segments' words."""
     unpack = zstandard.ZstdDecompressor()
     for b in batches:
-        ids, ties, zs, wanted = (c.to_pylist() for c in b.columns)
-        for doc_id, tie, z, own in zip(ids, ties, zs, wanted):
+        for doc_id, tie, doc, z, own in zip(*(c.to_pylist() for c in b.columns)):
             words = unpack.decompress(z).split()
             at = [(x["key"], x["start"], x["n_words"]) for x in own]
             yield pa.RecordBatch.from_arrays([
                 pa.array([k for k, _, _ in at], pa.int64()), pa.array([doc_id] * len(at), pa.int64()),
-                pa.array([tie] * len(at), pa.int64()), pa.array([s for _, s, _ in at], pa.int64()),
-                pa.array([b" ".join(words[s:s + n]) for _, s, n in at], pa.binary())], ["key", "id", "tie", "start", "text"])
+                pa.array([tie] * len(at), pa.int64()), pa.array([doc] * len(at), pa.int64()), pa.array([s for _, s, _ in at], pa.int64()),
+                pa.array([b" ".join(words[s:s + n]) for _, s, n in at], pa.binary())], ["key", "id", "tie", "doc", "start", "text"])
 
 
 def _windows(window: int):
-    """Cut segments -> their single windows (hash of the words, id, place)."""
+    """Cut segments -> their single windows (key, hash of the words, id, place, doc)."""
     def run(batches):
         cache, powers = WordHashes(), Powers()
         for b in batches:
-            _, ids, ties, starts, texts = (c.to_pylist() for c in b.columns)
             out = []
-            for doc_id, tie, start, text in zip(ids, ties, starts, texts):
+            for key, doc_id, tie, doc, start, text in zip(*(c.to_pylist() for c in b.columns)):
                 h = cache.of(text.split(b" "))
                 at = np.arange(len(h) - window + 1)
-                out.append((Ranges(h, powers).of(at, np.full(len(at), window)), np.full(len(at), doc_id, np.int64),
-                            _place(tie, at + start, np.ones(len(at), np.int64))))
+                out.append((np.full(len(at), key, np.int64), Ranges(h, powers).of(at, np.full(len(at), window)).view(np.int64),
+                            np.full(len(at), doc_id, np.int64), _place(tie, at + start, np.ones(len(at), np.int64)), np.full(len(at), doc, np.int64)))
             if out:
-                words, ids, place = (np.concatenate(x) for x in zip(*out))
-                yield pa.RecordBatch.from_arrays([pa.array(words.view(np.int64)), pa.array(ids), pa.array(place)], ["words", "id", "place"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out)], ["key", "words", "id", "place", "doc"])
     return run
 
 
@@ -327,31 +346,32 @@ def _end(window: int, place: str = "place"):
 
 
 def _spans(of: DataFrame, window: int) -> DataFrame:
-    return of.select("id", _tie().alias("tie"), _start().alias("start"), _end(window).alias("end"))
+    return of.select("id", _tie().alias("tie"), "doc", _start().alias("start"), _end(window).alias("end"))
 
 
 def repeated_spans(docs: DataFrame, window: int) -> DataFrame:
-    """``docs``: id, text (binary).  Word spans to remove: id, tie, start, end."""
+    """``docs``: id, text (binary).  Word spans to remove: id, tie, doc, start, end."""
     # the number of windows of a segment must fit its bits
     if window - min(GRAM, window) + 1 >= 1 << COUNT_BITS:
         raise ValueError("the window is too long for segments")
-    cut = docs.mapInArrow(_segmented(window), "key long, words long, id long, place long")
+    cut = docs.mapInArrow(_segmented(window), "key long, words long, id long, place long, doc long")
     # stored, so that it comes to the join by an exchange of its own and the
     # rows of a frequent minimizer can be split
-    often = stored(cut.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key"), "often")
+    often = stored(docs.mapInArrow(_minimizers(window), "key long").groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key"), "often")
     found = stored(cut.join(often, "key"), "segments")
 
-    first = F.struct("id", "place")
+    first = F.struct("id", "place", "doc")
+    later = (F.col("id") != F.col("first.id")) | (F.col("place") != F.col("first.place")) | (F.col("doc") != F.col("first.doc"))
     distinct = stored(found.groupBy("key", "words").agg(F.min(first).alias("first")), "distinct")
-    copies = (found.join(distinct, ["key", "words"])
-              .filter((F.col("id") != F.col("first.id")) | (F.col("place") != F.col("first.place"))))
+    copies = found.join(distinct, ["key", "words"]).filter(later)
     several = distinct.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
-    wanted = (distinct.join(several, "key").select("key", "n", F.col("first.id").alias("id"), F.col("first.place").alias("place")))
-    by_doc = (wanted.groupBy("id", _tie().alias("tie"))
+    wanted = (distinct.join(several, "key").select("key", "n", F.col("first.id").alias("id"), F.col("first.place").alias("place"),
+                                                  F.col("first.doc").alias("doc")))
+    by_doc = (wanted.groupBy("id", _tie().alias("tie"), "doc")
               .agg(F.collect_list(F.struct("key", _start().alias("start"), (_end(window) - _start()).alias("n_words"))).alias("wanted")))
-    texts = docs.mapInArrow(_packed, "id long, tie long, z binary").dropDuplicates(["id", "tie"])
-    pieces = stored(texts.join(by_doc, ["id", "tie"]).select("id", "tie", "z", "wanted")
-                    .mapInArrow(_cut, "key long, id long, tie long, start long, text binary"), "pieces")
+    texts = docs.mapInArrow(_packed, "id long, tie long, doc long, z binary").dropDuplicates(["id", "tie", "doc"])
+    pieces = stored(texts.join(by_doc, ["id", "tie", "doc"]).select("id", "tie", "doc", "z", "wanted")
+                    .mapInArrow(_cut, "key long, id long, tie long, doc long, start long, text binary"), "pieces")
     hot = several.filter(F.col("n") > HOT_SEGMENTS).select("key")
 
     calm = pieces.join(hot, "key", "left_anti")
@@ -359,12 +379,11 @@ def repeated_spans(docs: DataFrame, window: int) -> DataFrame:
     # hash("key") dealt the rows to partitions; another hash deals them to shards
     shards = (calm.withColumn("shard", F.pmod(F.xxhash64("key"), F.lit(n_shards)))
               .withColumn("place", F.shiftleft("tie", START_BITS) + F.col("start")))
-    spans = shards.groupBy("shard").applyInArrow(_streamed(window), "id long, tie long, start long, end long")
+    spans = shards.groupBy("shard").applyInArrow(_streamed(window), "id long, tie long, doc long, start long, end long")
 
-    single = stored(pieces.join(hot, "key", "left_semi").mapInArrow(_windows(window), "words long, id long, place long"), "windows")
-    firsts = single.groupBy("words").agg(F.min(first).alias("first"), F.count("*").alias("n")).filter("n > 1")
-    again = (single.join(firsts, "words")
-             .filter((F.col("id") != F.col("first.id")) | (F.col("place") != F.col("first.place"))))
+    single = stored(pieces.join(hot, "key", "left_semi").mapInArrow(_windows(window), "key long, words long, id long, place long, doc long"), "windows")
+    firsts = single.groupBy("key", "words").agg(F.min(first).alias("first"), F.count("*").alias("n")).filter("n > 1")
+    again = single.join(firsts, ["key", "words"]).filter(later)
     return _spans(copies, window).union(spans).union(_spans(again, window))
 
 
@@ -372,9 +391,9 @@ def remove_repeats(docs: DataFrame, window: int = 20, id_col: str = "doc_id", te
     """Per row of ``docs``: doc_id, n_words, n_removed, kept_sha256, spans
     (removed word ranges), kept_text (null unless ``with_text``)."""
     own = named(docs, id_col, text_col).select(F.coalesce("doc_id", F.lit(LAST_ID)).alias("id"), as_bytes().alias("text"))
-    spans = repeated_spans(own, window).groupBy("id", "tie").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
-    rows = own.mapInArrow(_packed, "id long, tie long, z binary")
-    out = (rows.join(spans, ["id", "tie"], "left")
+    spans = repeated_spans(own, window).groupBy("id", "tie", "doc").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
+    rows = own.mapInArrow(_packed, "id long, tie long, doc long, z binary")
+    out = (rows.join(spans, ["id", "tie", "doc"], "left")
            .select(F.when(F.col("id") != LAST_ID, F.col("id")).alias("doc_id"), "z", "spans"))
     return out.mapInArrow(_kept(with_text), "doc_id long, n_words long, n_removed long, kept_sha256 string, "
                                             "spans array<struct<start:long,end:long>>, kept_text string")
