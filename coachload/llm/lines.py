@@ -19,12 +19,14 @@ post the rest around each of 2 parts, and only those that share a key with
 another line are read again, post the rest around each of 16 parts, and emit
 variants only for edits inside the parts they share.  Nothing is lost by it.
 
-A line is known by a 64-bit hash of its text.  Lines of very frequent text are
-added up before each shuffle.
+A line is known by a 128-bit hash of its text; the search for candidates goes
+by its first half, and what it finds is verified on the texts.  Lines of very
+frequent text are added up before each shuffle.
 
 Defined cases: null and empty texts have one blank line; a null id comes after
 all others; rows that repeat an id and a text are one document and get the same
-result; texts that differ under one id are ordered by a hash; an empty table
+result; texts that differ under one id (or have none) are told apart by 86 bits of a
+hash and ordered by it; an empty table
 gives an empty result; other columns are not read.
 """
 
@@ -58,8 +60,17 @@ def tie_of(text: bytes) -> int:
     return int.from_bytes(hashlib.blake2b(text, digest_size=4).digest(), "little") >> 10
 
 
+def number_of(text: bytes) -> int:
+    return int.from_bytes(hashlib.blake2b(text, digest_size=8, person=b"document").digest(), "little", signed=True)
+
+
 def line_id(line: bytes) -> int:
-    return signed(xxhash.xxh3_64_intdigest(line))
+    return line_ids(line)[0]
+
+
+def line_ids(line: bytes) -> tuple[int, int]:
+    both = xxhash.xxh3_128_intdigest(line)
+    return signed(both & (1 << 64) - 1), signed(both >> 64)
 
 
 def wide(line: bytes) -> bytes:
@@ -110,16 +121,18 @@ def one_edit(a: bytes, b: bytes) -> bool:
 def _lines(batches):
     for b in batches:
         for part in slices(b, 1):
-            ids, places, lines = [], [], []
+            ids, places, lines, docs = [], [], [], []
             for doc_id, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
-                tie = tie_of(text) << LINE_BITS
+                tie, doc = tie_of(text) << LINE_BITS, number_of(text)
                 for no, line in enumerate(text.split(b"\n")):
                     if line := line.strip(_SPACES):
                         ids.append(doc_id)
                         places.append(tie + no)
-                        lines.append(line_id(line))
-            yield pa.RecordBatch.from_arrays([pa.array(lines, pa.int64()), pa.array(ids, pa.int64()), pa.array(places, pa.int64())],
-                                             ["line", "id", "place"])
+                        lines.append(line_ids(line))
+                        docs.append(doc)
+            own, more = zip(*lines) if lines else ((), ())
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (own, more, ids, places, docs)],
+                                             ["line", "more", "id", "place", "doc"])
 
 
 def _coarse(batches):
@@ -162,9 +175,9 @@ def _varied(batches):
 
 def _verified(batches):
     for b in batches:
-        line, text, other = (c.to_pylist() for c in b.columns)
-        ok = [x for x, t, o in zip(line, text, other) if one_edit(wide(t), wide(o))]
-        yield pa.RecordBatch.from_arrays([pa.array(ok, pa.int64())], ["line"])
+        ok = [line_ids(t) for t, o in zip(*(c.to_pylist() for c in b.columns)) if t != o and one_edit(wide(t), wide(o))]
+        line, more = zip(*ok) if ok else ((), ())
+        yield pa.RecordBatch.from_arrays([pa.array(line, pa.int64()), pa.array(more, pa.int64())], ["line", "more"])
 
 
 def _packed(batches):
@@ -172,7 +185,8 @@ def _packed(batches):
     for b in batches:
         raw = b.column(1).to_pylist()
         yield pa.RecordBatch.from_arrays([b.column(0), pa.array([tie_of(t) for t in raw], pa.int64()),
-                                          pa.array([pack.compress(t) for t in raw], pa.binary())], ["id", "tie", "z"])
+                                          pa.array([number_of(t) for t in raw], pa.int64()),
+                                          pa.array([pack.compress(t) for t in raw], pa.binary())], ["id", "tie", "doc", "z"])
 
 
 def _read(batches):
@@ -214,15 +228,15 @@ def _shared(keys: DataFrame) -> DataFrame:
 
 
 def near_lines(own: DataFrame, firsts: DataFrame) -> DataFrame:
-    """``firsts``: line, first (id, place).  The lines that have an earlier
-    line one edit away."""
+    """``firsts``: line, more, first (id, place, doc).  The lines (line, more)
+    that have an earlier line one edit away."""
     coarse = own.select("text").mapInArrow(_coarse, "key long, line long")
     wanted = coarse.join(_shared(coarse), "key").select("line").distinct()
     by_doc = (firsts.join(wanted, "line")
-              .groupBy(F.col("first.id").alias("id"), F.shiftright("first.place", LINE_BITS).alias("tie"))
+              .groupBy(F.col("first.id").alias("id"), F.shiftright("first.place", LINE_BITS).alias("tie"), F.col("first.doc").alias("doc"))
               .agg(F.collect_list(F.struct("line", F.col("first.place").bitwiseAND(F.lit((1 << LINE_BITS) - 1)).alias("no"))).alias("wanted")))
-    docs = own.mapInArrow(_packed, "id long, tie long, z binary").dropDuplicates(["id", "tie"])
-    texts = stored(docs.join(by_doc, ["id", "tie"]).select("z", "wanted").mapInArrow(_read, "line long, text binary"), "texts")
+    docs = own.mapInArrow(_packed, "id long, tie long, doc long, z binary").dropDuplicates(["id", "tie", "doc"])
+    texts = stored(docs.join(by_doc, ["id", "tie", "doc"]).select("z", "wanted").mapInArrow(_read, "line long, text binary"), "texts")
 
     fine = stored(texts.mapInArrow(_fine, "key long, line long, less int, part int"), "fine")
     parts = (fine.join(_shared(fine), "key").groupBy("line").agg(F.collect_set(F.struct("less", "part")).alias("shared")))
@@ -238,7 +252,7 @@ def near_lines(own: DataFrame, firsts: DataFrame) -> DataFrame:
     pairs = (keys.join(best, "key").withColumn("partner", partner).filter(F.col("partner.first") < F.col("own.first"))
              .select(F.col("own.line").alias("line"), F.col("partner.line").alias("other")).distinct())
     return (pairs.join(texts, "line").join(texts.select(F.col("line").alias("other"), F.col("text").alias("other_text")), "other")
-            .select("line", "text", "other_text").mapInArrow(_verified, "line long").distinct())
+            .select("text", "other_text").mapInArrow(_verified, "line long, more long").distinct())
 
 
 def remove_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False) -> DataFrame:
@@ -246,15 +260,15 @@ def remove_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     lines, unchanged, joined by newlines), removed (line numbers from 0),
     kept_text (null unless ``with_text``)."""
     own = named(docs, id_col, text_col).select(F.coalesce("doc_id", F.lit(LAST_ID)).alias("id"), as_bytes().alias("text"))
-    lines = stored(own.mapInArrow(_lines, "line long, id long, place long"), "lines")
-    firsts = stored(lines.groupBy("line").agg(F.min(F.struct("id", "place")).alias("first")), "firsts")
+    lines = stored(own.mapInArrow(_lines, "line long, more long, id long, place long, doc long"), "lines")
+    firsts = stored(lines.groupBy("line", "more").agg(F.min(F.struct("id", "place", "doc")).alias("first")), "firsts")
     near = near_lines(own, firsts).withColumn("near", F.lit(True))
-    judged = firsts.join(near, "line", "left")
-    gone = (lines.join(judged, "line")
-            .filter(F.col("near") | (F.col("id") != F.col("first.id")) | (F.col("place") != F.col("first.place")))
-            .groupBy("id", F.shiftright("place", LINE_BITS).alias("tie"))
+    judged = firsts.join(near, ["line", "more"], "left")
+    gone = (lines.join(judged, ["line", "more"])
+            .filter(F.col("near") | (F.col("id") != F.col("first.id")) | (F.col("place") != F.col("first.place")) | (F.col("doc") != F.col("first.doc")))
+            .groupBy("id", F.shiftright("place", LINE_BITS).alias("tie"), "doc")
             .agg(F.sort_array(F.collect_set(F.col("place").bitwiseAND(F.lit((1 << LINE_BITS) - 1)))).alias("removed")))
-    out = (own.mapInArrow(_packed, "id long, tie long, z binary").join(gone, ["id", "tie"], "left")
+    out = (own.mapInArrow(_packed, "id long, tie long, doc long, z binary").join(gone, ["id", "tie", "doc"], "left")
            .select(F.when(F.col("id") != LAST_ID, F.col("id")).alias("doc_id"), "z", "removed"))
     return out.mapInArrow(_kept(with_text), "doc_id long, n_lines long, n_removed long, kept_sha256 string, "
                                             "removed array<long>, kept_text string")
