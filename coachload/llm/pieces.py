@@ -53,6 +53,7 @@ UNKNOWN_PENALTY = 10.0
 
 MODEL_BYTES = 16 << 20
 CACHED_CHUNKS = 690_000  # about 300 bytes each; a dict grows its table at 699,050
+CACHED_SEGMENTATIONS = 100_000
 CHUNKS = re.compile(r" +[^ ]*")
 
 
@@ -226,6 +227,7 @@ class Chunks(dict):
     def __init__(self, model: PieceModel, n: int):
         super().__init__()
         self.model, self.n = model, n
+        self.known: dict[str, list] = {}       # chunk -> its n best segmentations
         self.prefix = " " if model.dummy_prefix else ""
 
     def split(self, text: str) -> list[str]:
@@ -254,17 +256,36 @@ class Chunks(dict):
                 found[i] = self[own[i]]
         return [self._encoded(own, found) for own, found, _ in parts]
 
+    def _segmentations(self, key: str) -> list:
+        """Remembered, since the chunks with the least loss are common words."""
+        own = self.known.get(key)
+        if own is None:
+            if len(self.known) >= CACHED_SEGMENTATIONS:
+                self.known.clear()
+            own = self.known[key] = self.model.segmentations(self.prefix + key, self.n)
+        return own
+
+    def same_bytes(self, paths: list, found: list) -> bool:
+        """Whether the chunks that deviate from the best path decode as it does."""
+        raw = self.model.raw
+        return all(b"".join(map(raw.__getitem__, np.frombuffer(own, "<u4").tolist()))
+                   == b"".join(map(raw.__getitem__, np.frombuffer(found[i][0], "<u4").tolist()))
+                   for _, other in paths for i, own in other.items())
+
     def _encoded(self, keys: list[str], found: list) -> tuple[bytes, list[tuple[float, dict[int, bytes]]], list]:
         if not keys:
             return b"", [(0.0, {})], []
         ids = b"".join(map(itemgetter(0), found))
         total = math.fsum(map(itemgetter(1), found))
         loss = np.fromiter(map(itemgetter(2), found), np.float64, len(found))
-        few = np.argsort(loss, kind="stable")[:self.n - 1].tolist()
+        few = np.arange(len(loss))
+        if 0 < self.n - 1 < len(loss):
+            few = np.flatnonzero(loss <= np.partition(loss, self.n - 2)[self.n - 2])
+        few = few[np.argsort(loss[few], kind="stable")[:self.n - 1]].tolist()
         open_ = sorted(i for i in few if loss[i] < math.inf)
         arcs: list[list] = [[]]
         for node, i in enumerate(open_):
-            others = self.model.segmentations(self.prefix + keys[i], self.n)
+            others = self._segmentations(keys[i])
             arcs.append([(node, score - others[0][0], (i, own) if j else None) for j, (score, own) in enumerate(others)])
         paths = search([0.0] * len(arcs), arcs.__getitem__, self.n)
         return ids, [(total + less, dict(x for x in path if x)) for less, path in paths], found
@@ -303,7 +324,7 @@ PATH = "array<struct<score:double,n_tokens:int,ids_crc32:long>>"
 def encode(docs: DataFrame, model_path: str, n_best: int = 4, text_col: str = "text", with_ids: bool = True) -> DataFrame:
     """``docs`` without its text, with: ids (array, if ``with_ids``), n_tokens,
     score, nbest (score, n_tokens, ids_crc32 of each path, best first), and
-    round_trip (decoding gives the text).  Columns of ``docs`` that have one
+    round_trip (decoding any of the paths gives the text).  Columns of ``docs`` that have one
     of these names give way."""
     bound_batches(docs.sparkSession)
     shared = load_model(docs.sparkSession, model_path)
@@ -326,7 +347,8 @@ def encode(docs: DataFrame, model_path: str, n_best: int = 4, text_col: str = "t
                     counts.append(len(own) // 4)
                     scores.append(paths[0][0])
                     nbest.append(told)
-                    same.append(chunks.model.decode(np.frombuffer(own, "<u4").tolist()) == raw if own else not raw)
+                    same.append((chunks.model.decode(np.frombuffer(own, "<u4").tolist()) == raw and chunks.same_bytes(paths, found))
+                                if own else not raw)
                 columns = [*part.columns[:len(rest)], *([id_lists(ids)] if with_ids else []),
                            pa.array(counts, pa.int64()), pa.array(scores, pa.float64()), pa.array(nbest, kinds), pa.array(same)]
                 yield pa.RecordBatch.from_arrays(columns, [*rest, *(x.split()[0] for x in new)])
