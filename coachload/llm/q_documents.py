@@ -23,7 +23,7 @@ WORD_VOCABULARY = os.environ.get("WORD_VOCABULARY", "/opt/tokenizers/word_bpe_49
 
 def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return pieces.encode(docs, PIECE_MODEL, with_ids=False)
+    return pieces.encode(docs, PIECE_MODEL)
 
 
 def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -172,8 +172,8 @@ def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP11_SQL = r"""
 WITH c AS (SELECT DISTINCT conv_id FROM conversations WHERE conv_id IS NOT NULL),
 h AS (SELECT conv_id, xor(list_reduce(list_concat([4294967295], flatten(list_transform(string_split(CAST(conv_id AS VARCHAR), ''),
-             x -> [CAST(ord(x) AS BIGINT), -1, -1, -1, -1, -1, -1, -1, -1]))),
-             (r, x) -> CASE WHEN x >= 0 THEN xor(r, x) WHEN r % 2 = 1 THEN xor(r // 2, 3988292384) ELSE r // 2 END), 4294967295) % 9 AS h FROM c),
+             lambda x: [CAST(ord(x) AS BIGINT), -1, -1, -1, -1, -1, -1, -1, -1]))),
+             lambda r, x: CASE WHEN x >= 0 THEN xor(r, x) WHEN r % 2 = 1 THEN xor(r // 2, 3988292384) ELSE r // 2 END), 4294967295) % 9 AS h FROM c),
 t AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST) AS p, octet_length(encode(coalesce(text, ''))) AS size,
              md5(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS k FROM conversations WHERE conv_id IS NOT NULL),
 r AS (SELECT h.conv_id, p, k, size FROM h JOIN t ON t.conv_id = h.conv_id - h.conv_id % 5 AND p <= h

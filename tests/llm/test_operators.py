@@ -377,7 +377,7 @@ def test_empty_tables(make, spark, tmp_path):
 @pytest.fixture(scope="module")
 def con(small):
     c = duckdb.connect()
-    for t in ("documents", "benchmark", "labels"):
+    for t in ("documents", "benchmark", "labels", "conversations"):
         c.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{small}/{t}.parquet')")
     return c
 

@@ -9,10 +9,10 @@ from collections import defaultdict
 import numpy as np
 import pytest
 
-from coachload.llm import token_cache, trie, whiten
+from coachload.llm import decontaminate, exact, lines, minhash, pieces, substring, token_cache, trie, whiten
 from coachload.llm.q_documents import BYTE_VOCABULARY, PIECE_MODEL, QUERIES
 
-from .test_operators import rows_of
+from .test_operators import brute_components, brute_repeats, planted, rows_of
 
 # -- op 11 ----------------------------------------------------------------------------------------
 
@@ -302,3 +302,67 @@ def test_op13_query(spark, small):
     got = rows_of(QUERIES["op13_whitening"](spark, small))
     same_whitening(got, brute_whiten(rows))
     assert got[0]["identity_error"] < 1e-9
+
+
+# -- rows without an id, or with the same one -----------------------------------------------------
+
+@pytest.mark.parametrize("ids", [(None, None), (7, 7)])
+def test_texts_of_one_id_with_equal_ties(make, words, monkeypatch, ids):
+    """The short hash of both texts is forced to be equal: only the copy goes."""
+    monkeypatch.setattr(substring, "tie_of", lambda text: 5)
+    monkeypatch.setattr(lines, "tie_of", lambda text: 5)
+    one, other = words(40, 31), words(40, 32)
+    rows = [(1, one), (ids[0], one), (ids[1], other), (ids[1], other)]
+    got = sorted((r["n_words"], r["n_removed"]) for r in rows_of(substring.remove_repeats(make(rows), 20)))
+    assert got == [(40, 0), (40, 0), (40, 0), (40, 40)]
+    got = sorted((r["n_lines"], r["n_removed"]) for r in rows_of(lines.remove_lines(make(rows))))
+    assert got == [(1, 0), (1, 0), (1, 0), (1, 1)]
+
+
+def test_lines_that_share_half_their_hash(make, words, monkeypatch):
+    monkeypatch.setattr(lines, "line_ids", lambda line: (3, lines.signed(__import__("xxhash").xxh3_64_intdigest(line))))
+    rows = [(i, words(8, 50 + i)) for i in range(4)] + [(9, words(8, 50))]
+    got = {r["doc_id"]: r["n_removed"] for r in rows_of(lines.remove_lines(make(rows)))}
+    assert got == {0: 0, 1: 0, 2: 0, 3: 0, 9: 1}
+
+
+def test_windows_of_fifty_words(make, odd, words):
+    rows = odd + [(20 + i, words(70, 9) + " " + words(30, 90 + i)) for i in range(4)]
+    got = sorted((str(r["doc_id"]), r["n_removed"], r["kept_sha256"]) for r in rows_of(substring.remove_repeats(make(rows), 50)))
+    assert got == sorted((str(i), n, sha) for i, _, n, sha in brute_repeats(rows, 50))
+
+
+def test_long_lists_are_dealt_out(make, odd, words, monkeypatch):
+    """Blocks of four members, or of few shingles; lists of two blocks or more are posted again."""
+    rows = [x for x in odd if x[0] != 9] + planted(words)
+    for block, size in ((4, 1 << 22), (4096, 300)):
+        monkeypatch.setattr(minhash, "BLOCK", block)
+        monkeypatch.setattr(minhash, "SHINGLES", size)
+        monkeypatch.setattr(minhash, "LONG", 1)
+        got = [(r["doc_id"], r["n_shingles"], r["component_id"], r["kept"]) for r in rows_of(minhash.near_copies(make(rows), 80, 5))]
+        assert sorted(map(str, got)) == sorted(map(str, brute_components(rows, 5, 80)))
+
+
+def test_second_dealing_keeps_the_pigeonhole():
+    for percent in (80, 85):
+        need = minhash.agreement(percent)
+        groups = minhash.second_groups(need)
+        assert len(groups) == minhash.K - need + 1 and sorted(np.concatenate(groups)) == list(range(minhash.K))
+
+
+def test_text_item_ids(make, spark, words):
+    passage = words(12, 3)
+    items = spark.createDataFrame([("a/1", passage), ("b", words(12, 4))], "item_id string, text string")
+    got = {r["doc_id"]: r["items"] for r in rows_of(decontaminate.decontaminate(make([(1, "x " + passage), (2, "y")]), items))}
+    assert got == {1: ["a/1"], 2: []}
+
+
+def test_exact_with_names_of_its_own(make):
+    docs = make([(1, "a b"), (1, "ab"), (2, "ab"), (3, "c"), (3, "c")]).selectExpr("*", "1 AS __id", "2 AS __row", "3 AS `__sha`", "4 AS ___chars")
+    kept = exact.drop_copies(docs)
+    assert kept.columns == docs.columns and sorted((r["doc_id"], r["text"]) for r in rows_of(kept)) == [(1, "a b"), (3, "c")]
+
+
+def test_every_path_decodes_to_the_text(make, odd):
+    got = rows_of(pieces.encode(make([x for x in odd if x[0] != 9]), PIECE_MODEL))
+    assert all(r["round_trip"] and len(r["ids"]) == r["n_tokens"] for r in got)
