@@ -44,7 +44,7 @@ def _text(start: Column, length: Column) -> Column:
 def benchmark_windows(benchmark: DataFrame, n: int = 10, id_col: str = "item_id",
                       text_col: str = "text") -> DataFrame:
     """Distinct windows: len, hash, its words as text, and the items with it."""
-    w = (named(benchmark, id_col, text_col).withColumnRenamed("doc_id", "item")
+    w = (benchmark.select(F.col(f"`{id_col}`").alias("item"), F.col(f"`{text_col}`").cast("string").alias("text"))
          .select("item", word_array("text").alias("words")).filter(F.size("words") > 0)
          .withColumn("len", F.least(F.size("words"), F.lit(n)))
          .select("item", "words", "len",

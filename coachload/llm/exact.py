@@ -173,19 +173,23 @@ def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
                   .groupBy("doc_id", "sha", "chars").agg(F.max("ties").alias("ties")), "live")
     own = F.unhex(F.sha2(F.translate(F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")), SPACES, ""), 256))
     chars = F.coalesce(F.char_length(F.col(f"`{text_col}`").cast("string")), F.lit(0)).cast("long")
-    same = (F.col(f"`{id_col}`").cast("long").eqNullSafe(F.col("__id")) & (own == F.col("__sha"))
-            & (chars == F.col("__chars")))
+    free = "__"
+    while any(c.startswith(free) for c in docs.columns):
+        free += "_"
+    key, sha, length, row = (free + c for c in ("id", "sha", "chars", "row"))
+    same = (F.col(f"`{id_col}`").cast("long").eqNullSafe(F.col(key)) & (own == F.col(sha))
+            & (chars == F.col(length)))
 
     def those(of: DataFrame) -> DataFrame:
-        return docs.join(of.select(F.col("doc_id").alias("__id"), F.col("sha").alias("__sha"),
-                                   F.col("chars").alias("__chars")), same, "left_semi")
+        return docs.join(of.select(F.col("doc_id").alias(key), F.col("sha").alias(sha),
+                                   F.col("chars").alias(length)), same, "left_semi")
 
     repeated = keep.filter("ties > 1")
     if repeated.isEmpty():
         return those(keep)
     # rows that repeat an id and a text of one length: any of them
-    again = those(repeated).withColumns({"__id": F.col(f"`{id_col}`").cast("long"), "__sha": own})
-    best = again.groupBy("__id", "__sha").agg(
+    again = those(repeated).withColumns({key: F.col(f"`{id_col}`").cast("long"), sha: own})
+    best = again.groupBy(key, sha).agg(
         F.max_by(F.struct(*[F.col(f"`{c}`") for c in docs.columns]),
-                 chars).alias("__row"))
-    return those(keep.filter("ties = 1")).unionByName(best.select("__row.*"))
+                 chars).alias(row))
+    return those(keep.filter("ties = 1")).unionByName(best.select(f"{row}.*"))
