@@ -47,9 +47,10 @@ def to_bins(x: np.ndarray, cuts: list[np.ndarray]) -> np.ndarray:
 # Model ---------------------------------------------------------------------
 class SoftmaxBoostingModel:
     def __init__(self, trees: list[list[Tree]], features: list[str], cuts: list[np.ndarray],
-                 n_classes: int = 3, history: dict[str, list[float]] | None = None):
+                 n_classes: int = 3, history: dict[str, list[float]] | None = None, rows: dict[str, int] | None = None):
         self.trees, self.features, self.cuts, self.n_classes = trees, features, cuts, n_classes
         self.history = history or {"train": [], "eval": []}
+        self.rows = rows or {}          # that the histories are means over
 
     @property
     def best_iteration(self) -> int:
@@ -103,7 +104,7 @@ class SoftmaxBoostingModel:
         spark.createDataFrame(rows, "round int, class int, depth int, feature array<int>, bin array<int>, "
                                     "gain array<double>, value array<double>") \
             .coalesce(1).write.mode("overwrite").parquet(f"{path}/trees")
-        meta = {"features": self.features, "n_classes": self.n_classes, "history": self.history,
+        meta = {"features": self.features, "n_classes": self.n_classes, "history": self.history, "rows": self.rows,
                 "cuts": [c.tolist() for c in self.cuts]}
         spark.createDataFrame([(json.dumps(meta),)], "meta string").coalesce(1) \
             .write.mode("overwrite").text(f"{path}/meta")
@@ -118,7 +119,7 @@ class SoftmaxBoostingModel:
                 trees.append([])
             trees[-1].append(Tree(r.depth, np.array(r.feature, np.int32), np.array(r.bin, np.int32),
                                   np.array(r.gain), np.array(r.value)))
-        return cls(trees, meta["features"], [np.array(c) for c in meta["cuts"]], meta["n_classes"], meta["history"])
+        return cls(trees, meta["features"], [np.array(c) for c in meta["cuts"]], meta["n_classes"], meta["history"], meta["rows"])
 
 
 def _active() -> SparkSession:
@@ -168,7 +169,7 @@ class SoftmaxBoosting:
         cuts = _cuts(train, features, self.max_bins)
         data = _binned(rows.withColumn("__fold", F.lit(-1)), features, label, cuts)
         [run] = grow(data, [Run(self)], len(features), self.n_classes, self.max_bins, eval_df is not None, self.tasks, self.stretch)
-        return SoftmaxBoostingModel(run.trees, list(features), cuts, self.n_classes, run.history)
+        return SoftmaxBoostingModel(run.trees, list(features), cuts, self.n_classes, run.history, run.rows)
 
 
 def _cuts(train: DataFrame, features: list[str], max_bins: int) -> list[np.ndarray]:
@@ -251,18 +252,19 @@ def grid_search(df: DataFrame, features: list[str], label: str, base: SoftmaxBoo
     data = _binned(rows, features, label, cuts)
     wanted = [(p, at, f) for p, at in growths(grid, base.rounds) for f in range(folds)]
     accuracy: dict[tuple[int, int], float] = {}
+    held: dict[int, int] = {}
     for first in range(0, len(wanted), together):
         part = wanted[first:first + together]
         runs = [Run(base.copy(patience=None, **p), f, tuple(sorted(set(at.values())))) for p, at, f in part]
         grow(data, runs, len(features), base.n_classes, base.max_bins, False, base.tasks, base.stretch)
         for (_, at, f), run in zip(part, runs):
             for i, n in at.items():
-                right, held = run.right[n]
-                accuracy[i, f] = right / max(held, 1)
+                right, held[f] = run.right[n]
+                accuracy[i, f] = right / max(held[f], 1)
     results = [(i, json.dumps(p, sort_keys=True), float(np.mean([accuracy[i, f] for f in range(folds)])),
-                [accuracy[i, f] for f in range(folds)]) for i, p in enumerate(grid)]
+                [accuracy[i, f] for f in range(folds)], [held[f] for f in range(folds)]) for i, p in enumerate(grid)]
     return spark.createDataFrame(results, "setting int, params string, mean_accuracy double, "
-                                          "fold_accuracy array<double>")
+                                          "fold_accuracy array<double>, fold_rows array<long>")
 
 
 # S8 ------------------------------------------------------------------------

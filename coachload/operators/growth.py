@@ -183,6 +183,7 @@ class Run:
         self.history: dict[str, list[float]] = {"train": [], "eval": []}
         self.best: tuple[float, int] = (math.inf, -1)
         self.right: dict[int, tuple[int, int]] = {}
+        self.rows: dict[str, int] = {}
 
     @property
     def growing(self) -> bool:
@@ -357,7 +358,8 @@ class Grower:
             run, t = self.runs[m], total[i]
             if len(run.trees) in run.marks:
                 run.right[len(run.trees)] = (int(t[4]), int(t[5]))
-            run.note({s: t[j] / t[j + 1] for s, j in ((TRAIN, 0), (EVAL, 2)) if t[j + 1]}, self.with_eval)
+            run.rows = {"train": int(t[1]), "eval": int(t[3])}
+            run.note({s: float(t[j] / t[j + 1]) for s, j in ((TRAIN, 0), (EVAL, 2)) if t[j + 1]}, self.with_eval)
 
 
 def grow(data: DataFrame, runs: list[Run], n_features: int, n_classes: int, n_bins: int, with_eval: bool, tasks: int | None = None,
@@ -384,7 +386,7 @@ def grow(data: DataFrame, runs: list[Run], n_features: int, n_classes: int, n_bi
                 grower.round()
             note = None
             if not folder.rank:
-                note = pickle.dumps([([[t.parts() for t in rnd] for rnd in r.trees[a:]], r.open, r.history, r.best, r.right) for r, a in zip(runs, start)])
+                note = pickle.dumps([([[t.parts() for t in rnd] for rnd in r.trees[a:]], r.open, r.history, r.best, r.right, r.rows) for r, a in zip(runs, start)])
             yield from rows.batches(note)
 
         # Finished trees are in the margins: the tasks need only their number.  The exchange behind the
@@ -392,7 +394,7 @@ def grow(data: DataFrame, runs: list[Run], n_features: int, n_classes: int, n_bi
         light = [_light(r) for r in runs]
         out = materialize(data.where("note IS NULL").repartition(tasks).mapInArrow(
             lambda batches, run=run, light=light: run(batches, light), ROWS, barrier=True).repartition(tasks, "hash"), "margins")
-        for r, (trees, r.open, r.history, r.best, r.right) in zip(runs, pickle.loads(out.where("note IS NOT NULL").first()["note"])):
+        for r, (trees, r.open, r.history, r.best, r.right, r.rows) in zip(runs, pickle.loads(out.where("note IS NOT NULL").first()["note"])):
             r.trees += [[Tree(*t) for t in rnd] for rnd in trees]
         data = out
     for r in runs:
@@ -405,5 +407,5 @@ def _light(run: Run) -> Run:
     """The run for a stage: finished trees are in the margins, only their
     number is needed."""
     out = Run(run.params, run.fold, run.marks)
-    out.trees, out.open, out.history, out.best, out.right = [None] * len(run.trees), run.open, run.history, run.best, run.right
+    out.trees, out.open, out.history, out.best, out.right, out.rows = [None] * len(run.trees), run.open, run.history, run.best, run.right, run.rows
     return out

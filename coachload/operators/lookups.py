@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from coachload.functions import geo, time as tm
 from coachload.functions.names import best_name, normalize_name
 from coachload.operators.joins import small_side
+from coachload.sources.published import publish, read_published
 
 # What the metadata row says of a lookup set unless the caller says otherwise.
 SOURCE_DATASET = "journey legs"
@@ -219,21 +220,23 @@ def build_lookups(legs: DataFrame, codes: DataFrame) -> dict[str, DataFrame]:
 # S3 ------------------------------------------------------------------------
 def write_lookups(tables: dict[str, DataFrame], path: str,
                   route_partitions: int | None = None) -> None:
-    """Replace the lookup set under ``path`` (one parquet dataset per table).
+    """Replace the lookup set under ``path`` as a whole (``published``).
 
     The route table is the only one that grows with the data; it is
-    hash-partitioned on the origin station so scoring reads co-located
-    files per origin.
+    hash-partitioned and sorted on the origin station, so that scoring reads
+    an origin's routes from few files and row groups.
     """
-    for name, df in tables.items():
-        w = df
+    def shape(name: str, df: DataFrame):
         if name == "service_routes_summary_mvp" and route_partitions:
-            w = df.repartition(route_partitions, "stationName_from")
-        w.write.mode("overwrite").parquet(f"{path.rstrip('/')}/{name}")
+            df = df.repartition(route_partitions, "stationName_from").sortWithinPartitions("stationName_from")
+        return df.write
+
+    publish(tables, path, shape=shape)
 
 
 def read_lookups(spark, path: str, names: list[str] | None = None) -> dict[str, DataFrame]:
-    return {n: spark.read.parquet(f"{path.rstrip('/')}/{n}") for n in (names or REQUIRED_TABLES)}
+    """One published version's tables."""
+    return read_published(spark, path, names or REQUIRED_TABLES)
 
 
 # S4 ------------------------------------------------------------------------

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from coachload.operators.quantiles import column_counts, column_quantiles, exact_quantiles
+from coachload.operators.quantiles import column_quantiles, column_values, exact_quantiles
 
 NUMERIC = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType,
            T.DoubleType, T.DecimalType)
@@ -77,7 +77,7 @@ def numeric_summary(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
                         F.col(f"__a{i}").alias("mean"), F.col(f"__s{i}").alias("std"),
                         F.col(f"__lo{i}").alias("min"), F.col(f"__hi{i}").alias("max"))
                for i, c in enumerate(cols)]
-    q = exact_quantiles(column_counts(df, cols), [0.25, 0.5, 0.75]).withColumnRenamed("key", "column_name")
+    q = exact_quantiles(column_values(df, cols), [0.25, 0.5, 0.75]).withColumnRenamed("key", "column_name")
     return _explode_structs(wide, structs).join(q, "column_name", "left").select(
         "column_name", "count", "mean", "std", "min", F.col("q")[0].alias("p25"), F.col("q")[1].alias("p50"),
         F.col("q")[2].alias("p75"), "max")

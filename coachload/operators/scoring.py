@@ -15,12 +15,13 @@ so every request key meets at most one candidate per tier.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from coachload.functions import geo, time as tm
 from coachload.operators import features as fe
 from coachload.operators.joins import small_side
+from coachload.sources.published import publish, read_published
 
 # ---------------------------------------------------------------------------
 # Fixed values that must equal the reference's.
@@ -42,6 +43,7 @@ ISO_TIME = r"(\d{2})(?::?(\d{2})(?::?(\d{2})(?:[.,](\d+))?)?)?"
 ISO_OFFSET = r"(?:Z|[+-]\d{2}(?::?\d{2}(?::?\d{2})?)?)"
 ISO_DATETIME = f"^{ISO_DATE}(?:[T ]{ISO_TIME}({ISO_OFFSET})?)?$"
 BAD_ITEM = "Input should be a valid string: departure_datetimes"
+BAD_REQUEST = "Malformed request"
 ROW_ID = "request_row"
 
 
@@ -69,8 +71,9 @@ def with_row_id(req: DataFrame) -> DataFrame:
 
 def explode_requests(req: DataFrame) -> DataFrame:
     """One row per (request, position) with the parsed departure time and the
-    request-level validation status (422 missing field or item, 400 bad
-    datetime); a request with an empty list has one row without a position.
+    request-level validation status (400 unreadable request, 422 missing field
+    or item, 400 bad datetime); a request with an empty list, or an unreadable
+    one, has one row without a position.
 
     The first bad datetime is looked up in the request's own array, before it
     is exploded, so no request is gathered again."""
@@ -80,13 +83,15 @@ def explode_requests(req: DataFrame) -> DataFrame:
     missing = (F.when(F.col("from_tiploc").isNull(), "from_tiploc")
                .when(F.col("to_tiploc").isNull(), "to_tiploc")
                .when(times.isNull(), "departure_datetimes"))
-    status = F.when(missing.isNotNull() | null_item, 422).when(bad.isNotNull(), 400)
-    error = (F.when(missing.isNotNull(), F.concat(F.lit("Field required: "), missing))
+    torn = F.col("malformed").isNotNull() if "malformed" in req.columns else F.lit(False)
+    status = F.when(torn, 400).when(missing.isNotNull() | null_item, 422).when(bad.isNotNull(), 400)
+    error = (F.when(torn, BAD_REQUEST)
+             .when(missing.isNotNull(), F.concat(F.lit("Field required: "), missing))
              .when(null_item, BAD_ITEM)
              .when(bad.isNotNull(), F.concat(F.lit("Invalid datetime format: "), bad)))
     rows = with_row_id(req).withColumns({"status": status, "error": error})
-    rows = rows.select("*", F.posexplode_outer("departure_datetimes").alias("pos", "departure_datetime"))
-    return rows.drop("departure_datetimes").withColumn("departure_ts", parse_datetime(F.col("departure_datetime")))
+    rows = rows.select("*", F.posexplode_outer(F.when(~torn, times)).alias("pos", "departure_datetime"))
+    return rows.drop("departure_datetimes", "malformed").withColumn("departure_ts", parse_datetime(F.col("departure_datetime")))
 
 
 # P2 ------------------------------------------------------------------------
@@ -416,8 +421,13 @@ def nest(flat: DataFrame) -> DataFrame:
 
 def write_predictions(flat: DataFrame, path: str, fmt: str = "json") -> None:
     """The nested response (one line per request, predictions in
-    request order) written under ``path``, replacing what is there."""
-    nest(flat).write.mode("overwrite").format(fmt).save(path)
+    request order), published under ``path`` in place of the one before."""
+    publish({"predictions": nest(flat)}, path, fmt)
+
+
+def read_predictions(spark: SparkSession, path: str) -> DataFrame:
+    """The published response."""
+    return read_published(spark, path, ["predictions"])["predictions"]
 
 
 # P10, P11 ------------------------------------------------------------------

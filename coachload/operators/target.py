@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from coachload.operators.features import pct_of
-from coachload.operators.quantiles import column_quantiles, exact_quantiles, value_counts
+from coachload.operators.quantiles import column_quantiles, exact_quantiles
 
 # Fixed values that must equal the reference's.
 TIERS = ["Quiet", "Moderate", "Busy"]
@@ -127,8 +127,7 @@ def box_stats(df: DataFrame, value: str, by: str | None = None) -> DataFrame:
     key = F.col(by).cast("string") if by else F.lit("")
     some = df.withColumn("__key", F.coalesce(key, F.lit("")))
     stats = some.groupBy("__key", *([by] if by else [])).agg(F.count(x).alias("n"), F.min(x).alias("min"), F.max(x).alias("max"))
-    counts = value_counts(some.select(F.col("__key").alias("key"), x.alias("v")))
-    q = exact_quantiles(counts, [0.25, 0.5, 0.75]).withColumnRenamed("key", "__key")
+    q = exact_quantiles(some.select(F.col("__key").alias("key"), x.alias("v")), [0.25, 0.5, 0.75]).withColumnRenamed("key", "__key")
     return stats.join(q, "__key", "left").select(
         *([by] if by else []), "n", "min", F.col("q")[0].alias("q1"), F.col("q")[1].alias("median"),
         F.col("q")[2].alias("q3"), "max")

@@ -13,6 +13,7 @@ import json
 import uuid
 from functools import cached_property
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from coachload.operators import boosting as bo, features as fe, model as md, target as tg
@@ -28,6 +29,7 @@ SCALE_LIMITS = dict(max_limit=100.0, std_limit=20.0)
 # The engineered table of a folder with its dictionary, thresholds and feature
 # names, and the default model, made once per Spark application.
 _STORED: dict[tuple[str, str], tuple] = {}
+_SEARCHED: dict[tuple[str, str], DataFrame] = {}
 _FITTED: dict[tuple[str, str], bo.SoftmaxBoostingModel] = {}
 
 
@@ -77,6 +79,14 @@ class Ctx:
         pred = md.ThresholdModel(self.thresholds).transform(self.split)
         return pred.withColumnRenamed(LABEL, "label")
 
+    @property
+    def searched(self):
+        """The default grid's search."""
+        key = (self.spark.sparkContext.applicationId, self.sf_dir)
+        if key not in _SEARCHED:
+            _SEARCHED[key] = bo.grid_search(self.part("train"), self.features, LABEL, bo.SoftmaxBoosting(), folds=3)
+        return _SEARCHED[key]
+
     @property
     def boosted(self):
         key = (self.spark.sparkContext.applicationId, self.sf_dir)
@@ -181,11 +191,11 @@ def q_boosting_report(spark, sf_dir):
 
 
 def q_history(spark, sf_dir):
-    """Both log-loss histories have a value per round and fall from the first
-    to the best round."""
+    """Both log-loss histories are means over their part's rows, have a value
+    per round and fall from the first to the best round."""
     m = Ctx(spark, sf_dir).boosted
-    rows = [(part, len(h) >= len(m.trees), min(h) < h[0]) for part, h in m.history.items()]
-    return spark.createDataFrame(rows, "part string, complete boolean, falls boolean")
+    rows = [(part, m.rows[part], len(h) >= len(m.trees), min(h) < h[0]) for part, h in m.history.items()]
+    return spark.createDataFrame(rows, "part string, rows long, complete boolean, falls boolean")
 
 
 def q_importances(spark, sf_dir):
@@ -203,12 +213,35 @@ def q_folds(spark, sf_dir):
 
 
 def q_grid(spark, sf_dir):
-    """M12 with the default grid and estimator."""
+    """M12 with the default grid and estimator: a row for each setting and
+    fold, with the rows that its accuracy is a share of."""
     c = Ctx(spark, sf_dir)
-    found = bo.grid_search(c.part("train"), c.features, LABEL, bo.SoftmaxBoosting(), folds=3)
     mean = F.aggregate("fold_accuracy", F.lit(0.0), lambda a, b: a + b) / F.size("fold_accuracy")
-    return found.select("setting", "params", F.size("fold_accuracy").alias("folds"),
-                        ((F.abs(mean - F.col("mean_accuracy")) < 1e-9) & (F.col("mean_accuracy") > 0.5)).alias("sound"))
+    whole = F.abs(F.col("x.fold_accuracy") * F.col("x.fold_rows") - F.round(F.col("x.fold_accuracy") * F.col("x.fold_rows"))) < 1e-6
+    found = c.searched.withColumn("mean", mean)
+    return found.select("setting", "params", "mean", "mean_accuracy", F.posexplode(F.arrays_zip("fold_accuracy", "fold_rows")).alias("fold", "x")) \
+        .select("setting", "params", "fold", F.col("x.fold_rows").alias("rows"),
+                (whole & (F.abs(F.col("mean") - F.col("mean_accuracy")) < 1e-9) & (F.col("mean_accuracy") > 0.5)).alias("sound"))
+
+
+def q_choice_trained(spark, sf_dir):
+    """The first model against the one with the search's best setting, by
+    their accuracy on the test rows."""
+    c = Ctx(spark, sf_dir)
+    best = json.loads(c.searched.orderBy(F.desc("mean_accuracy"), "setting").first()["params"])
+    test = c.part("test")
+    tuned = bo.SoftmaxBoosting(**best).fit(c.part("train"), c.features, LABEL, test)
+
+    def right(model):
+        return model.transform(test).withColumnRenamed(LABEL, "label").agg(
+            F.count(F.lit(1)).alias("rows"), F.count_if(F.col("label") == F.col("prediction")).alias("right")).first()
+
+    first, other = right(c.boosted), right(tuned)
+    model, which = md.choose(c.boosted, tuned, first["right"] / first["rows"], other["right"] / other["rows"])
+    taken = right(model)
+    return spark.createDataFrame([(taken["rows"], which == ("tuned" if other["right"] > first["right"] else "initial"),
+                                   taken["right"] == max(first["right"], other["right"]))],
+                                 "rows long, strictly_better boolean, best_taken boolean")
 
 
 def q_bundle(spark, sf_dir):
@@ -249,6 +282,7 @@ QUERIES = {
     "model_importances": q_importances,
     "model_bundle": q_bundle,
     "model_grid_search": q_grid,
+    "model_choice_trained": q_choice_trained,
 }
 
 # --- oracle texts -----------------------------------------------------------
@@ -342,15 +376,20 @@ ORACLES = {
     "model_boosting_accuracy": _split_sql(
         f"SELECT split, CAST(SUM(n) AS BIGINT) AS rows, MAX(n) AS majority, TRUE AS beats_majority FROM (SELECT split, {LABEL}, COUNT(*) AS n "
         "FROM sp GROUP BY 1, 2) GROUP BY 1"),
-    "model_boosting_history": "SELECT part, TRUE AS complete, TRUE AS falls FROM (VALUES ('train'), ('eval')) v(part)",
+    "model_boosting_history": _split_sql(
+        "SELECT CASE split WHEN 'train' THEN 'train' ELSE 'eval' END AS part, COUNT(*) AS rows, TRUE AS complete, TRUE AS falls "
+        "FROM sp GROUP BY 1"),
     "model_importances": "SELECT CAST(i AS INTEGER) AS rank, TRUE AS known, TRUE AS is_share FROM range(1, 16) t(i)",
     "model_bundle": _split_sql(
         "SELECT 'scored' AS part, COUNT(*) AS rows FROM sp WHERE split = 'test' UNION ALL "
         "SELECT 'equal', COUNT(*) FROM sp WHERE split = 'test' UNION ALL "
         "SELECT 'thresholds', 1 UNION ALL SELECT 'scaling', " + str(len(_FEATS)) + " UNION ALL SELECT 'labels', "
         + " + ".join(f"(SELECT COUNT(DISTINCT {c}) FROM eng)" for c in fe.ENCODED_COLUMNS)),
-    "model_grid_search": "SELECT * FROM (VALUES " + ", ".join(
-        f"({i}, '{json.dumps(p, sort_keys=True)}', 3, TRUE)" for i, p in enumerate(bo.DEFAULT_GRID)) + ") v(setting, params, folds, sound)",
+    "model_grid_search": _split_sql(
+        "SELECT setting, params, fold, rows, TRUE AS sound FROM (VALUES " + ", ".join(
+            f"({i}, '{json.dumps(p, sort_keys=True)}')" for i, p in enumerate(bo.DEFAULT_GRID)) + ") v(setting, params) CROSS JOIN "
+        f"(SELECT CAST({_H.replace("'42'", "'43'")} % 3 AS INTEGER) AS fold, COUNT(*) AS rows FROM sp WHERE split = 'train' GROUP BY 1)"),
+    "model_choice_trained": _split_sql("SELECT COUNT(*) AS rows, TRUE AS strictly_better, TRUE AS best_taken FROM sp WHERE split = 'test'"),
     "model_split": _split_sql(f"SELECT messageId_leg_start, leg_departure_dt, {LABEL}, split FROM sp"),
     "model_split_distribution": _split_sql(
         f"SELECT split, {LABEL}, COUNT(*) AS count, round(CAST(COUNT(*) AS DOUBLE) / SUM(COUNT(*)) OVER "

@@ -96,6 +96,16 @@ def q_requests(spark, sf_dir):
         "request_id", "pos", "departure_datetime", "departure_ts", "status", "error")
 
 
+def q_requests_read(spark, sf_dir):
+    """The fixture's requests and some broken lines as JSON lines, read back."""
+    c = Ctx(spark, sf_dir, REQUEST_LEGS)
+    path = f"{scratch_path(spark, 'requests')}-{uuid.uuid4().hex}"
+    broken = spark.createDataFrame([(x,) for x in rq.BROKEN_LINES], "value string")
+    c.requests.select(F.to_json(F.struct(*rq.REQUEST_SCHEMA.names), {"ignoreNullFields": "false"}).alias("value")).unionByName(broken).write.text(path)
+    rows = sc.explode_requests(rq.read_requests(spark, path))
+    return rows.select("request_id", "pos", "departure_datetime", "departure_ts", "status", "error")
+
+
 def q_resolved(spark, sf_dir):
     c = Ctx(spark, sf_dir, REQUEST_LEGS)
     r = sc.resolve_codes(sc.explode_requests(c.requests), c.stations)
@@ -165,7 +175,7 @@ def q_written(spark, sf_dir):
     """The nested response written and read back."""
     path = f"{scratch_path(spark, 'predictions')}-{uuid.uuid4().hex}"
     sc.write_predictions(_predictions()(spark, sf_dir), path, "parquet")
-    return _as_json(spark.read.parquet(path))
+    return _as_json(sc.read_predictions(spark, path))
 
 
 def q_list_stations(spark, sf_dir):
@@ -179,6 +189,7 @@ def q_list_codes(spark, sf_dir):
 QUERIES = {
     "scoring_requests": q_requests,
     "scoring_resolved": q_resolved,
+    "scoring_requests_read": q_requests_read,
     "scoring_service_match": q_match_probe,
     "scoring_service_match_requests": q_match_requests,
     "scoring_arrival_state": q_arrival,
@@ -448,13 +459,17 @@ ORACLES = {
         "SELECT request_id, pos, departure_datetime, departure_ts, status0 AS status, error0 AS error FROM ex")),
     "scoring_resolved": sq.with_ctes(*_base(), body=(
         "SELECT request_id, pos, from_station, to_station, from_lat, from_lon, to_lat, to_lon, status, error FROM rs")),
-    "scoring_service_match": sq.with_ctes(sq.LEGS_CTE, ROUTES_CTE, *match_ctes(PROBE_KEYS),
+    "scoring_requests_read": sq.with_ctes(*_base(), body=(
+        "SELECT request_id, pos, departure_datetime, departure_ts, status0 AS status, error0 AS error FROM ex UNION ALL "
+        f"SELECT CASE WHEN x LIKE '%text-for-list%' THEN 'text-for-list' ELSE sha256(x) END, NULL, NULL, NULL, 400, '{sc.BAD_REQUEST}' "
+        "FROM (VALUES " + ", ".join(f"('{x}')" for x in rq.BROKEN_LINES) + ") v(x)")),
+    "scoring_service_match": sq.with_ctes(*sq.stored(sq.LEGS_CTE, ROUTES_CTE, *match_ctes(PROBE_KEYS)),
                                           body="SELECT * FROM matched"),
     "scoring_service_match_requests": sq.with_ctes(
         *_base(), *match_ctes("SELECT DISTINCT from_station, to_station, req_hour, req_dow FROM rk WHERE status IS NULL AND pos IS NOT NULL"),
         body="SELECT * FROM matched"),
     "scoring_arrival_state": sq.with_ctes(
-        sq.LEGS_CTE, ROUTES_CTE, HIST_CTE, *match_ctes(PROBE_KEYS),
+        *sq.stored(sq.LEGS_CTE, ROUTES_CTE, HIST_CTE, *match_ctes(PROBE_KEYS)),
         body=("SELECT m.from_station, m.to_station, m.req_hour, m.req_dow, "
               + ", ".join(f"round(CASE WHEN h.headcode IS NOT NULL THEN COALESCE({D('h.' + c)}, 0.0) "
                           f"ELSE {D(v)} END, 6) AS {c}" for c, v in _AVG)

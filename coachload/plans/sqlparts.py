@@ -11,6 +11,12 @@ LEGS_CTE = f"legs AS ({LEGS_SQL})"
 TIPLOCS_CTE = f"tiplocs AS ({TIPLOCS_SQL})"
 
 
+def stored(*ctes: str) -> list[str]:
+    """Each CTE is evaluated once, in the order given, so that the joins are
+    planned from real sizes."""
+    return [c.replace(" AS (", " AS MATERIALIZED (", 1) for c in ctes]
+
+
 def with_ctes(*ctes: str, body: str) -> str:
     return "WITH " + ",\n".join(ctes) + "\n" + body
 

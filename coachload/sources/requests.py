@@ -15,10 +15,17 @@ REQUEST_SCHEMA = T.StructType([
     T.StructField("departure_datetimes", T.ArrayType(T.StringType())),
 ])
 
+# Of JSON lines: the text of one that is no request is kept.
+LINE_SCHEMA = T.StructType([*REQUEST_SCHEMA, T.StructField("malformed", T.StringType())])
+LINE_OPTIONS = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "malformed"}
+
 # Fixed values from the reference's own batch test (three times of one day).
 FIXTURE_DATETIMES = ["2024-01-15T08:30:00", "2024-01-15T12:00:00", "2024-01-15T17:30:00"]
 BAD_DATETIME = "15/01/2024 08:30"
 UNKNOWN_CODE = "NOSUCHCODE"
+# Lines that are no requests, beside those of the fixture: cut off, not JSON, a
+# list, a field of another type.
+BROKEN_LINES = ['{"request_id": "cut-off", "from_tip', "not json", "[1, 2]", '{"request_id": "text-for-list", "departure_datetimes": "2024-01-15"}']
 # A station that only the fixture's lookups hold, without any route from it.
 NO_SERVICE_STATION, NO_SERVICE_CODE = "ARRIVALS ONLY", "TEND"
 # Requests on the smallest valid pair: id, row, origin, destination, times;
@@ -53,11 +60,19 @@ def fixture_stations(stations: DataFrame) -> DataFrame:
 def read_requests(spark: SparkSession, path: str, fmt: str = "json") -> DataFrame:
     """JSON lines (or parquet) of requests with an array of datetimes; a row
     without ``request_id`` gets a content-derived one.  Ids may repeat: scoring
-    tells requests apart by a row id of its own (``scoring.with_row_id``)."""
-    df = spark.read.format(fmt).schema(REQUEST_SCHEMA).load(path)
-    rid = F.coalesce(F.col("request_id"), F.sha2(F.to_json(F.struct(
-        "from_tiploc", "to_tiploc", "departure_datetimes")), 256))
-    return df.withColumn("request_id", rid)
+    tells requests apart by a row id of its own (``scoring.with_row_id``).
+
+    A line that is no such request (broken JSON, a field of another type) is
+    kept whole in ``malformed``, with the id of its text unless one can be
+    read, and is answered 400; other lines don't suffer from it."""
+    if fmt == "json":
+        return with_ids(spark.read.schema(LINE_SCHEMA).options(**LINE_OPTIONS).json(path))
+    return with_ids(spark.read.format(fmt).schema(REQUEST_SCHEMA).load(path).withColumn("malformed", F.lit(None).cast("string")))
+
+
+def with_ids(df: DataFrame) -> DataFrame:
+    text = F.coalesce(F.col("malformed"), F.to_json(F.struct("from_tiploc", "to_tiploc", "departure_datetimes")))
+    return df.withColumn("request_id", F.coalesce(F.col("request_id"), F.sha2(text, 256)))
 
 
 def _times(values: list | None):

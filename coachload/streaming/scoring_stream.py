@@ -17,17 +17,14 @@ from pyspark.sql import functions as F
 
 from coachload.operators import scoring as sc
 from coachload.session import checkpoint_dir
-from coachload.sources.requests import REQUEST_SCHEMA
+from coachload.sources.requests import LINE_OPTIONS, LINE_SCHEMA, with_ids
 
 
 def request_stream(spark: SparkSession, path: str, max_files: int | None = None) -> DataFrame:
-    reader = spark.readStream.schema(REQUEST_SCHEMA)
+    reader = spark.readStream.schema(LINE_SCHEMA).options(**LINE_OPTIONS)
     if max_files:
         reader = reader.option("maxFilesPerTrigger", max_files)
-    df = reader.json(path)
-    rid = F.coalesce(F.col("request_id"), F.sha2(F.to_json(F.struct(
-        "from_tiploc", "to_tiploc", "departure_datetimes")), 256))
-    return df.withColumn("request_id", rid)
+    return with_ids(reader.json(path))
 
 
 def start_scoring(spark: SparkSession, request_path: str, lookups: dict[str, DataFrame], model,

@@ -66,7 +66,7 @@ def test_read_requests_and_write_predictions(spark, tmp_path):
         "standard_confidence double, standard_score int, first_tier string, first_confidence double, "
         "first_score int")
     sc.write_predictions(flat, str(tmp_path / "out"))
-    back = spark.read.json(str(tmp_path / "out")).first()
+    back = sc.read_predictions(spark, str(tmp_path / "out")).first()
     assert [p["pos"] for p in back["predictions"]] == [0, 1]
     assert back["predictions"][1]["first_class"]["comfort_tier"] == "Busy"
 

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from coachload.operators import boosting as bo
+from coachload.operators import boosting as bo, lookups as lk, scoring as sc
 from coachload.plans import jobs
 from coachload.sources import requests as rq, tables
 from tests.conftest import SF001
@@ -18,10 +18,10 @@ def test_lookup_train_score(spark, tmp_path):
                           grid=[{"max_depth": 4, "rounds": 1}], folds=2)
     assert info["chosen"] in ("initial", "tuned") and 0.3 < info["test_accuracy_initial"] <= 1.0
     assert 0 < info["train_accuracy_initial"] <= 1 and len(info["history"]["train"]) == len(info["history"]["eval"])
-    stations = spark.read.parquet(str(tmp_path / "lookups" / "stations"))
+    stations = lk.read_lookups(spark, str(tmp_path / "lookups"))["stations"]
     reqs = rq.fixture_requests(legs, stations)
     flat = jobs.score_job(spark, reqs, str(tmp_path / "lookups"), str(tmp_path / "bundle"),
                           str(tmp_path / "pred"))
     assert flat.where(F.col("status") == 200).count() > 0
-    out = spark.read.json(str(tmp_path / "pred"))
+    out = sc.read_predictions(spark, str(tmp_path / "pred"))
     assert out.count() == reqs.count()
