@@ -18,8 +18,9 @@ hits falsely about once in 200 at every size of the corpus.
 Probing: a filter of about BROADCAST_BYTES or less (two bytes for a token of
 six) is broadcast.  Beyond, documents are packed into parts; each part sends its
 distinct n-grams with their training counts to the blocks once, and a block's
-task sets its bits, probes them for all that was sent, and the levels return to
-the parts.  Both ways read the same bits and give the same scores.
+task sets its bits, probes them for all that was sent, stores them as the
+model's, and the levels return to the parts.  Both ways read the same bits and
+give the same scores.
 
 The exact unigram score needs exact counts.  Words of at least a count that at
 most HEAD_WORDS words reach are broadcast (16 MB at most); a document's other
@@ -48,13 +49,13 @@ from .base import WordHashes, as_bytes, named, of_worker, remainder, slices, sto
 # Fixed value: the pseudo-count of the unigram base.
 ADD = 0.1
 BITS_PER_ENTRY = 16
-BROADCAST_BYTES = 8 << 20
+BROADCAST_BYTES = 64 << 20
 BLOCKS = 512  # at least
-BLOCK_TEXT = 4 << 20  # bytes of training text whose n-grams one block gathers
+BLOCK_TEXT = 32 << 20  # bytes of training text whose n-grams one block gathers
 HEAD_WORDS = 1 << 20
 BASE = 1.5
 MU = 2.0
-MAX_LEVEL = 64
+MAX_LEVEL = 96  # counts of up to 8e16
 PROBES = 3
 # A part is a row of some MB: row groups are closed by size, not after 100 rows.
 PACKED = {"parquet.block.size": 16 << 20, "parquet.block.size.row.check.min": 1, "parquet.block.size.row.check.max": 4,
@@ -428,8 +429,8 @@ def _by_join(rows: DataFrame, n_blocks: int, order: int = 2, base: float = BASE,
                         "steps": pa.array([squeezed(own[cuts[x]:cuts[x + 1]]) for x in filled], pa.binary()),
                         "counts": pa.array([squeezed(n[cuts[x]:cuts[x + 1]]) for x in filled], pa.binary())})
 
-    held = [x.split()[0] for x in HELD.split(", ") if not x.startswith("bits")]
-    told = ", ".join(x for x in HELD.split(", ") if not x.startswith("bits")) + ", part long, kind int, levels binary"
+    held = [x.split()[0] for x in HELD.split(", ")]
+    told = HELD + ", part long, kind int, levels binary"
     told_schema = to_arrow_schema(StructType.fromDDL(told))
 
     def answer(asked: pa.Table) -> pa.Table:
@@ -447,7 +448,7 @@ def _by_join(rows: DataFrame, n_blocks: int, order: int = 2, base: float = BASE,
         bits, row = _held(block, *of, base)
         level = probe(bits, *np.broadcast_arrays(0, len(bits) * 8, both := np.concatenate(runs))[:2], both)
         ends = np.cumsum([0, *map(len, runs)]).tolist()
-        rows = [{**row, "part": None, "kind": None, "levels": None}]
+        rows = [{**row, "bits": bits.tobytes(), "part": None, "kind": None, "levels": None}]
         rows += [{**dict.fromkeys(held), "block": block, "part": part, "kind": kind, "levels": level[a:b].tobytes()}
                  for part, kind, a, b in zip(asked["part"].to_pylist(), kinds.tolist(), ends, ends[1:])]
         return pa.Table.from_pylist(rows, schema=told_schema)
