@@ -366,3 +366,68 @@ def test_exact_with_names_of_its_own(make):
 def test_every_path_decodes_to_the_text(make, odd):
     got = rows_of(pieces.encode(make([x for x in odd if x[0] != 9]), PIECE_MODEL))
     assert all(r["round_trip"] and len(r["ids"]) == r["n_tokens"] for r in got)
+
+
+# -- op 3 -----------------------------------------------------------------------------------------
+
+@pytest.mark.parametrize("broadcast", [1 << 40, 0])
+def test_scores_follow_the_bigram_formula(make, words, odd, broadcast):
+    """Against the formula on exact counts at the filter's levels: a false hit, one probe in
+    about 200, raises a count by a level."""
+    import math
+    from collections import Counter
+
+    from coachload.llm import lm
+    r = random.Random(6)
+    vocabulary = words(300, 5).split()
+    rows = odd + [(100 + i, " ".join(r.choices(vocabulary, k=r.randint(5, 200)))) for i in range(150)]
+    out = lambda i: zlib.crc32(b"" if i is None else str(i).encode()) % 10 == 0
+    tok = lambda t: [b" begin", *(t or "").encode().lower().split(), b" end"]
+    ones, twos = Counter(), Counter()
+    for i, t in rows:
+        if not out(i):
+            ones.update(tok(t))
+            twos.update(zip(tok(t), tok(t)[1:]))
+    n = sum(c for w, c in ones.items() if w != b" begin")
+    v = len(ones) - 1
+    values = lm.level_counts(lm.BASE)
+    level = lambda c: float(values[int(lm.levels(np.array([c]), lm.BASE)[0])]) if c else 0.0
+
+    def score(t):
+        total = 0.0
+        for a, b in zip(tok(t), tok(t)[1:]):
+            p = (level(ones[b]) + lm.ADD) / (n + lm.ADD * (v + 1))
+            p = (min(level(twos[a, b]), level(ones[a])) + lm.MU * p) / (level(ones[a]) + lm.MU)
+            total += math.log10(min(p, 1.0))
+        return total
+
+    want = sorted((str(i), len(tok(t)) - 1, score(t)) for i, t in rows)
+    got = sorted((str(x["doc_id"]), x["n_tokens"], x["score"]) for x in rows_of(lm.score_documents(make(rows), broadcast_bytes=broadcast)))
+    assert [g[:2] for g in got] == [w[:2] for w in want]
+    away = [abs(g[2] - w[2]) / g[1] for g, w in zip(got, want)]
+    assert np.mean(away) < 0.01 and max(away) < 0.5
+
+
+# -- the pipeline on odd rows ---------------------------------------------------------------------
+
+def test_pipeline_stages_on_odd_rows(spark, make, odd, words, tmp_path):
+    """Nulls, empty, blank and very long texts, repeated rows and ids, clashing
+    columns, and nothing at all: every stage keeps the columns, and clean texts."""
+    import corpus_pipeline
+    labels = [(i, i % 2, 0) for i in range(1, 30)]
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    items = [(1, words(30, 77)), (None, "x"), (2, None)]
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    rows = [x for x in odd if x[0] != 9] + [(30 + i, words(50, 300 + i)) for i in range(5)] + [(40, "a " + words(30, 77))]
+    for data in (rows, []):
+        docs = make(data).drop("kept", "rid") if data else make(rows).limit(0)
+        for name, stage in corpus_pipeline.STAGES[1:-1]:
+            out = stage(spark, docs, str(tmp_path))
+            assert out.columns == docs.columns
+            docs = out
+        kept = {x["doc_id"] for x in rows_of(docs)}
+        assert not data or {30, 31, 32, 33, 34} <= kept and 40 not in kept
+        ids = rows_of(corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path)))
+        assert len(ids) == docs.count()
+        first = corpus_pipeline.STAGES[0][1](spark, make(data) if data else make(rows).limit(0), str(tmp_path))
+        assert set(first.columns) == set(make(rows).columns) and first.count() <= len(data)
