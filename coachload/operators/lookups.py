@@ -222,16 +222,11 @@ def write_lookups(tables: dict[str, DataFrame], path: str,
                   route_partitions: int | None = None) -> None:
     """Replace the lookup set under ``path`` as a whole (``published``).
 
-    The route table is the only one that grows with the data; it is
-    hash-partitioned and sorted on the origin station, so that scoring reads
-    an origin's routes from few files and row groups.
+    The route table is the only one that grows with the data; with
+    ``route_partitions`` it is written in that many buckets of the origin
+    station, so that the service match reduces it without an exchange.
     """
-    def shape(name: str, df: DataFrame):
-        if name == "service_routes_summary_mvp" and route_partitions:
-            df = df.repartition(route_partitions, "stationName_from").sortWithinPartitions("stationName_from")
-        return df.write
-
-    publish(tables, path, shape=shape)
+    publish(tables, path, buckets={"service_routes_summary_mvp": ("stationName_from", route_partitions)} if route_partitions else None)
 
 
 def read_lookups(spark, path: str, names: list[str] | None = None) -> dict[str, DataFrame]:

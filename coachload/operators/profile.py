@@ -1,12 +1,13 @@
 """Data profiling.
 
 Every report is a single aggregate pass (wide row) unpivoted into a long
-table, or a grouped count; no collect, no per-column job loop.
+table, or a grouped count; no collect, no per-column job loop.  The one-row
+reports can also be gathered while a table is written (``ScanReports``).
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -222,3 +223,46 @@ def quality_summary(df: DataFrame, target: str = "relevant_passengers_on_leg_dep
         "missing_values", dups.alias("duplicate_rows"), "target_min", "target_max", "outliers",
         (F.try_divide(F.col("outliers"), F.col("total_records")) * F.lit(100.0))
         .alias("outlier_percentage"))
+
+
+# E1, E2, E5, E12, F16, M2 in one scan -----------------------------------------
+class ScanReports:
+    """One-row reports of a table that is being written anyway: ``watch`` adds
+    the aggregates to the plan as observed metrics, and once the write is done
+    the reports need no pass of their own."""
+
+    def __init__(self, df: DataFrame, target: str | None = None, date: str | None = None, label: str | None = None):
+        self.fields, self.spark = df.schema.fields, df.sparkSession
+        self.target, self.date, self.label = target, date, label
+        self.numeric = [c for c in numeric_columns(df) if target and c != target]
+        self.seen = Observation()
+
+    def watch(self, df: DataFrame) -> DataFrame:
+        aggs = [F.count(F.lit(1)).alias("rows"), *[F.count(F.col(f.name)).alias(f"n{i}") for i, f in enumerate(self.fields)]]
+        if self.target:
+            y = F.col(self.target).cast("double")
+            aggs += [F.corr(F.col(c).cast("double"), y).alias(f"r{i}") for i, c in enumerate(self.numeric)]
+        if self.date:
+            aggs += [F.min(self.date).alias("first"), F.max(self.date).alias("last")]
+        if self.label:
+            aggs += [F.count_if(F.col(self.label) == k).alias(f"k{k}") for k in range(3)]
+        return df.observe(self.seen, *aggs)
+
+    def tables(self) -> dict[str, DataFrame]:
+        """After the write: ``columns`` (E1), ``missing`` (E2, F16), and as far
+        as they were asked for ``correlations`` (E12), ``dates`` (E5) and
+        ``labels`` (M2)."""
+        got, make = self.seen.get, self.spark.createDataFrame
+        n = got["rows"]
+        held = [(i, f.name, f.dataType.simpleString(), got[f"n{i}"]) for i, f in enumerate(self.fields)]
+        out = {"columns": make([(*h, n) for h in held], "position int, column_name string, data_type string, non_null_count long, row_count long"),
+               "missing": make([(c, n - k, (n - k) / n * 100.0) for _, c, _, k in held if k < n],
+                               "column_name string, missing_count long, missing_percentage double")}
+        if self.target:
+            out["correlations"] = make([(c, got[f"r{i}"]) for i, c in enumerate(self.numeric)], "column_name string, correlation double")
+        if self.date:
+            first, last = got["first"], got["last"]
+            out["dates"] = make([(first, last, (last - first).days if n else None)], "first timestamp_ntz, last timestamp_ntz, span_days long")
+        if self.label:
+            out["labels"] = make([(k, got[f"k{k}"]) for k in range(3)], f"{self.label} int, count long")
+        return out

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from coachload.operators import boosting as bo, features as fe, lookups as lk, model as md
-from coachload.operators import scoring as sc, target as tg
+from coachload.operators import profile as pr, scoring as sc, target as tg
 from coachload.session import build_session, materialize
 from coachload.sources import requests as rq, tables
 
@@ -52,7 +52,9 @@ def train_job(legs: DataFrame, out: str, method: str = "quantile",
     groups = fe.groups_before_departure() if before_departure else None
     _, features, _ = fe.select_features(feats, groups)
     # Engineered once; the split, the scaling, the cut points and the reports read this table.
-    data = materialize(tg.encode_tier(tg.assign_tier(tg.occupancy_pct(feats), thr)).select(*tables.LEG_KEY, label, *features), "engineered")
+    data = tg.encode_tier(tg.assign_tier(tg.occupancy_pct(feats), thr)).select(*tables.LEG_KEY, label, *features)
+    reports = pr.ScanReports(data, date="leg_departure_dt", label=label)
+    data = materialize(reports.watch(data), "engineered")
     data = (md.three_way_split if three_way else md.stratified_split)(data, label)
     train = data.where(F.col("split") == "train")
     plan = materialize(md.scaling_plan(md.feature_ranges(train, features)), "scaling")
@@ -83,6 +85,8 @@ def train_job(legs: DataFrame, out: str, method: str = "quantile",
             "train_accuracy_initial": initial.get("train"), "test_accuracy_initial": initial.get("test"),
             "test_accuracy_tuned": tuned and tuned.get("test"), "best_params": best if which == "tuned" else None}
     bo.save_bundle(out, chosen, labels, thr, plan, info)
+    for name, report in reports.tables().items():
+        report.coalesce(1).write.mode("overwrite").parquet(f"{out.rstrip('/')}/reports/{name}")
     return info
 
 

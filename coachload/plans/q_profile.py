@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from coachload.operators import profile as pr
 from coachload.plans import sqlparts as sq
+from coachload.session import materialize
 from coachload.sources import tables
 
 TARGET = "relevant_passengers_on_leg_departure"
@@ -89,7 +90,24 @@ def q_quality(spark, sf_dir):
     return q.withColumn("outlier_percentage", F.round("outlier_percentage", 6))
 
 
+def q_one_scan(spark, sf_dir):
+    """E1, E2, E5 and E12, gathered while the legs are written."""
+    legs = _legs(spark, sf_dir)
+    reports = pr.ScanReports(legs, TARGET, "leg_departure_dt")
+    materialize(reports.watch(legs), "legs")
+    t = reports.tables()
+    dates = t["dates"].select(F.explode(F.array(*[F.struct(F.lit(c).alias("name"), F.date_format(c, "yyyy-MM-dd HH:mm:ss").alias("value"))
+                                                  for c in ("first", "last")])).alias("x")).select(F.lit("dates").alias("report"), "x.name", "x.value")
+    counts = t["columns"].select(F.lit("columns").alias("report"), F.col("column_name").alias("name"),
+                                 F.concat_ws("/", "data_type", "non_null_count", "row_count").alias("value"))
+    missing = t["missing"].select(F.lit("missing").alias("report"), F.col("column_name").alias("name"), F.col("missing_count").cast("string").alias("value"))
+    corr = t["correlations"].select(F.lit("correlations").alias("report"), F.col("column_name").alias("name"),
+                                    F.format_string("%.5f", F.round("correlation", 5)).alias("value"))
+    return counts.unionByName(missing).unionByName(dates).unionByName(corr)
+
+
 QUERIES = {
+    "profile_one_scan": q_one_scan,
     "profile_columns": q_columns,
     "profile_head": q_head,
     "profile_missing": q_missing,
@@ -114,6 +132,12 @@ _Q = (f"q AS (SELECT quantile_cont({TARGET}, 0.25) AS q1, quantile_cont({TARGET}
 _OUTLIERS = (f"(SELECT COUNT(*) FROM legs, b WHERE {TARGET} < b.lo OR {TARGET} > b.hi)")
 
 ORACLES = {
+    "profile_one_scan": sq.legs_only(body=_UA.join(
+        [f"SELECT 'columns' AS report, '{f.name}' AS name, '{f.dataType.simpleString()}/' || COUNT({f.name}) || '/' || COUNT(*) AS value FROM legs"
+         for f in FIELDS]
+        + [f"SELECT 'missing', '{f.name}', CAST(COUNT(*) - COUNT({f.name}) AS VARCHAR) FROM legs HAVING COUNT({f.name}) < COUNT(*)" for f in FIELDS]
+        + [f"SELECT 'dates', '{n}', strftime({n[:1] == 'f' and 'min' or 'max'}(leg_departure_dt), '%Y-%m-%d %H:%M:%S') FROM legs" for n in ("first", "last")]
+        + [f"SELECT 'correlations', '{c}', printf('%.5f', round(corr(CAST({c} AS DOUBLE), {TARGET}), 5)) FROM legs" for c in NUMERIC if c != TARGET])),
     "profile_columns": sq.legs_only(body=_UA.join(
         f"SELECT {i} AS position, '{f.name}' AS column_name, '{f.dataType.simpleString()}' AS data_type, "
         f"COUNT({f.name}) AS non_null_count, COUNT(*) AS row_count FROM legs"
