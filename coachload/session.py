@@ -71,16 +71,6 @@ def checkpoint_dir(spark: SparkSession, fallback: str | None = None) -> str:
     return sc.getCheckpointDir() or configured or fallback
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Materialize ``df`` in the checkpoint folder and return a fresh plan.
-
-    Reliable ``checkpoint()`` survives executor loss (unlike a local
-    checkpoint, which lives on the executor that computed it).
-    """
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """``df`` written once as Parquet in the checkpoint folder and read back.
 
