@@ -28,6 +28,8 @@ BUCKETS = 200
 SKETCH, REACH = 4096, 0.0015
 # Steps of the grid of shares that a sketch is asked for.
 GRID = 1000
+# Distinct values of all brackets that are ordered on the driver; more are ordered by Spark.
+LOCAL_VALUES = 1 << 16
 
 
 def value_counts(values: DataFrame, key: str = "key", value: str = "v") -> DataFrame:
@@ -66,9 +68,9 @@ def at_ranks(counts: DataFrame, ranks: Callable[[Column], Column] | DataFrame) -
 def _brackets(values: DataFrame, wanted: Callable[[int], list[int]]) -> dict[str, tuple[int, list[int], list[list[float]]]]:
     """{key: (rows, ranks, disjoint brackets [low, high])} from the sketches."""
     number = ~F.isnan("v")
-    sketch = materialize(values.groupBy("key").agg(
+    sketch = values.groupBy("key").agg(
         F.count("v").alias("n"), F.count_if(number).alias("m"), F.min(F.when(number, F.col("v"))).alias("low"),
-        F.max(F.when(number, F.col("v"))).alias("high"), F.kll_sketch_agg_double(F.when(number, F.col("v")), F.lit(SKETCH)).alias("sketch")), "sketch")
+        F.max(F.when(number, F.col("v"))).alias("high"), F.kll_sketch_agg_double(F.when(number, F.col("v")), F.lit(SKETCH)).alias("sketch"))
     out: dict[str, tuple[int, list[int], list[list[float]]]] = {}
     grid = F.array(*[F.lit(i / GRID) for i in range(GRID + 1)])
     quantiles = F.when(F.col("m") > 0, F.kll_sketch_get_quantile_double("sketch", grid))
@@ -94,6 +96,22 @@ def _brackets(values: DataFrame, wanted: Callable[[int], list[int]]) -> dict[str
     return out
 
 
+def _picked(inside: list, inner: list) -> list[tuple[str, int, int, float]]:
+    """(key, total, i, v) from the collected rows of the brackets."""
+    rows: dict[tuple[str, int], list[tuple[float, int]]] = {}
+    for r in inside:
+        rows.setdefault((r["key"], r["region"]), []).append((r["v"], r["n"]))
+    out = []
+    for key, region, total, own in inner:
+        ordered, before = sorted(rows[key, region], key=lambda x: (math.isnan(x[0]), x[0])), 0
+        left = sorted(own, key=lambda x: x[1])
+        for v, n in ordered:
+            while left and left[0][1] < before + n:
+                out.append((key, total, left.pop(0)[0], v))
+            before += n
+    return out
+
+
 def _bracketed(values: DataFrame, wanted: Callable[[int], list[int]]) -> DataFrame:
     """(key, total, i, v) at the wanted ranks of each key."""
     spark = values.sparkSession
@@ -107,8 +125,10 @@ def _bracketed(values: DataFrame, wanted: Callable[[int], list[int]]) -> DataFra
               .agg(F.count(F.lit(1)).alias("n")))
     counts = materialize(counts, "brackets")
     held: dict[str, dict[int, int]] = {}
-    for r in counts.groupBy("key", "region").agg(F.sum("n").alias("n")).collect():
+    distinct = 0
+    for r in counts.groupBy("key", "region").agg(F.sum("n").alias("n"), F.count("v").alias("d")).collect():
         held.setdefault(r["key"], {})[r["region"]] = r["n"]
+        distinct += r["d"]
     inner, missed = [], False
     for key, (n, ranks, _) in brackets.items():
         before, found = 0, 0
@@ -124,6 +144,8 @@ def _bracketed(values: DataFrame, wanted: Callable[[int], list[int]]) -> DataFra
         every = value_counts(values)
         ranks = spark.createDataFrame([(k, list(enumerate(r))) for k, (_, r, _) in brackets.items()], "key string, ranks array<struct<i:int,rank:long>>")
         return at_ranks(every, ranks).select("key", "total", "i", "v")
+    if distinct <= LOCAL_VALUES:
+        return spark.createDataFrame(_picked(counts.where(v.isNotNull()).collect(), inner), "key string, total long, i int, v double")
     kind = "struct<key:string,region:int>"
     ranks = spark.createDataFrame([((k, g), own) for k, g, _, own in inner], f"key {kind}, ranks array<struct<i:int,rank:long>>")
     totals = spark.createDataFrame([(k, n) for k, (n, _, _) in brackets.items()], "key string, total long")

@@ -23,16 +23,19 @@ def columns():
             "hot": np.r_[np.full(20_000, 7.0), r.normal(size=5_000)], "signed": np.array([-0.0, 0.0, -1.0, 1.0])}
 
 
-def test_quantiles_of_several_keys(spark, columns):
+@pytest.mark.parametrize("local", [1 << 16, 0])
+def test_quantiles_of_several_keys(spark, columns, monkeypatch, local):
+    monkeypatch.setattr(qu, "LOCAL_VALUES", local)
     got = {r["key"]: r["q"] for r in qu.exact_quantiles(frame(spark, columns), PROBS).collect()}
     assert set(got) == set(columns)
     for k, v in columns.items():
         assert got[k] == pytest.approx(np.quantile(v, PROBS).tolist(), rel=1e-12, abs=1e-12)
 
 
-def test_only_the_brackets_are_shuffled(spark, columns):
+def test_only_the_brackets_are_shuffled(spark, columns, monkeypatch):
     """Of a continuous column a few in a thousand values go to the next step."""
     values = frame(spark, {"continuous": columns["continuous"]})
+    monkeypatch.setattr(qu, "LOCAL_VALUES", 0)
     seen, own = [], qu.at_ranks
     try:
         qu.at_ranks = lambda counts, ranks: seen.append(counts.count()) or own(counts, ranks)
