@@ -31,6 +31,7 @@ SLOTS = 4
 MAX_KICKS = 200
 ENTRY = "sha binary, n long, chars long, id long, ties long"
 NO_ID = (1 << 63) - 1
+SHARD_ROWS = 500_000
 
 
 class CuckooIndex:
@@ -154,7 +155,11 @@ def live_groups(rows: DataFrame) -> DataFrame:
     """One live entry per key (``ENTRY``)."""
     entries = rows.select("sha", F.lit(1).cast("long").alias("n"), "chars",
                           F.coalesce("doc_id", F.lit(NO_ID)).alias("id"), F.lit(1).cast("long").alias("ties"))
-    return entries.mapInArrow(_folded, ENTRY).repartition("sha").mapInArrow(_folded, ENTRY)
+    # a shard's index holds at most about SHARD_ROWS entries, however many rows there are
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    wanted = -(-rows.count() // SHARD_ROWS)
+    shards = [wanted, "sha"] if wanted > parts else ["sha"]
+    return entries.mapInArrow(_folded, ENTRY).repartition(*shards).mapInArrow(_folded, ENTRY)
 
 
 def exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -431,3 +431,10 @@ def test_pipeline_stages_on_odd_rows(spark, make, odd, words, tmp_path):
         assert len(ids) == docs.count()
         first = corpus_pipeline.STAGES[0][1](spark, make(data) if data else make(rows).limit(0), str(tmp_path))
         assert set(first.columns) == set(make(rows).columns) and first.count() <= len(data)
+
+
+def test_index_shards_follow_the_rows(make, words, monkeypatch):
+    monkeypatch.setattr(exact, "SHARD_ROWS", 3)
+    rows = [(i, words(3, i % 40)) for i in range(90)]
+    got = {r["doc_id"]: (r["keep_id"], r["group_size"]) for r in rows_of(exact.exact_copies(make(rows)))}
+    assert got == {i: (i % 40, 3 if i % 40 < 10 else 2) for i, _ in rows}
