@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from coachload.operators import boosting as bo, features as fe, model as md, target as tg
 from coachload.plans import sqlparts as sq
 from coachload.plans.q_features import _engineered_sql
-from coachload.session import materialize, scratch_path
+from coachload.session import materialize, scratch_path, still_there
 from coachload.sources import tables
 
 KEY = tables.LEG_KEY
@@ -43,7 +43,7 @@ class Ctx:
     @cached_property
     def stored(self):
         key = (self.spark.sparkContext.applicationId, self.sf_dir)
-        if key not in _STORED:
+        if key not in _STORED or not all(map(still_there, _STORED[key][:3])):
             legs = tables.stored_legs(self.spark, self.sf_dir, tables.legs(self.spark, self.sf_dir).columns)
             feats, labels = fe.engineer(legs)
             thresholds = materialize(tg.thresholds(tg.occupancy_pct(legs)), "thresholds")

@@ -6,6 +6,7 @@ import os
 import tempfile
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
 # Settings every job relies on: wall-clock timestamps compare equal with the
@@ -83,6 +84,17 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def still_there(df: DataFrame) -> bool:
+    """Whether a materialized table's folder has not been cleared since."""
+    try:
+        df.sparkSession.read.schema(df.schema).parquet(*{os.path.dirname(f) for f in df.inputFiles()})
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return False
+    return True
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A folder next to the checkpoints for intermediate tables."""
     base = checkpoint_dir(spark)

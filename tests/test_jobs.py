@@ -25,3 +25,12 @@ def test_lookup_train_score(spark, tmp_path):
     assert flat.where(F.col("status") == 200).count() > 0
     out = sc.read_predictions(spark, str(tmp_path / "pred"))
     assert out.count() == reqs.count()
+
+
+def test_a_cleared_scratch_folder_is_noticed(spark, tmp_path):
+    from coachload.session import still_there
+    spark.range(3).write.parquet(str(tmp_path / "t"))
+    df = spark.read.parquet(str(tmp_path / "t"))
+    assert still_there(df)
+    (tmp_path / "t").rename(tmp_path / "elsewhere")
+    assert not still_there(df)
