@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from coachload.operators import boosting as bo, features as fe, model as md, target as tg
+from coachload.session import materialize
 from coachload.sources import tables
 from tests.conftest import SF001
 
@@ -11,7 +12,7 @@ from tests.conftest import SF001
 @pytest.fixture(scope="module")
 def labelled(spark):
     feats, labels = fe.engineer(tables.legs(spark, SF001))
-    return tg.label(feats), labels
+    return materialize(tg.label(feats), "labelled"), labels      # read by most tests here
 
 
 def test_split_exact_shares(labelled):
