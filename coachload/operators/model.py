@@ -108,7 +108,7 @@ def _whole(df: DataFrame) -> Column:
 
 def stratified_split(df: DataFrame, label: str = "comfort_tier_encoded",
                      key_cols: list[str] | None = None, test: float = 0.2,
-                     seed: int = 42, out: str = "split") -> DataFrame:
+                     seed: int = 42, out: str = "split", hashed: str | None = None) -> DataFrame:
     """Exact per-class split: in every class the ``round(test * n_class)``
     rows with the smallest (hash of the key, hash of the row) go to test.
 
@@ -118,10 +118,17 @@ def stratified_split(df: DataFrame, label: str = "comfort_tier_encoded",
     class as literals; nothing is written.  Only copies of one row that
     straddle the boundary are counted and split by number, so a huge group of
     copies is reduced before it moves.  Store a dear input first: it is read a
-    few times, each time only the key and the label.
+    few times, each time only the key and the label.  ``hashed`` names a column
+    that holds ``split_hash`` already; it is no part of the rows.
     """
     key_cols = key_cols or ["messageId_leg_start", "leg_departure_dt"]
     cls = _class_of(label)
+    if hashed:
+        rows = df.drop(hashed)
+        share = _Share(df, cls, F.col(hashed), _whole(rows), _number(test))
+        if not share.some:
+            return df.withColumn(out, F.when(share.inside, "test").otherwise("train")).drop(hashed)
+        return stratified_split(rows, label, key_cols, test, seed, out)
     share = _Share(df, cls, split_hash(key_cols, seed), _whole(df), _number(test))
     split = F.when(share.inside, "test").otherwise("train")
     if not share.some:

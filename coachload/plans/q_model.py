@@ -24,6 +24,10 @@ from coachload.sources import tables
 
 KEY = tables.LEG_KEY
 LABEL = "comfort_tier_encoded"
+# Columns of the legs that no feature, key or label is made of.
+UNUSED = ["driverId", "next_station_departure_dt", "unitId", "vehicleNo"]
+# The split's hash of a row's key, stored with the engineered rows.
+HASHED = "__split_hash"
 # Limits low enough that some columns of the fixture are scaled.
 SCALE_LIMITS = dict(max_limit=100.0, std_limit=20.0)
 # The engineered table of a folder with its dictionary, thresholds and feature
@@ -44,12 +48,13 @@ class Ctx:
     def stored(self):
         key = (self.spark.sparkContext.applicationId, self.sf_dir)
         if key not in _STORED or not all(map(still_there, _STORED[key][:3])):
-            legs = tables.stored_legs(self.spark, self.sf_dir, tables.legs(self.spark, self.sf_dir).columns)
+            legs = tables.stored_legs(self.spark, self.sf_dir, [
+                c for c in tables.legs(self.spark, self.sf_dir).columns if c not in UNUSED])
             feats, labels = fe.engineer(legs)
             thresholds = materialize(tg.thresholds(tg.occupancy_pct(legs)), "thresholds")
             done = tg.encode_tier(tg.assign_tier(tg.occupancy_pct(feats), thresholds))
             _, available, _ = fe.select_features(done)
-            _STORED[key] = (materialize(done.select(*KEY, LABEL, *available), "engineered"), labels, thresholds, available)
+            _STORED[key] = (materialize(done.select(*KEY, LABEL, *available, md.split_hash(KEY).alias(HASHED)), "engineered"), labels, thresholds, available)
         return _STORED[key]
 
     @property
@@ -70,7 +75,7 @@ class Ctx:
 
     @cached_property
     def split(self):
-        return md.stratified_split(self.engineered.select(*KEY, LABEL, *self.features), LABEL, KEY)
+        return md.stratified_split(self.engineered.select(*KEY, LABEL, *self.features, HASHED), LABEL, KEY, hashed=HASHED)
 
     def part(self, name):
         return self.split.where(F.col("split") == name)
