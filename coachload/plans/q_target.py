@@ -11,8 +11,10 @@ from coachload.sources import tables
 KEY = tables.LEG_KEY
 
 
-def labelled_legs(spark, sf_dir):
-    legs = tables.legs(spark, sf_dir)
+def labelled_legs(spark, sf_dir, columns=None):
+    """``columns`` of the legs are written once, for queries that read them
+    more often than the thresholds do."""
+    legs = tables.stored_legs(spark, sf_dir, columns) if columns else tables.legs(spark, sf_dir)
     return tg.label(fe.add_time_features(legs))
 
 
@@ -66,7 +68,8 @@ def q_counts(row):
 
 
 def q_capacity_box(spark, sf_dir):
-    return tg.box_stats(labelled_legs(spark, sf_dir), "vehicle_capacity", "comfort_tier")
+    legs = labelled_legs(spark, sf_dir, ["leg_departure_dt", "relevant_passengers_on_leg_departure", "vehicle_capacity"])
+    return tg.box_stats(legs, "vehicle_capacity", "comfort_tier")
 
 
 def q_occupancy_box(spark, sf_dir):
