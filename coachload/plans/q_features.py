@@ -102,8 +102,13 @@ def q_summary(spark, sf_dir):
 
 
 def q_sample(spark, sf_dir):
-    _, after, new = _new_columns(spark, sf_dir)
-    return fe.feature_sample(after, new, KEY).withColumn("route_distance_km", F.round("route_distance_km", 6))
+    """The dictionary is that of all legs; only the first rows by key get
+    their features."""
+    legs = _legs(spark, sf_dir)
+    after, labels = fe.engineer(legs)
+    new = [c for c in after.columns if c not in legs.columns]
+    first = fe.engineer(materialize(legs.orderBy(*KEY).limit(5), "first_legs"), labels)[0]
+    return fe.feature_sample(first, new, KEY).withColumn("route_distance_km", F.round("route_distance_km", 6))
 
 
 QUERIES = {
