@@ -86,7 +86,8 @@ def q_dups(spark, sf_dir):
 
 
 def q_quality(spark, sf_dir):
-    q = pr.quality_summary(_legs(spark, sf_dir), TARGET)
+    # quartiles, counts and copies read the legs six times: they are written once
+    q = pr.quality_summary(tables.stored_legs(spark, sf_dir, _legs(spark, sf_dir).columns), TARGET)
     return q.withColumn("outlier_percentage", F.round("outlier_percentage", 6))
 
 
