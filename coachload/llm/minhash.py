@@ -273,6 +273,11 @@ def _compared(percent: int, width: int, need: int):
     return run
 
 
+def _stars(labels: DataFrame) -> DataFrame:
+    """The labels as links (a, b): all that joined them so far."""
+    return labels.filter("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b"))
+
+
 def _labelled(lists: DataFrame, labels: DataFrame | None) -> DataFrame:
     if labels is None:
         return lists.withColumn("lab", F.col("rep"))
@@ -333,11 +338,10 @@ def near_copies(docs: DataFrame, percent: int = 80, width: int = 5, id_col: str
     members = lists.filter("members > 2").select("key", "rep", "g", "size")
     more = _confirm(_hub_pairs(_open_lists(members, labels), 1), content, percent, width, need)
     if not more.isEmpty():
-        links = links.union(more)
-        labels = stored(components(links), "labels")
+        labels = stored(components(_stars(labels).union(more)), "labels")
     rest = stored(_block_links(_open_lists(members, labels), content, percent, width, need), "links")
     if not rest.isEmpty():
-        labels = stored(components(links.union(rest)), "labels")
+        labels = stored(components(_stars(labels).union(rest)), "labels")
 
     roots = (classes.join(labels.select(F.col("node").alias("rep"), "root"), "rep", "left")
              .select("digest", F.coalesce("root", "rep").alias("root")))
