@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from coachload.functions import geo, time as tm
 from coachload.functions.names import best_name, normalize_name
 from coachload.operators.joins import small_side
+from coachload.session import materialize
 from coachload.sources.published import publish, read_published
 
 # What the metadata row says of a lookup set unless the caller says otherwise.
@@ -206,14 +207,17 @@ def coach_info(legs: DataFrame) -> DataFrame:
             .orderBy(F.desc("frequency"), "coach_type"))
 
 
-def build_lookups(legs: DataFrame, codes: DataFrame) -> dict[str, DataFrame]:
+def build_lookups(legs: DataFrame, codes: DataFrame, with_timestamp: bool = True) -> dict[str, DataFrame]:
+    """The lookup set.  Its tables are read by whoever writes them and counted
+    by the metadata, so they are computed once and stored."""
     tables = {
         "stations": build_stations(legs, codes),
         "service_routes_summary_mvp": service_routes(legs),
         "historical_averages": historical_averages(legs),
         "coach_info": coach_info(legs),
     }
-    tables["metadata"] = metadata(tables, legs)
+    tables = {name: materialize(df, name) for name, df in tables.items()}
+    tables["metadata"] = metadata(tables, legs, with_timestamp)
     return tables
 
 

@@ -22,11 +22,14 @@ def _codes(spark, sf_dir):
     return tables.clean_codes(tables.tiplocs(spark, sf_dir))
 
 
+# Columns of the legs that the lookup set is built from.
+LOOKUP_LEGS = ["stationName_from", "stationLocation_from", "stationName_to", "stationLocation_to", "headcode", "rsid",
+               "leg_departure_dt", "coach_type", "vehicle_capacity", *[src for src, _ in lk.HIST_AVERAGES]]
+
+
 def lookup_set(spark, sf_dir, with_timestamp=False):
-    legs = _legs(spark, sf_dir)
-    t = lk.build_lookups(legs, _codes(spark, sf_dir))
-    t["metadata"] = lk.metadata(t, legs, with_timestamp=with_timestamp)
-    return t
+    """The set of a deployment with stored legs: they are derived once."""
+    return lk.build_lookups(tables.stored_legs(spark, sf_dir, LOOKUP_LEGS), _codes(spark, sf_dir), with_timestamp)
 
 
 def q_codes(spark, sf_dir):

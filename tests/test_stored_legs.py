@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from coachload.operators import model as md
-from coachload.plans import q_features, q_model, q_profile, q_target
+from coachload.plans import q_features, q_lookups, q_model, q_profile, q_target
 from tests.conftest import SF001
 
 
@@ -26,3 +26,13 @@ def test_split_reads_the_stored_hash(spark):
     assert q_model.HASHED not in split.columns
     assert "md5" not in split._jdf.queryExecution().optimizedPlan().toString()
     assert split.where(F.col("split") == "test").count() > 0
+
+
+def test_lookup_set_derives_the_legs_and_its_tables_once(spark):
+    tables = q_lookups.lookup_set(spark, SF001)
+    for name, df in tables.items():
+        assert "lineitem" not in df._jdf.queryExecution().toString(), name
+    assert "Aggregate [headcode" not in tables["metadata"]._jdf.queryExecution().optimizedPlan().toString()
+    for name, column in (("service_routes_summary_mvp", "service_patterns_count"), ("historical_averages", "historical_patterns_count"),
+                         ("stations", "stations_count"), ("coach_info", "coach_types_count")):
+        assert tables["metadata"].first()[column] == tables[name].count()
