@@ -86,3 +86,29 @@ def test_a_last_stretch_hands_on_no_rows(spark):
     base.fit(_leaf_rows(spark), ["a", "b", "c"], "y")
     made = set(glob.glob(f"{place}/margins-*")) - before
     assert sorted(spark.read.schema(growth.ROWS).parquet(p).where("note IS NULL").count() for p in made) == [0, 400]
+
+
+def test_rows_move_without_a_gather_and_to_the_same_nodes(monkeypatch):
+    rng = np.random.default_rng(8)
+    n = 70_000
+    bins = rng.integers(0, 256, (n, 5)).astype(np.uint8)
+    rows = _rows(bins, rng.integers(0, 3, n))
+    grower = growth.Grower(rows, [growth.Run(bo.SoftmaxBoosting(rounds=1, max_depth=7))], Alone(), 3, 256, False)
+    found = []
+    for scanned in (64, 0):
+        monkeypatch.setattr(growth, "SCANNED", scanned)
+        tree, pick = growth.Tree.empty(7), np.random.default_rng(1)
+        node = np.zeros(n, np.int16)
+        for level in range(7):
+            at = np.arange((1 << level) - 1, (2 << level) - 1)
+            at = at[(pick.random(len(at)) < 0.9) | (level < 3)]
+            tree.feature[at], tree.bin[at] = pick.integers(0, 5, len(at)), pick.integers(60, 200, len(at))
+            grower._move({"tree": tree, "node": node}, level)
+        found.append(node)
+    assert (found[0] == found[1]).all() and len(np.unique(node)) > 40
+    expected = np.zeros(n, np.int64)
+    for level in range(7):
+        inner = (tree.feature[expected] >= 0) & (expected >= (1 << level) - 1)
+        right = bins[np.arange(n), np.maximum(tree.feature[expected], 0)] > tree.bin[expected]
+        expected = np.where(inner, 2 * expected + 1 + right, expected)
+    assert (node == expected).all()
