@@ -28,7 +28,7 @@ SERVE_COLS = ["request_id", "pos", "coach_type"] + SERVE_FEATURES
 # Columns of the legs that the scoring inputs are built from.
 STATION_LEGS = ["stationName_from", "stationLocation_from", "stationName_to", "stationLocation_to"]
 SCORING_LEGS = [*STATION_LEGS, "headcode", "rsid", "coach_type", "leg_departure_dt",
-                "next_station_departure_dt", "relevant_passengers_on_leg_departure", "vehicle_capacity",
+                "relevant_passengers_on_leg_departure", "vehicle_capacity",
                 *[src for src, _ in lk.HIST_AVERAGES]]
 
 

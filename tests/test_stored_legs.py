@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from coachload.operators import model as md
-from coachload.plans import q_features, q_lookups, q_model, q_profile, q_target
+from coachload.plans import q_features, q_lookups, q_model, q_profile, q_scoring, q_target
 from tests.conftest import SF001
 
 
@@ -36,3 +36,8 @@ def test_lookup_set_derives_the_legs_and_its_tables_once(spark):
     for name, column in (("service_routes_summary_mvp", "service_patterns_count"), ("historical_averages", "historical_patterns_count"),
                          ("stations", "stations_count"), ("coach_info", "coach_types_count")):
         assert tables["metadata"].first()[column] == tables[name].count()
+
+
+def test_scoring_stores_no_column_that_only_the_probe_reads():
+    assert "next_station_departure_dt" not in q_scoring.SCORING_LEGS
+    assert "next_station_departure_dt" in q_scoring.MATCH_LEGS
