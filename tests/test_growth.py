@@ -112,3 +112,33 @@ def test_rows_move_without_a_gather_and_to_the_same_nodes(monkeypatch):
         right = bins[np.arange(n), np.maximum(tree.feature[expected], 0)] > tree.bin[expected]
         expected = np.where(inner, 2 * expected + 1 + right, expected)
     assert (node == expected).all()
+
+
+def test_features_that_depend_on_each_other_share_a_pack():
+    rng = np.random.default_rng(9)
+    n = 40_000
+    place = rng.integers(0, 25, n)
+    bins = np.stack([place, place * 7 % 25, place * 3 % 25, np.full(n, 1), rng.integers(0, 20, n), np.zeros(n)], axis=1).astype(np.uint8)
+    rows = _rows(bins, rng.integers(0, 3, n))
+    assert len(rows.packs) == 1          # 25 * 20 combinations, of 25 ** 3 * 20 * 2
+    run = growth.Run(bo.SoftmaxBoosting(rounds=1, max_depth=2))
+    grower = growth.Grower(rows, [run], Alone(), 3, 64, False)
+    grad, hess, used = rng.random(n), rng.random(n), np.sort(rng.permutation(n)[:n // 2])
+    state = {(0, 0): {"tree": growth.Tree.empty(2), "used": used, "grad": grad[used], "hess": hess[used], "node": np.zeros(n, np.int16), "sum": [0]}}
+    found = grower._summed(state, [(0, 0, 0)])[0, 0, 0]
+    for f in range(bins.shape[1]):
+        assert np.allclose(found[0, f], np.bincount(bins[used, f], grad[used], 64))
+        assert np.allclose(found[1, f], np.bincount(bins[used, f], hess[used], 64))
+
+
+def test_a_round_takes_one_softmax_of_each_row(monkeypatch):
+    rng = np.random.default_rng(10)
+    n, seen, own = 9_000, [], growth.softmax
+    bins = rng.integers(0, 20, (n, 4)).astype(np.uint8)
+    grower = growth.Grower(_rows(bins, bins[:, 0] % 3), [growth.Run(bo.SoftmaxBoosting(rounds=3, max_depth=3))], Alone(), 3, 64, False)
+    monkeypatch.setattr(growth, "softmax", lambda m, axis=-1: seen.append(m.shape[1 if axis == 0 else 0]) or own(m, axis))
+    for _ in range(3):
+        grower.round()
+    assert sum(seen) == 4 * n            # before the first round, and after each
+    losses = grower.runs[0].history["train"]
+    assert losses[0] > losses[1] > losses[2]
