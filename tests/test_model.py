@@ -305,3 +305,35 @@ def test_no_stage_beyond_the_size_of_generated_code(spark, capfd):
     for name in ("model_split", "model_eval_report"):
         q_model.QUERIES[name](spark, SF001).collect()
     assert "grows beyond 64 KB" not in "".join(capfd.readouterr())
+
+
+def test_cut_points_stay_at_their_ranks(monkeypatch):
+    """Far more values than a task holds: ranks stay within the bound; few values are counted exactly."""
+    import numpy as np
+    rng = np.random.default_rng(4)
+    monkeypatch.setattr(bo, "RUN", 1 << 10)
+    monkeypatch.setattr(bo, "KEPT", 2_000)
+    x = np.concatenate([rng.normal(size=150_000), np.zeros(50_000)])
+    rng.shuffle(x)
+    ranks, few = bo.Ranks(), bo.Ranks()
+    for a in range(0, len(x), 700):
+        ranks.add(x[a:a + 700])
+        few.add(np.floor(x[a:a + 700]))
+    assert all(len(r) == 1 << 10 for r in ranks.runs.values()) and len(ranks.runs) < 10
+    values, counts = ranks.entries()
+    assert len(values) <= 2_000 and counts.sum() == len(x)
+    order, upto = np.sort(x), counts.cumsum()
+    for share in np.arange(1, 64) / 64:
+        v = values[np.searchsorted(upto, np.ceil(share * len(x)))]
+        low, high = np.searchsorted(order, v, "left"), np.searchsorted(order, v, "right")
+        assert low - 0.005 * len(x) <= share * len(x) <= high + 0.005 * len(x)
+    values, counts = few.entries()
+    assert values.tolist() == np.unique(np.floor(x)).tolist() and counts.tolist() == np.unique(np.floor(x), return_counts=True)[1].tolist()
+
+
+def test_cut_points_come_without_an_aggregate_of_each_value(spark, monkeypatch):
+    monkeypatch.setattr(F, "percentile_approx", None)
+    rows = spark.range(0, 3000, 1, 3).select((F.col("id") % 100).cast("double").alias("a"), F.when(F.col("id") % 2 == 0, F.lit(5)).alias("b"),
+                                             F.lit(None).cast("int").alias("c"), F.lit(float("nan")).alias("d"))
+    a, b, c, d = bo._cuts(rows, ["a", "b", "c", "d"], 4)
+    assert a.tolist() == [24.0, 49.0, 74.0] and b.tolist() == [5.0] and len(c) == len(d) == 0
