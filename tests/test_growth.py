@@ -8,7 +8,7 @@ import pyarrow as pa
 
 from coachload.operators import boosting as bo, growth
 from coachload.session import scratch_path
-from tests.test_model import _leaf_rows
+from tests.test_model import _leaf_rows, _same_trees
 
 
 class Alone:
@@ -142,3 +142,42 @@ def test_a_round_takes_one_softmax_of_each_row(monkeypatch):
     assert sum(seen) == 4 * n            # before the first round, and after each
     losses = grower.runs[0].history["train"]
     assert losses[0] > losses[1] > losses[2]
+
+
+def test_state_beyond_the_memory_is_in_files_and_gives_the_same_trees(monkeypatch):
+    rng = np.random.default_rng(11)
+    n = 50_000
+    bins = (rng.random((n, 6)) * [40, 3, 25, 60, 2, 9]).astype(np.uint8)
+    y, grown = (bins[:, 0] // 14 + bins[:, 4]) % 3, []
+    for memory in (1 << 30, 0):
+        monkeypatch.setattr(growth, "MEMORY", memory)
+        rows = _rows(bins, y)
+        grower = growth.Grower(rows, [growth.Run(bo.SoftmaxBoosting(rounds=3, max_depth=5))], Alone(), 3, 64, False)
+        for _ in range(3):
+            grower.round()
+        held = [rows.y, rows.margins, grower.nodes, *(pack.code for pack in rows.packs)]
+        assert all(isinstance(x.base, np.memmap) for x in held) == (memory == 0)
+        assert not hasattr(rows.bins, "nbytes")          # the packs' codes are the only copy
+        grown.append(grower.runs[0].trees)
+    for one, two in zip(*grown):
+        for t, u in zip(one, two):
+            assert (t.feature == u.feature).all() and (t.bin == u.bin).all() and (t.value == u.value).all()
+
+
+def test_models_that_take_turns_are_the_same_models(spark, monkeypatch):
+    """A task that can't hold all models grows one after the other and adds their margins up from their trees."""
+    df = _leaf_rows(spark).selectExpr("*", "string(i) messageId_leg_start", "'x' leg_departure_dt")
+    base = bo.SoftmaxBoosting(rounds=5, max_depth=3, patience=None, tasks=2, stretch=2)
+    grid = [{"max_depth": 3, "subsample": 0.8}, {"max_depth": 2, "learning_rate": 0.1, "rounds": 3}]
+    together = bo.grid_search(df, ["a", "b", "c"], "y", base, grid).collect()
+    fitted = base.fit(df, ["a", "b", "c"], "y", df)
+    most, own = [], growth._turns
+    monkeypatch.setattr(growth, "STATE", 0)
+    monkeypatch.setattr(growth, "_turns", lambda *a: most.append(max(map(len, own(*a)[0]))) or own(*a))
+    place = os.path.dirname(scratch_path(spark, "margins")).removeprefix("file:")
+    before = set(glob.glob(f"{place}/margins-*"))
+    assert bo.grid_search(df, ["a", "b", "c"], "y", base, grid).collect() == together
+    _same_trees(base.fit(df, ["a", "b", "c"], "y", df), fitted)
+    assert set(most) == {1}
+    for p in set(glob.glob(f"{place}/margins-*")) - before:
+        assert spark.read.schema(growth.ROWS).parquet(p).where("note IS NULL").count() == 0
