@@ -181,3 +181,23 @@ def test_models_that_take_turns_are_the_same_models(spark, monkeypatch):
     assert set(most) == {1}
     for p in set(glob.glob(f"{place}/margins-*")) - before:
         assert spark.read.schema(growth.ROWS).parquet(p).where("note IS NULL").count() == 0
+
+
+def test_each_stored_row_is_dealt_to_one_task(spark):
+    cuts = [np.array([0.5])]
+    rows = spark.range(0, 1000, 1, 7).selectExpr("id % 3 y", "int(0) __set", "int(-1) __fold", "double(id) x")
+    data = bo._binned(rows, ["x"], "y", cuts, True)
+    for tasks in (1, 3, 8):
+        dealt = growth.shares(data, tasks)
+        found = [[h for b in growth.stored(share) for h in b.column(3).to_pylist()] for share in dealt]
+        assert max(map(len, found)) - min(map(len, found)) <= 1
+        assert sorted(h for own in found for h in own) == sorted(r["hash"] for r in data.collect())
+
+
+def test_a_fit_leaves_no_binned_rows_and_stores_a_hash_for_samples_only(spark, monkeypatch):
+    place, hashes, own = os.path.dirname(scratch_path(spark, "binned")).removeprefix("file:"), [], bo.grow
+    monkeypatch.setattr(bo, "grow", lambda data, *a: hashes.append(data.where("hash IS NOT NULL").count()) or own(data, *a))
+    before = set(glob.glob(f"{place}/binned-*"))
+    for subsample in (1.0, 0.9):
+        bo.SoftmaxBoosting(rounds=1, max_depth=2, tasks=2, subsample=subsample).fit(_leaf_rows(spark), ["a", "b", "c"], "y")
+    assert hashes == [0, 400] and set(glob.glob(f"{place}/binned-*")) == before
