@@ -172,18 +172,17 @@ def split_distribution(df: DataFrame, label: str = "comfort_tier_encoded",
 
 # M3 ------------------------------------------------------------------------
 def feature_ranges(df: DataFrame, cols: list[str]) -> DataFrame:
-    aggs = []
-    for i, c in enumerate(cols):
-        x = F.col(c).cast("double")
-        aggs += [F.min(x).alias(f"__lo{i}"), F.max(x).alias(f"__hi{i}"),
-                 F.avg(x).alias(f"__m{i}"), F.stddev_samp(x).alias(f"__s{i}"),
-                 F.stddev_pop(x).alias(f"__p{i}")]
-    wide = df.agg(*aggs)
-    structs = [F.struct(F.lit(c).alias("feature"), F.col(f"__lo{i}").alias("min_train"),
-                        F.col(f"__hi{i}").alias("max_train"), F.col(f"__m{i}").alias("mean_train"),
-                        F.col(f"__s{i}").alias("std_train"), F.col(f"__p{i}").alias("std_pop"))
-               for i, c in enumerate(cols)]
-    return wide.select(F.explode(F.array(*structs)).alias("r")).select("r.*")
+    """A row per column, in their order.  The columns' values are stacked and
+    grouped: one aggregate with five columns, whatever their number (an
+    aggregate of all columns side by side is too wide for generated code)."""
+    x = F.posexplode(F.array(*[F.col(c).cast("double") for c in cols])).alias("__i", "__x")
+    stats = df.select(x).groupBy("__i").agg(
+        F.min("__x").alias("min_train"), F.max("__x").alias("max_train"), F.avg("__x").alias("mean_train"),
+        F.stddev_samp("__x").alias("std_train"), F.stddev_pop("__x").alias("std_pop"))
+    names = stats.columns[1:]
+    held = stats.agg(F.map_from_entries(F.collect_list(F.struct("__i", F.struct(*names)))).alias("held"))
+    of = [F.struct(F.lit(c).alias("feature"), F.try_element_at("held", F.lit(i)).alias("x")) for i, c in enumerate(cols)]
+    return held.select(F.explode(F.array(*of)).alias("r")).select("r.feature", *[f"r.x.{n}" for n in names])
 
 
 # M4 ------------------------------------------------------------------------
@@ -199,17 +198,19 @@ def scaling_plan(ranges: DataFrame, max_limit: float = 1000.0,
 
 def apply_scaling(df: DataFrame, plan: DataFrame, features: list[str] | None = None) -> DataFrame:
     """(x - mean) / scale for the planned columns among ``features``
-    (default: the numeric columns).  The plan, a row per column, enters as one
-    map-valued scalar subquery.  Feature columns come out as double, the type
+    (default: the numeric columns).  The plan, a row per column, is read here
+    and enters as literals.  Feature columns come out as double, the type
     the model reads; other columns are kept."""
     from coachload.operators.profile import numeric_columns
-    entry = F.struct("feature", F.struct("mean", "scale"))
-    lookup = plan.where("scaled").agg(F.map_from_entries(F.collect_list(entry)).alias("m")).scalar()
+    entries = plan.where("scaled").select("feature", "mean", "scale").collect()
+    held = {r["feature"]: r for r in entries}
+    if len(held) < len(entries):
+        raise ValueError("the plan has a column twice")
     cols = {}
     for c in (features or numeric_columns(df)):
         if c in df.columns:
-            x, own = F.col(c).cast("double"), F.try_element_at(lookup, F.lit(c))
-            cols[c] = F.when(own.isNull(), x).otherwise((x - own["mean"]) / own["scale"])
+            x, own = F.col(c).cast("double"), held.get(c)
+            cols[c] = x if own is None else (x - F.lit(own["mean"]).cast("double")) / F.lit(own["scale"]).cast("double")
     return df.withColumns(cols)
 
 

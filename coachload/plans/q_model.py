@@ -155,7 +155,10 @@ def q_scaled(spark, sf_dir):
     c = Ctx(spark, sf_dir)
     plan = materialize(md.scaling_plan(md.feature_ranges(c.part("train"), c.features), **SCALE_LIMITS), "scaling")
     scaled = md.apply_scaling(c.part("train"), plan, c.features)
-    return scaled.select(*KEY, *[r6(f) for f in c.features])
+    changed = {r["feature"] for r in plan.where("scaled").collect()}
+    # whole numbers that stay as they are have no places to round
+    whole = {f for f, kind in c.engineered.dtypes if kind in ("int", "bigint")} - changed
+    return scaled.select(*KEY, *[F.col(f) if f in whole else r6(f) for f in c.features])
 
 
 def q_three_way(spark, sf_dir):

@@ -337,3 +337,27 @@ def test_cut_points_come_without_an_aggregate_of_each_value(spark, monkeypatch):
                                              F.lit(None).cast("int").alias("c"), F.lit(float("nan")).alias("d"))
     a, b, c, d = bo._cuts(rows, ["a", "b", "c", "d"], 4)
     assert a.tolist() == [24.0, 49.0, 74.0] and b.tolist() == [5.0] and len(c) == len(d) == 0
+
+
+def test_ranges_and_scaling_of_odd_columns(spark):
+    """A column of nulls, one value, NaN; no rows; and the scaling has no lookup for each row."""
+    import math
+    import numpy as np
+    cols = {"a": [1.5, 7.0, -3.0, 2000.5], "b": [None] * 4, "c": [5, 5, None, 5], "d": [1.0, float("nan"), 2.0, 3.0]}
+    df = spark.createDataFrame(list(zip(*cols.values())), "a double, b double, c int, d double").repartition(3)
+    got = {r["feature"]: r for r in md.feature_ranges(df, list(cols)).collect()}
+    assert list(got) == list(cols) and got["b"][1:] == (None,) * 5
+    a = np.array(cols["a"])
+    assert got["a"][1:] == pytest.approx((a.min(), a.max(), a.mean(), a.std(ddof=1), a.std()))
+    assert got["c"][1:] == (5.0, 5.0, 5.0, 0.0, 0.0) and math.isnan(got["d"]["max_train"])
+    none = md.feature_ranges(df.where("a > 1e9"), ["a", "c"]).collect()
+    assert [tuple(r) for r in none] == [("a", *[None] * 5), ("c", *[None] * 5)]
+    plan = md.scaling_plan(md.feature_ranges(df, list(cols)))
+    scaled = md.apply_scaling(df, plan, ["a", "c"])
+    text = scaled._jdf.queryExecution().optimizedPlan().toString()
+    assert "subquery" not in text and "element_at" not in text
+    assert sorted(r["a"] for r in scaled.collect()) == pytest.approx(sorted((a - a.mean()) / a.std()))
+    assert dict(scaled.dtypes) == {"a": "double", "b": "double", "c": "double", "d": "double"}
+    twice = plan.unionByName(plan)
+    with pytest.raises(ValueError):
+        md.apply_scaling(df, twice, ["a"])
